@@ -8,13 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, media
+from . import byte_bpe, exact_dedup, language_id, media, simhash
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text", "lang").withColumn("held_out", language_id.crc_part("doc_id", 5) == 0)
+    model = language_id.fit(docs.filter("not held_out"))
+    found = language_id.predict(docs.drop("lang"), model, ["doc_id", "held_out"])
+    return found.select("doc_id", "held_out", F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+
+
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = media.features(media.store(_documents(spark, sf_dir)))
     return read.withColumn("feature", media.feature_text()).drop("landmarks")
@@ -31,6 +38,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_documents(spark, sf_dir))
+    return found.select("doc_id", simhash.hex_column().alias("fingerprint"), "component_id")
+
+
 def op9_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(_documents(spark, sf_dir))
 
@@ -44,7 +56,7 @@ FROM t
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_media": op2_media, "op9_grace_dedup": op9_grace_dedup, "op10_byte_bpe": op10_byte_bpe}
+    return {"op1_language_id": op1_language_id, "op2_media": op2_media, "op3_simhash": op3_simhash, "op9_grace_dedup": op9_grace_dedup, "op10_byte_bpe": op10_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
