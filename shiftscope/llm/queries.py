@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, language_id, media, simhash
+from . import byte_bpe, exact_dedup, language_id, media, simhash, substring_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +43,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_column().alias("fingerprint"), "component_id")
 
 
+def op5_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove(_documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(_documents(spark, sf_dir))
 
@@ -56,7 +61,7 @@ FROM t
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language_id": op1_language_id, "op2_media": op2_media, "op3_simhash": op3_simhash, "op9_grace_dedup": op9_grace_dedup, "op10_byte_bpe": op10_byte_bpe}
+    return {"op1_language_id": op1_language_id, "op2_media": op2_media, "op3_simhash": op3_simhash, "op5_recompression": op5_recompression, "op9_grace_dedup": op9_grace_dedup, "op10_byte_bpe": op10_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
