@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, language_id, media, simhash, substring_dedup
+from . import brown, byte_bpe, chat, exact_dedup, language_id, media, packing, simhash, substring_dedup, token_files
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +48,25 @@ def op5_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir), ["doc_id"])
+
+
+def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = chat.from_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    found = chat.link(calls, results, chat.SCHEMAS)
+    return found.withColumn("n_problems", F.size("problems").cast("long")).drop("problems")
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_files.write_ids(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), 1)
+    return token_files.read_ids(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op8_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score(_documents(spark, sf_dir), language_id.crc_part("doc_id", 7) == 2)
+
+
 def op9_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(_documents(spark, sf_dir))
 
@@ -60,9 +79,51 @@ FROM t
 """
 
 
+OP6_SQL = """
+WITH calls AS (
+  SELECT conv_id, turn, conv_id || ':' || turn AS call_id, min(text) AS text, count(*) AS n_calls
+  FROM conversations WHERE role = 'user' GROUP BY conv_id, turn
+), results AS (
+  SELECT conv_id, conv_id || ':' || (turn - 1) AS call_id, min(text) AS content, count(*) AS n_results
+  FROM conversations WHERE role = 'assistant' GROUP BY conv_id, turn
+), islands AS (
+  SELECT *, turn // 2 - row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS island FROM calls
+), deep AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, turn % 2, island ORDER BY turn) - 1 AS depth,
+         text IS NOT NULL AND length(text) BETWEEN 1 AND 1000 AS valid,
+         coalesce(CAST(to_json(text) AS VARCHAR), 'null') AS prompt
+  FROM islands
+), met AS (
+  SELECT coalesce(d.conv_id, r.conv_id) AS conv_id, coalesce(d.call_id, r.call_id) AS call_id, depth, valid, prompt, turn,
+         coalesce(n_calls, 0) AS n_calls, coalesce(n_results, 0) AS n_results,
+         coalesce(CAST(to_json(content) AS VARCHAR), 'null') AS content,
+         CASE WHEN n_calls IS NULL THEN 'orphan' WHEN n_results IS NULL THEN 'pending' ELSE 'linked' END AS state
+  FROM deep d FULL JOIN results r ON d.conv_id = r.conv_id AND d.call_id = r.call_id
+)
+SELECT conv_id, call_id, state, depth, n_calls, n_results, valid,
+       CASE WHEN valid OR n_calls = 0 THEN 0 ELSE 1 END::BIGINT AS n_problems,
+       '{' || CASE WHEN n_calls > 0 THEN '"arguments":{"prompt":' || prompt || ',"turn":' || turn || '},' ELSE '' END
+       || '"call_id":"' || call_id || '",' || CASE WHEN n_calls > 0 THEN '"name":"reply",' ELSE '' END
+       || CASE WHEN n_results > 0 THEN '"result":' || content || ',' ELSE '' END
+       || '"state":"' || state || '"' || CASE WHEN n_calls > 0 THEN ',"valid":' || valid ELSE '' END || '}' AS json
+FROM met
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language_id": op1_language_id, "op2_media": op2_media, "op3_simhash": op3_simhash, "op5_recompression": op5_recompression, "op9_grace_dedup": op9_grace_dedup, "op10_byte_bpe": op10_byte_bpe}
+    return {
+        "op1_language_id": op1_language_id,
+        "op2_media": op2_media,
+        "op3_simhash": op3_simhash,
+        "op4_packing": op4_packing,
+        "op5_recompression": op5_recompression,
+        "op6_tool_calls": op6_tool_calls,
+        "op7_token_files": op7_token_files,
+        "op8_brown": op8_brown,
+        "op9_grace_dedup": op9_grace_dedup,
+        "op10_byte_bpe": op10_byte_bpe,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_grace_dedup": OP9_SQL}
+    return {"op6_tool_calls": OP6_SQL, "op9_grace_dedup": OP9_SQL}
