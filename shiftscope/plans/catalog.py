@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
+from . import driver, oracles
+from .driver import Query
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+    """Which texts write the names in use, and what is left unattributed."""
+    return driver.match_buckets(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(driver.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.ORACLES)
