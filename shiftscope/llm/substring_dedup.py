@@ -7,15 +7,15 @@ without a shared dictionary, and a passage that occurs twice is parsed alike ins
 symbol carries the range of words that fixes it: its own, and as far as neighbours were looked at. If that
 range lies in a window of `window` words, then an equal window elsewhere has the same symbol at the same place.
 
-Every window is owned by its leftmost symbol of the highest level that it fixes, so equal windows have equal
-owners at equal places, and a window whose owner occurs once is unique. The Spark round:
+Every window is owned by the symbol with the least name of the highest level that it fixes, so equal windows have
+equal owners at equal places, and a window whose owner occurs once is unique. The Spark round:
 
 1. Each task parses its documents block by block and sends one row for each stretch of windows with one owner:
-   the owner's name, a hash of all the words that the stretch spans, and where it stands. Owners that occur
-   more than once in a block are settled there, and the block sends one row for each such name, so a passage
-   found everywhere sends as many rows as there are blocks.
-2. Rows meet by name: unique owners end here, equal stretches are verified repeats, and stretches that share
-   the owner but differ somewhere are left to step 3.
+   the owner's name, joined with the words that all windows of the stretch have beside it, a hash of all the words that
+   the stretch spans, and where it stands. Names that occur more than once in a block are settled there, and the
+   block sends one row for each such name, so a passage found everywhere sends as many rows as there are blocks.
+2. Rows meet by name: unique ones end here, equal stretches are verified repeats, and stretches that share
+   the name but differ somewhere are left to step 3.
 3. For those stretches alone, the windows' own hashes (128 bits) meet, again settled within blocks first.
 4. Verified window starts go back to their documents, and the words they cover are removed.
 
@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW = 35
-#: Rounds of naming; later symbols would depend on more words than a window has.
-LEVELS = 8
+#: Rounds of naming; the more, the longer the symbols and the fewer a window fixes.
+LEVELS = 4
 #: Text bytes that are parsed together.
 BLOCK = 6 << 20
 #: A row's state: unknown, a repeat that may have unlike ones elsewhere, evidence only, settled.
@@ -158,43 +158,83 @@ def parse(words: Words, levels: int = LEVELS) -> Iterator[tuple[np.ndarray, np.n
         yield mix(name, level, 97), low, high
 
 
-def owners(words: Words, starts: np.ndarray, window: int, levels: int = LEVELS) -> tuple[np.ndarray, np.ndarray]:
-    """Each window's owner: its name, and which symbol of all levels' it is."""
+def _least(name: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Of symbols first..last (both never fall), the one of the least name, the leftmost of equals."""
+    bits = U(len(name).bit_length())
+    best = [(mix(name, 0, 23) >> bits << bits) | np.arange(len(name), dtype=U)]
+    longest = int((last - first).max()) + 1
+    while 2 << len(best) - 1 <= longest:
+        step, x = 1 << len(best) - 1, best[-1]
+        best.append(np.minimum(x[:-step], x[step:]))
+    k = np.frexp(last - first + 1)[1] - 1
+    out = np.empty(len(first), U)
+    for level, x in enumerate(best):
+        at = np.flatnonzero(k == level)
+        out[at] = np.minimum(x[first[at]], x[last[at] - (1 << level) + 1])
+    return (out & ((U(1) << bits) - U(1))).astype(np.int64)
+
+
+def owners(words: Words, starts: np.ndarray, window: int, levels: int = LEVELS) -> tuple[np.ndarray, ...]:
+    """Each window's owner: its name, which symbol of all levels' it is, and the range of words that fixes it."""
     parsed = list(parse(words, levels))
     owner, which = np.zeros(len(starts), U), np.zeros(len(starts), np.int64)
+    lows, highs = starts.copy(), starts + window
     still, passed = np.arange(len(starts)), 0
     while parsed and len(still):
         name, low, high = parsed.pop()
         p = starts[still]
-        # low and high never fall, so of the symbols fixed from p on, the first is also the first to end
-        i = np.cumsum(np.bincount(low + 1, minlength=len(words.names) + 2))[p]
-        there = i < len(name)
-        i = np.minimum(i, len(name) - 1)
-        there &= high[i] <= p + window
-        owner[still[there]] = name[i[there]]
-        which[still[there]] = passed + i[there]
+        # low and high never fall, so the symbols that a window fixes are a row
+        first = np.cumsum(np.bincount(low + 1, minlength=len(words.names) + 2))[p]
+        last = np.cumsum(np.bincount(np.minimum(high, len(words.names) + 1), minlength=len(words.names) + 2))[p + window] - 1
+        there = first <= last
+        at = still[there]
+        if len(at):
+            i = _least(name, first[there], last[there])
+            owner[at], which[at], lows[at], highs[at] = name[i], passed + i, low[i], high[i]
         passed += len(name)
         still = still[~there]
-    return owner, which
+    return owner, which, lows, highs
+
+
+#: Base of the hash of a range of words, and its inverse modulo 2 ** 64.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, U)
+    if n:
+        out[0] = 1
+    return np.multiply.accumulate(out)
 
 
 def stretches(words: Words, window: int = WINDOW, levels: int = LEVELS) -> tuple[np.ndarray, ...]:
-    """Stretches of windows of one owner: its name, a hash of all words spanned, first window, windows, document.
+    """Stretches of windows of one owner: their name, a hash of all words spanned, first window, windows, document.
 
-    A stretch has at most `window` windows, so its first and last one span all its words; and no two of them are
-    equal, as equal windows have their owners at equal places.
+    Of a window's words that its owner isn't fixed by, half at least are on one side. Windows with more on the
+    left make one stretch and the others another; its name is the owner's with those words on that side that all
+    its windows have, over half a window in all. A stretch has at most `window` windows, so its first and last
+    one span all its words; and no two of them are equal, as equal windows have their owners at equal places.
     """
     starts, doc = words.window_starts(window)
     if not len(starts):
         return np.zeros(0, U), np.zeros(0, U), starts, starts, doc
-    owner, which = owners(words, starts, window, levels)
+    owner, which, low, high = owners(words, starts, window, levels)
     h = words.windows(window)
+    leans = low - starts > starts + window - high
     new = np.ones(len(starts), bool)
-    new[1:] = (which[1:] != which[:-1]) | (doc[1:] != doc[:-1])
+    new[1:] = (which[1:] != which[:-1]) | (doc[1:] != doc[:-1]) | (leans[1:] != leans[:-1])
     head = np.flatnonzero(new)
     count = np.diff(np.append(head, len(starts)))
     spanned = mix(mix(h[starts[head]], h[starts[head + count - 1]], 11), count.astype(U), 13)
-    return owner[head], spanned, starts[head], count, doc[head]
+    owner, low, high, leans = owner[head], low[head], high[head], leans[head]
+    beside = (window - (high - low) + 1) // 2
+    a, b = np.where(leans, low - beside, low), np.where(leans, high, high + beside)
+    n = len(words.names)
+    summed = np.concatenate((np.zeros(1, U), np.cumsum(words.names * _powers(_BASE, n))))
+    common_words = (summed[b] - summed[a]) * _powers(_INVERSE, n)[a]
+    name = mix(mix(owner, common_words, 29), leans.astype(U), 31)
+    return name, spanned, starts[head], count, doc[head]
 
 
 def _grouped(key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, ...]:

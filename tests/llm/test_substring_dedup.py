@@ -66,9 +66,9 @@ def test_equal_windows_have_equal_owners():
         for _, low, high in sd.parse(words):
             assert (np.diff(low) >= 0).all() and (np.diff(high) >= 0).all()
         starts, _ = words.window_starts(12)
-        owner, _ = sd.owners(words, starts, 12)
+        owner, _, low, _ = sd.owners(words, starts, 12)
         of = {}
-        for p, o in zip(starts.tolist(), owner.tolist(), strict=True):
+        for p, o in zip(starts.tolist(), zip(owner.tolist(), (low - starts).tolist()), strict=True):
             assert of.setdefault(tuple(words.names[p : p + 12].tolist()), o) == o
 
 
