@@ -18,6 +18,10 @@ neighbours and of its label's label, on tables checkpointed to the shared folder
 A document without words has fingerprint zero and links like any other; null counts as empty. component_id is
 the smallest non-null doc_id reachable; null only if all are null. Repeated rows are linked as equal
 fingerprints are. An empty table gives an empty result.
+
+`similar_documents` and `one_of_each` link by similarity instead: at 0.8 of five-word shingles two texts' fingerprints
+differ in a dozen bits, beyond what shards of fields can find. So candidates come from several SimHashes of the
+texts' different words, which such texts mostly share, and the trees' edges are verified on the shingles.
 """
 
 from __future__ import annotations
@@ -228,13 +232,167 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, m
     return marked.join(by_fp, "fp").select("doc_id", "key", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+#: Fingerprints of a document's set of words, and the bits by which they may differ, when similarity is asked for.
+TABLES, NEAR = 8, 3
+
+
+def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
+    x = h * np.uint64(0x9E3779B97F4A7C15) + np.uint64(salt * 0x165667B19E3779F9 & (2**64 - 1))
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(32))
+
+
+def word_fingerprints(data: bytes, tables: int = TABLES) -> np.ndarray:
+    """SimHashes of a text's different words, a hash function for each; zeros without words."""
+    words = set(data.lower().split())
+    if not words:
+        return np.zeros(tables, np.uint64)
+    h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
+    bits = np.zeros(64 * tables, np.int64)
+    for i in range(0, len(h), 1 << 13):
+        many = np.stack([_mixed(h[i : i + (1 << 13)], t + 1) for t in range(tables)], axis=1)
+        bits += np.unpackbits(many.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * bits > len(h), bitorder="little").view(np.uint64)
+
+
+def shingles(data: bytes, words: int) -> np.ndarray:
+    """Sorted hashes of a text's different shingles; fewer words make one, no word none."""
+    parts = data.lower().split()
+    if not parts:
+        return np.zeros(0, np.uint64)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(b" ".join(parts[i : i + words]), SEED) for i in range(max(1, len(parts) - words + 1))), np.uint64))
+
+
+def tree_edges(stored: dict[int, int], queries: dict[int, int], radius: int) -> list[tuple[int, int]]:
+    """Spanning edges (document, document within the radius) of what queries find among stored; both map fp to document."""
+    tree, parent, out = BKTree(), {}, []
+
+    def meet(x: int, y: int) -> None:
+        parent.setdefault(x, x)
+        parent.setdefault(y, y)
+        a, b = _find(parent, x), _find(parent, y)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            out.append((of[x], of[y]))
+
+    of = stored | queries
+    if stored is not queries:
+        for y in stored:
+            tree.add(y)
+    for x in queries:
+        for y in tree.within(x, radius):
+            if x != y:
+                meet(x, y)
+        if stored is queries:
+            tree.add(x)
+    return out + [(queries[x], stored[x]) for x in queries if stored is not queries and x in stored and queries[x] != stored[x]]
+
+
+def candidate_edges(marked: DataFrame, radius: int = NEAR, most: int = TREE) -> DataFrame:
+    """a, b: keys of documents of which one table's fingerprints (column fps) lie within the radius; spanning each tree."""
+    fields = radius + 2
+    cuts = [round(i * 64 / fields) for i in range(fields + 1)]
+    each = marked.select("key", F.posexplode("fps").alias("t", "fp"))
+    keys = []
+    for k, (a, b) in enumerate(combinations(range(fields), 2)):
+        mask = sum(((1 << (cuts[i + 1] - cuts[i])) - 1) << cuts[i] for i in (a, b))
+        mask -= (mask >> 63) << 64
+        keys.append(F.xxhash64("t", F.lit(k), F.col("fp").bitwiseAND(F.lit(mask))))
+    spread = each.select("key", "fp", F.explode(F.array(*keys)).alias("shard"))
+    sizes = spread.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    placed = spread.join(sizes, "shard")
+    # a shard over `most` is cut into blocks by document; a document goes to each pair that its block is in
+    count = F.ceil(F.col("n") / F.lit(most)).cast("int")
+    own = F.pmod(F.xxhash64("fp"), count).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), count - 1), lambda other: F.struct(F.least(own, other).alias("i"), F.greatest(own, other).alias("j")))
+    tree = F.when(F.col("n") <= most, F.col("shard")).otherwise(F.xxhash64("shard", "pair"))
+    dealt = placed.select("key", "fp", "shard", "n", own.alias("own"), F.explode(pairs).alias("pair")).select("key", "fp", tree.alias("tree"), (F.col("own") == F.col("pair.i")).alias("first"), (F.col("pair.i") == F.col("pair.j")).alias("one"))
+    n = max(common.shuffle_partitions(marked.sparkSession), 1)
+    ordered = dealt.repartition(n, "tree").sortWithinPartitions("tree")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, one, out = None, ({}, {}), True, []
+        for batch in batches:
+            value = batch.column("fp").to_numpy().view(np.uint64).tolist()
+            for tree, fp, key, first, single in zip(batch.column("tree").to_pylist(), value, batch.column("key").to_pylist(), batch.column("first").to_pylist(), batch.column("one").to_pylist(), strict=True):
+                if tree != at:
+                    if at is not None:
+                        out += tree_edges(held[0], held[0] if one else held[1], radius)
+                    at, held, one = tree, ({}, {}), single
+                # equal fingerprints meet in the first that came
+                known = held[0 if first else 1].setdefault(fp, key)
+                if known != key:
+                    out.append((key, known))
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], schema=schema)
+                out = []
+        if at is not None:
+            out += tree_edges(held[0], held[0] if one else held[1], radius)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], schema=schema)
+
+    found = ordered.mapInArrow(run, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: int = TABLES, radius: int = NEAR) -> DataFrame:
+    """doc_id, key and component_id of every document linked to another: share `similarity` of both's shingles at least.
+
+    Candidates are documents whose SimHashes of words differ in at most `radius` bits in one of `tables`; BK-trees over
+    shards find them, and the trees' edges are held to the exact share of shingles (Jaccard). component_id is the
+    smallest doc_id of a component, null if all are. Documents without words are not linked. Rows equal in doc_id and text are one document.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("fps", pa.list_(pa.int64()))])
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in common.blocks(batches, most=4 << 20):
+            fps = [word_fingerprints(x, tables).view(np.int64) for x in common.encoded(block.column("text"))]
+            yield from common.emit({"doc_id": block.column("doc_id"), "key": block.column("key"), "fps": fps}, schema)
+
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.document_key().alias("key"), "text")
+    marked = keyed.filter(F.col("text").rlike("[^\\x20\\x09-\\x0D]")).mapInArrow(mark, "doc_id long, key long, fps array<long>")
+    marked = common.written(marked.dropDuplicates(["key"]), "word-fingerprints", compression="zstd")
+    edges = common.written(candidate_edges(marked, radius), "candidates")
+    own = pa.schema([("key", pa.int64()), ("shingles", pa.binary())])
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in common.blocks(batches, most=1 << 20):
+            yield from common.emit({"key": block.column("key"), "shingles": [shingles(x, words).tobytes() for x in common.encoded(block.column("text"))]}, own, 500)
+
+    involved = edges.select(F.col("a").alias("key")).unionByName(edges.select(F.col("b").alias("key"))).distinct()
+    sets = keyed.select("key", "text").join(involved, "key").dropDuplicates(["key"]).mapInArrow(shingled, "key long, shingles binary")
+    sets = common.written(sets, "shingles")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    met = edges.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
+    links_ = met.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    groups = components(links_)
+    named = groups.join(marked.select(F.col("key").alias("node"), "doc_id"), "node")
+    least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    return named.join(least, "label").select("doc_id", F.col("node").alias("key"), "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs whose document has its component's smallest doc_id, all columns as they were.
 
-    Rows equal in doc_id and text are one document. Of components without any doc_id all rows stay.
+    Components are those of similar_documents; documents linked to none stay, and so do all of a component without any doc_id.
+    Rows equal in doc_id and text are one document.
     """
-    found = near_duplicates(docs)
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("key").alias("__key")).distinct()
+    found = similar_documents(docs, words, similarity)
+    gone = found.filter(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("key").alias("__key"))
     kept = docs.withColumn("__key", common.document_key()).join(gone, "__key", "left_anti")
     return kept.select(*docs.columns)
 
