@@ -24,9 +24,12 @@ result. Columns besides doc_id and text are not read.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 from collections.abc import Iterator
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +44,7 @@ SAMPLED = 64
 #: Text bytes whose ids make a segment, one document at least.
 SEGMENT = 2 << 20
 #: Words whose ids a process keeps.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 1_200_000
 _HEAD = struct.Struct("<8sIQQI")
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
@@ -129,12 +132,16 @@ def from_segment(data: bytes) -> tuple[EliasFano, np.ndarray]:
     return code, ids
 
 
+_MARK = re.compile(rb"[.,](?<=[a-z].)(?=[ \t-\r]|\Z)")
+
+
 class WordEncoder:
     """The library's ids of whole texts, word by word.
 
     The vocabulary drops white space and splits at it before it looks at letters, and no normalisation joins what
-    ASCII white space parts, so a text's ids are its words' ids one after another. Each word new to this process
-    goes through the library.
+    ASCII white space parts, so a text's ids are its words' ids one after another; a comma or full stop between
+    a letter and white space is a piece of its own too. Words new to this process go through the library: those
+    of letters many at once, told apart by the tokens that end a piece, others each by itself.
     """
 
     def __init__(self, path: str):
@@ -142,20 +149,57 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.width = 2 if size <= 1 << 16 else 4
+        self.kind = f"<u{self.width}"
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(size, bool)
+        if suffix:
+            self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
         self.known: dict[bytes, bytes] = {}
 
+    def _alone(self, words: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        return [np.array(x.ids, self.kind).tobytes() for x in found]
+
+    def _together(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of letters, encoded as one text."""
+        (found,) = self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)
+        ids = np.array(found.ids, self.kind)
+        cut = np.flatnonzero(self.ends[ids]) + 1
+        if len(cut) != len(words) or cut[-1] != len(ids):
+            return self._alone(words)
+        data, at = ids.tobytes(), (cut * self.width).tolist()
+        return [data[a:b] for a, b in zip([0, *at[:-1]], at, strict=True)]
+
+    def _learn(self, new: set[bytes]) -> None:
+        plain = [w for w in new if w.isalpha() or w.decode().isalpha()]
+        for i in range(0, len(plain), 512):
+            part = plain[i : i + 512]
+            self.known.update(zip(part, self._together(part), strict=True))
+        other = list(new.difference(plain))
+        for i in range(0, len(other), 4096):
+            self.known.update(zip(other[i : i + 4096], self._alone(other[i : i + 4096]), strict=True))
+
+    @staticmethod
+    def words(content: bytes) -> list[bytes]:
+        """A text's words; where nothing forbids it, A-Z in lower case and marks behind letters apart."""
+        if b"<|" in content or b"\xcc" in content or b"\xcd" in content:  # a special token, or a mark that joins a letter
+            return content.split()
+        return _MARK.sub(rb" \g<0>", content.lower()).split()
+
     def encode(self, contents: list[bytes]) -> list[bytes]:
-        split = [x.split() for x in contents]
         if len(self.known) > KEPT_WORDS:
             self.known.clear()
-        known, kind = self.known, f"<u{self.width}"
-        new = list(dict.fromkeys(w for words in split for w in words if w not in known))
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for word, found in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[word] = np.array(found.ids, kind).tobytes()
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        get = self.known.get
+        split = [self.words(x) for x in contents]  # at ASCII white space
+        found = [list(map(get, words)) for words in split]
+        gaps = [list(compress(range(len(ids)), map(not_, ids))) for ids in found]
+        self._learn({words[i] for words, at in zip(split, gaps, strict=True) for i in at})
+        for words, ids, at in zip(split, found, gaps, strict=True):
+            for i in at:
+                ids[i] = get(words[i])
+        return [b"".join(ids) for ids in found]
 
 
 _SEGMENTS = "shard int, seq int, start_in_shard long, n_ids long, doc_ids array<long>, segment binary"
