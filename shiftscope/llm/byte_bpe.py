@@ -24,11 +24,12 @@ empty result. Texts are taken whole, in blocks of bounded bytes. Columns besides
 from __future__ import annotations
 
 import base64
-import contextlib
 import re
 import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +38,10 @@ from pyspark.sql import DataFrame
 
 from . import common
 
-#: Words whose ids a process keeps, twice, and their pieces.
-KEPT_WORDS = 300_000
+#: Words whose ids a process keeps, twice.
+KEPT_WORDS = 500_000
 #: Deterministic states that a process keeps before it starts anew.
-KEPT_STATES = 300_000
+KEPT_STATES = 250_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -68,12 +69,12 @@ class Transducer:
                     self.children.append({})
                     self.ends.append(-1)
             self.ends[node] = rank
-        self.stable: dict[tuple[int, int], bool] = {}
+        self.stable: dict[int, bool] = {}
         self.spines: dict[int, tuple[list[bytes], list[bytes], bool, bool]] = {}
         self._reset()
 
     def _reset(self) -> None:
-        if len(self.stable) > 8 * KEPT_STATES:
+        if len(self.stable) > 2 * KEPT_STATES:
             self.stable.clear()
         self.start = ((-1, 0, ()),)
         self.next: dict[tuple, dict[int, tuple[dict, tuple[int, ...]]]] = {}
@@ -113,7 +114,7 @@ class Transducer:
 
     def _pair(self, a: int, b: int) -> bool:
         """Whether merging the joint bytes of a and b gives a and b: no merge crosses their border."""
-        known = self.stable.get((a, b))
+        known = self.stable.get(a << 32 | b)
         if known is None:
             (_, left, _, grows), (right, _, whole, too) = self._spine(a), self._spine(b)
             if not whole:
@@ -123,7 +124,7 @@ class Transducer:
             else:
                 *_, parts = self.merges(self.token[a] + self.token[b])
                 known = parts == [self.token[a], self.token[b]]
-            self.stable[a, b] = known
+            self.stable[a << 32 | b] = known
         return known
 
     def _walk_border(self, left: list[bytes], right: list[bytes]) -> bool:
@@ -144,32 +145,37 @@ class Transducer:
                 j += 1
 
     def _step(self, state: tuple, byte: int) -> tuple[dict, tuple[int, ...]]:
-        """Determinise one step: advance all guesses, close those that can end here, emit what all agree on."""
-        children, ends, stable, found, waits = self.children, self.ends, self.stable, [], True
+        """Determinise one step: advance all guesses, close the one that can end here, emit what all agree on.
+
+        The bytes so far have one encoding, so at most one guess stands on a boundary.
+        """
+        children, ends, stable, found, closed = self.children, self.ends, self.stable, [], False
         for last, node, held in state:
             node = children[node].get(byte)
             if node is None:
                 continue
             if children[node]:
                 found.append((last, node, held))
-                waits = waits and held
-            token = ends[node]
+            token = -1 if closed else ends[node]
             if token < 0:
                 continue
             if last < 0:
-                if not self._spine(token)[2]:
-                    ends[node] = -1
-                    continue
+                closed = self._spine(token)[2]
             else:
-                known = stable.get((last, token))
-                if not (self._pair(last, token) if known is None else known):
-                    continue
-            found.append((token, 0, (*held, token)))
-        if not waits or not found:
-            return self._table(tuple(found)), ()
-        n, first = 0, found[0][2]
-        while all(x[2][n : n + 1] == first[n : n + 1] != () for x in found):
-            n += 1
+                known = stable.get(last << 32 | token)
+                closed = self._pair(last, token) if known is None else known
+            if closed:
+                found.append((token, 0, (*held, token)))
+        if not found:
+            return self._table(()), ()
+        first = found[0][2]
+        n = len(first)
+        for _, _, held in found[1:]:
+            if not n:
+                break
+            n = min(n, len(held))
+            while first[:n] != held[:n]:
+                n -= 1
         return self._table(tuple((last, node, held[n:]) for last, node, held in found) if n else tuple(found)), first[:n]
 
     def encode(self, piece: bytes) -> list[int]:
@@ -179,12 +185,11 @@ class Transducer:
             self._reset()
         edges, out = self.root, []
         for byte in piece:
-            edge = edges.get(byte)
-            if edge is None:
-                edge = edges[byte] = self._step(edges[-1], byte)
-            edges = edge[0]
-            if edge[1]:
-                out += edge[1]
+            if byte not in edges:
+                edges[byte] = self._step(edges[-1], byte)
+            edges, emitted = edges[byte]
+            if emitted:
+                out += emitted
         ends = [held for last, node, held in edges[-1] if not node]
         if len(ends) != 1:
             raise ValueError(f"{len(ends)} encodings of {piece!r}: the ranks lack a byte, or aren't those of a BPE")
@@ -253,55 +258,73 @@ class Utf8Decoder:
         return "".join(self.stream(ids))
 
 
+#: A comma or full stop between a letter and white space, and what is put before it.
+_MARK, _APART = re.compile(r"[.,](?<=[A-Za-z].)(?=[ \n]|\Z)"), "\x01"
+
+
 class Codec:
-    """Encoder and decoder of one vocabulary, with the ids of pieces and of words that it has met.
+    """Encoder of one vocabulary, with the ids of words that it has met.
 
     Where no two white-space characters stand together, the pattern never joins what a single space or line
-    feed separates, so a text is the row of its words, each with the character before it.
+    feed separates, so a text is the row of its words, each with the character before it. A word of letters
+    alone is one piece, and a comma or full stop after letters is one by itself.
     """
 
     def __init__(self, path: str, pattern: str):
         self.pieces = regex.compile(pattern).findall
         self.spaces = re.compile(r"\s\s").search
         self.transducer = Transducer(read_ranks(path))
-        self.decoder = Utf8Decoder(self.transducer.token)
-        self.of_piece: dict[str, bytes] = {}
         self.newer: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        letters = all(self.pieces(x) == [x] for x in (" a", " Ab", " aBc", " \u00dcber", " \u0416\u0439"))
+        self.simple = letters and all(self.pieces(f" {w}{x}{after}")[:2] == [f" {w}", x] for w in ("a", "aB") for x in ",." for after in ("", " b", "\n"))
 
     def _piece(self, piece: str) -> bytes:
-        ids = self.of_piece.get(piece)
-        if ids is None:
-            found = self.transducer.encode(piece.encode())
-            ids = self.of_piece[piece] = struct.pack(f"<{len(found)}I", *found)
-        return ids
+        found = self.transducer.encode(piece.encode())
+        return struct.pack(f"<{len(found)}I", *found)
 
     def _pieces(self, text: str) -> bytes:
         return b"".join(map(self._piece, self.pieces(text)))
 
     def _word(self, word: str) -> bytes:
-        ids = self.older.get(word)
-        if ids is None:
-            ids = self._pieces(word if word[:1] == "\n" else f" {word}")
-        if len(self.newer) >= KEPT_WORDS:  # words met lately outlive this
+        if self.simple:
+            if word.isalpha():
+                return self._piece(f" {word}")
+            if word[:1] == _APART:
+                return self._piece(word[1:])
+        return self._pieces(word if word[:1] == "\n" else f" {word}")
+
+    def _words(self, text: str) -> list[str] | None:
+        if self.spaces(text) or _APART in text:
+            return None
+        if self.simple:
+            text = _MARK.sub(f" {_APART}\\g<0>", text)
+        return text.replace("\n", " \n").split(" ")
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        if len(self.newer) > KEPT_WORDS:  # words met lately outlive this
             self.older, self.newer = self.newer, {}
-        if len(self.of_piece) > KEPT_WORDS:
-            self.of_piece.clear()
-        self.newer[word] = ids
-        return ids
+        known, get, old = self.newer, self.newer.get, self.older.get
+        split = [self._words(x) for x in texts]
+        found = [None if words is None else list(map(get, words)) for words in split]
+        gaps = [() if ids is None else list(compress(range(1, len(ids)), map(not_, ids[1:]))) for ids in found]
+        for word in {words[i] for words, at in zip(split, gaps, strict=True) for i in at}:
+            ids = old(word)
+            known[word] = self._word(word) if ids is None else ids
+        out = []
+        for text, words, ids, at in zip(texts, split, found, gaps, strict=True):
+            if words is None:
+                out.append(self._pieces(text))
+                continue
+            for i in at:
+                ids[i] = known[words[i]]
+            ids[0] = self._pieces(words[0])  # nothing stands before it
+            out.append(b"".join(ids))
+        return out
 
     def encode(self, text: str) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers."""
-        if self.spaces(text):
-            return self._pieces(text)
-        first, *words = text.replace("\n", " \n").split(" ")
-        out = list(map(self.newer.get, words))
-        at = -1
-        with contextlib.suppress(ValueError):
-            while True:
-                at = out.index(None, at + 1)
-                out[at] = self._word(words[at])
-        return self._pieces(first) + b"".join(out)
+        return self.encode_all([text])[0]
 
 
 @lru_cache(maxsize=2)
@@ -310,25 +333,37 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id and ids (binary: little-endian unsigned 32-bit integers) of each row's text."""
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
+@lru_cache(maxsize=2)
+def decoder(path: str) -> Utf8Decoder:
+    return Utf8Decoder({rank: token for token, rank in read_ranks(path).items()})
+
+
+def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = False) -> DataFrame:
+    """doc_id and ids (binary: little-endian unsigned 32-bit integers) of each row's text.
+
+    decoded: also text, decoded from the ids in the same task, so that a core needs one process and not two.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), *([("text", pa.string())] if decoded else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
+        back = decoder(path) if decoded else None
         for block in common.blocks(batches, most=4 << 20):
-            ids = [own.encode(x) for x in common.texts(block.column("text"))]
-            yield from common.emit({"doc_id": block.column("doc_id").cast(pa.int64()), "ids": ids}, schema)
+            ids = own.encode_all(common.texts(block.column("text")))
+            out = {"doc_id": block.column("doc_id").cast(pa.int64()), "ids": ids}
+            if back:
+                out["text"] = [back.decode(np.frombuffer(x, "<u4").tolist()) for x in ids]
+            yield from common.emit(out, schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary" + ", text string" * decoded)
 
 
-def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, ids and text, decoded from the ids."""
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern).decoder
+        own = decoder(path)
         for block in common.blocks(batches, "ids", 8 << 20):
             texts = [own.decode(np.frombuffer(x, "<u4").tolist()) for x in common.encoded(block.column("ids"))]
             yield from common.emit({"doc_id": block.column("doc_id"), "ids": block.column("ids"), "text": texts}, schema)

@@ -29,7 +29,7 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    decoded = byte_bpe.decode(byte_bpe.encode(_documents(spark, sf_dir), path, pattern), path, pattern)
+    decoded = byte_bpe.encode(_documents(spark, sf_dir), path, pattern, decoded=True)
     return decoded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

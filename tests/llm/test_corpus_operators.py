@@ -77,7 +77,8 @@ class TestByteBpe:
     def test_as_the_library(self, spark, reference):
         rows = odd_rows()
         encoded = byte_bpe.encode(table(spark, rows), PATH, PATTERN)
-        found = byte_bpe.decode(encoded, PATH, PATTERN).collect()
+        found = byte_bpe.decode(encoded, PATH).collect()
+        assert sorted(found, key=repr) == sorted(byte_bpe.encode(table(spark, rows), PATH, PATTERN, decoded=True).collect(), key=repr)
         assert sorted(((r.doc_id, r.text, np.frombuffer(r.ids, "<u4").tolist()) for r in found), key=repr) == sorted(((i, t or "", reference.encode_ordinary(t or "")) for i, t in rows), key=repr)
 
     def test_random_texts(self, reference):
@@ -87,7 +88,7 @@ class TestByteBpe:
             text = "".join(rnd.choices(letters, k=rnd.randint(0, 30)))
             ids = np.frombuffer(own.encode(text), "<u4").tolist()
             assert ids == reference.encode_ordinary(text)
-            assert own.decoder.decode(ids) == text
+            assert byte_bpe.decoder(PATH).decode(ids) == text
 
     def test_streamed_decoding_replaces_what_is_invalid(self):
         own = byte_bpe.Utf8Decoder({i: bytes([i]) for i in range(256)})
@@ -186,3 +187,61 @@ class TestSimHash:
     def test_empty_table(self, spark):
         assert simhash.near_duplicates(table(spark, [])).count() == 0
         assert simhash.one_of_each(table(spark, [])).count() == 0
+
+
+class TestSimilarDocuments:
+    def shingles(self, text):
+        words = as_bytes(text).lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    def rows(self):
+        rnd = random.Random(8)
+        vocabulary = ["".join(rnd.choices(string.ascii_lowercase, k=rnd.randint(2, 8))) for _ in range(900)]
+        rows = [(None, None), (1, ""), (2, " \n"), (3, "a b"), (4, "A b"), (5, "c")]
+        for base in range(12):
+            words = rnd.choices(vocabulary, k=rnd.choice([30, 120, 400]))
+            for copy in range(rnd.randint(1, 6)):
+                own = list(words)
+                for _ in range(rnd.choice([0, 1, 1, 2, 4, 9])):
+                    own[rnd.randrange(len(own))] = rnd.choice(vocabulary)
+                rows.append((100 + 10 * base + copy, " ".join(own)))
+        rows += [rows[10], (None, rows[11][1]), (900, "x " * 40_000), (901, "x " * 39_999)]
+        return rows
+
+    def test_links_are_verified_and_few_are_lost(self, spark):
+        rows = self.rows()
+        sets = {r: self.shingles(r[1]) for r in rows}
+        alike = lambda x, y: sets[x] and sets[y] and len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])
+        label = {r: r for r in sets}
+
+        def top(x):
+            while label[x] != x:
+                x = label[x]
+            return x
+
+        for x, y in ((x, y) for x in sets for y in sets if x is not y and alike(x, y)):
+            label[top(x)] = top(y)
+        groups = defaultdict(set)
+        for x in sets:
+            groups[top(x)].add(x[0])
+        whole = {frozenset(g) for g in groups.values() if len(g) > 1}
+        found = defaultdict(set)
+        for r in simhash.similar_documents(table(spark, rows)).collect():
+            found[r.component_id].add(r.doc_id)
+        assert all(any(g <= w for w in whole) for g in found.values())  # nothing that isn't alike
+        assert sum(map(len, found.values())) >= 0.95 * sum(map(len, whole))
+        assert all(min(i for i in g if i is not None) == c for c, g in found.items())
+
+    def test_blocks_give_the_same(self, spark):
+        marked = spark.createDataFrame([(i, [i * 7 % 64, 3]) for i in range(300)], "key long, fps array<long>")
+        groups = lambda most: sorted((r.node, r.label) for r in simhash.components(simhash.candidate_edges(marked, 3, most)).collect())
+        assert groups(4096) == groups(20)
+
+    def test_one_of_each(self, spark):
+        rows = self.rows()
+        kept = simhash.one_of_each(table(spark, rows)).collect()
+        left = {r.doc_id for r in kept}
+        gone = {r.doc_id for r in simhash.similar_documents(table(spark, rows)).filter("not doc_id <=> component_id").collect()}
+        assert len(gone) > 5 and left == {i for i, _ in rows} - gone | ({None} if None in left else set())
+        assert {1, 2, 3, 5, None} <= left
+        assert simhash.one_of_each(table(spark, [])).count() == 0
