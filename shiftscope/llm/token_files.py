@@ -28,6 +28,7 @@ import re
 import struct
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import compress
 from operator import not_
 
@@ -202,6 +203,12 @@ class WordEncoder:
         return [b"".join(ids) for ids in found]
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> WordEncoder:
+    """One a process, so that words last from task to task."""
+    return WordEncoder(path)
+
+
 _SEGMENTS = "shard int, seq int, start_in_shard long, n_ids long, doc_ids array<long>, segment binary"
 _SEGMENT_SCHEMA = pa.schema([("shard", pa.int32()), ("seq", pa.int32()), ("start_in_shard", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("segment", pa.binary())])
 
@@ -211,7 +218,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int) -> str:
     spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = WordEncoder(tokenizer)
+        own = encoder(tokenizer)
         end = np.array([end_id], f"<u{own.width}").tobytes()
         shard, start = TaskContext.get().partitionId(), 0
         for seq, block in enumerate(common.blocks(batches, most=SEGMENT)):
