@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers, paths, semver
 from ..functions import text as T
-from ..operators import graphs, lines, matching, scoring, surfaces, verdicts, versions
+from ..operators import graphs, history, lines, matching, notes, scoring, surfaces, usage, verdicts, versions
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Names that stand for those a project uses: so many of the commonest code-shaped tokens.
@@ -278,12 +278,51 @@ def release_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.groupBy(key.alias("repository")).agg(F.count(F.lit(1)).alias("pages"), F.count_distinct("url").alias("urls"))
 
 
+def release_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Releases found by their repository's tags, of three spellings, where they have any."""
+    released = _released(spark, sf_dir).withColumn("pkg", F.concat(F.lit("@scope/c"), F.col("pkg").cast("string")))
+    month = F.month("published_at")
+    spelled = F.when(month <= 4, F.concat(F.lit("v"), F.col("version"))).when(month <= 8, F.col("version")).when(month <= 10, F.concat(F.regexp_extract("pkg", "([^/]+)$", 1), F.lit("@"), F.col("version")))
+    return notes.tags(released, released.select("pkg", spelled.alias("tag")).filter("tag is not null"))
+
+
+def notes_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each package's releases has notes; deprecated ones have none."""
+    released = _released(spark, sf_dir)
+    found = notes.waterfall(released.select("pkg", "version"), [("releases", released.filter("not deprecated").select("pkg", "version", F.lit("text").alias("body"), F.lit(None).cast("string").alias("reason")))])
+    return notes.coverage(released.select("pkg", "version"), found)
+
+
+def version_bumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each package's newest version before and after a day, where it went up."""
+    released = _released(spark, sf_dir)
+    early = F.col("published_at") < F.lit("1998-01-01").cast("timestamp")
+    newest = lambda rows: rows.groupBy(F.col("pkg").alias("key")).agg(F.max_by("version", semver.key("version")).alias("version")).withColumn("manifest", F.lit("package.json"))
+    return history.bumps(newest(released.filter(early)), newest(released.filter(~early))).select("key", "from", "to", "bump")
+
+
+def changed_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as exports, return flags as units and quantities as fingerprints: what differs between two times."""
+    day = F.lit("1998-05-24").cast("timestamp_ntz")
+    rows = table(spark, sf_dir, "lineitem")
+    side = lambda part: part.select(F.lit("lib").alias("pkg"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("path"), F.col("l_returnflag").alias("name"), F.col("l_quantity").cast("int").cast("string").alias("fp"))
+    found = usage.changed_exports(side(rows.filter(F.col("l_shipdate") < day)), side(rows.filter(F.col("l_shipdate") >= day)))
+    return found.select("path", F.concat_ws(",", "names").alias("names"))
+
+
+def worst_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The worst verdict of each nation's customers, and how many of each there are."""
+    told = verdict_reasons(spark, sf_dir).join(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey")
+    counts = [F.count_if(F.col("verdict") == v).alias(v) for v in verdicts.ORDER]
+    return told.groupBy("c_nationkey").agg(verdicts.worst("verdict").alias("worst"), *counts)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         name_text_match, df_demotion, match_buckets, entry_kind, entry_regions, html_clean, url_parts, fence_parity, line_runs, split_entries, candidate_pick,
         semver_sort, bump_kinds, range_matches, snapshot_plan, surface_diff, drop_children, collapse_changes, longest_prefix, followup_interval, multiset_lines,
         closure_reach, waterfall, verdict_reasons, findings_order, split_80_20, score_totals, medians, manifest_rows, counted_examples, uniq_sites, content_ids,
-        first_sentences, release_groups,
+        first_sentences, release_groups, release_tags, notes_coverage, version_bumps, changed_exports, worst_verdicts,
     )
 }

@@ -219,4 +219,25 @@ ORACLES: dict[str, str] = {
                WHEN regexp_extract(plain, '{(_G := r"^(?:[a-z+]+://)?(?:[^@/]+@)?([^/:]+)[/:]([^/]+)/([^/]+)")}', 0) <> ''
                THEN regexp_extract(plain, '{_G}', 1) || '/' || regexp_extract(plain, '{_G}', 2) || '/' || regexp_extract(plain, '{_G}', 3) END AS key FROM p)
         SELECT coalesce(lower(key), {_HOST}) AS repository, count(*) AS pages, count(DISTINCT url) AS urls FROM k GROUP BY 1""",
+    "release_tags": f"""
+        WITH {_RELEASED} SELECT '@scope/c' || pkg AS pkg, {_TEXT.format("k")} AS version,
+               CASE WHEN month(published_at) <= 4 THEN 'v' || {_TEXT.format("k")} WHEN month(published_at) <= 8 THEN {_TEXT.format("k")}
+                    WHEN month(published_at) <= 10 THEN 'c' || pkg || '@' || {_TEXT.format("k")} END AS tag FROM released""",
+    "notes_coverage": f"""
+        WITH {_RELEASED} SELECT pkg, CASE WHEN count_if(NOT deprecated) = count(*) THEN 'complete' WHEN count_if(NOT deprecated) > 0 THEN 'partial' ELSE 'unavailable' END AS coverage
+        FROM released GROUP BY pkg""",
+    "version_bumps": f"""
+        WITH {_RELEASED}, b AS (SELECT pkg, max(k) FILTER (published_at < TIMESTAMP '1998-01-01') AS f, max(k) FILTER (published_at >= TIMESTAMP '1998-01-01') AS t FROM released GROUP BY pkg)
+        SELECT pkg AS key, {_TEXT.format("f")} AS "from", {_TEXT.format("t")} AS "to",
+               CASE WHEN f[1] <> t[1] OR (f[1] = 0 AND f[2] <> t[2]) THEN 'major' WHEN f[2] <> t[2] THEN 'minor' ELSE 'patch' END AS bump FROM b WHERE f IS NOT NULL AND t > f""",
+    "changed_exports": """
+        WITH c AS (
+          SELECT 'p' || l_partkey AS path, l_returnflag AS name, CAST(l_quantity AS INT) AS fp, count_if(l_shipdate < TIMESTAMP '1998-05-24') AS a, count_if(l_shipdate >= TIMESTAMP '1998-05-24') AS b
+          FROM lineitem GROUP BY ALL
+        ), alive AS (SELECT path FROM c GROUP BY path HAVING sum(a) > 0 AND sum(b) > 0)
+        SELECT path, array_to_string(list_sort(list(DISTINCT name)), ',') AS names FROM c WHERE a <> b AND path IN (SELECT path FROM alive) GROUP BY path""",
+    "worst_verdicts": f"""
+        WITH {_RULES}, v AS (SELECT c_custkey, CASE WHEN list_contains(codes, 'removed-touched') THEN 2 WHEN len(codes) > 0 THEN 1 ELSE 0 END AS r FROM told)
+        SELECT c_nationkey, ['quiet', 'review', 'blocked'][max(r) + 1] AS worst, count_if(r = 0)::BIGINT AS quiet, count_if(r = 1)::BIGINT AS review, count_if(r = 2)::BIGINT AS blocked
+        FROM v JOIN customer USING (c_custkey) GROUP BY c_nationkey""",
 }
