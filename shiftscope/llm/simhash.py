@@ -358,28 +358,21 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     marked = keyed.filter(F.col("text").rlike("[^\\x20\\x09-\\x0D]")).mapInArrow(mark, "doc_id long, key long, fps array<long>")
     marked = common.written(marked.dropDuplicates(["key"]), "word-fingerprints", compression="zstd")
     edges = common.written(candidate_edges(marked, radius), "candidates")
-    own = pa.schema([("key", pa.int64()), ("shingles", pa.binary())])
+    own = pa.schema([("key", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in common.blocks(batches, most=1 << 20):
-            yield from common.emit({"key": block.column("key"), "shingles": [shingles(x, words).tobytes() for x in common.encoded(block.column("text"))]}, own, 500)
+            sets = [shingles(x, words).view(np.int64) for x in common.encoded(block.column("text"))]
+            yield from common.emit({"key": block.column("key"), "shingles": sets}, own, 500)
 
     involved = edges.select(F.col("a").alias("key")).unionByName(edges.select(F.col("b").alias("key"))).distinct()
-    sets = keyed.select("key", "text").join(involved, "key").dropDuplicates(["key"]).mapInArrow(shingled, "key long, shingles binary")
+    sets = keyed.select("key", "text").join(involved, "key").dropDuplicates(["key"]).mapInArrow(shingled, "key long, shingles array<long>")
     sets = common.written(sets, "shingles")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both >= similarity * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
     met = edges.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
-    links_ = met.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
-    groups = components(links_)
+    # row by row in the JVM: a batch of pairs would hold thousands of sets
+    both = F.size(F.array_intersect("x", "y"))
+    links_ = met.filter(both >= F.lit(similarity) * (F.size("x") + F.size("y") - both)).select("a", "b")
+    groups = components(common.written(links_, "verified"))
     named = groups.join(marked.select(F.col("key").alias("node"), "doc_id"), "node")
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return named.join(least, "label").select("doc_id", F.col("node").alias("key"), "component_id")
