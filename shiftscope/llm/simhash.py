@@ -21,7 +21,8 @@ fingerprints are. An empty table gives an empty result.
 
 `similar_documents` and `one_of_each` link by similarity instead: at 0.8 of five-word shingles two texts' fingerprints
 differ in a dozen bits, beyond what shards of fields can find. So candidates come from several SimHashes of the
-texts' different words, which such texts mostly share, and the trees' edges are verified on the shingles.
+texts' different words, which such texts mostly share. Every pair of candidates is tested on the shingles, and only
+pairs that pass unite.
 """
 
 from __future__ import annotations
@@ -340,24 +341,132 @@ def candidate_edges(marked: DataFrame, radius: int = NEAR, most: int = TREE) ->
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def group_keys(fps: np.ndarray, radius: int = NEAR) -> np.ndarray:
+    """The shards of all of a document's fingerprints: texts that share one are candidates."""
+    fields = radius + 2
+    cuts = [round(i * 64 / fields) for i in range(fields + 1)]
+    masks = [sum(((1 << (cuts[i + 1] - cuts[i])) - 1) << cuts[i] for i in pair) for pair in combinations(range(fields), 2)]
+    return np.concatenate([_mixed(fps & np.uint64(m), 64 * k + 7) ^ _mixed(np.arange(len(fps), dtype=np.uint64), 11) for k, m in enumerate(masks)])
+
+
+#: Documents of a group that meet pair by pair in the JVM at most; and documents and shingles of a block of a larger one.
+FEW, BLOCK, BLOCK_SHINGLES = 8, 1024, 4 << 20
+
+
+def verified_edges(sets: list[np.ndarray], similarity: float, comp: np.ndarray, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Edges between sets that share `similarity` of both's elements, as many as join what such pairs join; comp says what is joined before.
+
+    Each pair is tested on its whole sets unless its ends are joined by pairs that passed. With `side`, only pairs across it are.
+    """
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    owner = np.repeat(np.arange(len(sets)), sizes)[np.argsort(ids, kind="stable")]
+    often = np.bincount(ids)
+    starts, ends = often.cumsum() - often, sizes.cumsum()
+    # sets with most in common first: an original joins its copies at once
+    weight = np.add.reduceat(often[ids], ends - sizes)
+    comp, out = comp.copy(), []
+    for x in np.argsort(-weight, kind="stable").tolist():
+        open_ = comp != comp[x]
+        if side is not None:
+            open_ &= side != side[x]
+        if not open_.any():
+            continue
+        own = ids[ends[x] - sizes[x] : ends[x]]
+        own = own[often[own] > 1]
+        if not len(own):
+            continue
+        n = often[own]
+        at = np.arange(n.sum()) + np.repeat(starts[own] - (n.cumsum() - n), n)
+        both = np.bincount(owner[at], minlength=len(sets))
+        passed = np.flatnonzero(open_ & (both > 0) & (both >= similarity * (sizes[x] + sizes - both)))
+        labels, first = np.unique(comp[passed], return_index=True)
+        if len(labels):
+            out += [(x, y) for y in passed[first].tolist()]
+            comp[np.isin(comp, labels)] = comp[x]
+    return out
+
+
+def verified_links(groups: DataFrame, sets: DataFrame, similarity: float, few: int = FEW, most: int = BLOCK) -> DataFrame:
+    """a, b: links that join all documents that share a group and `similarity` of both's shingles at least.
+
+    groups: key, n_shingles, sig; only groups of two or more documents. sets: key and shingles of their documents.
+    Every pair of a group is tested before it is united. Pairs of small groups meet once, as rows. A larger group is
+    tested where the shuffle puts it, in blocks of which each two meet, so no task holds more than two blocks.
+    """
+    sizes = groups.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("total"))
+    placed = groups.join(sizes, "sig")
+    small = placed.filter(F.col("n") <= few).groupBy("sig").agg(F.array_sort(F.collect_list("key")).alias("keys")).select("keys").distinct()
+    each = small.select("keys", F.posexplode("keys").alias("at", "a"))
+    pairs = each.select("a", F.explode(F.slice("keys", F.col("at") + 2, few)).alias("b")).distinct()
+    met = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
+    # row by row in the JVM: a batch of pairs would hold thousands of sets
+    both = F.size(F.array_intersect("x", "y"))
+    of_few = met.filter(both >= F.lit(similarity) * (F.size("x") + F.size("y") - both)).select("a", "b")
+
+    count = F.ceil(F.greatest(F.col("n") / F.lit(most), F.col("total") / F.lit(BLOCK_SHINGLES))).cast("int")
+    own = F.pmod(F.xxhash64("key"), count).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), count - 1), lambda other: F.struct(F.least(own, other).alias("i"), F.greatest(own, other).alias("j")))
+    dealt = placed.filter(F.col("n") > few).select("key", "sig", own.alias("own"), F.explode(blocks).alias("pair"))
+    dealt = dealt.select("key", "sig", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), (F.col("own") == F.col("pair.i")).alias("first")).join(sets, "key")
+    n = max(common.shuffle_partitions(groups.sparkSession), 1)
+    ordered = dealt.repartition(n, "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}  # what has passed in this task
+        at, keys, sides, held = None, [], [], []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            for k in keys:
+                parent.setdefault(k, k)
+            comp = np.unique([_find(parent, k) for k in keys], return_inverse=True)[1]
+            found = verified_edges(held, similarity, comp, np.array(sides) if at[1] != at[2] else None)
+            for x, y in found:
+                a, b = _find(parent, keys[x]), _find(parent, keys[y])
+                parent[max(a, b)] = min(a, b)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([keys[x] for x, _ in found], pa.int64()), pa.array([keys[y] for _, y in found], pa.int64())], schema=schema)
+
+        for batch in batches:
+            lists = batch.column("shingles")
+            values, ends = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
+            for r, tree in enumerate(zip(*(batch.column(c).to_pylist() for c in ("sig", "i", "j")), strict=True)):
+                if tree != at:
+                    if at is not None:
+                        yield from done()
+                    at, keys, sides, held = tree, [], [], []
+                keys.append(batch.column("key")[r].as_py())
+                sides.append(batch.column("first")[r].as_py())
+                held.append(values[ends[r] : ends[r + 1]].copy())
+        if at is not None:
+            yield from done()
+
+    return of_few.unionByName(ordered.mapInArrow(run, "a long, b long")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: int = TABLES, radius: int = NEAR) -> DataFrame:
     """doc_id, key and component_id of every document linked to another: share `similarity` of both's shingles at least.
 
-    Candidates are documents whose SimHashes of words differ in at most `radius` bits in one of `tables`; BK-trees over
-    shards find them, and the trees' edges are held to the exact share of shingles (Jaccard). component_id is the
+    Candidates are documents that share a shard of SimHashes of words, as any within `radius` bits in one of `tables` do;
+    each pair of them is held to the exact share of shingles (Jaccard), and only pairs that pass unite. component_id is the
     smallest doc_id of a component, null if all are. Documents without words are not linked. Rows equal in doc_id and text are one document.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("fps", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_shingles", pa.int64()), ("sigs", pa.list_(pa.int64()))])
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in common.blocks(batches, most=4 << 20):
-            fps = [word_fingerprints(x, tables).view(np.int64) for x in common.encoded(block.column("text"))]
-            yield from common.emit({"doc_id": block.column("doc_id"), "key": block.column("key"), "fps": fps}, schema)
+            data = common.encoded(block.column("text"))
+            sigs = [group_keys(word_fingerprints(x, tables), radius).view(np.int64) for x in data]
+            sizes = [len(x.split()) for x in data]  # at least the different shingles
+            yield from common.emit({"doc_id": block.column("doc_id"), "key": block.column("key"), "n_shingles": sizes, "sigs": sigs}, schema)
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.document_key().alias("key"), "text")
-    marked = keyed.filter(F.col("text").rlike("[^\\x20\\x09-\\x0D]")).mapInArrow(mark, "doc_id long, key long, fps array<long>")
-    marked = common.written(marked.dropDuplicates(["key"]), "word-fingerprints", compression="zstd")
-    edges = common.written(candidate_edges(marked, radius), "candidates")
+    marked = keyed.filter(F.col("text").rlike("[^\\x20\\x09-\\x0D]")).mapInArrow(mark, "doc_id long, key long, n_shingles long, sigs array<long>")
+    marked = common.written(marked.dropDuplicates(["key"]), "signatures", compression="zstd")
+    each = marked.select("key", "n_shingles", F.explode(F.array_distinct("sigs")).alias("sig"))
+    often = each.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("sig")
+    groups = common.written(each.join(often, "sig"), "groups", compression="zstd")
     own = pa.schema([("key", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,15 +474,11 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
             sets = [shingles(x, words).view(np.int64) for x in common.encoded(block.column("text"))]
             yield from common.emit({"key": block.column("key"), "shingles": sets}, own, 500)
 
-    involved = edges.select(F.col("a").alias("key")).unionByName(edges.select(F.col("b").alias("key"))).distinct()
+    involved = groups.select("key").distinct()
     sets = keyed.select("key", "text").join(involved, "key").dropDuplicates(["key"]).mapInArrow(shingled, "key long, shingles array<long>")
     sets = common.written(sets, "shingles")
-    met = edges.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
-    # row by row in the JVM: a batch of pairs would hold thousands of sets
-    both = F.size(F.array_intersect("x", "y"))
-    links_ = met.filter(both >= F.lit(similarity) * (F.size("x") + F.size("y") - both)).select("a", "b")
-    groups = components(common.written(links_, "verified"))
-    named = groups.join(marked.select(F.col("key").alias("node"), "doc_id"), "node")
+    components_ = components(common.written(verified_links(groups, sets, similarity), "verified"))
+    named = components_.join(marked.select(F.col("key").alias("node"), "doc_id"), "node")
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return named.join(least, "label").select("doc_id", F.col("node").alias("key"), "component_id")
 
