@@ -20,9 +20,9 @@ the smallest non-null doc_id reachable; null only if all are null. Repeated rows
 fingerprints are. An empty table gives an empty result.
 
 `similar_documents` and `one_of_each` link by similarity instead: at 0.8 of five-word shingles two texts' fingerprints
-differ in a dozen bits, beyond what shards of fields can find. So candidates come from several SimHashes of the
-texts' different words, which such texts mostly share. Every pair of candidates is tested on the shingles, and only
-pairs that pass unite.
+differ in a dozen bits, beyond what shards of fields can find, and SimHashes of words miss texts with a passage added,
+cut or replaced. So candidates are texts that share a band of min-wise shingles, which bounds the chance of a miss for
+every pair alike. Every pair of candidates is tested on the shingles, and only pairs that pass unite.
 """
 
 from __future__ import annotations
@@ -233,7 +233,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, m
     return marked.join(by_fp, "fp").select("doc_id", "key", "fp", "component_id")
 
 
-#: Fingerprints of a document's set of words, and the bits by which they may differ, when similarity is asked for.
+#: Fingerprints of a document's set of words, and the bits by which they may differ, in candidate_edges (similar_documents does without).
 TABLES, NEAR = 8, 3
 
 
@@ -341,12 +341,23 @@ def candidate_edges(marked: DataFrame, radius: int = NEAR, most: int = TREE) ->
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def group_keys(fps: np.ndarray, radius: int = NEAR) -> np.ndarray:
-    """The shards of all of a document's fingerprints: texts that share one are candidates."""
-    fields = radius + 2
-    cuts = [round(i * 64 / fields) for i in range(fields + 1)]
-    masks = [sum(((1 << (cuts[i + 1] - cuts[i])) - 1) << cuts[i] for i in pair) for pair in combinations(range(fields), 2)]
-    return np.concatenate([_mixed(fps & np.uint64(m), 64 * k + 7) ^ _mixed(np.arange(len(fps), dtype=np.uint64), 11) for k, m in enumerate(masks)])
+#: Bands of a document's min-wise shingles, and the minima in each. Two texts share each minimum with their Jaccard
+#: similarity as the chance, so at 0.8 a pair is missed with a chance of (1 - 0.8 ** 5) ** 32, 3 in a million.
+BANDS, ROWS = 32, 5
+_SALTS = _mixed(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64), 3)
+
+
+def band_keys(own: np.ndarray) -> np.ndarray:
+    """A key for each band of the shingles' minima under BANDS * ROWS hash functions: texts that share one are candidates."""
+    n = BANDS * ROWS
+    low = np.full(n, 2**64 - 1, np.uint64)
+    for i in range(0, len(own), 512):
+        low = np.minimum(low, ((own[i : i + 512] ^ _SALTS[:n, None]) * (_SALTS[n:, None] | np.uint64(1))).min(axis=1))
+    low = low.reshape(BANDS, ROWS)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for r in range(ROWS):
+        key = _mixed(key ^ low[:, r], r + 1)
+    return key
 
 
 #: Documents of a group that meet pair by pair in the JVM at most; and documents and shingles of a block of a larger one.
@@ -445,26 +456,24 @@ def verified_links(groups: DataFrame, sets: DataFrame, similarity: float, few: i
     return of_few.unionByName(ordered.mapInArrow(run, "a long, b long")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: int = TABLES, radius: int = NEAR) -> DataFrame:
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, key and component_id of every document linked to another: share `similarity` of both's shingles at least.
 
-    Candidates are documents that share a shard of SimHashes of words, as any within `radius` bits in one of `tables` do;
-    each pair of them is held to the exact share of shingles (Jaccard), and only pairs that pass unite. component_id is the
+    Candidates are documents that share a band of min-wise shingles; each pair of them is held to the exact share of shingles (Jaccard), and only pairs that pass unite. component_id is the
     smallest doc_id of a component, null if all are. Documents without words are not linked. Rows equal in doc_id and text are one document.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_shingles", pa.int64()), ("sigs", pa.list_(pa.int64()))])
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in common.blocks(batches, most=4 << 20):
-            data = common.encoded(block.column("text"))
-            sigs = [group_keys(word_fingerprints(x, tables), radius).view(np.int64) for x in data]
-            sizes = [len(x.split()) for x in data]  # at least the different shingles
-            yield from common.emit({"doc_id": block.column("doc_id"), "key": block.column("key"), "n_shingles": sizes, "sigs": sigs}, schema)
+            sets = [shingles(x, words) for x in common.encoded(block.column("text"))]
+            sigs = [band_keys(x).view(np.int64) for x in sets]
+            yield from common.emit({"doc_id": block.column("doc_id"), "key": block.column("key"), "n_shingles": [len(x) for x in sets], "sigs": sigs}, schema)
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.document_key().alias("key"), "text")
     marked = keyed.filter(F.col("text").rlike("[^\\x20\\x09-\\x0D]")).mapInArrow(mark, "doc_id long, key long, n_shingles long, sigs array<long>")
     marked = common.written(marked.dropDuplicates(["key"]), "signatures", compression="zstd")
-    each = marked.select("key", "n_shingles", F.explode(F.array_distinct("sigs")).alias("sig"))
+    each = marked.select("key", "n_shingles", F.explode("sigs").alias("sig"))
     often = each.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("sig")
     groups = common.written(each.join(often, "sig"), "groups", compression="zstd")
     own = pa.schema([("key", pa.int64()), ("shingles", pa.list_(pa.int64()))])
