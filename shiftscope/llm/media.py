@@ -4,9 +4,10 @@
 (one sample a byte, so lossless) in a binary column, and writes the table. `features` opens each stored value
 with the wave module and computes, over the whole signal:
 
-* a short-time Fourier transform, Hann window of FRAME samples, a hop of HOP (the last frame zero-padded);
+* a short-time Fourier transform, Hann window of FRAME samples, a hop of HOP, with zeros before and after the signal
+  so that every sample lies in FRAME / HOP frames and one UNIT gives several;
 * the PEAKS strongest local maxima over frequency in each frame, the mean level taken off;
-* landmarks: each peak paired with the strongest peaks of the next REACH frames, as codes
+* landmarks: each peak paired with all peaks kept of the next REACH frames, as codes
   (frequency 1, frequency 2, frames between) at a time (the frame); `landmarks` is an array of
   struct<t, code> by time then code.
 
@@ -21,6 +22,7 @@ import io
 import wave
 import zlib
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from . import common
 
 UNIT, RATE = 64, 8000
-FRAME, HOP, PEAKS, REACH = 512, 512, 2, 2
+FRAME, HOP, PEAKS, REACH = 128, 32, 2, 2
 #: Frames transformed at once.
 GROUP = 1024
 
@@ -80,11 +82,12 @@ def peaks(samples: np.ndarray) -> np.ndarray:
 
 def landmarks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Times and codes of peak pairs, by time then code."""
-    found = peaks(samples)
+    level = samples.astype(np.float32) - np.float32(samples.mean(dtype=np.float64)) if len(samples) else samples
+    found = peaks(np.pad(level, FRAME - HOP))
     times, codes = [], []
     for gap in range(1, REACH + 1):
-        for k in range(PEAKS):
-            first, second = found[:-gap, k].astype(np.int64), found[gap:, 0].astype(np.int64)
+        for k, other in product(range(PEAKS), repeat=2):
+            first, second = found[:-gap, k].astype(np.int64), found[gap:, other].astype(np.int64)
             there = np.flatnonzero((first > 0) & (second > 0))
             times.append(there)
             codes.append(first[there] << 12 | second[there] << 2 | gap)

@@ -124,6 +124,22 @@ class TestMedia:
         assert len(times) and (np.diff(times) >= 0).all()
         assert {c >> 12 for c in codes if (c >> 2) & 1023 == 37} >= {37}
 
+    def test_short_texts_differ_and_shifted_copies_share_landmarks(self):
+        rnd = random.Random(4)
+        marks = lambda data: media.landmarks(np.frombuffer(media.from_wav(media.to_wav(data)[0]), np.uint8))
+        text = lambda n: "".join(rnd.choices(string.ascii_lowercase + " ", k=n)).encode()
+        short = {text(rnd.randint(20, 500)) for _ in range(300)}
+        found = {tuple(map(tuple, marks(x))) for x in short}
+        assert len(found) == len(short) and all(len(t) for t, _ in found)
+        assert not len(marks(b"")[0])
+        whole, inserted = text(4000), text(media.HOP * 3)
+        t, code = marks(whole)
+        late = set(zip(t.tolist(), code.tolist(), strict=True))
+        t, code = marks(whole[:2000] + inserted + whole[2000:])
+        assert len(late & {(a - 3, b) for a, b in zip(t.tolist(), code.tolist(), strict=True)}) > 0.3 * len(late)
+        t, code = marks(whole[:2000] + b"x" + whole[2000:])
+        assert len(late & set(zip(t.tolist(), code.tolist(), strict=True))) > 0.4 * len(late)
+
 
 class TestLanguageId:
     def test_held_out_accuracy(self, spark):
