@@ -8,17 +8,25 @@ token, the bytes of the token under way, the tokens not yet emitted), made when
 and kept by byte afterwards. Tokens that all live guesses agree on are emitted at once, so what is held back is
 the machine's lookahead. A guess dies when its bytes leave the trie of tokens or its pair isn't stable, so few
 live at a time. At the end of a piece the guess that stands on a token boundary gives the rest. A piece that is
-a token itself is that token, as in the tiktoken library.
-
-Texts are split by the vocabulary's pattern first, as its users do. The ids of pieces and words met before are
-kept, the lately met ones, in a task's process; others go through the machine again.
+a token itself is that token, as in the tiktoken library. The lookahead is bounded for any rank file in which each
+token is made of merges of lower rank: a border of stable neighbours is settled by the bytes of the tokens beside it.
+`Transducer.lookahead` tells how many tokens were held back at most; over the supplied ranks it stays below
+LOOKAHEAD in the tests.
+
+Texts are split by the vocabulary's pattern first, as its users do. The library's classes of characters are another
+Unicode version's than those of Python's engines, so `split_rule` asks the library once, on the driver, which
+characters each class of the pattern has; texts with a character on which the engines differ are split by a pattern
+that spells the difference out. A pattern with inline flags is refused. Only for WORDWISE texts are cut into words
+first; any other pattern is applied to whole texts. The ids of pieces and words met before are kept, the lately met
+ones, in a task's process; others go through the machine again.
 
 Decoding. `Utf8Decoder` reads tokens one by one. Its states are those of the UTF-8 automaton (Unicode table
 3-7); for each state it keeps, by token, the next state and the text that the token completes, so a character
 that is split over tokens is held back until its last byte. Bytes that no continuation makes valid give U+FFFD.
 
 Null counts as empty and encodes to no id; rows keep their order and repeat freely; an empty table gives an
-empty result. Texts are taken whole, in blocks of bounded bytes. Columns besides those asked for are not read.
+empty result. Texts are taken whole, in blocks of bounded bytes; bytes that aren't UTF-8 count as U+FFFD. Columns
+besides doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -42,6 +50,65 @@ from . import common
 KEPT_WORDS = 500_000
 #: Deterministic states that a process keeps before it starts anew.
 KEPT_STATES = 250_000
+#: Tokens held back at most, as tested.
+LOOKAHEAD = 8
+
+# Fixed value: the one pattern whose pieces may be found word by word. In it only `\\s+` joins white space with
+# anything, and only with more white space, and a space goes before what follows it. So where no two white-space
+# characters stand together, every space and line feed begins a piece, and pieces begin alike wherever the word stands.
+WORDWISE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+#: Brackets and classes of a pattern; other escapes are read past.
+_CLASS = re.compile(r"(\[\^?\]?(?:\\.|[^\]\\])*\]|\\[pP](?:\{[^}]*\}|.)|\\[sSdDwW])|\\.", re.DOTALL)
+
+
+def _spelled(characters: Iterable[str]) -> str:
+    """Characters as the inside of a bracket, by ranges; empty of none."""
+    points, out = sorted(map(ord, characters)), []
+    for c in points:
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
+
+
+@lru_cache(maxsize=1)
+def _every_character() -> str:
+    return "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+
+
+@lru_cache(maxsize=64)
+def library_class(item: str) -> frozenset[str]:
+    """The characters that a class has in the library's engine: what it matches is encoded, byte by byte, and nothing else."""
+    import tiktoken
+
+    one = tiktoken.Encoding("class", pat_str=item, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+    return frozenset(bytes(one.encode_ordinary(_every_character())).decode())
+
+
+@lru_cache(maxsize=8)
+def split_rule(pattern: str) -> tuple[str, str, str]:
+    """The pattern, a bracket of the characters on which the engines differ ("" of none), and the pattern for texts with these."""
+    if re.search(r"(?<!\\)\(\?[a-zA-Z-]", pattern):
+        raise ValueError("a pattern with inline flags can't be held against the library's classes")
+    every, odd = _every_character(), set()
+
+    def told(found: re.Match) -> str:
+        item = found[1]
+        if item is None:
+            return found[0]
+        theirs, ours = library_class(item), frozenset(regex.findall(item, every))
+        odd.update(theirs ^ ours)
+        more, fewer = _spelled(theirs - ours), _spelled(ours - theirs)
+        own = f"(?![{fewer}]){item}" if fewer else item
+        return f"(?:{own}|[{more}])" if more else f"(?:{own})" if fewer else item
+
+    exact = _CLASS.sub(told, pattern)
+    if pattern == WORDWISE:  # words are told apart by Python's own classes
+        odd.update(library_class(r"\p{L}") ^ frozenset(filter(str.isalpha, every)))
+        odd.update(library_class(r"\s").difference(filter(str.isspace, every)))
+    return pattern, f"[{_spelled(odd)}]" if odd else "", exact
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -70,6 +137,8 @@ class Transducer:
                     self.ends.append(-1)
             self.ends[node] = rank
         self.stable: dict[int, bool] = {}
+        #: Tokens held back at most so far.
+        self.lookahead = 0
         self.spines: dict[int, tuple[list[bytes], list[bytes], bool, bool]] = {}
         self._reset()
 
@@ -176,6 +245,7 @@ class Transducer:
             n = min(n, len(held))
             while first[:n] != held[:n]:
                 n -= 1
+        self.lookahead = max(self.lookahead, *(len(held) - n for _, _, held in found))
         return self._table(tuple((last, node, held[n:]) for last, node, held in found) if n else tuple(found)), first[:n]
 
     def encode(self, piece: bytes) -> list[int]:
@@ -265,41 +335,43 @@ _MARK, _APART = re.compile(r"[.,](?<=[A-Za-z].)(?=[ \n]|\Z)"), "\x01"
 class Codec:
     """Encoder of one vocabulary, with the ids of words that it has met.
 
-    Where no two white-space characters stand together, the pattern never joins what a single space or line
-    feed separates, so a text is the row of its words, each with the character before it. A word of letters
-    alone is one piece, and a comma or full stop after letters is one by itself.
+    By WORDWISE a text without two white-space characters together is the row of its words, each with the space or
+    line feed before it. A word of letters alone is one piece, and a comma or full stop after letters is one by itself.
     """
 
-    def __init__(self, path: str, pattern: str):
-        self.pieces = regex.compile(pattern).findall
+    def __init__(self, path: str, rule: tuple[str, str, str]):
+        pattern, odd, exact = rule
+        self.plain, self.exact = regex.compile(pattern).findall, regex.compile(exact).findall
+        self.odd = re.compile(odd).search if odd else lambda text: None
         self.spaces = re.compile(r"\s\s").search
         self.transducer = Transducer(read_ranks(path))
         self.newer: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        letters = all(self.pieces(x) == [x] for x in (" a", " Ab", " aBc", " \u00dcber", " \u0416\u0439"))
-        self.simple = letters and all(self.pieces(f" {w}{x}{after}")[:2] == [f" {w}", x] for w in ("a", "aB") for x in ",." for after in ("", " b", "\n"))
+        self.wordwise = pattern == WORDWISE
 
     def _piece(self, piece: str) -> bytes:
         found = self.transducer.encode(piece.encode())
         return struct.pack(f"<{len(found)}I", *found)
 
     def _pieces(self, text: str) -> bytes:
-        return b"".join(map(self._piece, self.pieces(text)))
+        return b"".join(map(self._piece, self.plain(text)))
+
+    def _whole(self, text: str) -> bytes:
+        pieces = self.plain if text.isascii() or not self.odd(text) else self.exact
+        return b"".join(map(self._piece, pieces(text)))
 
     def _word(self, word: str) -> bytes:
-        if self.simple:
-            if word.isalpha():
-                return self._piece(f" {word}")
-            if word[:1] == _APART:
-                return self._piece(word[1:])
+        if word.isalpha():
+            return self._piece(f" {word}")
+        if word[:1] == _APART:
+            return self._piece(word[1:])
         return self._pieces(word if word[:1] == "\n" else f" {word}")
 
     def _words(self, text: str) -> list[str] | None:
-        if self.spaces(text) or _APART in text:
+        """None if the text must be taken whole."""
+        if not self.wordwise or self.spaces(text) or _APART in text or not text.isascii() and self.odd(text):
             return None
-        if self.simple:
-            text = _MARK.sub(f" {_APART}\\g<0>", text)
-        return text.replace("\n", " \n").split(" ")
+        return _MARK.sub(f" {_APART}\\g<0>", text).replace("\n", " \n").split(" ")
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -315,7 +387,7 @@ class Codec:
         out = []
         for text, words, ids, at in zip(texts, split, found, gaps, strict=True):
             if words is None:
-                out.append(self._pieces(text))
+                out.append(self._whole(text))
                 continue
             for i in at:
                 ids[i] = known[words[i]]
@@ -328,9 +400,9 @@ class Codec:
 
 
 @lru_cache(maxsize=2)
-def codec(path: str, pattern: str) -> Codec:
+def codec(path: str, rule: tuple[str, str, str]) -> Codec:
     """One a process, so that states and pieces last from task to task."""
-    return Codec(path, pattern)
+    return Codec(path, rule)
 
 
 @lru_cache(maxsize=2)
@@ -344,9 +416,10 @@ def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = False) -> D
     decoded: also text, decoded from the ids in the same task, so that a core needs one process and not two.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), *([("text", pa.string())] if decoded else [])])
+    rule = split_rule(pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
+        own = codec(path, rule)
         back = decoder(path) if decoded else None
         for block in common.blocks(batches, most=4 << 20):
             ids = own.encode_all(common.texts(block.column("text")))
@@ -369,5 +442,3 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             yield from common.emit({"doc_id": block.column("doc_id"), "ids": block.column("ids"), "text": texts}, schema)
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")
-
-

@@ -40,6 +40,12 @@ def document_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.xxhash64(F.col(doc_id), F.col(text))
 
 
+def aside(docs: DataFrame, columns: list[str], *more: Column) -> tuple[DataFrame, list[Column]]:
+    """These columns of docs named by place, c0 and on, beside `more`, so that no name of theirs meets one of ours; and their way back."""
+    held = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)], *more)
+    return held, [F.col(f"c{i}").alias(c) for i, c in enumerate(columns)]
+
+
 def sizes(column: pa.Array) -> list[int]:
     import pyarrow.compute as pc
 
@@ -72,7 +78,11 @@ def encoded(column: pa.ChunkedArray) -> list[bytes]:
 
 
 def texts(column: pa.ChunkedArray) -> list[str]:
-    return [x or "" for x in column.to_pylist()]
+    """Null counts as empty; bytes that aren't UTF-8 as U+FFFD."""
+    try:
+        return [x or "" for x in column.to_pylist()]
+    except UnicodeDecodeError:
+        return [x.decode("utf-8", "replace") for x in encoded(column)]
 
 
 def emit(columns: dict, schema: pa.Schema, rows: int = 20_000) -> Iterator[pa.RecordBatch]:
