@@ -14,15 +14,17 @@ encodes them and writes a table of segments in the shared folder; ids never trav
 Boundary i is the end of document i, counted from the segment's first id. Elias-Fano keeps n boundaries below u in
 n * floor(log2(u / n)) low bits and at most 3 n high bits; `select` finds boundary i from the samples without
 a table of 64-bit offsets. Beside it stand the segment's place (shard, seq), its start within the shard and its
-documents' ids. `read_ids` reads segments back: a shard's start is the sum of those before it, a row a shard.
+documents' ids. `read_ids` reads segments back, each boundary by `select` from the samples: a shard's start is the
+sum of those before it, a row a shard. `read_some` reads chosen documents alone: two selects each, and only their ids.
 
 Null texts count as empty; each document has its end id at least. Null doc_ids come first; rows of one doc_id stand in
-order of their texts' hash; equal rows are each a document. An empty table gives no segment and an empty
-result. Columns besides doc_id and text are not read.
+order of their texts' hash; equal rows are each a document; bytes that aren't UTF-8 count as U+FFFD. An empty table
+gives no segment and an empty result. Columns besides doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -102,15 +104,20 @@ class EliasFano:
         return ((8 * byte + int(_PLACE[self.high[byte], left]) - i) << self.low_bits) | self._low(i)
 
     def select_many(self, i: np.ndarray) -> np.ndarray:
-        """Values at many places, by the running count of set bits."""
-        upto = np.cumsum(_ONES[self.high])
-        byte = np.searchsorted(upto, i, side="right")
-        place = 8 * byte + _PLACE[self.high[byte], i - (upto[byte] - _ONES[self.high[byte]])]
+        """Values at many places, each from the sample before it, all of them a byte further at a time."""
+        start = self.samples[i // SAMPLED].astype(np.int64)
+        byte, left = start // 8, i % SAMPLED
+        left = left + _ONES[self.high[byte] & ((1 << start % 8) - 1)]  # set bits of that byte before the sample
+        open_ = np.flatnonzero(left >= _ONES[self.high[byte]])
+        while len(open_):
+            left[open_] -= _ONES[self.high[byte[open_]]]
+            byte[open_] += 1
+            open_ = open_[left[open_] >= _ONES[self.high[byte[open_]]]]
+        place = 8 * byte + _PLACE[self.high[byte], left]
         low = np.zeros(len(i), np.int64)
-        if self.low_bits:
-            bits = np.unpackbits(self.low, bitorder="little")
-            at = i[:, None] * self.low_bits + np.arange(self.low_bits)
-            low = bits[at].astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
+        for k in range(self.low_bits):
+            at = i * self.low_bits + k
+            low |= (self.low[at >> 3] >> (at & 7) & 1).astype(np.int64) << k
         return ((place - i) << self.low_bits) | low
 
 
@@ -135,14 +142,38 @@ def from_segment(data: bytes) -> tuple[EliasFano, np.ndarray]:
 
 _MARK = re.compile(rb"[.,](?<=[a-z].)(?=[ \t-\r]|\Z)")
 
+# The one normaliser and splitter for which texts may be encoded word by word, as the library writes them.
+WORDWISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+def is_wordwise(settings: dict) -> bool:
+    """Whether a tokenizer file's texts are the rows of their words: by WORDWISE, with a token's end marked, and no
+    added token but those that `words` looks for.
+
+    That splitter drops white space and splits at it before it looks at letters, and that normaliser joins nothing that
+    ASCII white space parts and lowers case.
+    """
+    model = settings["model"]
+    plain = model.get("type") == "BPE" and model.get("end_of_word_suffix") and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix"))
+    added = all(t["content"].startswith("<|") and not t["lstrip"] and not t["rstrip"] for t in settings.get("added_tokens", []))
+    return bool(plain and added and not settings.get("truncation") and all(settings.get(k) == v for k, v in WORDWISE.items()))
+
 
 class WordEncoder:
-    """The library's ids of whole texts, word by word.
+    """The library's ids of whole texts; word by word if the tokenizer file is found wordwise.
 
-    The vocabulary drops white space and splits at it before it looks at letters, and no normalisation joins what
-    ASCII white space parts, so a text's ids are its words' ids one after another; a comma or full stop between
-    a letter and white space is a piece of its own too. Words new to this process go through the library: those
-    of letters many at once, told apart by the tokens that end a piece, others each by itself.
+    Then a comma or full stop between a letter and white space is a piece of its own too. Words new to this process
+    go through the library: those of letters many at once, told apart by the tokens that end a piece, others each by
+    itself. With any other tokenizer file each text goes through the library whole.
     """
 
     def __init__(self, path: str):
@@ -157,15 +188,20 @@ class WordEncoder:
         self.ends = np.zeros(size, bool)
         if suffix:
             self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+        with open(path, encoding="utf-8") as file:
+            self.wordwise = is_wordwise(json.load(file))
+        if not self.wordwise:  # as stored, a file may cut or pad
+            self.tokenizer.no_truncation()
+            self.tokenizer.no_padding()
         self.known: dict[bytes, bytes] = {}
 
     def _alone(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
         return [np.array(x.ids, self.kind).tobytes() for x in found]
 
     def _together(self, words: list[bytes]) -> list[bytes]:
         """Ids of words of letters, encoded as one text."""
-        (found,) = self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)
+        (found,) = self.tokenizer.encode_batch_fast([b" ".join(words).decode("utf-8", "replace")], add_special_tokens=False)
         ids = np.array(found.ids, self.kind)
         cut = np.flatnonzero(self.ends[ids]) + 1
         if len(cut) != len(words) or cut[-1] != len(ids):
@@ -174,7 +210,7 @@ class WordEncoder:
         return [data[a:b] for a, b in zip([0, *at[:-1]], at, strict=True)]
 
     def _learn(self, new: set[bytes]) -> None:
-        plain = [w for w in new if w.isalpha() or w.decode().isalpha()]
+        plain = [w for w in new if w.isalpha() or w.decode("utf-8", "replace").isalpha()]
         for i in range(0, len(plain), 512):
             part = plain[i : i + 512]
             self.known.update(zip(part, self._together(part), strict=True))
@@ -190,6 +226,8 @@ class WordEncoder:
         return _MARK.sub(rb" \g<0>", content.lower()).split()
 
     def encode(self, contents: list[bytes]) -> list[bytes]:
+        if not self.wordwise:
+            return [x for i in range(0, len(contents), 64) for x in self._alone(contents[i : i + 64])]
         if len(self.known) > KEPT_WORDS:
             self.known.clear()
         get = self.known.get
@@ -258,3 +296,25 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
 
     # a row a range partition: the broadcast is bounded by their number
     return segments.join(F.broadcast(starts), "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+
+
+def read_some(spark: SparkSession, folder: str, doc_ids: DataFrame) -> DataFrame:
+    """doc_id, n_tokens and ids of the documents in doc_ids (a column doc_id), without unpacking others' boundaries.
+
+    Segments without any of them aren't opened; null doc_ids are never asked for. Each boundary is one `select`.
+    """
+    places = spark.read.schema(_SEGMENTS).parquet(folder).select("shard", "seq", F.posexplode("doc_ids").alias("at", "doc_id"))
+    wanted = places.join(doc_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id")
+    wanted = wanted.groupBy("shard", "seq").agg(F.collect_list(F.struct("at", "doc_id")).alias("wanted"))  # no more than a segment has
+    segments = spark.read.schema(_SEGMENTS).parquet(folder).select("shard", "seq", "segment").join(wanted, ["shard", "seq"])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for segment, some in zip(batch.column("segment").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
+                code, ids = from_segment(segment)
+                ends = [(code.select(w["at"] - 1) if w["at"] else 0, code.select(w["at"])) for w in some]
+                out = {"doc_id": [w["doc_id"] for w in some], "n_tokens": [b - a for a, b in ends], "ids": [ids[a:b].astype("<u4").tobytes() for a, b in ends]}
+                yield from common.emit(out, schema, 2000)
+
+    return segments.select("segment", "wanted").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
