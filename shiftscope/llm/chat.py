@@ -6,27 +6,33 @@
   arguments string (JSON);
 * results: conv_id long, call_id string, content string.
 
-1. Calls and results meet by (conv_id, call_id) in a hash join. A call without a result stays, `pending`; a result
-   without a call stays, `orphan`. Of several calls of one identifier the smallest arguments win, of several
-   results the smallest content; n_calls and n_results tell how many there were.
+1. Calls and results are dealt by (conv_id, call_id) and meet in a shuffled hash join: both sides have one row an
+   identifier by then, so a hash table has its share of identifiers and no hot one. A call without a result stays,
+   `pending`; a result without a call stays, `orphan`. Of several calls of one identifier the smallest arguments win,
+   of several results the smallest content; n_calls and n_results tell how many there were.
 2. Topological order. Parents make a forest (or cycles, which are marked). Depths are found by pointer doubling:
-   each round every call adds its ancestor's depth to its own and jumps to its ancestor's ancestor, an equi join,
-   so a chain of d calls takes log2(d) + 1 rounds and no conversation is gathered in one task. A parent that
-   doesn't exist counts as none.
+   each round every open call adds its ancestor's depth to its own and jumps to its ancestor's ancestor, a hash join,
+   so a chain of d calls takes log2(d) + 1 rounds and no conversation is gathered in one task. A round writes the
+   calls that are still open, and those that it finishes once. A parent that doesn't exist counts as none.
 3. Arguments are checked against the tool's JSON schema (type, required, properties, additionalProperties, enum,
    minimum, maximum, minLength, maxLength, items), in Arrow batches; schemas are a small parameter.
 4. Each linked call is one canonical JSON object: keys sorted, no white space, shortest numbers, UTF-8 unescaped.
 
-Arguments that are null or aren't JSON are invalid and stand as a JSON string or null. A null conv_id is a conversation of its own;
-rows with null call_id never link: each is pending or orphan. Null content is JSON null. Tables without rows give
-an empty result; columns besides those named are not read.
+Arguments that are null or aren't JSON are invalid and stand as a JSON string or null. So do arguments nested more than
+NESTED deep, which a reader may refuse (RFC 8259, section 9); the problem says which it was. Integers have any number of
+digits, numbers beyond a double's range are null. A lone surrogate, which UTF-8 can't hold, stays an escape, \\udxxx. A null
+conv_id is a conversation of its own; rows with null call_id never link: each is pending or orphan. Null content is JSON
+null. Tables without rows give an empty result; columns besides those named are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import re
+import sys
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,11 +42,47 @@ from . import common
 
 #: How a depth is written where a call's ancestors never end.
 CYCLE = -1
+#: Arrays and objects inside one another.
+NESTED = 200
+
+_LONE = re.compile("[\ud800-\udfff]")
+_STRING = re.compile(r'"(?:[^"\\]|\\.)*"?', re.DOTALL)
+
+
+@contextmanager
+def _any_digits():
+    """Integers of any length are read and written."""
+    most = sys.get_int_max_str_digits()
+    sys.set_int_max_str_digits(0)
+    try:
+        yield
+    finally:
+        sys.set_int_max_str_digits(most)
+
+
+def _valid(text: str) -> str:
+    """Lone surrogates as escapes, so that the text has a UTF-8 form."""
+    return _LONE.sub(lambda found: f"\\u{ord(found[0]):04x}", text)
 
 
 def canonical(value) -> str:
     """JSON text with sorted keys, no white space and numbers in their shortest form."""
-    return json.dumps(_plain(value), ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False)
+    with _any_digits():
+        return _valid(json.dumps(_plain(value), ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False))
+
+
+def nesting(text: str) -> int:
+    """How deep brackets and braces stand inside one another, strings apart."""
+    if text.count("[") + text.count("{") <= NESTED:
+        return 0
+    deep = most = 0
+    for c in _STRING.sub("", text):
+        if c in "[{":
+            deep += 1
+            most = max(most, deep)
+        elif c in "]}":
+            deep -= 1
+    return most
 
 
 def _plain(value):
@@ -72,7 +114,7 @@ def errors(value, schema: dict, at: str = "$") -> list[str]:
         if not any(_TYPES[k](value) for k in kinds):
             return [f"{at}: not of type {'/'.join(kinds)}"]
     out = []
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and not any(x == value and isinstance(x, bool) == isinstance(value, bool) for x in schema["enum"]):
         out.append(f"{at}: not one of the values")
     if isinstance(value, str):
         if len(value) < schema.get("minLength", 0):
@@ -100,38 +142,46 @@ def errors(value, schema: dict, at: str = "$") -> list[str]:
     return out
 
 
-def _read(text: str | None):
-    """The value of JSON text and whether it is JSON."""
+def _read(text: str | None) -> tuple[object, str | None]:
+    """The value of JSON text and what is wrong with it as JSON."""
 
     def refuse(name: str):
         raise ValueError(name)
 
+    if text is None:
+        return None, "$: not JSON"
+    if nesting(text) > NESTED:
+        return text, "$: nested too deep"
     try:
-        return json.loads(text, parse_constant=refuse), True
-    except (TypeError, ValueError, RecursionError):
-        return text, False
+        with _any_digits():
+            return json.loads(text, parse_constant=refuse), None
+    except ValueError:
+        return text, "$: not JSON"
 
 
 def depths(calls: DataFrame) -> DataFrame:
     """conv_id, call_id, depth of calls with unique identifiers: 0 without a parent, CYCLE if it never ends."""
     key = ["conv_id", "call_id"]
     nodes = calls.select(*key, F.col("parent_id").alias("up"))
-    parents = calls.select(F.col("conv_id").alias("c"), F.col("call_id").alias("i"))
-    state = nodes.join(parents, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("up") == F.col("i")), "left")
-    state = state.select(*key, F.when(F.col("i").isNotNull(), F.col("up")).alias("up"))
-    state = common.written(state.withColumn("depth", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long")), "depths")
-    open_ = state.filter("up is not null").count()
-    while open_:
-        above = state.select(F.col("conv_id").alias("c"), F.col("call_id").alias("i"), F.col("up").alias("beyond"), F.col("depth").alias("more"))
-        met = state.join(above, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("up") == F.col("i")), "left")
+    same = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("up") == F.col("i"))
+    parents = calls.select(F.col("conv_id").alias("c"), F.col("call_id").alias("i")).hint("shuffle_hash")
+    rows = nodes.join(parents, same, "left").select(*key, F.when(F.col("i").isNotNull(), F.col("up")).alias("up"))
+    state = common.written(rows.withColumn("depth", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long")), "depths")
+    done, open_ = state.filter("up is null").select(*key, "depth"), state.filter("up is not null")
+    total = state.count()
+    while not open_.isEmpty():
+        above = open_.unionByName(done.withColumn("up", F.lit(None).cast("string")))
+        above = above.select(F.col("conv_id").alias("c"), F.col("call_id").alias("i"), F.col("up").alias("beyond"), F.col("depth").alias("more")).hint("shuffle_hash")
         # who jumps gains a pointer twice as far; whose ancestor is a root is done
-        state = common.written(met.select(*key, F.col("beyond").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "depths")
-        left = state.agg(F.count("up").alias("open"), F.max("depth").alias("deepest"), F.count(F.lit(1)).alias("all")).first()
+        met = open_.join(above, same).select(*key, F.col("beyond").alias("up"), (F.col("depth") + F.col("more")).alias("depth"))
+        met = common.written(met, "depths")
+        done = done.unionByName(met.filter("up is null").select(*key, "depth"))
+        open_ = met.filter("up is not null")
+        deepest = open_.agg(F.max("depth").alias("d")).first().d
         # deeper than there are calls: only cycles are left
-        if left.open and left.deepest > 2 * left.all:
-            return state.select(*key, F.when(F.col("up").isNotNull(), CYCLE).otherwise(F.col("depth")).alias("depth"))
-        open_ = left.open
-    return state.select(*key, "depth")
+        if deepest is not None and deepest > 2 * total:
+            return done.unionByName(open_.select(*key, F.lit(CYCLE).cast("long").alias("depth")))
+    return done
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -145,6 +195,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     single = single.select(*key, "call.parent_id", "call.name", "call.arguments", "n_calls")
     answers = results.filter("call_id is not null").groupBy(F.col("conv_id").alias("c"), F.col("call_id").alias("i")).agg(F.min(F.struct(F.col("content").isNull(), "content"))["content"].alias("content"), F.count(F.lit(1)).alias("n_results"))
     single = common.written(single, "calls")
+    answers = answers.hint("shuffle_hash")
     # a missing half counts none of its kind
     both = single.join(answers, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("call_id") == F.col("i")), "full")
     both = both.select(
@@ -154,7 +205,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
         F.coalesce("n_calls", F.lit(0)).alias("n_calls"),
         F.coalesce("n_results", F.lit(0)).alias("n_results"),
     )
-    deep = depths(single).select(F.col("conv_id").alias("dc"), F.col("call_id").alias("di"), "depth")
+    deep = depths(single).select(F.col("conv_id").alias("dc"), F.col("call_id").alias("di"), "depth").hint("shuffle_hash")
     both = both.join(deep, F.col("conv_id").eqNullSafe(F.col("dc")) & (F.col("call_id") == F.col("di")), "left").drop("dc", "di")
     nameless = calls.filter("call_id is null").select(*key, "parent_id", "name", "arguments", F.lit(None).cast("string").alias("content"), F.lit(1).cast("long").alias("n_calls"), F.lit(0).cast("long").alias("n_results"), F.lit(0).cast("long").alias("depth"))
     unasked = results.filter("call_id is null").select(*key, *[F.lit(None).cast("string").alias(c) for c in ("parent_id", "name", "arguments")], "content", F.lit(0).cast("long").alias("n_calls"), F.lit(1).cast("long").alias("n_results"), F.lit(None).cast("long").alias("depth"))
@@ -172,13 +223,13 @@ def _formatter(schemas: dict[str, dict]):
             for row in batch.to_pylist():
                 value, problems = None, []
                 if row["n_calls"]:
-                    value, known = _read(row["arguments"])
-                    if not known:
-                        problems = ["$: not JSON"]
+                    value, wrong = _read(row["arguments"])
+                    if wrong:
+                        problems = [wrong]
                     elif row["name"] not in schemas:
                         problems = ["$: no such tool"]
                     else:
-                        problems = errors(value, schemas[row["name"]])
+                        problems = [_valid(x) for x in errors(value, schemas[row["name"]])]
                 out["valid"].append(not problems if row["n_calls"] else None)
                 out["problems"].append(problems)
                 shown = {"call_id": row["call_id"], "state": row["state"]}
