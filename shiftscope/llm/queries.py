@@ -18,8 +18,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text", "lang").withColumn("held_out", language_id.crc_part("doc_id", 5) == 0)
     model = language_id.fit(docs.filter("not held_out"))
-    found = language_id.predict(docs.drop("lang"), model, ["doc_id", "held_out"])
-    return found.select("doc_id", "held_out", F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+    return language_id.predict(docs.drop("lang"), model, ["doc_id", "held_out"])
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:

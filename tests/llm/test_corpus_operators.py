@@ -82,7 +82,7 @@ class TestByteBpe:
         assert sorted(((r.doc_id, r.text, np.frombuffer(r.ids, "<u4").tolist()) for r in found), key=repr) == sorted(((i, t or "", reference.encode_ordinary(t or "")) for i, t in rows), key=repr)
 
     def test_random_texts(self, reference):
-        own, rnd = byte_bpe.codec(PATH, PATTERN), random.Random(3)
+        own, rnd = byte_bpe.codec(PATH, byte_bpe.split_rule(PATTERN)), random.Random(3)
         letters = list(string.printable) + list("éßñçüøЖя中文日本語한국어😀👩‍💻ा́ 　 \x1c\x85")
         for _ in range(3000):
             text = "".join(rnd.choices(letters, k=rnd.randint(0, 30)))
@@ -98,7 +98,7 @@ class TestByteBpe:
     def test_small_caches_give_the_same(self, monkeypatch, reference):
         monkeypatch.setattr(byte_bpe, "KEPT_STATES", 50)
         monkeypatch.setattr(byte_bpe, "KEPT_WORDS", 5)
-        own = byte_bpe.Codec(PATH, PATTERN)
+        own = byte_bpe.Codec(PATH, byte_bpe.split_rule(PATTERN))
         for _, text in odd_rows():
             assert np.frombuffer(own.encode(text or ""), "<u4").tolist() == reference.encode_ordinary(text or "")
 
@@ -147,16 +147,16 @@ class TestLanguageId:
         model = language_id.fit(docs.filter("not held_out"))
         found = language_id.predict(docs, model, ["doc_id", "lang", "held_out"]).filter("held_out").collect()
         assert len(found) > 100
-        assert sum(r["__lang"] == r.lang for r in found) / len(found) > 0.97
+        assert sum(r.lang_pred == r.lang for r in found) / len(found) > 0.97
 
     def test_undetermined(self, spark):
         docs = spark.createDataFrame([(1, None, "en"), (2, "", "en"), (3, "12 ½ …", "de"), (4, "Ⅷ", None), (5, "and the", "en"), (6, "und die", "de"), (None, "und die", "de")], "doc_id long, text string, lang string")
-        found = {r.doc_id: (r["__lang"], r["__score"]) for r in language_id.predict(docs, language_id.fit(docs), ["doc_id"]).collect()}
+        found = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predict(docs, language_id.fit(docs), ["doc_id"]).collect()}
         assert {k for k, (x, _) in found.items() if x == "und"} == {1, 2, 3, 4}
         assert found[5][0] == "en" and found[6][0] == found[None][0] == "de"
         assert {r.doc_id for r in language_id.accepted(docs).collect()} == {5, 6, None}
         nothing = docs.filter("false")
-        assert language_id.predict(docs, language_id.fit(nothing), ["doc_id"]).filter("__lang = 'und'").count() == 7
+        assert language_id.predict(docs, language_id.fit(nothing), ["doc_id"]).filter("lang_pred = 'und'").count() == 7
 
 
 class TestSimHash:
