@@ -15,9 +15,11 @@ BLOCK_BYTES = 16 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); one of our own only where unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir); one of our own only where unset and Spark runs on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -28,7 +30,17 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables made by written(), once all that was read from them is written itself."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -46,6 +58,23 @@ def aside(docs: DataFrame, columns: list[str], *more: Column) -> tuple[DataFrame
     return held, [F.col(f"c{i}").alias(c) for i, c in enumerate(columns)]
 
 
+#: Keys that a join may broadcast, and rows of a key below which it never does.
+HOT_KEYS, HOT_ROWS = 1000, 1000
+
+
+def join_by_share(rows: DataFrame, facts: DataFrame, on: list[str], total: int) -> DataFrame:
+    """rows joined to facts (one row a key; column n: how many of the `total` rows have it), hot keys apart; n goes.
+
+    Keys of over a thousandth of all rows, so at most HOT_KEYS, are broadcast, and their rows stay where they are; the
+    others' rows meet their facts by a shuffle. Both tables are read twice, so they should be written ones.
+    """
+    least = max(HOT_ROWS, total // HOT_KEYS)
+    hot = facts.filter(F.col("n") > least).drop("n")
+    met = rows.join(F.broadcast(hot), on)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(facts.filter(F.col("n") <= least).drop("n"), on)
+    return met.unionByName(rest)
+
+
 def sizes(column: pa.Array) -> list[int]:
     import pyarrow.compute as pc
 
