@@ -4,12 +4,13 @@ A fingerprint has a bit where over half of the document's shingle hashes have it
 few against documents, so copies meet as one row before any search.
 
 Sharding. Fingerprints that differ in at most `radius` bits agree in at least two of the radius + 2 fields into
-which the 64 bits are cut, so a shard for each pair of fields and its value loses no link. Each shard is a
-BK-tree: children are keyed by their integer Hamming distance to the parent, and a search follows only edges
+which the 64 bits are cut, so a shard for each pair of fields and its value loses no link. A shard of over `TREE`
+fingerprints is sharded again by pairs of fields of the bits left, in which its members may differ as much. Each shard
+is a BK-tree: children are keyed by their integer Hamming distance to the parent, and a search follows only edges
 within the radius of its own distance. Shard trees are made where the shuffle puts the shard. They are not
-broadcast: all trees together grow with the corpus, and a broadcast of them has no bound. A shard of over
-`TREE` fingerprints is cut into blocks by hash; each two of its blocks meet as a tree of one and queries of
-the other, so no task holds more than two blocks however many fingerprints agree.
+broadcast: a tree is asked by its own shard's members alone, which the shuffle has put beside it, and all trees
+together grow with the corpus. What is over `TREE` even then is cut into blocks by hash; each two of its blocks meet
+as a tree of one and queries of the other, so no task holds more than two blocks however many fingerprints agree.
 
 A search gives a union of what lies together, and only the tree's spanning links leave the task: one a
 fingerprint at most. Components are found by rounds in which every fingerprint takes the smallest label of its
@@ -17,7 +18,11 @@ neighbours and of its label's label, on tables checkpointed to the shared folder
 
 A document without words has fingerprint zero and links like any other; null counts as empty. component_id is
 the smallest non-null doc_id reachable; null only if all are null. Repeated rows are linked as equal
-fingerprints are. An empty table gives an empty result.
+fingerprints are. An empty table gives an empty result. Columns besides doc_id and text are not read, and `one_of_each`
+carries them as they are, whatever their names. Bytes that aren't UTF-8 are hashed as they are.
+
+Joins of all rows by fingerprint or by component have their hot keys broadcast (common.join_by_share); the joins of the
+rounds are of different fingerprints that have a neighbour, and leave hot labels to Spark's splitting of skewed joins.
 
 `similar_documents` and `one_of_each` link by similarity instead: at 0.8 of five-word shingles two texts' fingerprints
 differ in a dozen bits, beyond what shards of fields can find, and SimHashes of words miss texts with a passage added,
@@ -139,23 +144,39 @@ def spanning(stored: list[int], queries: list[int], radius: int) -> list[tuple[i
     return [(x, top) for x in parent if (top := _find(parent, x)) != x]
 
 
-def shards(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """fp with the shards it lies in, shards of one fingerprint left out: shard, n (its size)."""
-    fields = radius + 2
-    cuts = [round(i * 64 / fields) for i in range(fields + 1)]
-    keys = []
-    for k, (a, b) in enumerate(combinations(range(fields), 2)):
-        mask = sum(((1 << (cuts[i + 1] - cuts[i])) - 1) << cuts[i] for i in (a, b))
-        mask -= (mask >> 63) << 64
-        keys.append(F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(mask)).alias("bits")))
-    spread = distinct.select("fp", F.explode(F.array(*keys)).alias("shard"))
+def _pairs_of_fields(places: list[int], radius: int) -> list[int]:
+    """A mask for each pair of the radius + 2 fields into which these bits are cut."""
+    cuts = [round(i * len(places) / (radius + 2)) for i in range(radius + 3)]
+    fields = [sum(1 << p for p in places[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return [x | y for x, y in combinations(fields, 2)]
+
+
+def _signed(mask: int) -> int:
+    return mask - (mask >> 63 << 64)
+
+
+def _sized(spread: DataFrame) -> DataFrame:
     sizes = spread.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     return spread.join(sizes, "shard")
 
 
+def shards(distinct: DataFrame, radius: int = RADIUS, most: int = TREE) -> DataFrame:
+    """fp with the shards it lies in, shards of one fingerprint left out: shard, n (its size)."""
+    masks = _pairs_of_fields(list(range(64)), radius)
+    key = lambda k, mask: F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("bits"))
+    placed = _sized(distinct.select("fp", F.explode(F.array(*[key(k, mask) for k, mask in enumerate(masks)])).alias("shard")))
+    placed = common.written(placed, "shards")
+    finer = F.array().cast("array<struct<k:int,bits:bigint>>")
+    for k, mask in enumerate(masks):
+        below = _pairs_of_fields([p for p in range(64) if not mask >> p & 1], radius)
+        finer = F.when(F.col("shard.k") == k, F.array(*[key(len(masks) * (k + 1) + j, mask | more) for j, more in enumerate(below)])).otherwise(finer)
+    again = _sized(placed.filter(F.col("n") > most).select("fp", F.explode(finer).alias("shard")))
+    return placed.filter(F.col("n") <= most).unionByName(again)
+
+
 def links(distinct: DataFrame, radius: int = RADIUS, most: int = TREE) -> DataFrame:
     """a, b: links that join all fingerprints that differ in at most `radius` bits, a not b."""
-    placed = shards(distinct, radius)
+    placed = shards(distinct, radius, most)
     # a shard over `most` is cut into blocks; a fingerprint goes to each pair that its block is in
     count = F.ceil(F.col("n") / F.lit(most)).cast("int")
     own = F.pmod(F.xxhash64("fp"), count).cast("int")
@@ -216,25 +237,25 @@ def components(edges: DataFrame) -> DataFrame:
         jump = state.select(F.col("node").alias("low"), F.col("label").alias("beyond"))
         following = hooked.join(jump, "low").select("node", "was", F.least("low", "beyond").alias("label"))
         following = common.written(following, "labels")
-        changed = not following.filter("label < was").isEmpty()
-        state = following.select("node", "label")
-        if not changed:
-            return state
+        common.dropped(state)
+        state = following
+        if following.filter("label < was").isEmpty():
+            common.dropped(both)
+            return state.select("node", "label")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, most: int = TREE) -> DataFrame:
     """doc_id, key, fp and component_id of every row."""
     marked = common.written(fingerprints(docs, words), "fingerprints")
-    distinct = common.written(marked.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "distinct-fingerprints")
-    groups = components(links(distinct.select("fp"), radius, most))
-    named = distinct.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "doc_id", F.coalesce("label", "fp").alias("label"))
-    least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    by_fp = named.join(least, "label").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select("doc_id", "key", "fp", "component_id")
-
-
-#: Fingerprints of a document's set of words, and the bits by which they may differ, in candidate_edges (similar_documents does without).
-TABLES, NEAR = 8, 3
+    distinct = common.written(marked.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
+    joined = common.written(links(distinct.select("fp"), radius, most), "tree-links")
+    groups = components(joined)
+    named = distinct.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "doc_id", F.col("n").alias("rows"), F.coalesce("label", "fp").alias("label"))
+    named = common.written(named, "labelled-fingerprints")
+    least = common.written(named.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "least")
+    by_fp = common.join_by_share(named, least, ["label"], named.count()).select("fp", F.col("rows").alias("n"), "component_id")
+    found = common.join_by_share(marked, common.written(by_fp, "of-fingerprints"), ["fp"], marked.count())
+    return found.select("doc_id", "key", "fp", "component_id")
 
 
 def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
@@ -246,19 +267,6 @@ def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def word_fingerprints(data: bytes, tables: int = TABLES) -> np.ndarray:
-    """SimHashes of a text's different words, a hash function for each; zeros without words."""
-    words = set(data.lower().split())
-    if not words:
-        return np.zeros(tables, np.uint64)
-    h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
-    bits = np.zeros(64 * tables, np.int64)
-    for i in range(0, len(h), 1 << 13):
-        many = np.stack([_mixed(h[i : i + (1 << 13)], t + 1) for t in range(tables)], axis=1)
-        bits += np.unpackbits(many.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * bits > len(h), bitorder="little").view(np.uint64)
-
-
 def shingles(data: bytes, words: int) -> np.ndarray:
     """Sorted hashes of a text's different shingles; fewer words make one, no word none."""
     parts = data.lower().split()
@@ -268,79 +276,6 @@ def shingles(data: bytes, words: int) -> np.ndarray:
     return np.unique(np.fromiter((digest(b" ".join(parts[i : i + words]), SEED) for i in range(max(1, len(parts) - words + 1))), np.uint64))
 
 
-def tree_edges(stored: dict[int, int], queries: dict[int, int], radius: int) -> list[tuple[int, int]]:
-    """Spanning edges (document, document within the radius) of what queries find among stored; both map fp to document."""
-    tree, parent, out = BKTree(), {}, []
-
-    def meet(x: int, y: int) -> None:
-        parent.setdefault(x, x)
-        parent.setdefault(y, y)
-        a, b = _find(parent, x), _find(parent, y)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            out.append((of[x], of[y]))
-
-    of = stored | queries
-    if stored is not queries:
-        for y in stored:
-            tree.add(y)
-    for x in queries:
-        for y in tree.within(x, radius):
-            if x != y:
-                meet(x, y)
-        if stored is queries:
-            tree.add(x)
-    return out + [(queries[x], stored[x]) for x in queries if stored is not queries and x in stored and queries[x] != stored[x]]
-
-
-def candidate_edges(marked: DataFrame, radius: int = NEAR, most: int = TREE) -> DataFrame:
-    """a, b: keys of documents of which one table's fingerprints (column fps) lie within the radius; spanning each tree."""
-    fields = radius + 2
-    cuts = [round(i * 64 / fields) for i in range(fields + 1)]
-    each = marked.select("key", F.posexplode("fps").alias("t", "fp"))
-    keys = []
-    for k, (a, b) in enumerate(combinations(range(fields), 2)):
-        mask = sum(((1 << (cuts[i + 1] - cuts[i])) - 1) << cuts[i] for i in (a, b))
-        mask -= (mask >> 63) << 64
-        keys.append(F.xxhash64("t", F.lit(k), F.col("fp").bitwiseAND(F.lit(mask))))
-    spread = each.select("key", "fp", F.explode(F.array(*keys)).alias("shard"))
-    sizes = spread.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    placed = spread.join(sizes, "shard")
-    # a shard over `most` is cut into blocks by document; a document goes to each pair that its block is in
-    count = F.ceil(F.col("n") / F.lit(most)).cast("int")
-    own = F.pmod(F.xxhash64("fp"), count).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), count - 1), lambda other: F.struct(F.least(own, other).alias("i"), F.greatest(own, other).alias("j")))
-    tree = F.when(F.col("n") <= most, F.col("shard")).otherwise(F.xxhash64("shard", "pair"))
-    dealt = placed.select("key", "fp", "shard", "n", own.alias("own"), F.explode(pairs).alias("pair")).select("key", "fp", tree.alias("tree"), (F.col("own") == F.col("pair.i")).alias("first"), (F.col("pair.i") == F.col("pair.j")).alias("one"))
-    n = max(common.shuffle_partitions(marked.sparkSession), 1)
-    ordered = dealt.repartition(n, "tree").sortWithinPartitions("tree")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, one, out = None, ({}, {}), True, []
-        for batch in batches:
-            value = batch.column("fp").to_numpy().view(np.uint64).tolist()
-            for tree, fp, key, first, single in zip(batch.column("tree").to_pylist(), value, batch.column("key").to_pylist(), batch.column("first").to_pylist(), batch.column("one").to_pylist(), strict=True):
-                if tree != at:
-                    if at is not None:
-                        out += tree_edges(held[0], held[0] if one else held[1], radius)
-                    at, held, one = tree, ({}, {}), single
-                # equal fingerprints meet in the first that came
-                known = held[0 if first else 1].setdefault(fp, key)
-                if known != key:
-                    out.append((key, known))
-            if len(out) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], schema=schema)
-                out = []
-        if at is not None:
-            out += tree_edges(held[0], held[0] if one else held[1], radius)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], schema=schema)
-
-    found = ordered.mapInArrow(run, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
 #: Bands of a document's min-wise shingles, and the minima in each. Two texts share each minimum with their Jaccard
 #: similarity as the chance, so at 0.8 a pair is missed with a chance of (1 - 0.8 ** 5) ** 32, 3 in a million.
 BANDS, ROWS = 32, 5
@@ -457,23 +392,25 @@ def verified_links(groups: DataFrame, sets: DataFrame, similarity: float, few: i
 
 
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, key and component_id of every document linked to another: share `similarity` of both's shingles at least.
+    """doc_id, key, alt and component_id of every document linked to another: share `similarity` of both's shingles at least.
 
     Candidates are documents that share a band of min-wise shingles; each pair of them is held to the exact share of shingles (Jaccard), and only pairs that pass unite. component_id is the
     smallest doc_id of a component, null if all are. Documents without words are not linked. Rows equal in doc_id and text are one document.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_shingles", pa.int64()), ("sigs", pa.list_(pa.int64()))])
+    named_by = ["key", "alt"]  # 128 bits, and doc_id beside them: no two documents are taken for one
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("alt", pa.int64()), ("n_shingles", pa.int64()), ("sigs", pa.list_(pa.int64()))])
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in common.blocks(batches, most=4 << 20):
             sets = [shingles(x, words) for x in common.encoded(block.column("text"))]
             sigs = [band_keys(x).view(np.int64) for x in sets]
-            yield from common.emit({"doc_id": block.column("doc_id"), "key": block.column("key"), "n_shingles": [len(x) for x in sets], "sigs": sigs}, schema)
+            yield from common.emit({c: block.column(c) for c in ("doc_id", "key", "alt")} | {"n_shingles": [len(x) for x in sets], "sigs": sigs}, schema)
 
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.document_key().alias("key"), "text")
-    marked = keyed.filter(F.col("text").rlike("[^\\x20\\x09-\\x0D]")).mapInArrow(mark, "doc_id long, key long, n_shingles long, sigs array<long>")
-    marked = common.written(marked.dropDuplicates(["key"]), "signatures", compression="zstd")
-    each = marked.select("key", "n_shingles", F.explode("sigs").alias("sig"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_identity(), "text")
+    marked = keyed.filter(F.col("text").rlike("[^\\x20\\x09-\\x0D]")).mapInArrow(mark, "doc_id long, key long, alt long, n_shingles long, sigs array<long>")
+    # a number a document, kept by being written; all that follows knows documents by it
+    marked = common.written(marked.dropDuplicates(["doc_id", *named_by]).withColumn("node", F.monotonically_increasing_id()), "signatures", compression="zstd")
+    each = marked.select(F.col("node").alias("key"), "n_shingles", F.explode("sigs").alias("sig"))
     often = each.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("sig")
     groups = common.written(each.join(often, "sig"), "groups", compression="zstd")
     own = pa.schema([("key", pa.int64()), ("shingles", pa.list_(pa.int64()))])
@@ -481,15 +418,23 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in common.blocks(batches, most=1 << 20):
             sets = [shingles(x, words).view(np.int64) for x in common.encoded(block.column("text"))]
-            yield from common.emit({"key": block.column("key"), "shingles": sets}, own, 500)
+            yield from common.emit({"key": block.column("node"), "shingles": sets}, own, 500)
 
-    involved = groups.select("key").distinct()
-    sets = keyed.select("key", "text").join(involved, "key").dropDuplicates(["key"]).mapInArrow(shingled, "key long, shingles array<long>")
+    involved = marked.select("node", F.col("doc_id").alias("of"), *named_by).join(groups.select(F.col("key").alias("node")).distinct(), "node", "left_semi")
+    sets = keyed.join(involved, named_by).filter(F.col("doc_id").eqNullSafe(F.col("of"))).dropDuplicates(["node"]).select("node", "text").mapInArrow(shingled, "key long, shingles array<long>")
     sets = common.written(sets, "shingles")
-    components_ = components(common.written(verified_links(groups, sets, similarity), "verified"))
-    named = components_.join(marked.select(F.col("key").alias("node"), "doc_id"), "node")
-    least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "label").select("doc_id", F.col("node").alias("key"), "component_id")
+    verified = common.written(verified_links(groups, sets, similarity), "verified")
+    common.dropped(groups, sets)
+    labels = components(verified)
+    named = common.written(labels.join(marked.select("node", "doc_id", *named_by), "node"), "labelled")
+    common.dropped(marked, verified)
+    least = common.written(named.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "least")
+    return common.join_by_share(named, least, ["label"], named.count()).select("doc_id", *named_by, "component_id")
+
+
+def _identity(doc_id: str = "doc_id", text: str = "text") -> list:
+    """128 bits that go with (doc_id, text): key and alt."""
+    return [common.document_key(doc_id, text).alias("key"), F.xxhash64(F.lit("alt"), F.col(doc_id), F.col(text)).alias("alt")]
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -499,13 +444,12 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     Rows equal in doc_id and text are one document.
     """
     found = similar_documents(docs, words, similarity)
-    gone = found.filter(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("key").alias("__key"))
-    kept = docs.withColumn("__key", common.document_key()).join(gone, "__key", "left_anti")
-    return kept.select(*docs.columns)
+    gone = found.filter(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("key", "alt", F.col("doc_id").alias("of"))
+    held, back = common.aside(docs, docs.columns, *_identity(), F.col("doc_id").cast("long").alias("id"))
+    same = (held["key"] == gone["key"]) & (held["alt"] == gone["alt"]) & held["id"].eqNullSafe(gone["of"])
+    return held.join(gone, same, "left_anti").select(*back)
 
 
 def hex_column(fp: str = "fp"):
     """A fingerprint as 16 lowercase hexadecimal digits."""
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
-
-
