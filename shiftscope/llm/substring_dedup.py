@@ -11,18 +11,24 @@ Every window is owned by the symbol with the least name of the highest level tha
 equal owners at equal places, and a window whose owner occurs once is unique. The Spark round:
 
 1. Each task parses its documents block by block and sends one row for each stretch of windows with one owner:
-   the owner's name, joined with the words that all windows of the stretch have beside it, a hash of all the words that
-   the stretch spans, and where it stands. Names that occur more than once in a block are settled there, and the
+   the owner's name, joined with the words that all windows of the stretch have beside it, a check of all the words that
+   the stretch spans, and where it stands. Names and checks come from two hashes of the words that are independent, so
+   words that collide in one differ in the other. Names that occur more than once in a block are settled there, and the
    block sends one row for each such name, so a passage found everywhere sends as many rows as there are blocks.
 2. Rows meet by name: unique ones end here, equal stretches are verified repeats, and stretches that share
    the name but differ somewhere are left to step 3.
-3. For those stretches alone, the windows' own hashes (128 bits) meet, again settled within blocks first.
+3. For those stretches alone, the windows' own hashes meet, 128 bits of two independent kinds, again settled within
+   blocks first.
 4. Verified window starts go back to their documents, and the words they cover are removed.
 
 Windows are judged on the input: all words of a repeated window go, in every document, the first as well. Words
-are `[^\\x20\\x09-\\x0D]+`, unchanged; kept words are joined by one space. Null counts as no words. Rows equal in
-doc_id and text are distinct occurrences of each other's passages. An empty table gives an empty result. Columns
-besides doc_id and text aren't looked at.
+are `[^\\x20\\x09-\\x0D]+`, unchanged; kept words are joined by one space; bytes that aren't UTF-8 are kept as U+FFFD.
+Null counts as no words. Rows equal in doc_id and text are distinct occurrences of each other's passages. An empty
+table gives an empty result. Columns besides doc_id and text (and n_chars, in `without_repeats`) are carried as they
+are, whatever their names.
+
+A name met everywhere has one row a block (BLOCK bytes of text), so at 100 TB some 16 million rows of 50 bytes, sorted by
+one task with spill; no more of it meets.
 """
 
 from __future__ import annotations
@@ -60,24 +66,36 @@ def mix(a: np.ndarray, b: np.ndarray | int, salt: int) -> np.ndarray:
     return x
 
 
+class _Numbers(dict):
+    """A word's number in its block, by first appearance."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 class Words:
-    """Names of the words of several documents in a row, and each document's first place and end."""
+    """Names and checks of the words of several documents in a row, and each document's first place and end."""
 
     def __init__(self, contents: list[bytes]):
-        digest, names, counts = xxhash.xxh64_intdigest, [], []
+        numbers, ids, counts = _Numbers(), [], []
         for content in contents:
             words = content.split()  # of bytes: at \x20 and \x09-\x0D
             counts.append(len(words))
-            names.append(np.fromiter(map(digest, words), U, len(words)))
-        self.names = np.concatenate(names) if names else np.zeros(0, U)
+            ids.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
+        place = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+        digest = xxhash.xxh3_64_intdigest
+        self.names = np.fromiter(map(xxhash.xxh64_intdigest, numbers), U, len(numbers))[place]
+        self.checks = np.fromiter((digest(w, 97) for w in numbers), U, len(numbers))[place]
         self.ends = np.cumsum(np.array(counts, np.int64))
         self.starts = self.ends - np.array(counts, np.int64)
 
-    def windows(self, window: int, salt: int = 0) -> np.ndarray:
-        """A hash of each `window` words in a row, by doubling; across documents' borders too."""
-        if len(self.names) < window:
+    @staticmethod
+    def windows(words: np.ndarray, window: int, salt: int = 0) -> np.ndarray:
+        """A hash of each `window` words in a row (names or checks), by doubling; across documents' borders too."""
+        if len(words) < window:
             return np.zeros(0, U)
-        span, h = 1, self.names
+        span, h = 1, words
         while 2 * span <= window:
             h = mix(h[:-span], h[span:], salt + span)
             span *= 2
@@ -220,7 +238,7 @@ def stretches(words: Words, window: int = WINDOW, levels: int = LEVELS) -> tuple
     if not len(starts):
         return np.zeros(0, U), np.zeros(0, U), starts, starts, doc
     owner, which, low, high = owners(words, starts, window, levels)
-    h = words.windows(window)
+    h = words.windows(words.checks, window)
     leans = low - starts > starts + window - high
     new = np.ones(len(starts), bool)
     new[1:] = (which[1:] != which[:-1]) | (doc[1:] != doc[:-1]) | (leans[1:] != leans[:-1])
@@ -348,7 +366,7 @@ def _compared(docs: DataFrame, found: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in common.blocks(batches, most=BLOCK):
             words = Words(common.encoded(block.column("text")))
-            one, other = words.windows(window), words.windows(window, 1000)
+            one, other = words.windows(words.names, window), words.windows(words.checks, window, 1000)
             row, first, n = _stretch_arrays(block.column("stretches"))
             if not len(n):
                 continue
@@ -364,11 +382,11 @@ def _compared(docs: DataFrame, found: DataFrame, window: int) -> DataFrame:
     return _with_stretches(docs, found, "inner").drop("id").mapInArrow(run, _ROWS)
 
 
-def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, doc, first, n: n windows in a row, from word `first` of a document, each of which also starts elsewhere."""
+def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """A written table that the other reads, and doc_id, doc, first, n: n windows in a row, from word `first` of a document, each of which also starts elsewhere."""
     met = common.written(_by_name(_parsed(docs, window)), "stretches")
     single = _by_window(_compared(docs, met.filter("compare"), window))
-    return met.filter("repeat").select("doc_id", "doc", "first", "n").unionByName(single)
+    return met, met.filter("repeat").select("doc_id", "doc", "first", "n").unionByName(single)
 
 
 def _covered(words: int, first: np.ndarray, n: np.ndarray, window: int) -> np.ndarray:
@@ -392,20 +410,25 @@ def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 if b > a:
                     covered = _covered(len(words), first[a:b], n[a:b], window)
                     kept = [w for w, gone in zip(words, covered.tolist(), strict=True) if not gone]
-                out["kept"].append(b" ".join(kept).decode())
+                out["kept"].append(b" ".join(kept).decode("utf-8", "replace"))
                 out["n_words"].append(len(words))
                 out["n_removed"].append(len(words) - len(kept))
             yield from common.emit({"doc_id": block.column("doc_id"), "doc": block.column("doc"), **out}, schema, 2000)
 
-    joined = _with_stretches(docs, common.written(repeats(docs, window), "repeats"), "left").drop("id")
+    met, found = repeats(docs, window)
+    found = common.written(found, "repeats")
+    common.dropped(met)
+    joined = _with_stretches(docs, found, "left").drop("id")
     return joined.mapInArrow(run, "doc_id long, doc long, kept string, n_words long, n_removed long")
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """All rows and columns of docs; texts that lose words keep the others joined by one space, n_chars follows."""
-    cleaned = remove(docs, window).filter("n_removed > 0").select(F.col("doc").alias("__doc"), F.col("doc_id").alias("__id"), F.col("kept").alias("__kept")).dropDuplicates(["__doc", "__id"])
-    joined = docs.withColumn("__key", common.document_key()).join(cleaned, (F.col("__key") == F.col("__doc")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left")
-    changed = {"text": F.when(F.col("__doc").isNotNull(), F.col("__kept")).otherwise(F.col("text"))}
-    if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("__doc").isNotNull(), F.length("__kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return joined.withColumns(changed).select(*docs.columns)
+    cleaned = remove(docs, window).filter("n_removed > 0").select("doc", F.col("doc_id").alias("id"), "kept").dropDuplicates(["doc", "id"])
+    held, back = common.aside(docs, docs.columns, common.document_key().alias("key"), F.col("doc_id").cast("long").alias("own"))
+    joined = held.join(cleaned, (F.col("key") == F.col("doc")) & F.col("own").eqNullSafe(F.col("id")), "left")
+    for i, c in enumerate(docs.columns):
+        new = {"text": F.col("kept"), "n_chars": F.length("kept")}.get(c)
+        if new is not None:
+            back[i] = F.when(F.col("doc").isNotNull(), new.cast(docs.schema[c].dataType)).otherwise(F.col(f"c{i}")).alias(c)
+    return joined.select(*back)
