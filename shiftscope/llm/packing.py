@@ -1,7 +1,8 @@
 """Packing: optimal length buckets, and token-budget batches inside each bucket.
 
-1. The histogram of lengths is global: a count for each length that occurs, of all documents. Different lengths
-   of t tokens in all are at most sqrt(2 t), so its rows are few whatever the corpus.
+1. Lengths are counted once and written beside the columns that are asked for. Their histogram is global: a count
+   for each length that occurs, of all documents. Different lengths of t tokens in all are at most sqrt(2 t), so its
+   rows are few whatever the corpus.
 2. Dynamic programming chooses `buckets` boundaries that minimise padding, each document padded to its bucket's
    boundary. The cost of a bucket from length i to j is linear in the counts below i for given j, so each layer
    is a lower hull of lines met in rising order: O(buckets x lengths), exact.
@@ -11,7 +12,8 @@
 
 A length is the number of words `[^\\x20\\x09-\\x0D]+`, one at least, so null and empty texts take a place of one
 token. A document longer than the budget makes a batch of its own. Ties of doc_id are ordered by the text's hash; repeated rows are
-each packed. Null doc_ids come first. An empty table gives an empty result.
+each packed. Null doc_ids come first. An empty table gives an empty result. The columns asked for are carried as they
+are, whatever their names; the five made here stand behind them. Bytes that aren't UTF-8 count as word characters.
 """
 
 from __future__ import annotations
@@ -85,10 +87,10 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS)
     return np.array(out[::-1], np.int64)
 
 
-def histogram(docs: DataFrame, length: Column) -> tuple[np.ndarray, np.ndarray]:
-    rows = docs.select(F.greatest(length, F.lit(1)).cast("long").alias("length")).groupBy("length").agg(F.count(F.lit(1)).alias("n"))
-    found = rows.toPandas().sort_values("length")  # at most sqrt(2 x tokens) rows
-    return found["length"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
+def histogram(lengths: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Of a column __n."""
+    found = lengths.groupBy("__n").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("__n")  # at most sqrt(2 x tokens) rows
+    return found["__n"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
 
 
 def pack(docs: DataFrame, columns: list[str], length: Column | None = None, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
@@ -99,8 +101,9 @@ def pack(docs: DataFrame, columns: list[str], length: Column | None = None, buck
     spark = docs.sparkSession
     length = word_count() if length is None else length
     # the columns keep out of the way of those made here
-    held = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)], F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__hash"), F.greatest(length, F.lit(1)).cast("long").alias("__n"))
-    lengths, counts = histogram(docs, length)
+    held, back = common.aside(docs, columns, F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__hash"), F.greatest(length, F.lit(1)).cast("long").alias("__n"))
+    counted = held = common.written(held, "lengths", compression="zstd")
+    lengths, counts = histogram(held)
     ends = boundaries(lengths, counts, buckets)
     bucket = F.lit(0)
     for k, end in enumerate(ends[:-1].tolist()):
@@ -110,6 +113,7 @@ def pack(docs: DataFrame, columns: list[str], length: Column | None = None, buck
     by = [F.col("__bucket"), F.col("__id").asc_nulls_first(), F.col("__hash"), F.col("__tie")]
     ordered = held.repartitionByRange(common.shuffle_partitions(spark), *by).sortWithinPartitions(*by).drop("__hash", "__tie")
     placed = common.written(ordered.withColumn("__at", F.monotonically_increasing_id()), "packing", compression="zstd")
+    common.dropped(counted)
     placed = placed.withColumn("__part", F.shiftrightunsigned("__at", 33))
     runs = placed.groupBy("__part", "__bucket").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__count"))
     offsets = _offsets(runs)
@@ -118,7 +122,7 @@ def pack(docs: DataFrame, columns: list[str], length: Column | None = None, buck
     rank = rank.withColumn("__length", boundary.cast("long"))
     room = F.greatest(F.floor(F.lit(budget) / F.col("__length")), F.lit(1))
     return rank.select(
-        *[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)],
+        *back,
         F.col("__n").alias("pack_tokens"),
         F.col("__bucket").alias("pack_bucket"),
         F.col("__length").alias("pack_length"),
