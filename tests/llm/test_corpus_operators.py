@@ -64,6 +64,20 @@ class TestExactDedup:
         assert exact_dedup.groups(table(spark, [])).count() == 0
         assert exact_dedup.deduplicate(table(spark, [])).count() == 0
 
+    def test_a_hot_text_and_one_that_shares_its_hash(self, spark, monkeypatch):
+        monkeypatch.setattr(exact_dedup.xxhash, "xxh64_intdigest", lambda x: 7 if x.startswith(b"hot") else hash(x) & (2**63 - 1))
+        monkeypatch.setattr(exact_dedup.common, "HOT_ROWS", 10)
+        rows = [(i, "Hot text") for i in range(2000)] + [(5000 + i, "hot other") for i in range(40)] + [(9000 + i, f"x{i}") for i in range(500)]
+        random.Random(2).shuffle(rows)
+        blocks = exact_dedup.common.blocks
+        monkeypatch.setattr(exact_dedup.common, "blocks", lambda batches, by="text", most=0: blocks(batches, by, 200))
+        pending = spark.createDataFrame([(t, i, 7 if t.lower().startswith("hot") else i, [i], len(t)) for i, t in rows], "__text string, __id long, __hash long, __members array<long>, __bytes long")
+        monkeypatch.setattr(exact_dedup, "local_groups", lambda docs, payload: pending)
+        found = exact_dedup.groups(table(spark, rows), 1000)
+        assert sorted(map(tuple, found.collect()), key=repr) == self.expected(rows)
+        apart, same = exact_dedup._hot_apart(pending, 1000, 1000)
+        assert {r[0] for r in same.select("__text").distinct().collect()} in ({"Hot text"}, {"hot other"}) and apart.count() + same.count() == len(rows)
+
     def test_equal_hashes_stay_apart(self):
         own = exact_dedup.ContentTable(4)
         assert [own.ordinal(5, b"a"), own.ordinal(5, b"b"), own.ordinal(5, b"a"), own.ordinal(9, b"c")] == [(0, True), (1, True), (0, False), (2, True)]
@@ -191,6 +205,33 @@ class TestSimHash:
         found = simhash.near_duplicates(table(spark, rows), most=most).withColumn("hex", simhash.hex_column())
         assert sorted(((r.doc_id, r.hex, r.component_id) for r in found.collect()), key=repr) == self.components(rows)
 
+    def test_a_hot_fingerprint_and_a_large_component(self, spark, monkeypatch):
+        from shiftscope.llm import common
+
+        monkeypatch.setattr(common, "HOT_ROWS", 10)
+        copies = spark.range(100_000).selectExpr("id doc_id", "'One Two three four' text")
+        chain = spark.range(64).selectExpr("id + 200000 doc_id", "concat('a b c d', string(id)) text")
+        found = simhash.near_duplicates(copies.unionByName(chain)).filter("doc_id < 100000").agg({"component_id": "max", "doc_id": "count"}).first()
+        assert (found["max(component_id)"], found["count(doc_id)"]) == (0, 100_000)
+        # 100,000 nodes in one component: a star of stars
+        edges = spark.range(1, 100_000).selectExpr("id a", "if(id < 300, 0L, id % 300) b")
+        assert simhash.components(edges).agg({"label": "max", "node": "count"}).first().asDict() == {"max(label)": 0, "count(node)": 100_000}
+
+    def test_crowded_shards_lose_nothing(self, spark):
+        rnd = random.Random(3)
+        values = {sum(1 << b for b in rnd.sample(range(20), 10)) << 3 for _ in range(1500)}
+        fps = spark.createDataFrame([(v,) for v in values], "fp long")
+        found = {r.node: r.label for r in simhash.components(simhash.links(fps, most=30)).collect()}
+        label = {v: v for v in values}
+        for x in sorted(values):
+            for a, b in ((a, b) for a in range(3, 23) for b in range(a)):
+                y = x ^ (1 << a) ^ (1 << b)
+                if y in label and label[x] != label[y]:
+                    one, two = label[x], label[y]
+                    label = {k: min(one, two) if c in (one, two) else c for k, c in label.items()}
+        sizes = {c: list(label.values()).count(c) for c in set(label.values())}
+        assert found == {v: c for v, c in label.items() if sizes[c] > 1}
+
     def test_tree_finds_what_all_pairs_find(self):
         rnd = random.Random(1)
         values = list({sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, 3))) for _ in range(600)})
@@ -248,11 +289,6 @@ class TestSimilarDocuments:
         assert sum(map(len, found.values())) >= 0.95 * sum(map(len, whole))
         assert all(min(i for i in g if i is not None) == c for c, g in found.items())
 
-    def test_blocks_give_the_same(self, spark):
-        marked = spark.createDataFrame([(i, [i * 7 % 64, 3]) for i in range(300)], "key long, fps array<long>")
-        groups = lambda most: sorted((r.node, r.label) for r in simhash.components(simhash.candidate_edges(marked, 3, most)).collect())
-        assert groups(4096) == groups(20)
-
     def test_one_of_each(self, spark):
         rows = self.rows()
         kept = simhash.one_of_each(table(spark, rows)).collect()
