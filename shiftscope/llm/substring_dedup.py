@@ -86,10 +86,15 @@ class Words:
         place = np.concatenate(ids) if ids else np.zeros(0, np.int32)
         digest = xxhash.xxh3_64_intdigest
         self.names = np.fromiter(map(xxhash.xxh64_intdigest, numbers), U, len(numbers))[place]
-        self.checks = np.fromiter((digest(w, 97) for w in numbers), U, len(numbers))[place]
+        self.place, self.check = place, np.fromiter((digest(w, 97) for w in numbers), U, len(numbers))
         self.ends = np.cumsum(np.array(counts, np.int64))
         self.starts = self.ends - np.array(counts, np.int64)
 
+    @property
+    def checks(self) -> np.ndarray:
+        """Made when asked for, as names and the parse of a block are most of a task's memory."""
+        return self.check[self.place]
+
     @staticmethod
     def windows(words: np.ndarray, window: int, salt: int = 0) -> np.ndarray:
         """A hash of each `window` words in a row (names or checks), by doubling; across documents' borders too."""
