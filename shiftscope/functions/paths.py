@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import semver
+
 
 def spec_name(spec: Column) -> Column:
     """`@a/b` of `@a/b@1.2`; an @ at the start isn't a version's."""
@@ -17,29 +19,55 @@ def spec_version(spec: Column) -> Column:
 
 
 def spec_kind(spec: Column) -> Column:
-    """What a declared specifier is, by the first rule that fits."""
+    """What a declared specifier is, by the first rule that fits; white space around it doesn't count."""
+    s = F.trim(spec)
     return (
-        F.when(spec.rlike(r"^workspace:"), "workspace")
-        .when(spec.rlike(r"^(link|portal):"), "link")
-        .when(spec.rlike(r"^file:|^\.{1,2}/|^/|^~/"), "file")
-        .when(spec.rlike(r"^npm:"), "alias")
-        .when(spec.rlike(r"^catalog:"), "catalog")
-        .when(spec.rlike(r"^(git\+|git:|github:|gitlab:|bitbucket:)|\.git(#.*)?\z|^[\w.-]+/[\w.-]+(#.*)?\z"), "git")
-        .when(spec.rlike(r"^https?:"), "url")
-        .when(spec.rlike(r"^[\sv\d^~<>=|*xX.-]*[\d*xX][\w.+-]*(\s.*)?\z") | (spec == ""), "range")
-        .otherwise("tag")
+        F.when(s.rlike(r"^workspace:"), "workspace")
+        .when(s.rlike(r"^catalog:"), "catalog")
+        .when(s.rlike(r"^link:"), "link")
+        .when(s.rlike(r"^file:|^\.{1,2}/|^/|^~/"), "file")
+        .when(s.rlike(r"^npm:"), "alias")
+        .when(s.rlike(r"^(git\+|git:|github:|gitlab:|bitbucket:)|^[\w-]+/[\w.-]+(#.*)?\z"), "git")
+        .when(s.rlike(r"^https?:"), "url")
+        .when(s == "latest", "tag")
+        .when((s == "") | semver.is_range(s), "range")
+        .when(s.rlike(r"(?i)^[a-z][\w.-]*\z"), "tag")
+        .otherwise("range")
     )
 
 
+def alias_of(spec: Column) -> Column:
+    """`a` of "npm:a@1"; null for what is no alias."""
+    rest = F.regexp_extract(F.trim(spec), r"^npm:(.*)\z", 1)
+    return F.when(F.startswith(F.trim(spec), F.lit("npm:")), F.when(rest.rlike("^.+@"), F.regexp_extract(rest, r"^(.+)@", 1)).otherwise(rest))
+
+
+def range_of(spec: Column) -> Column:
+    """What a specifier says of versions: an alias's part behind the last @."""
+    return F.when(F.startswith(spec, F.lit("npm:")), F.regexp_replace(spec, r"^npm:.*@", "")).otherwise(spec)
+
+
 def package_of(specifier: Column) -> Column:
-    """The package of an import specifier; null for relative ones."""
-    return F.when(~specifier.rlike(r"^[./]"), F.regexp_extract(specifier, r"^(@[^/]+/[^/]+|[^/]+)", 1))
+    """The package of an import specifier; null for relative ones, aliases (#) and schemes."""
+    found = F.regexp_extract(specifier, r"^(@[^/]+/[^/]+|[^@/][^/]*)", 1)
+    return F.when(~specifier.rlike(r"^[./#]|(?i)^[a-z]+:") & (found != ""), found)
 
 
 def subpath_of(specifier: Column) -> Column:
     return F.regexp_extract(specifier, r"^(?:@[^/]+/[^/]+|[^/]+)/?(.*)\z", 1)
 
 
+def types_package(name: Column) -> Column:
+    """The package that declares another's types."""
+    return F.concat(F.lit("@types/"), F.when(F.startswith(name, F.lit("@")), F.regexp_replace(F.substring(name, 2, 1 << 20), "/", "__")).otherwise(name))
+
+
+def typed_package(name: Column) -> Column:
+    """The package whose types another declares: @a/b of @types/a__b; null of others."""
+    bare = F.regexp_extract(name, r"^@types/(.*)\z", 1)
+    return F.when(bare != "", F.when(F.contains(bare, F.lit("__")), F.concat(F.lit("@"), F.regexp_replace(bare, "^(.*?)__", "$1/"))).otherwise(bare))
+
+
 def url_host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1))
 

@@ -85,6 +85,16 @@ def satisfies(v: Column | str, declared: Column | str) -> Column:
     return F.when(key(v).isNull() | spec.isNull(), None).when(some, True).when(F.exists(allowed, lambda x: x.isNull()), None).otherwise(False)
 
 
+_ONE = r"(?:>=|<=|>|<|=|\^|~)?\s*v?(?:\d+|[xX*])(?:\.(?:\d+|[xX*])){0,2}(?:-[0-9A-Za-z.-]+)?(?:\+[0-9A-Za-z.-]+)?"
+_SOME = rf"(?:{_ONE}(?:\s+-\s+{_ONE}|(?:\s+{_ONE})*)|)"
+_RANGE = rf"^{_SOME}(?:\s*\|\|\s*{_SOME})*\z"
+
+
+def is_range(declared: Column | str) -> Column:
+    """Whether a specifier is written as a range: alternatives of comparators, hyphens and x-ranges."""
+    return F.trim(_col(declared)).rlike(_RANGE)
+
+
 def _bound(text: Column, k: int) -> Column:
     return F.regexp_extract(text, r"^[\^~]?v?(\d+|[xX*])?(?:\.(\d+|[xX*]))?(?:\.(\d+|[xX*]))?", k)
 

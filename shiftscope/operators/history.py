@@ -9,9 +9,41 @@ from ..functions import semver
 from ..functions import text as T
 
 
+# How the name, address or login of a bot looks.
+BOTS = r"(?i)\[bot\]|^renovate( bot)?\z|^dependabot\z|@renovateapp\.com\z|@dependabot\.com\z|^bot@"
+
+
 def is_bot(author: Column, email: Column, login: Column) -> Column:
-    said = F.concat_ws(" ", author, email, login)
-    return said.rlike(r"(?i)\[bot\]|\b(dependabot|renovate|greenkeeper|snyk|github-actions)\b")
+    return F.exists(F.array(author, email, login), lambda x: F.coalesce(x.rlike(BOTS), F.lit(False)))
+
+
+def is_merge(parents: Column) -> Column:
+    return parents > 1
+
+
+# Titles of pull requests that bump several packages at once, and paths of test files.
+GROUPED_TITLE = r"(?i)\bnon[- ]?major\b|\ball\b.*\b(?:dependencies|updates)\b|\block ?file maintenance\b"
+TEST_FILE = r"(?i)(?:^|/)(?:__tests__|__mocks__|tests?|specs?|e2e|cypress|playwright|__snapshots__)/|\.(?:test|spec|e2e|cy|stories)\.[cm]?[jt]sx?\z|(?:^|/)(?:vitest|jest|playwright)\.(?:setup|config)[^/]*\z"
+
+
+def is_grouped(title: Column) -> Column:
+    return title.rlike(GROUPED_TITLE)
+
+
+def is_test_path(path: Column) -> Column:
+    return path.rlike(TEST_FILE)
+
+
+def unquoted(path: Column) -> Column:
+    """A path as git quotes it in a diff: C escapes and octal bytes of UTF-8 between quotes."""
+    inner = F.regexp_extract(path, r'^"(.*)"\z', 1)
+    parts = F.regexp_extract_all(inner, F.lit(r"\\[0-7]{3}|\\.|[^\\]+"), F.lit(0))
+    # C escapes.
+    plain = {"n": "0A", "t": "09", "r": "0D", "a": "07", "b": "08", "f": "0C", "v": "0B"}
+    short = lambda x: F.coalesce(F.create_map(*[F.lit(y) for k, v in plain.items() for y in (k, v)])[F.substring(x, 2, 1)], F.hex(F.substring(x, 2, 1)))
+    octal = lambda x: F.lpad(F.conv(F.substring(x, 2, 3), 8, 16), 2, "0")
+    digits = F.transform(parts, lambda x: F.when(x.rlike(r"^\\[0-7]{3}"), octal(x)).when(F.startswith(x, F.lit("\\")), short(x)).otherwise(F.hex(x)))
+    return F.when(path.rlike('^".*"\\z'), F.decode(F.unhex(F.array_join(digits, "")), "UTF-8")).otherwise(path)
 
 
 def diff_lines(diffs: DataFrame) -> DataFrame:
@@ -31,7 +63,8 @@ def diff_lines(diffs: DataFrame) -> DataFrame:
     counted = told.withColumns({"inside": in_hunk, "mark": mark, "old0": start(1), "new0": start(2)})
     counted = counted.withColumns({"old_n": F.sum((F.col("inside") & F.col("mark").isin("-", " ")).cast("int")).over(own), "new_n": F.sum((F.col("inside") & F.col("mark").isin("+", " ")).cast("int")).over(own)})
     path = Window.partitionBy("id", "file_no")
-    named = counted.withColumns({"old_path": F.max(F.when(~F.col("inside"), F.regexp_extract("raw", r"^--- (?:a/)?(.*?)\s*\z", 1))).over(path), "new_path": F.max(F.when(~F.col("inside"), F.regexp_extract("raw", r"^\+\+\+ (?:b/)?(.*?)\s*\z", 1))).over(path)})
+    head = lambda mark: F.regexp_replace(unquoted(F.regexp_extract("raw", rf"^{mark} ([^\t]*?)\s*(?:\t.*)?\z", 1)), "^[ab]/", "")
+    named = counted.withColumns({"old_path": F.max(F.when(~F.col("inside"), head("---"))).over(path), "new_path": F.max(F.when(~F.col("inside"), head(r"\+\+\+"))).over(path)})
     side = F.when(F.col("mark") == "-", "old").when(F.col("mark") == "+", "new")
     return named.filter("inside").withColumn("side", side).filter("side is not null").select("id", F.when(F.col("side") == "old", F.col("old_path")).otherwise(F.col("new_path")).alias("file"), "side", F.when(F.col("side") == "old", F.col("old0") + F.col("old_n") - 1).otherwise(F.col("new0") + F.col("new_n") - 1).alias("line"), F.expr("substring(raw, 2)").alias("text"))
 
@@ -89,3 +122,49 @@ def accepted(mined: DataFrame, ladder: list[tuple[str, Column]]) -> DataFrame:
     for code, flag in reversed(ladder):
         out = F.when(flag, F.lit(code)).otherwise(out)
     return mined.withColumn("reason", out)
+
+
+def evidence(expected: DataFrame, added: DataFrame, facts: DataFrame) -> DataFrame:
+    """id, package, on_site, options, types, imports (`file:line` of expected lines), names: what ties a fix to a package; only packages with some.
+
+    expected: id, file, line, text, packages array; added: id, file, text; facts: id, package, kind (site, option, type,
+    import or name), file, line, name. A name counts where a line of the files that import the package has it as a token,
+    so that names and lines meet by equality.
+    """
+    own = expected.select("id", "file", "line", "text", F.explode("packages").alias("package"))
+    at = facts.filter("kind <> 'name'").select("id", "package", "kind", "file", "line").distinct()
+    lines_ = own.join(at, ["id", "package", "file", "line"]).withColumn("place", F.concat_ws(":", "file", F.col("line").cast("string")))
+    of = lambda kind: F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("place"))))
+    placed = lines_.groupBy("id", "package").agg(of("site").alias("on_site"), of("option").alias("options"), of("type").alias("types"), of("import").alias("imports"))
+    files = own.select("id", "package", "file").distinct()
+    texts = own.select("id", "package", "text").unionByName(added.join(files, ["id", "file"]).select("id", "package", "text"))
+    token = texts.select("id", "package", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[\w$]+"), F.lit(0)))).alias("name"))
+    named = token.join(facts.filter("kind = 'name'").select("id", "package", "name").distinct(), ["id", "package", "name"]).groupBy("id", "package").agg(F.array_sort(F.collect_set("name")).alias("names"))
+    none = F.array().cast("array<string>")
+    both = placed.join(named, ["id", "package"], "full").select("id", "package", *[F.coalesce(c, none).alias(c) for c in ("on_site", "options", "types", "imports", "names")])
+    return both.filter(F.size(F.concat("on_site", "options", "types", "imports", "names")) > 0)
+
+
+#: Share of expected lines that only moved layout from which a fix is a formatter's.
+REFORMAT_SHARE = 0.5
+
+
+def checked(cases: DataFrame, found: DataFrame) -> DataFrame:
+    """id, check: reformat, weak or supported. cases: id, layout_share; found: rows of evidence()."""
+    met = cases.join(found.select("id").distinct().withColumn("tied", F.lit(True)), "id", "left")
+    return met.select("id", F.when(F.col("layout_share") >= REFORMAT_SHARE, "reformat").when(F.coalesce("tied", F.lit(False)), "supported").otherwise("weak").alias("check"))
+
+
+def counted(cases: DataFrame, every: bool = False) -> DataFrame:
+    """The cases that a score counts: supported ones, or all."""
+    return cases if every else cases.filter("check = 'supported'")
+
+
+def histogram(rows: DataFrame) -> DataFrame:
+    """repo, a count for each verdict, adapted (upgrades followed by a change of code) and suspects (quiet ones among them).
+
+    rows: repo, verdict, adapted array, follow_ups array.
+    """
+    touched = (F.size("adapted") > 0) | (F.size("follow_ups") > 0)
+    counts = [F.count_if(F.col("verdict") == v).alias(v.replace("-", "_")) for v in ("quiet", "review", "blocked", "not-analysed")]
+    return rows.groupBy("repo").agg(F.count(F.lit(1)).alias("upgrades"), *counts, F.count_if(touched).alias("adapted"), F.count_if(touched & (F.col("verdict") == "quiet")).alias("suspects"))

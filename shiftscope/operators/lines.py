@@ -5,7 +5,7 @@ Tables: lines (file, side, line int, text).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -30,6 +30,36 @@ def fenced(lines: DataFrame, key: str) -> DataFrame:
     return lines.withColumn("in_fence", before % 2 == 1)
 
 
+def fence_counts(text: Column) -> Column:
+    """A struct of lines and fenced (those with an odd number of fences before them) of a text, within its row."""
+    step = lambda acc, line: F.struct((acc["open"] != line.rlike(r"^\s*(```|~~~)")).alias("open"), (acc["fenced"] + acc["open"].cast("long")).alias("fenced"))
+    parts = F.split(text, "\n")
+    counted = F.aggregate(parts, F.struct(F.lit(False).alias("open"), F.lit(0).cast("long").alias("fenced")), step)
+    return F.struct(F.size(parts).cast("long").alias("lines"), counted["fenced"].alias("fenced"))
+
+
+def reformatted(removed: DataFrame, added: DataFrame, least: int = 6) -> DataFrame:
+    """id, file, line of removed lines that only changed layout: written again in the file as a multiset, or, with the
+    removed lines beside them, a part of what the file gains, layout apart and `least` characters long.
+
+    removed, added: id, file, line, text. Of equal removed lines the first are those written again. A file's own gained
+    text is all that a run is looked for in.
+    """
+    by = ["id", "file"]
+    own = removed.select(*by, "line", T.layout_free(F.col("text")).alias("same"))
+    new = added.select(*by, "line", T.layout_free(F.col("text")).alias("same"))
+    pool = new.filter("same <> ''").groupBy(*by, "same").agg(F.count(F.lit(1)).alias("pool"))
+    place = F.row_number().over(Window.partitionBy(*by, "same").orderBy("line"))
+    told = own.withColumn("place", place).join(pool, [*by, "same"], "left").withColumn("again", F.coalesce(F.col("place") <= F.col("pool"), F.lit(False)))
+    rest = told.filter("not again")
+    island = F.col("line") - F.row_number().over(Window.partitionBy(*by).orderBy("line"))
+    pieces = F.transform(F.array_sort(F.collect_list(F.struct("line", "same"))), lambda x: x["same"])
+    run = rest.withColumn("island", island).groupBy(*by, "island").agg(F.array_join(pieces, "").alias("joined"), F.collect_list("line").alias("places"))
+    gained = new.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "same"))), lambda x: x["same"]), "").alias("gained"))
+    inside = run.join(gained, by).filter((F.length("joined") >= least) & F.contains("gained", F.col("joined"))).select(*by, F.explode("places").alias("line"))
+    return told.filter("again").select(*by, "line").unionByName(inside)
+
+
 def moved(removed: DataFrame, added: DataFrame, by: list[str]) -> DataFrame:
     """by, same, pairs: lines equal but for their layout on both sides, as a multiset: the smaller count of each."""
     count = lambda df, name: df.select(*by, T.layout_free(F.col("text")).alias("same")).filter("same <> ''").groupBy(*by, "same").agg(F.count(F.lit(1)).alias(name))

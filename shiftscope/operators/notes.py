@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import semver
 from ..functions import text as T
-from . import lines
+from . import graphs, lines
 
 
 def waterfall(wanted: DataFrame, sources: list[tuple[str, DataFrame]]) -> DataFrame:
@@ -27,75 +27,117 @@ def waterfall(wanted: DataFrame, sources: list[tuple[str, DataFrame]]) -> DataFr
 
 
 def coverage(ranges: DataFrame, read: DataFrame) -> DataFrame:
-    """pkg, coverage: complete, partial, unavailable; a package without versions in range is complete.
+    """pkg, coverage: complete, partial, unavailable or none-published; a package without versions in range is complete.
 
-    ranges: pkg, version (null for an empty range); read: pkg, version, body.
+    ranges: pkg, version (null for an empty range); read: pkg, version, body and, if given, status: `not-published`
+    where a source could be asked and has nothing. Without a status what has no body is unavailable.
     """
-    met = ranges.join(read.filter("body is not null").select("pkg", "version", F.lit(True).alias("has")).distinct(), ["pkg", "version"], "left")
-    per = met.groupBy("pkg").agg(F.count("version").alias("n"), F.count_if("has").alias("found"))
-    return per.select("pkg", F.when(F.col("found") == F.col("n"), "complete").when(F.col("found") > 0, "partial").otherwise("unavailable").alias("coverage"))
+    status = F.col("status") if "status" in read.columns else F.lit(None).cast("string")
+    told = read.groupBy("pkg", "version").agg(F.bool_or(F.col("body").isNotNull()).alias("has"), F.bool_or(F.coalesce(status == "not-published", F.lit(False))).alias("none"))
+    met = ranges.join(told, ["pkg", "version"], "left")
+    per = met.groupBy("pkg").agg(F.count("version").alias("n"), F.count_if("has").alias("found"), F.count_if(F.col("version").isNotNull() & ~F.coalesce("has", F.lit(False)) & ~F.coalesce("none", F.lit(False))).alias("unknown"))
+    return per.select("pkg", F.when(F.col("found") == F.col("n"), "complete").when(F.col("found") > 0, "partial").when(F.col("unknown") > 0, "unavailable").otherwise("none-published").alias("coverage"))
+
+
+def spellings(pkg: Column, version: Column) -> Column:
+    """Tags that a release of a version may have. Fixed values, in the order in which they are tried; a place in it is a repository's scheme."""
+    bare = F.when(F.contains(pkg, F.lit("/")), F.split(pkg, "/")[1]).otherwise(pkg)
+    at = lambda name: F.concat(name, F.lit("@"), version)
+    dash = lambda name: F.concat(name, F.lit("-v"), version)
+    return F.array(F.concat(F.lit("v"), version), version, at(pkg), at(bare), dash(pkg), dash(bare), F.concat(F.lit("release-"), version))
 
 
 def tags(versions: DataFrame, tagged: DataFrame) -> DataFrame:
-    """pkg, version, tag: the first spelling of a version that the repository has a tag for; null if none."""
-    v, pkg = F.col("version"), F.col("pkg")
-    bare = F.regexp_extract(pkg, r"([^/]+)\z", 1)
-    spellings = F.array(F.concat(F.lit("v"), v), v, F.concat(pkg, F.lit("@"), v), F.concat(bare, F.lit("@"), v), F.concat(bare, F.lit("-v"), v), F.concat(bare, F.lit("-"), v), F.concat(F.lit("release-"), v))
-    each = versions.select("pkg", "version", F.posexplode(spellings).alias("pos", "tag"))
-    best = each.join(tagged.select("pkg", "tag").distinct(), ["pkg", "tag"]).groupBy("pkg", "version").agg(F.min_by("tag", "pos").alias("tag"))
-    return versions.select("pkg", "version").join(best, ["pkg", "version"], "left")
+    """pkg, version, tag, scheme: the first spelling of a version that the repository has a tag for; null if none."""
+    each = versions.select("pkg", "version", F.posexplode(spellings(F.col("pkg"), F.col("version"))).alias("scheme", "tag"))
+    best = each.join(tagged.select("pkg", "tag").distinct(), ["pkg", "tag"]).groupBy("pkg", "version").agg(F.min_by(F.struct("tag", "scheme"), "scheme").alias("best"))
+    return versions.select("pkg", "version").join(best, ["pkg", "version"], "left").select("pkg", "version", "best.tag", "best.scheme")
+
+
+def lookups(found: DataFrame, most: int = 12) -> DataFrame:
+    """pkg, version, place, tag: the tags to ask for, one by one, of versions without one in `found` (pkg, version, tag, scheme).
+
+    The scheme is that of the lowest version that has a tag; before one is known the first three spellings are
+    tried. At most `most` are asked a package, counted over its versions in order: a limit of the feature, told by the rows.
+    """
+    learned = found.filter("tag is not null").groupBy("pkg").agg(F.min_by("scheme", semver.version_order("version")).alias("learned"))
+    open_ = found.filter("tag is null").select("pkg", "version").join(learned, "pkg", "left")
+    spelled = spellings(F.col("pkg"), F.col("version"))
+    tries = F.when(F.col("learned").isNotNull(), F.array(F.get(spelled, F.col("learned")))).otherwise(F.slice(spelled, 1, 3))
+    each = open_.select("pkg", "version", F.posexplode(tries).alias("at", "tag"))
+    place = F.row_number().over(Window.partitionBy("pkg").orderBy(semver.version_order("version"), "at"))
+    return each.withColumn("place", place).filter(F.col("place") <= most).select("pkg", "version", "place", "tag")
 
 
 def headings(bodies: DataFrame, key: str, text: str) -> DataFrame:
-    """key, pos, level, title of headings outside fences, of both kinds: # marks, and underlined."""
-    each = lines.fenced(lines.split_lines(bodies, key, text), key).withColumn("below", F.lead("line").over(Window.partitionBy(key).orderBy("pos")))
-    marks = F.regexp_extract("line", r"^(#{1,6})\s+\S", 1)
+    """key, row (a number of the body), pos, span, level, title of headings outside fences, of both kinds: # marks, and underlined."""
+    own = graphs.written(bodies.select(key, F.col(text).alias("body")).withColumn("row", F.monotonically_increasing_id()), "bodies")
+    each = own.select(key, "row", F.posexplode(F.split("body", "\r?\n")).alias("pos", "line")).repartition("row")
+    by = Window.partitionBy("row").orderBy("pos")
+    told = lines.fenced(each, "row").withColumn("below", F.lead("line").over(by))
+    pattern = r"^(#{1,6})\s+(.+?)\s*#*\s*\z"
+    marks = F.regexp_extract("line", pattern, 1)
     under = F.when(F.col("below").rlike(r"^=+\s*\z"), 1).when(F.col("below").rlike(r"^-{2,}\s*\z"), 2)
-    level = F.when(marks != "", F.length(marks)).when((F.trim("line") != "") & ~F.col("line").rlike(r"^\s*[-*+#>]"), under)
-    return each.filter(~F.col("in_fence")).withColumn("level", level).filter("level is not null").select(key, "pos", "level", T.squeezed(F.regexp_replace("line", r"^#{1,6}\s+|\s+#+\s*\z", "")).alias("title"))
+    level = F.when(marks != "", F.length(marks)).when(F.col("line").rlike(T.WORD) & ~F.col("line").rlike(r"^\s*([-*+]|\d+\.)\s|^\s{4}"), under)
+    fence = F.col("line").rlike(r"^\s*(```|~~~)")
+    found = told.filter(~F.col("in_fence") & ~fence).withColumns({"level": level, "marks": marks}).filter("level is not null")
+    return found.select(key, "row", "pos", F.when(F.col("marks") != "", 1).otherwise(2).alias("span"), "level", F.when(F.col("marks") != "", F.regexp_extract("line", pattern, 2)).otherwise(F.trim("line")).alias("title"))
 
 
 def sections(bodies: DataFrame, key: str, text: str) -> DataFrame:
-    """key, version, first, last, of a changelog: from a heading that names a version to the next of its level or above, or that names one.
+    """key, version, first, last, of a changelog: from below a heading that names a version to the next of its level or above, or that names one.
 
     Of several sections of one version the first counts.
     """
-    version = r"(?:^|[\s\[(v@])v?(\d+\.\d+\.\d+(?:-[0-9A-Za-z.-]+)?)"
+    version = r"(?<![\d.])v?(\d+\.\d+\.\d+(?:-[0-9A-Za-z.-]+)?)(?![\d.])"
     heads = headings(bodies, key, text).withColumn("version", F.regexp_extract("title", version, 1))
-    size = bodies.select(key, F.size(F.split(text, "\n")).alias("n"))
-    named = heads.filter("version <> ''").select(key, "pos", "level", "version")
-    ends = named.alias("a").join(heads.select(F.col(key).alias("k"), F.col("pos").alias("p"), F.col("level").alias("l"), F.col("version").alias("v")), (F.col(key) == F.col("k")) & (F.col("p") > F.col("pos")) & ((F.col("l") <= F.col("level")) | (F.col("v") != "")), "left")
-    spans = ends.groupBy(key, "pos", "version").agg(F.min("p").alias("end")).join(size, key)
-    first = F.row_number().over(Window.partitionBy(key, "version").orderBy("pos"))
-    return spans.withColumn("rank", first).filter("rank = 1").select(key, "version", F.col("pos").alias("first"), (F.coalesce("end", "n") - 1).alias("last"))
-
-
-def without_covered(entries: DataFrame) -> DataFrame:
-    """entries (version, entry, refs, fuller boolean) without those whose references fuller entries of the version all have."""
-    covered = entries.filter("fuller").select("version", F.explode("refs").alias("ref")).distinct()
-    open_ = entries.filter(~F.col("fuller") & (F.size("refs") > 0)).select("version", "entry", F.explode("refs").alias("ref"))
-    still = open_.join(covered, ["version", "ref"], "left_anti").select("version", "entry").distinct()
-    listed = entries.filter(~F.col("fuller") & (F.size("refs") > 0)).select("version", "entry").join(still, ["version", "entry"], "left_anti")
-    return entries.join(listed, ["version", "entry"], "left_anti")
+    later = Window.partitionBy("row").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
+    ends = [F.min(F.when((F.col("level") <= k) | (F.col("version") != ""), F.col("pos"))).over(later) for k in range(1, 7)]
+    spans = heads.withColumn("end", F.get(F.array(*ends), F.col("level") - 1)).filter("version <> ''")
+    rank = F.row_number().over(Window.partitionBy("row", "version").orderBy("pos"))
+    first = spans.withColumn("rank", rank).filter("rank = 1").select(key, "version", (F.col("pos") + F.col("span")).alias("first"), "end")
+    size = bodies.select(key, F.size(F.split(text, "\r?\n")).alias("n")).groupBy(key).agg(F.max("n").alias("n"))
+    return first.join(size, key).select(key, "version", "first", (F.coalesce("end", "n") - 1).alias("last"))
 
 
 def pointed(entries: DataFrame) -> DataFrame:
-    """entry, section: entries of one version that send the reader to a heading of it ("see ... about X")."""
-    said = F.lower(F.regexp_extract("text", r"(?i)\bsee\s+(?:the\s+)?(?:section\s+)?(?:on\s+|about\s+)?[\"'`*_]*([A-Za-z][\w .-]{2,60}?)[\"'`*_]*\s*(?:section|below|above)", 1))
-    a = entries.select("version", "entry", T.normalized_title(said).alias("to")).filter("to <> ''")
-    b = entries.select("version", F.col("entry").alias("section"), T.normalized_title(F.col("title")).alias("to"))
-    return a.join(b, ["version", "to"]).filter("entry <> section").select("entry", "section")
+    """id, section: entries whose words send the reader to a section of their version, which has a body ("see ... X").
+
+    entries: id, version, title, regions. What follows each "see" is cut at the ends of its words and meets titles by
+    equality, no longer than the version's longest title.
+    """
+    words = T.plain_words(F.array_join(F.transform(F.filter("regions", lambda r: r["kind"].isin("title", "prose")), lambda r: r["text"]), " "))
+    sections_ = entries.filter(F.exists("regions", lambda r: r["kind"] != "title")).select("version", F.col("id").alias("section"), T.plain_words(F.col("title")).alias("to")).filter(F.length("to") >= 4)
+    longest = sections_.groupBy("version").agg(F.max(F.length("to")).alias("longest"))
+    said = entries.select("version", "id", words.alias("words")).filter(F.col("words").rlike(r"(?<!\w)see ")).join(longest, "version")
+    # all that follows each "see ", with and without "the "
+    each = said.withColumn("parts", F.split("words", r"(?<!\w)see ")).select("version", "id", "longest", F.explode(F.transform(F.sequence(F.lit(2), F.size("parts")), lambda i: F.substring(F.array_join(F.slice(F.col("parts"), i, F.size("parts")), "see "), 1, 1 << 20))).alias("tail"))
+    each = each.withColumn("tail", F.explode(F.array_distinct(F.array("tail", F.regexp_replace("tail", "^the ", "")))))
+    ends = F.filter(F.sequence(F.lit(4), F.greatest(F.least(F.length("tail"), F.col("longest")), F.lit(4))), lambda k: (k <= F.length("tail")) & ~F.substr(F.col("tail"), k + 1, F.lit(1)).rlike(r"[\w-]"))
+    cut = each.select("version", "id", F.explode(F.transform(ends, lambda k: F.substr(F.col("tail"), F.lit(1), k))).alias("to"))
+    return cut.join(sections_, ["version", "to"]).filter("id <> section").select("id", "section").distinct()
 
 
 def prereleases(published: DataFrame, stable: DataFrame, most: int = 20) -> DataFrame:
-    """pkg, version: alpha, beta, rc, pre and preview versions of stable ones in range, the newest `most` of a package."""
-    core = F.regexp_extract("version", r"^v?(\d+\.\d+\.\d+)-(?:alpha|beta|rc|pre|preview)\b", 1)
-    early = published.withColumn("of", core).filter("of <> ''").join(stable.select("pkg", F.col("version").alias("of")), ["pkg", "of"], "left_semi")
-    rank = F.row_number().over(Window.partitionBy("pkg").orderBy(semver.key("version").desc()))
-    return early.withColumn("rank", rank).filter(F.col("rank") <= most).select("pkg", "version")
+    """pkg, version, more: alpha, beta, rc, pre and preview versions of stable ones in range, the newest `most` of a package.
+
+    more: how many of the package's are left out. Versions of other tags, dated ones among them, aren't wanted.
+    """
+    core = F.concat_ws(".", *[semver.part("version", k) for k in (1, 2, 3)])
+    tag = F.split(semver.part("version", 4), r"\.")[0]
+    early = published.filter(F.coalesce(tag.rlike(r"(?i)^(alpha|beta|rc|pre|preview)\z"), F.lit(False))).withColumn("of", core)
+    early = early.join(stable.select("pkg", F.col("version").alias("of")).distinct(), ["pkg", "of"], "left_semi")
+    by = Window.partitionBy("pkg")
+    told = early.withColumns({"rank": F.row_number().over(by.orderBy(semver.key("version").desc())), "more": F.greatest(F.count(F.lit(1)).over(by) - most, F.lit(0))})
+    return told.filter(F.col("rank") <= most).select("pkg", "version", "more")
 
 
 def is_pointer(body: Column) -> Column:
-    """A short text that only sends the reader elsewhere."""
-    plain = T.squeezed(F.regexp_replace(T.cleaned_markdown(body), r"https?://\S+", ""))
-    return (F.length(plain) < 120) & (body.rlike(r"(?i)\b(see|read|check|full)\b") & body.rlike(r"(?i)changelog|release notes|https?://"))
+    """A text that is empty without its addresses, or short and only sends the reader elsewhere."""
+    plain = F.regexp_replace(F.coalesce(body, F.lit("")), r"(?s)<!--.*?-->", "")
+    plain = F.regexp_replace(plain, r"!?\[([^\]]*)\]\([^)]*\)", "$1")
+    plain = F.regexp_replace(plain, f"https?://{T.WORD}+", "")
+    plain = F.regexp_replace(plain, r"(?im)^\s*\**\s*full changelog\s*\**\s*:?.*$", "")
+    plain = T.squeezed(F.regexp_replace(plain, "[*_#>`]", ""))
+    elsewhere = r"(?i)change ?log|release notes|see |available (at|on|here)|upgrade guide|migration guide|blog post|details"
+    return (plain == "") | ((F.length(plain) < 120) & plain.rlike(elsewhere))

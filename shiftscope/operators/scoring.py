@@ -5,10 +5,11 @@ Tables: expected (case, file, line); reported (case, package, file, line, verdic
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers
+from . import graphs
 
 
 def per_case(expected: DataFrame, reported: DataFrame) -> DataFrame:
@@ -32,3 +33,24 @@ def totals(cases: DataFrame, sets: list[str]) -> DataFrame:
         numbers.median(F.col("reported")).alias("median_reported"),
         F.round(numbers.share(F.sum("found"), F.sum("reported")), 4).alias("precision"),
     )
+
+
+def medians(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """key, n, median (the mean of the middle two) and upper_median (the upper of them) of values that aren't null.
+
+    Equal values meet as counts first; the counts are dealt by range of (key, value), so a key of most rows is many
+    tasks' work, and a value's rank is its place in the partition plus what lies before, a row a partition and key.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(F.col(key).alias("k"), F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    ordered = counts.repartitionByRange("k", "v").sortWithinPartitions("k", "v").withColumn("at", F.monotonically_increasing_id())
+    placed = graphs.written(ordered, "ranked").withColumn("part", F.shiftrightunsigned("at", 33))
+    per = placed.groupBy("part", "k").agg(F.sum("c").alias("here"))
+    by = Window.partitionBy("k").orderBy("part")
+    offsets = per.select("part", "k", (F.sum("here").over(by) - F.col("here")).alias("before"), F.sum("here").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n"))
+    inside = F.sum("c").over(Window.partitionBy("part", "k").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = placed.withColumn("upto", inside).join(offsets.withColumnRenamed("k", "of"), [placed["part"] == offsets["part"], F.col("k").eqNullSafe(F.col("of"))])
+    last = F.col("before") + F.col("upto")
+    holds = lambda rank: (last >= rank) & (last - F.col("c") < rank)
+    lower, upper = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
+    found = ranked.filter(holds(lower) | holds(upper)).groupBy("k").agg(F.max("n").alias("n"), ((F.min("v") + F.max("v")) / 2).alias("median"), F.max("v").alias("upper_median"))
+    return found.select(F.col("k").alias(key), "n", "median", "upper_median")

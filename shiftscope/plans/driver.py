@@ -9,11 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers, paths, semver
 from ..functions import text as T
-from ..operators import graphs, history, lines, matching, notes, scoring, surfaces, usage, verdicts, versions
+from ..operators import briefs, entries, graphs, history, lines, matching, notes, scoring, surfaces, usage, verdicts, versions
+from ..sources import installed, manifests
 
 Query = Callable[[SparkSession, str], DataFrame]
-#: Names that stand for those a project uses: so many of the commonest code-shaped tokens.
-NAMES = 200
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,11 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """name, strength."""
-    docs = table(spark, sf_dir, "documents")
-    token = docs.select(F.explode(F.array_distinct(matching.tokens(F.col("text")))).alias("name"))
-    often = token.filter(T.is_code_shaped(F.col("name")) & (F.length("name") > 2)).groupBy("name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "name").limit(NAMES)
-    return often.select("name", F.lit("strong").alias("strength"))
+    """name, strength: every code-shaped token of the pages stands for a name in use."""
+    token = table(spark, sf_dir, "pages").select(F.explode(F.array_distinct(matching.tokens(F.col("html")))).alias("name"))
+    often = token.filter(T.is_code_shaped(F.col("name")) & (F.length("name") > 2)).distinct()
+    return graphs.written(often.select("name", F.lit("strong").alias("strength")), "names")
 
 
 def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,42 +31,56 @@ def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def name_text_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = matching.mentions(_regions(spark, sf_dir), F.broadcast(_names(spark, sf_dir)))  # NAMES rows
+    found = matching.mentions(_regions(spark, sf_dir), _names(spark, sf_dir))
     return found.select(F.col("entry").alias("doc_id"), "name")
 
 
 def df_demotion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    n = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"))
-    df = docs.select("lang", F.explode(F.array_distinct(matching.tokens(F.col("text")))).alias("name")).groupBy("lang", "name").agg(F.count(F.lit(1)).alias("df"))
-    met = df.join(n, "lang")
-    return met.filter((F.col("df") >= matching.DEMOTE_LEAST) & (F.col("df") >= matching.DEMOTE_SHARE * F.col("n_docs"))).select("lang", "name", "df", "n_docs")
+    """Tokens that too many of a language's documents have, each document read as an example."""
+    docs = table(spark, sf_dir, "documents").filter("lang is not null").select("lang", F.col("doc_id").alias("entry"), F.lit("code-block").alias("kind"), "text")
+    found = docs.select("lang", "entry", "kind", F.explode(F.array_distinct(matching.tokens(F.col("text")))).alias("name"))
+    return matching.demoted(found, docs, by=["lang"]).select("lang", "name", F.col("n").alias("df"), F.col("total").alias("n_docs"))
 
 
 def match_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     toxic = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    entries = docs.join(toxic, "doc_id", "left").select(F.col("doc_id").alias("entry"), F.lit("change").alias("kind"), F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("breaking"), F.lit("none").alias("names_api"))
-    names = F.broadcast(_names(spark, sf_dir))  # NAMES rows
+    told = docs.join(toxic, "doc_id", "left").select(F.col("doc_id").alias("entry"), F.lit("change").alias("kind"), F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("breaking"), F.lit("none").alias("names_api"))
+    names = _names(spark, sf_dir)
     found = matching.mentions(_regions(spark, sf_dir), names)
-    none = names.select("name").filter("false")
-    out = matching.buckets(entries, matching.hits(found, names, entries, none))
+    out = matching.buckets(told, matching.hits(found, names, told, names.select("name").filter("false")))
     return out.select(F.col("entry").alias("doc_id"), "breaking", F.col("n_hits").cast("long").alias("n_hits"), "direct", "bucket")
 
 
+#: Starts of titles, one for each order by its key.
+STARTS = ["fix:", "chore:", "feat(core):", "Add `x` to", "BREAKING CHANGE:", "types:", "docs(readme):", "See the migration guide", "bump a from 1 to 2", "perf:", "[meta] x", "improve typing of", "#12 fix(parser):", "**docs:** about", "Thanks to", "`call()` now", "non-breaking:"]
+
+
+def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """o_orderkey, title: orders read as the first lines of notes."""
+    start = F.get(F.array(*map(F.lit, STARTS)), (F.col("o_orderkey") % len(STARTS)).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws(" ", start, F.col("o_orderpriority"), F.lit("of state"), F.col("o_orderstatus")).alias("title"))
+
+
 def entry_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = lines.split_lines(table(spark, sf_dir, "documents"), "doc_id", "text").filter("line <> ''")
-    return each.select("doc_id", T.entry_kind(F.col("line"), F.col("line")).alias("kind")).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+    titles = _titles(spark, sf_dir).withColumns({"regions": T.text_regions(F.col("title"), "title"), "path": F.array().cast("array<string>")})
+    return titles.select("o_orderkey", T.entry_kind(F.col("title"), F.col("title"), F.col("regions"), F.col("path"), F.lit(False)).alias("kind"), T.is_breaking(F.col("title"), F.col("path")).alias("breaking"), T.names_api(F.col("regions")).alias("names_api"))
+
+
+def title_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scope of each title, and whether the rest of it names another API."""
+    titles = _titles(spark, sf_dir).withColumns({"regions": T.text_regions(F.col("title"), "title"), "scope": T.commit_scope(F.col("title"))})
+    return titles.select("o_orderkey", "scope", T.names_another_api(F.col("title"), F.col("regions"), F.coalesce("scope", F.lit(""))).alias("another"), F.array_join(T.code_names(F.col("title"), F.col("regions")), ",").alias("names"))
 
 
 def entry_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", F.size(T.code_spans(text)).cast("long").alias("n_code"), F.concat_ws(",", T.references(text)).alias("refs"), F.concat_ws(",", F.slice(T.code_names(text), 1, 5)).alias("names"))
+    docs = table(spark, sf_dir, "documents").withColumn("regions", T.text_regions(F.coalesce("text", F.lit("")), "prose"))
+    spans = F.size(F.filter("regions", lambda r: r["kind"] == "inline-code")).cast("long")
+    return docs.select("doc_id", F.size("regions").cast("long").alias("n_regions"), spans.alias("n_code"), F.concat_ws(",", T.references(F.coalesce("text", F.lit("")))).alias("refs"), F.concat_ws(",", T.code_names(F.lit(""), F.col("regions"))).alias("names"))
 
 
 def html_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", T.cleaned_markdown(F.col("html")).alias("text"))
+    return table(spark, sf_dir, "pages").select("page_id", T.cleaned(T.prepared(F.col("html"))).alias("text"))
 
 
 def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,23 +89,26 @@ def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fence_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = lines.fenced(lines.split_lines(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
-    return each.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if("in_fence").alias("n_fenced"))
+    docs = table(spark, sf_dir, "documents").filter("text is not null")
+    return docs.select("doc_id", lines.fence_counts(F.col("text")).alias("f")).select("doc_id", F.col("f.lines").alias("n_lines"), F.col("f.fenced").alias("n_fenced"))
 
 
 def line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.runs(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_returnflag"], "l_linenumber")
 
 
+def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """o_custkey, version, body: a customer's orders as the lines of a release's notes, each of a kind by its key."""
+    key, word = F.col("o_orderkey").cast("string"), F.col("o_orderpriority")
+    said = [F.concat(F.lit("## part "), word), F.concat(F.lit("- order number "), key), F.concat(F.lit("plain text of "), key), F.lit(""), F.concat(F.lit("  nested under "), key), F.lit("```"), F.concat(F.lit("1. step number "), key)]
+    line = F.get(F.array(*said), (F.col("o_orderkey") % len(said)).cast("int"))
+    rows = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("line")))).alias("l"))
+    return rows.select("o_custkey", F.lit("1.0.0").alias("version"), F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("body"))
+
+
 def split_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries of each text: a bullet or the first line after a blank one or a heading starts one."""
-    each = lines.split_lines(table(spark, sf_dir, "documents"), "doc_id", "text")
-    by = Window.partitionBy("doc_id").orderBy("pos")
-    blank = F.trim("line") == ""
-    heading = F.col("line").rlike(r"^#{1,6} ")
-    starts = ~blank & (F.col("line").rlike(r"^\s*[-*+] ") | heading | F.coalesce(F.lag(blank | heading).over(by), F.lit(True)))
-    told = each.withColumns({"blank": blank, "start": starts.cast("int")}).withColumn("entry", F.sum("start").over(by))
-    return told.filter("not blank").groupBy("doc_id", "entry").agg(F.count(F.lit(1)).alias("n_lines"), F.min_by("line", "pos").alias("title"))
+    found = entries.split(_bodies(spark, sf_dir), "o_custkey", "version", "body")
+    return found.select("o_custkey", F.col("ord").cast("long").alias("ord"), "title", F.array_join("heading_path", "/").alias("path"), F.array_join(F.transform("regions", lambda r: r["kind"]), ",").alias("regions"), "kind")
 
 
 def _released(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,17 +204,19 @@ def closure_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     for t, c, k in (("customer", "c_custkey", "c_nationkey"), ("supplier", "s_suppkey", "s_nationkey")):
         edges = edges.unionByName(table(spark, sf_dir, t).select(name("n", k).alias("src"), name(t[0], c).alias("dst")))
     edges = edges.unionByName(table(spark, sf_dir, "orders").select(name("c", "o_custkey").alias("src"), name("o", "o_orderkey").alias("dst")))
-    seen, _ = graphs.closure(edges, region.select(name("r", "r_regionkey").alias("root")), 12)
-    return seen.groupBy("root", "depth").agg(F.count(F.lit(1)).alias("n")).select("root", F.col("depth").cast("long").alias("depth"), "n")
+    seen, cut = graphs.closure(edges, region.select(name("r", "r_regionkey").alias("root")), 12)
+    return seen.groupBy("root", "depth").agg(F.count(F.lit(1)).alias("n")).select("root", F.col("depth").cast("long").alias("depth"), "n", F.lit(cut).alias("cut"))
 
 
 def waterfall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    label = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    met = docs.join(label, "doc_id", "left")
-    source = F.when(F.col("quality").isNotNull(), "labels").when(F.col("lang").isNotNull() & (F.col("n_chars") >= 200), "documents").otherwise("unavailable")
-    reason = F.when(source == "labels", None).when(source == "documents", "no label").otherwise(F.when(F.col("lang").isNull(), "no language").otherwise("too short"))
-    return met.select("doc_id", source.alias("found_in"), reason.alias("reason"))
+    """Where a document's notes come from: a label, else a text in a language and long enough, with the reasons of what has none."""
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("pkg"), F.col("doc_id").alias("version"), "lang", "n_chars")
+    label = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("version")).agg(F.max("quality").alias("quality"))
+    labelled = docs.join(label, "version").select("pkg", "version", F.col("quality").cast("string").alias("body"), F.lit(None).cast("string").alias("reason"))
+    fits = F.col("lang").isNotNull() & (F.col("n_chars") >= 200)
+    own = docs.select("pkg", "version", F.when(fits, F.col("lang")).alias("body"), F.when(F.col("lang").isNull(), "no language").when(~fits, "too short").alias("reason"))
+    found = notes.waterfall(docs.filter("pkg is not null").select("pkg", "version"), [("labels", labelled), ("documents", own)])
+    return found.select(F.col("version").alias("doc_id"), "body", "found_in", "reason")
 
 
 def verdict_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,11 +234,13 @@ def verdict_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def findings_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
-    kind = F.col("event_type")
-    rank = F.when(kind == "error", 0).when(kind == "purchase", 1).when(kind == "signup", 2).when(kind == "click", 3).otherwise(4)
-    shown = versions.newest_per(events.select("user_id", "event_type", "event_id", rank.alias("order")), ["user_id", "event_type"], [F.asc("event_id")], 3)
-    return shown.select("user_id", "event_type", "event_id", F.col("order").cast("long").alias("kind_rank"), F.col("rank").cast("long").alias("place"))
+    """Events as what a user's reader sees: errors and purchases as changes of types, the others as notes."""
+    rows = table(spark, sf_dir, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("pkg"), F.col("event_id").alias("ord"), "event_type", "value", F.col("event_id").cast("string").alias("id"))
+    touched = rows.filter("event_type in ('error', 'purchase')").select("pkg", F.col("id").alias("path"), F.when(F.col("event_type") == "error", "removed").otherwise("changed").alias("bucket"), F.when(F.col("value") > 50, "strong").otherwise("weak").alias("strength"), "ord")
+    bucket = F.when(F.col("event_type") == "signup", "unattributed-breaking").when(F.col("event_type") == "click", "matched").otherwise("unattributed-change")
+    said = rows.filter("event_type not in ('error', 'purchase')").select("pkg", F.col("id").alias("entry"), bucket.alias("bucket"), (F.col("ord") % 3 == 0).alias("breaking"), (F.col("value") > 50).alias("direct"), (F.col("ord") % 2 == 0).alias("hinted"), "ord")
+    found = briefs.findings(touched, said)
+    return found.select("pkg", "kind", "id", F.col("rank").cast("long").alias("rank"), F.col("place").cast("long").alias("place"))
 
 
 def split_80_20(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,8 +259,8 @@ def score_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def medians(spark: SparkSession, sf_dir: str) -> DataFrame:
-    upper = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value DESC)")
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(numbers.median(F.col("value")), 6).alias("median"), upper.alias("upper_median"))
+    found = scoring.medians(table(spark, sf_dir, "events"), "event_type", "value")
+    return found.select("event_type", F.round("median", 6).alias("median"), "upper_median")
 
 
 def manifest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,10 +274,11 @@ def counted_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def uniq_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One turn for each conversation and role: one that is no question before one that is, then the first."""
+    """Turns as sites, two to a line: one that is no question before one that is, numbered within the conversation."""
     turns = table(spark, sf_dir, "conversations")
-    order = F.struct(F.coalesce(F.col("text").endswith("?"), F.lit(False)), "turn")
-    return turns.groupBy("conv_id", "role").agg(F.min_by("turn", order).alias("turn"), F.count(F.lit(1)).alias("n"))
+    sites = turns.select("conv_id", F.col("role").alias("file"), F.floor(F.col("turn") / 4).alias("line"), F.coalesce(F.col("text").endswith("?"), F.lit(False)).alias("type_only"), "turn")
+    found = briefs.unique_sites(sites, ["conv_id"])
+    return found.select("conv_id", F.col("file").alias("role"), "line", "type_only", "turn", F.col("place").cast("long").alias("place"))
 
 
 def content_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -272,18 +292,24 @@ def first_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def release_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of one repository or host, and how many addresses each has."""
-    pages = table(spark, sf_dir, "pages")
-    key = F.coalesce(paths.repository_key(F.col("url")), paths.url_host(F.col("url")))
-    return pages.groupBy(key.alias("repository")).agg(F.count(F.lit(1)).alias("pages"), F.count_distinct("url").alias("urls"))
+    """Orders as upgrades: of a nation's repository, of a scope, or alone, by the customer's key."""
+    key, status = F.col("o_custkey"), F.col("o_orderstatus")
+    name = F.when(key % 3 == 1, F.concat(F.lit("@s"), (key % 7).cast("string"), F.lit("/c"), key.cast("string"))).otherwise(F.concat(F.lit("c"), key.cast("string")))
+    rows = table(spark, sf_dir, "orders").select(name.alias("name"), F.year("o_orderdate").cast("string").alias("to"), F.when(key % 3 == 0, F.concat(F.lit("github.com/o/r"), (key % 11).cast("string"))).alias("repository"), F.when(status == "F", "major").when(status == "O", "minor").otherwise("patch").alias("bump"))
+    found = history.release_groups(rows)
+    return found.select("group", F.size("packages").cast("long").alias("packages"), F.get("packages", F.lit(0)).alias("first"), "bump")
 
 
 def release_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Releases found by their repository's tags, of three spellings, where they have any."""
+    """Releases found by their repository's tags, where they have any; a month's tags have one spelling."""
     released = _released(spark, sf_dir).withColumn("pkg", F.concat(F.lit("@scope/c"), F.col("pkg").cast("string")))
-    month = F.month("published_at")
-    spelled = F.when(month <= 4, F.concat(F.lit("v"), F.col("version"))).when(month <= 8, F.col("version")).when(month <= 10, F.concat(F.regexp_extract("pkg", "([^/]+)$", 1), F.lit("@"), F.col("version")))
-    return notes.tags(released, released.select("pkg", spelled.alias("tag")).filter("tag is not null"))
+    month, version, bare = F.month("published_at"), F.col("version"), F.regexp_extract("pkg", "([^/]+)$", 1)
+    spelled = (
+        F.when(month <= 2, F.concat(F.lit("v"), version)).when(month <= 4, version).when(month == 5, F.concat("pkg", F.lit("@"), version)).when(month == 6, F.concat(bare, F.lit("@"), version))
+        .when(month == 7, F.concat("pkg", F.lit("-v"), version)).when(month == 8, F.concat(bare, F.lit("-v"), version)).when(month == 9, F.concat(F.lit("release-"), version)).when(month == 10, F.concat(bare, F.lit("-"), version))
+    )
+    found = notes.tags(released, released.select("pkg", spelled.alias("tag")).filter("tag is not null"))
+    return found.select("pkg", "version", "tag", F.col("scheme").cast("long").alias("scheme"))
 
 
 def notes_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -317,12 +343,142 @@ def worst_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.groupBy("c_nationkey").agg(verdicts.worst("verdict").alias("worst"), *counts)
 
 
+def prefix_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders of addresses as subjects, pages as used paths: which subjects the pages lie at or under."""
+    folder = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
+    used = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("w:"), F.array_join(F.transform(F.filter(F.split(F.translate(folder, ".#", "--"), "/"), lambda p: p != ""), lambda p: p), ".")).alias("path"))
+    subjects = used.select(F.regexp_replace("path", r"\.[^.]*$", "").alias("s")).distinct()
+    records = subjects.select(F.col("s").alias("entry"), F.array("s").alias("subjects"))
+    found = matching.subject_hits(records, used.select("path", F.col("page_id").alias("site")))
+    return found.groupBy("subject").agg(F.count(F.lit(1)).alias("n"), F.min("site").alias("first"))
+
+
+def json_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings of events read as settings: the kind, a nested object and a list."""
+    rows = table(spark, sf_dir, "events")
+    json = F.to_json(F.struct(F.col("event_type").alias("kind"), F.struct(F.array(F.col("event_type"), F.lit("x")).alias("list"), F.col("event_id").alias("number")).alias("deep")))
+    found = installed.all_strings(rows.select(F.concat(F.col("event_id").cast("string"), F.lit(".json")).alias("path"), json.alias("content")))
+    return found.groupBy("path", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def highest_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ranges and a tag pick of each customer's releases."""
+    released = _released(spark, sf_dir).select(F.col("pkg").cast("string").alias("name"), "version")
+    asked = released.select("name", F.explode(F.array(*map(F.lit, ["^2.0.0", "~3.4", "*", "first", "<1.0.0"]))).alias("range")).distinct()
+    tags = released.groupBy("name").agg(F.min_by("version", semver.key("version")).alias("version")).withColumn("tag", F.lit("first"))
+    return installed.highest(asked, released, tags)
+
+
+def name_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lineitems as references: a part strongly, its supplier weakly; what is strong anywhere isn't weak."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("pkg"), F.col("l_returnflag").alias("file"), F.array((F.col("l_partkey") % 10).cast("string")).alias("strong"), F.array((F.col("l_suppkey") % 10).cast("string")).alias("weak"))
+    found = briefs.name_sets(rows)
+    return found.select("pkg", F.array_join("strong_names", ",").alias("strong"), F.array_join("weak_names", ",").alias("weak"), "files", "refs")
+
+
+def sites_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each return flag of an order's lines is used, and an option where no line has it."""
+    rows = table(spark, sf_dir, "lineitem")
+    refs = rows.select(F.col("l_orderkey").cast("string").alias("pkg"), F.col("l_linestatus").alias("file"), F.col("l_suppkey").alias("line"), (F.col("l_quantity") < 10).alias("type_only"), F.array("l_returnflag").alias("strong"), F.array().cast("array<string>").alias("weak"))
+    options = rows.select(F.col("l_orderkey").cast("string").alias("pkg"), F.lit("R").alias("name"), F.lit("call").alias("file"), F.col("l_partkey").alias("line"), F.lit(False).alias("type_only"))
+    found = briefs.sites_by_name(refs, options)
+    return found.select("pkg", "name", "file", "line", "type_only", F.col("place").cast("long").alias("place"))
+
+
+def brief_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' briefs in the order in which they are shown."""
+    told = verdict_reasons(spark, sf_dir).select(F.lpad(F.col("c_custkey").cast("string"), 9, "0").alias("pkg"), "verdict", F.split("reasons", ",").alias("reasons"))
+    found = briefs.groups(told)
+    return found.select("pkg", "shown", F.col("place").cast("long").alias("place"), briefs.is_one_net(F.col("reasons")).alias("one_net"))
+
+
+def coverage_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each customer's releases has notes, in words; a status is a source, a deprecated one a reason."""
+    released = _released(spark, sf_dir)
+    per = released.select("pkg", "version", F.when(~F.col("deprecated"), F.when(F.month("published_at") <= 6, "releases").otherwise("changelog")).alias("source"), F.when(F.col("deprecated"), "stub-body").alias("reason"))
+    told = briefs.union_sources(per)
+    state = F.when(F.col("found") == F.col("total"), "complete").when(F.col("found") > 0, "partial").otherwise("unavailable")
+    return told.select("pkg", briefs.coverage_label(state, F.col("found"), F.col("total"), F.array_sort("sources"), F.col("reasons")).alias("label"))
+
+
+def typed_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as packages, the types of one kind beside them; the small ones are referenced."""
+    parts = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("pkg"), "p_type", "p_size", "p_brand")
+    none = F.array().cast("array<string>")
+    usage_ = parts.filter("p_size < 25").select("pkg", F.col("p_size").cast("long").alias("refs"), F.lit(1).cast("long").alias("files"), F.array("p_brand").alias("strong_names"), none.alias("weak_names"), none.alias("opaque"), none.alias("blind"))
+    own = parts.select("pkg").unionByName(parts.filter("p_type = 'ECONOMY'").select(paths.types_package(F.col("pkg")).alias("pkg")))
+    found = briefs.with_types(usage_, own)
+    return found.select("pkg", F.col("refs").cast("long").alias("refs"), F.array_join("strong_names", ",").alias("strong"), F.array_join("opaque", ",").alias("opaque"))
+
+
+def fix_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lineitems as removed lines and facts of packages: which orders' fixes are tied, by what."""
+    rows = table(spark, sf_dir, "lineitem")
+    at = [F.col("l_orderkey").alias("id"), F.col("l_returnflag").alias("file"), F.col("l_linenumber").alias("line")]
+    name = F.concat(F.lit("part"), (F.col("l_partkey") % 20).cast("string"))
+    expected = rows.filter("l_quantity < 20").select(*at, F.concat(name, F.lit("(x)")).alias("text"), F.array(F.lit("p")).alias("packages"))
+    added = rows.filter("l_quantity > 45").select(*at[:2], F.concat(F.lit("call."), name).alias("text"))
+    kind = F.when(F.col("l_suppkey") % 3 == 0, "site").when(F.col("l_suppkey") % 3 == 1, "option").otherwise("name")
+    facts = rows.select(F.col("l_orderkey").alias("id"), F.lit("p").alias("package"), kind.alias("kind"), F.col("l_returnflag").alias("file"), F.col("l_linenumber").alias("line"), F.concat(F.lit("part"), (F.col("l_suppkey") % 20).cast("string")).alias("name"))
+    found = history.evidence(expected, added, facts)
+    return found.select("id", *[F.array_join(c, ",").alias(c) for c in ("on_site", "options", "names")])
+
+
+def reformatted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lineitems as lines of a diff, those of one status removed and the others written: what only moved."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.lit("f").alias("file"), F.col("l_linenumber").alias("line"), F.concat(F.lit("row( '"), F.col("l_returnflag"), F.lit("', "), F.floor(F.col("l_quantity") / 10).cast("string"), F.lit(");")).alias("text"), "l_linestatus")
+    found = lines.reformatted(rows.filter("l_linestatus = 'O'"), rows.filter("l_linestatus <> 'O'"), least=1000)
+    return found.select("id", "line")
+
+
+def registry_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as packages of brands' scopes: the registry of each and the token of its address."""
+    parts = table(spark, sf_dir, "part").select(F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("@"), F.lower(F.translate("p_brand", "#", "")), F.lit("/p"), F.col("p_partkey").cast("string"))).otherwise(F.concat(F.lit("p"), F.col("p_partkey").cast("string"))).alias("pkg"))
+    scopes = table(spark, sf_dir, "part").select(F.concat(F.lit("@"), F.lower(F.translate("p_brand", "#", ""))).alias("scope")).distinct()
+    rules = scopes.select(F.concat("scope", F.lit(":registry")).alias("key"), F.concat(F.lit("https://r.io/"), F.substring("scope", 2, 99), F.lit("//")).alias("value"))
+    rules = rules.unionByName(spark.createDataFrame([("registry", "https://d.io/"), ("//r.io/:_authToken", "wide"), ("//r.io/brand1:_authToken", "narrow")], "key string, value string"))
+    chosen = installed.registry_for(parts, installed.registries(rules))
+    found = chosen.join(installed.authorized(chosen.select(F.col("registry").alias("url")).distinct(), installed.tokens(rules)).withColumnRenamed("url", "registry"), "registry", "left")
+    return found.select("pkg", "registry", "token")
+
+
+def stale_locks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as folders, their releases as declared ranges and locked versions: what each installs, and what is out of step."""
+    released = _released(spark, sf_dir).withColumn("rank", F.row_number().over(Window.partitionBy("pkg").orderBy(semver.key("version")))).filter("rank <= 2")
+    two = released.groupBy("pkg").agg(F.min_by("version", "rank").alias("old"), F.max_by("version", "rank").alias("new"))
+    dir_ = F.concat(F.lit("c"), F.col("pkg").cast("string"))
+    text = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    own = text('{"dependencies":{"x":"^', F.col("new"), '"}}')
+    written_for = F.when(F.col("pkg") % 2 == 0, F.col("new")).otherwise(F.col("old"))
+    lock = text('{"packages":{"":{"dependencies":{"x":"^', written_for, '"}},"node_modules/x":{"version":"', F.col("old"), '"}}}')
+    files = two.select(F.concat(dir_, F.lit("/package.json")).alias("path"), own.alias("content")).unionByName(two.select(F.concat(dir_, F.lit("/package-lock.json")).alias("path"), lock.alias("content")))
+    files = graphs.written(files, "files")
+    found = manifests.inventory(manifests.declared(manifests.manifests(files)), files)
+    return found.select("dir", "version", "version_source", F.size("out_of_sync").cast("long").alias("late"))
+
+
+def removed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols of two times, where half the parts moved behind an alias and the rest of a package may be unread."""
+    day = F.lit("1998-05-24").cast("timestamp_ntz")
+    part = F.col("l_partkey").cast("string")
+    rows = table(spark, sf_dir, "lineitem")
+    none, plain = F.lit(None).cast("string"), F.array(F.lit("() => R"))
+    of = lambda path, alias: [F.lit("lib").alias("pkg"), path.alias("path"), F.lit("function").alias("kind"), plain.alias("sig"), F.lit(False).alias("deprecated"), alias.alias("alias_of")]
+    before = rows.filter(F.col("l_shipdate") < day).select(*of(F.concat(F.lit("lib:v.p"), part), none)).distinct()
+    late = rows.filter((F.col("l_shipdate") >= day) & (F.col("l_returnflag") == "N"))
+    after = late.select(*of(F.concat(F.when(F.col("l_partkey") % 2 == 0, F.lit("lib:v.p")).otherwise("lib:default.p"), part), none)).distinct()
+    after = after.unionByName(spark.range(1).select(*of(F.lit("lib:v"), F.lit("lib:default"))))
+    found = surfaces.diff(before, after).filter("bucket in ('removed', 'unproven')")
+    return found.select("path", "bucket")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         name_text_match, df_demotion, match_buckets, entry_kind, entry_regions, html_clean, url_parts, fence_parity, line_runs, split_entries, candidate_pick,
         semver_sort, bump_kinds, range_matches, snapshot_plan, surface_diff, drop_children, collapse_changes, longest_prefix, followup_interval, multiset_lines,
         closure_reach, waterfall, verdict_reasons, findings_order, split_80_20, score_totals, medians, manifest_rows, counted_examples, uniq_sites, content_ids,
-        first_sentences, release_groups, release_tags, notes_coverage, version_bumps, changed_exports, worst_verdicts,
+        first_sentences, release_groups, release_tags, notes_coverage, version_bumps, changed_exports, worst_verdicts, title_scopes, prefix_reach, json_strings,
+        highest_versions, name_sets, sites_by_name, brief_groups, coverage_labels, typed_usage, fix_evidence, reformatted_lines, registry_choice, stale_locks, removed_names,
     )
 }

@@ -2,39 +2,46 @@
 
 from __future__ import annotations
 
-from ..functions import text as T
-
-_TOKENS = r"list_distinct(regexp_extract_all(coalesce(text, ''), '[\w$]+'))"
+_TOKENS = r"list_distinct(regexp_extract_all(coalesce({}, ''), '[\w$]+'))"
 _SHAPED = r"(regexp_matches(substr(name, 2), '[A-Z_$0-9]') OR length(name) >= 12)"
 _NAMES = rf"""
-names AS (
-  SELECT name FROM (SELECT unnest({_TOKENS}) AS name FROM documents) WHERE {_SHAPED} AND length(name) > 2
-  GROUP BY name ORDER BY count(*) DESC, name LIMIT 200
-), found AS (
-  SELECT DISTINCT doc_id, name FROM (SELECT doc_id, unnest({_TOKENS}) AS name FROM documents) JOIN names USING (name)
-)
+names AS (SELECT DISTINCT name FROM (SELECT unnest({_TOKENS.format('html')}) AS name FROM pages) WHERE {_SHAPED} AND length(name) > 2),
+found AS (SELECT DISTINCT doc_id, name FROM (SELECT doc_id, unnest({_TOKENS.format('text')}) AS name FROM documents) JOIN names USING (name))
 """
 
-
-def _quoted(pattern: str) -> str:
-    """A pattern as SQL text, borders of words in the other dialect."""
-    return "'" + pattern.replace("(?<!\\w)", r"\b").replace("(?!\\w)", r"\b").replace("'", "''") + "'"
-
-
-_KIND = f"""CASE
-  WHEN regexp_matches(line, {_quoted(T.NOISE)}) OR (NOT coded AND regexp_matches(line, {_quoted(T.PROJECT_WORK)})) THEN 'housekeeping'
-  WHEN regexp_matches(line, {_quoted(T.TYPES_ONLY)}) THEN 'types'
-  WHEN NOT coded AND length(line) < 160 AND regexp_matches(line, {_quoted(T.REFERENCE)}) THEN 'reference'
-  WHEN regexp_matches(line, {_quoted(T.ADDITION_TITLE)}) THEN 'addition'
+_STARTS = "['fix:', 'chore:', 'feat(core):', 'Add `x` to', 'BREAKING CHANGE:', 'types:', 'docs(readme):', 'See the migration guide', 'bump a from 1 to 2', 'perf:', '[meta] x', 'improve typing of', '#12 fix(parser):', '**docs:** about', 'Thanks to', '`call()` now', 'non-breaking:']"
+_TITLES = rf"""
+titles AS (SELECT o_orderkey, {_STARTS}[o_orderkey % 17 + 1] || ' ' || o_orderpriority || ' of state ' || o_orderstatus AS title FROM orders),
+bare AS (
+  SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(replace(title, '`', ''), '^(?:#\d+\s+)+', ''), '^\*\*([^*]+?):?\*\*:?\s*', '\1: '), '(?i)^backport:\s*', '')) AS bare,
+         regexp_matches(title, '`[^`]+`') AS coded, regexp_matches(title, '(?i)[\w$]\(\)|\.[a-z]\w*\(') AS called
+  FROM titles
+)"""
+_KIND = r"""CASE
+  WHEN regexp_matches(bare, '(?i)^(ci|chore|test|tests|docs|doc|build|style|refactor|perf\(bench\)|release|revert)(\([^)]*\))?!?:|^(deps?|dependencies)(\([^)]*\))?:|^bump\s+\S+\s+from\s|^merge (pull request|branch)|^update dependency\b|^v?\d+\.\d+\.\d+$')
+    OR regexp_matches(bare, '(?i)^\w+\((types?|typings?|typescript|docs?|readme|ci|tests?|deps?|deps-dev|build|release|lint|examples?|website)\)!?:|^(readme|internal|release|examples?|website)\s*:')
+    OR regexp_matches(bare, '(?i)^\[(meta|actions|dev deps|deps|tests?|docs?|readme|ci|refactor|robustness)\]|^(special )?thanks\b|^(upgrade|update|bump)\b.*\b(dev-?dependenc\w*|version)\b|^(upgrade|update|bump)\s+\S+\s+(from|to)\s+v?[\^~]?\d')
+    OR (NOT coded AND regexp_matches(bare, '(?i)\b(linter|lint fixes|spelling|typos?|test suite|tests? for|in tests|ci\b|dtslint|package manager|readme|documentation|jsdoc)\b')) THEN 'housekeeping'
+  WHEN regexp_matches(bare, '(?i)^(typescript|types?|typings?)\s*:|^(improve|update|fix)\s+(the\s+)?(typing|typings|types|type definitions?)\b|\bindex\.d\.ts\b') THEN 'types'
+  WHEN NOT coded AND length(title) < 160 AND regexp_matches(title, '(?i)\b(migration guide|upgrade guide|blog post|announcement|release notes|changelog)\b') THEN 'reference'
+  WHEN regexp_matches(bare, '(?i)^(feat|feature|perf)(\([^)]*\))?!?:|^(add|adds|added|new|support|supports|introduce|introduces|expose|exposes|allow|allows)\b') THEN 'addition'
   ELSE 'change' END"""
 
 _LINES = """lines AS (
   SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)
 )"""
 
-_CLEAN = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
-  '(?s)<!--.*?-->', '', 'g'), 'https?://[^\s/]+/[^\s/]+/[^\s/]+/(?:pull|issues)/(\d+)', '#\1', 'g'), '!\[[^\]]*\]\([^)]*\)', '', 'g'),
-  '</?[A-Za-z][^>]*>', '', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g')"""
+_SPACE = r"\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+
+
+def _cleaned(text: str) -> str:
+    links = rf"regexp_replace(regexp_replace({text}, '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '\[([^\]]+)\]\[[^\]]*\]', '\1', 'g')"
+    return rf"trim(regexp_replace(regexp_replace({links}, 'https?://[^{_SPACE}]+', '', 'g'), '[{_SPACE}]+', ' ', 'g'))"
+
+
+_PREPARED = r"""replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+  '(?s)<!--.*?-->', '', 'g'), 'https?://github\.com/[\w.-]+/[\w.-]+/(?:pull|issues)/(\d+)', '#\1', 'g'), '!\[[^\]]*\]\([^)]*\)', '', 'g'),
+  '(?i)<img\b[^>]*>', '', 'g'), '(?i)</?(details|summary|p|div|br|sup|sub|b|i|em|strong|span|a|samp)\b[^>]*>', ' ', 'g'), '&nbsp;', ' ')"""
 
 _HOST = r"lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)', 1))"
 _PATH = r"regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
@@ -89,22 +96,22 @@ per AS (
 ORACLES: dict[str, str] = {
     "name_text_match": f"WITH {_NAMES} SELECT doc_id, name FROM found",
     "df_demotion": f"""
-        WITH df AS (SELECT lang, name, count(*) AS df FROM (SELECT lang, unnest({_TOKENS}) AS name FROM documents) GROUP BY ALL),
-             n AS (SELECT lang, count(*) AS n_docs FROM documents GROUP BY lang)
+        WITH df AS (SELECT lang, name, count(DISTINCT doc_id) AS df FROM (SELECT lang, doc_id, unnest({_TOKENS.format('text')}) AS name FROM documents WHERE lang IS NOT NULL) GROUP BY ALL),
+             n AS (SELECT lang, count(DISTINCT doc_id) AS n_docs FROM documents GROUP BY lang)
         SELECT lang, name, df, n_docs FROM df JOIN n USING (lang) WHERE df >= 3 AND df >= 0.25 * n_docs""",
     "match_buckets": f"""
         WITH {_NAMES}, per AS (SELECT doc_id, count(*) AS n_hits FROM found GROUP BY doc_id), toxic AS (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY doc_id),
         met AS (SELECT d.doc_id, coalesce(toxic = 1, false) AS breaking, coalesce(n_hits, 0) AS n_hits FROM documents d LEFT JOIN per USING (doc_id) LEFT JOIN toxic USING (doc_id))
         SELECT doc_id, breaking, n_hits, n_hits > 0 AS direct, CASE WHEN n_hits > 0 THEN 'matched' WHEN breaking THEN 'unattributed-breaking' ELSE 'unattributed-change' END AS bucket FROM met""",
-    "entry_kind": f"""
-        WITH {_LINES}, told AS (SELECT doc_id, line, regexp_matches(line, '`[^`\\n]+`') AS coded FROM lines WHERE line <> '')
-        SELECT doc_id, {_KIND} AS kind, count(*) AS n FROM told GROUP BY ALL""",
+    "entry_kind": rf"""
+        WITH {_TITLES} SELECT o_orderkey, {_KIND} AS kind, regexp_matches(title, '(?i)^\s*(\*{{1,2}}|_{{1,2}}|\[|\()?\s*(⚠️|:warning:|breaking|💥|:boom:)|BREAKING CHANGE') AS breaking,
+               CASE WHEN coded OR called THEN 'headline' ELSE 'none' END AS names_api FROM bare""",
     "entry_regions": r"""
-        SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '`([^`\n]+)`', 1)) AS n_code,
+        SELECT doc_id, (CASE WHEN regexp_matches(coalesce(text, ''), '\S') THEN 1 ELSE 0 END + 2 * len(regexp_extract_all(coalesce(text, ''), '`([^`]+)`', 1)))::BIGINT AS n_regions, len(regexp_extract_all(coalesce(text, ''), '`([^`]+)`', 1)) AS n_code,
                array_to_string(list_transform(list_filter(list_zip(refs, range(len(refs))), lambda p: list_position(refs, p[1]) = p[2] + 1), lambda p: p[1]), ',') AS refs,
-               array_to_string(list_slice(list_sort(list_distinct(list_filter(toks, lambda name: length(name) >= 3 AND (regexp_matches(substr(name, 2), '[A-Z_$0-9]') OR length(name) >= 12)))), 1, 5), ',') AS names
-        FROM (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '#(\d{1,7})', 1) AS refs, regexp_extract_all(coalesce(text, ''), '[A-Za-z_$][\w$]*') AS toks FROM documents)""",
-    "html_clean": f"SELECT page_id, {_CLEAN} AS text FROM pages",
+               array_to_string(list_sort(list_distinct(list_filter(toks, lambda name: length(name) >= 3 AND regexp_matches(name, '[a-z][A-Z]|[_$]|\d|^[A-Z][a-z]+[A-Z]')))), ',') AS names
+        FROM (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '(?:^|[^\w/])(#\d{1,7})\b', 1) AS refs, regexp_extract_all(coalesce(text, ''), '[A-Za-z_$][\w$]*') AS toks FROM documents)""",
+    "html_clean": f"SELECT page_id, {_cleaned(_PREPARED)} AS text FROM pages",
     "url_parts": f"SELECT page_id, {_HOST} AS host, {_PATH} AS path, len(list_filter(string_split({_PATH}, '/'), lambda p: p <> '')) AS depth FROM pages",
     "fence_parity": rf"""
         WITH {_LINES}, told AS (
@@ -114,11 +121,26 @@ ORACLES: dict[str, str] = {
         WITH d AS (SELECT DISTINCT l_orderkey, l_returnflag, l_linenumber FROM lineitem),
              i AS (SELECT *, l_linenumber - row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber) AS island FROM d)
         SELECT l_orderkey, l_returnflag, min(l_linenumber) AS first, max(l_linenumber) AS last, count(*) AS n FROM i GROUP BY l_orderkey, l_returnflag, island""",
-    "split_entries": rf"""
-        WITH {_LINES}, a AS (SELECT *, trim(line) = '' AS blank, regexp_matches(line, '^#{{1,6}} ') AS heading FROM lines),
-        b AS (SELECT *, NOT blank AND (regexp_matches(line, '^\s*[-*+] ') OR heading OR coalesce(lag(blank OR heading) OVER (PARTITION BY doc_id ORDER BY pos), true)) AS starts FROM a),
-        c AS (SELECT *, sum(starts::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS entry FROM b)
-        SELECT doc_id, entry::BIGINT AS entry, count(*) AS n_lines, arg_min(line, pos) AS title FROM c WHERE NOT blank GROUP BY doc_id, entry""",
+    "split_entries": """
+        WITH o AS (SELECT o_custkey, o_orderkey AS k, o_orderpriority AS pri, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS pos FROM orders),
+        a AS (SELECT *, coalesce(sum(CASE WHEN k % 7 = 5 THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS code FROM o),
+        b AS (SELECT *, CASE WHEN k % 7 = 5 THEN 'fence' WHEN code THEN 'code' WHEN k % 7 = 0 THEN 'heading' WHEN k % 7 = 3 THEN 'blank' WHEN k % 7 IN (1, 6) THEN 'bullet' ELSE 'text' END AS what FROM a),
+        c AS (SELECT *, sum((what IN ('heading', 'bullet'))::INT) OVER (PARTITION BY o_custkey ORDER BY pos) AS seg,
+                     last_value(CASE WHEN what IN ('blank', 'text', 'heading', 'bullet') THEN what END IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev,
+                     last_value(CASE WHEN what = 'heading' THEN 'part ' || pri END IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS head FROM b),
+        d AS (SELECT *, first_value(what) OVER (PARTITION BY o_custkey, seg ORDER BY pos) AS under FROM c),
+        e AS (SELECT *, coalesce((what = 'text' AND seg > 0 AND under = 'bullet' AND k % 7 <> 4 AND prev = 'blank') OR (seg = 0 AND what IN ('text', 'fence')), false) AS could FROM d),
+        f AS (SELECT *, what IN ('heading', 'bullet') OR (could AND coalesce(sum(could::INT) OVER (PARTITION BY o_custkey, seg ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0) AS start FROM e),
+        g AS (SELECT *, sum(start::INT) OVER (PARTITION BY o_custkey ORDER BY pos) AS entry, what IN ('code', 'text') AS part FROM f),
+        h AS (SELECT *, CASE WHEN what = 'text' THEN 'prose' WHEN what = 'code' AND coalesce(lag(what) OVER (PARTITION BY o_custkey, entry, part ORDER BY pos), '') <> 'code' THEN 'code-block' END AS region FROM g WHERE entry > 0),
+        i AS (SELECT o_custkey, entry, arg_min(CASE WHEN what IN ('heading', 'bullet') THEN what ELSE 'paragraph' END, pos) AS form,
+                     arg_min(CASE WHEN what = 'heading' THEN 'part ' || pri WHEN what = 'fence' THEN '' WHEN what = 'bullet' THEN CASE k % 7 WHEN 1 THEN 'order number ' ELSE 'step number ' END || k WHEN k % 7 = 4 THEN 'nested under ' || k ELSE 'plain text of ' || k END, pos) AS title,
+                     arg_min(CASE WHEN what = 'heading' THEN '' ELSE coalesce(head, '') END, pos) AS path,
+                     coalesce(list(region ORDER BY pos) FILTER (region IS NOT NULL), []) AS regions, count_if(part) AS n, bool_or(part AND k % 7 <> 3) AS said FROM h GROUP BY o_custkey, entry),
+        j AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY entry) - 1 AS ord, count(*) OVER (PARTITION BY o_custkey) AS every FROM i WHERE (form <> 'heading' OR n > 0) AND (title <> '' OR said)),
+        l AS (SELECT *, min(ord) FILTER (form <> 'paragraph') OVER (PARTITION BY o_custkey) AS listed FROM j)
+        SELECT o_custkey, ord, title, path, array_to_string(list_concat(CASE WHEN title <> '' THEN ['title'] ELSE [] END, regions), ',') AS regions,
+               CASE WHEN coalesce(listed > 0 AND every - listed >= 2 AND ord < listed, false) AND NOT list_contains(regions, 'code-block') THEN 'intro' ELSE 'change' END AS kind FROM l""",
     "candidate_pick": f"""
         WITH {_RELEASED}, base AS (SELECT pkg, min(k) AS i, arg_max(k, published_at) AS tag FROM released GROUP BY pkg),
         told AS (
@@ -171,7 +193,7 @@ ORACLES: dict[str, str] = {
           FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts < a.ts + INTERVAL 14 DAY
           WHERE a.event_type = 'signup' AND b.event_type = 'purchase') WHERE rank <= 10""",
     "multiset_lines": r"""
-        WITH l AS (SELECT source, n_chars < 1000 AS small, regexp_replace(translate(regexp_replace(t, '[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+', '', 'g'), '''`', '""'), '[,;]+\z', '') AS same
+        WITH l AS (SELECT source, n_chars < 1000 AS small, regexp_replace(translate(regexp_replace(regexp_replace(t, '[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+', '', 'g'), '[,;]', '', 'g'), '''`', '""'), '\(([A-Za-z_$][\w$]*)\)=>', '\1=>', 'g') AS same
                    FROM (SELECT source, n_chars, unnest(string_split(text, chr(10))) AS t FROM documents WHERE text IS NOT NULL)),
              c AS (SELECT source, same, count_if(small) AS a, count_if(NOT small) AS b FROM l WHERE same <> '' GROUP BY ALL)
         SELECT source, count(*) AS n_lines, sum(least(a, b))::BIGINT AS pairs FROM c WHERE a > 0 AND b > 0 GROUP BY source""",
@@ -182,18 +204,21 @@ ORACLES: dict[str, str] = {
         ), seen AS (
           SELECT 'r' || r_regionkey AS root, 'r' || r_regionkey AS node, 0::BIGINT AS depth FROM region
           UNION SELECT root, dst, depth + 1 FROM seen JOIN edges ON node = src WHERE depth < 12
-        ) SELECT root, depth, count(*) AS n FROM (SELECT root, node, min(depth) AS depth FROM seen GROUP BY ALL) GROUP BY root, depth""",
+        ) SELECT root, depth, count(*) AS n, false AS cut FROM (SELECT root, node, min(depth) AS depth FROM seen GROUP BY ALL) GROUP BY root, depth""",
     "waterfall": """
-        WITH l AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id)
-        SELECT doc_id, CASE WHEN quality IS NOT NULL THEN 'labels' WHEN lang IS NOT NULL AND n_chars >= 200 THEN 'documents' ELSE 'unavailable' END AS found_in,
-               CASE WHEN quality IS NOT NULL THEN NULL WHEN lang IS NOT NULL AND n_chars >= 200 THEN 'no label' WHEN lang IS NULL THEN 'no language' ELSE 'too short' END AS reason
-        FROM documents LEFT JOIN l USING (doc_id)""",
+        WITH l AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id), m AS (SELECT *, lang IS NOT NULL AND n_chars >= 200 AS fits FROM documents LEFT JOIN l USING (doc_id) WHERE source IS NOT NULL)
+        SELECT doc_id, CASE WHEN quality IS NOT NULL THEN quality::VARCHAR WHEN fits THEN lang END AS body, CASE WHEN quality IS NOT NULL THEN 'labels' WHEN fits THEN 'documents' END AS found_in,
+               CASE WHEN quality IS NULL AND NOT fits THEN 'labels: not found; documents: ' || CASE WHEN lang IS NULL THEN 'no language' ELSE 'too short' END END AS reason FROM m""",
     "verdict_reasons": f"""
         WITH {_RULES} SELECT c_custkey, CASE WHEN list_contains(codes, 'removed-touched') THEN 'blocked' WHEN len(codes) > 0 THEN 'review' ELSE 'quiet' END AS verdict,
                CASE WHEN len(codes) > 0 THEN array_to_string(codes, ',') ELSE 'notes-complete-no-match,surface-clean' END AS reasons FROM told""",
     "findings_order": """
-        SELECT user_id, event_type, event_id, CASE event_type WHEN 'error' THEN 0 WHEN 'purchase' THEN 1 WHEN 'signup' THEN 2 WHEN 'click' THEN 3 ELSE 4 END::BIGINT AS kind_rank, place
-        FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS place FROM events) WHERE place <= 3""",
+        WITH e AS (SELECT 'u' || user_id AS pkg, event_id, event_type AS t, value > 50 AS high, event_id % 3 = 0 AS breaking, event_id % 2 = 0 AS hinted FROM events),
+        r AS (SELECT pkg, event_id, CASE WHEN t IN ('error', 'purchase') THEN 'type' WHEN t = 'click' THEN 'note' WHEN t = 'signup' THEN 'breaking-no-api' ELSE 'change-no-api' END AS kind,
+                CASE WHEN t IN ('error', 'purchase') THEN CASE WHEN coalesce(high, false) THEN CASE WHEN t = 'error' THEN 0 ELSE 1 END ELSE 5 END WHEN t = 'signup' THEN 4 WHEN t <> 'click' THEN 5
+                     WHEN breaking THEN CASE WHEN high THEN 0 ELSE 2 END WHEN high THEN 3 ELSE 5 END AS rank,
+                CASE WHEN t IN ('error', 'purchase') THEN 0 WHEN t = 'click' THEN 1 WHEN t = 'signup' THEN 2 ELSE 3 END AS net, CASE WHEN t NOT IN ('error', 'purchase', 'click') AND NOT hinted THEN 1 ELSE 0 END AS late FROM e)
+        SELECT pkg, kind, event_id::VARCHAR AS id, rank::BIGINT AS rank, row_number() OVER (PARTITION BY pkg ORDER BY rank, net, late, event_id) AS place FROM r""",
     "split_80_20": "SELECT doc_id, ('0x' || substr(sha256(concat_ws('#', source, doc_id)), 1, 8))::BIGINT % 100 < 20 AS held_back FROM documents",
     "score_totals": """
         WITH e AS (SELECT DISTINCT source, lang, doc_id, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
@@ -202,27 +227,28 @@ ORACLES: dict[str, str] = {
              c AS (SELECT source, expected >= 3 AS many, found, coalesce(wrong_quiet, false) AS wrong_quiet, coalesce(reported, 0) AS reported FROM per LEFT JOIN r USING (source))
         SELECT many, count(*) AS cases, count_if(found > 0)::BIGINT AS found_cases, count_if(wrong_quiet)::BIGINT AS wrong_quiet, coalesce(median(reported), 0)::DOUBLE AS median_reported,
                round(coalesce(sum(found) / nullif(sum(reported), 0), 0), 4)::DOUBLE AS precision FROM c GROUP BY GROUPING SETS ((many), ())""",
-    "medians": "SELECT event_type, round(median(value), 6) AS median, list_sort(list(value))[floor(count(value) / 2)::BIGINT + 1] AS upper_median FROM events GROUP BY event_type",
+    "medians": "SELECT event_type, round(median(value), 6) AS median, list_sort(list(value))[floor(count(value) / 2)::BIGINT + 1] AS upper_median FROM events WHERE value IS NOT NULL GROUP BY event_type",
     "manifest_rows": r"""
         SELECT event_id, name, json_extract_string(props, '$.' || name) AS spec,
                CASE WHEN regexp_matches(json_extract_string(props, '$.' || name), '^[\sv\d^~<>=|*xX.-]*[\d*xX][\w.+-]*(\s.*)?\z') THEN 'range' ELSE 'tag' END AS kind
         FROM (SELECT event_id, props, unnest(json_keys(props)) AS name FROM events)""",
     "counted_examples": "SELECT event_type, count(*) AS n, array_to_string(list_slice(list_sort(list(event_id)), 1, 3), ',') AS examples FROM events GROUP BY event_type",
-    "uniq_sites": "SELECT conv_id, role, arg_min(turn, {'q': coalesce(ends_with(text, '?'), false), 't': turn}) AS turn, count(*) AS n FROM conversations GROUP BY conv_id, role",
+    "uniq_sites": """
+        WITH s AS (SELECT conv_id, role, turn // 4 AS line, min({'q': coalesce(ends_with(text, '?'), false)::INT, 't': turn}) AS s FROM conversations GROUP BY ALL)
+        SELECT conv_id, role, line, s.q = 1 AS type_only, s.t AS turn, row_number() OVER (PARTITION BY conv_id ORDER BY role, line) AS place FROM s""",
     "content_ids": "SELECT doc_id, substr(sha1(coalesce(source, '') || chr(0) || text), 1, 12) AS content_id FROM documents WHERE text IS NOT NULL",
-    "first_sentences": r"""
-        WITH f AS (SELECT doc_id, text, regexp_extract(text, '(?s)^(.*?[.!?])(?:\s|\z)', 1) AS s FROM documents WHERE text IS NOT NULL)
-        SELECT doc_id, CASE WHEN length(s) BETWEEN 20 AND 160 THEN s ELSE substr(text, 1, 160) END AS sentence FROM f""",
-    "release_groups": rf"""
-        WITH p AS (SELECT url, regexp_replace(regexp_replace(url, '^git\+', ''), '(\.git)?(#.*)?/?\z', '') AS plain FROM pages),
-        k AS (SELECT url, CASE WHEN regexp_matches(plain, '^(github:)?[\w.-]+/[\w.-]+\z') THEN 'github.com/' || regexp_replace(plain, '^github:', '')
-               WHEN regexp_extract(plain, '{(_G := r"^(?:[a-z+]+://)?(?:[^@/]+@)?([^/:]+)[/:]([^/]+)/([^/]+)")}', 0) <> ''
-               THEN regexp_extract(plain, '{_G}', 1) || '/' || regexp_extract(plain, '{_G}', 2) || '/' || regexp_extract(plain, '{_G}', 3) END AS key FROM p)
-        SELECT coalesce(lower(key), {_HOST}) AS repository, count(*) AS pages, count(DISTINCT url) AS urls FROM k GROUP BY 1""",
+    "first_sentences": rf"""
+        WITH f AS (SELECT doc_id, {_cleaned('text')} AS plain FROM documents WHERE text IS NOT NULL), g AS (SELECT *, regexp_extract(plain, '^(.{{20,160}}?[.!?])(?: |$)', 1) AS s FROM f)
+        SELECT doc_id, CASE WHEN s <> '' THEN s ELSE substr(plain, 1, 160) END AS sentence FROM g""",
+    "release_groups": """
+        WITH u AS (SELECT CASE WHEN o_custkey % 3 = 1 THEN '@s' || (o_custkey % 7) || '/c' || o_custkey ELSE 'c' || o_custkey END AS name,
+                   CASE WHEN o_custkey % 3 = 0 THEN 'github.com/o/r' || (o_custkey % 11) WHEN o_custkey % 3 = 1 THEN '@s' || (o_custkey % 7) || '@' || year(o_orderdate) ELSE 'c' || o_custkey END AS "group",
+                   CASE o_orderstatus WHEN 'F' THEN 3 WHEN 'O' THEN 2 ELSE 1 END AS rank FROM orders)
+        SELECT "group", count(DISTINCT name) AS packages, min(name) AS first, ['patch', 'minor', 'major'][max(rank)] AS bump FROM u GROUP BY 1""",
     "release_tags": f"""
-        WITH {_RELEASED} SELECT '@scope/c' || pkg AS pkg, {_TEXT.format("k")} AS version,
-               CASE WHEN month(published_at) <= 4 THEN 'v' || {_TEXT.format("k")} WHEN month(published_at) <= 8 THEN {_TEXT.format("k")}
-                    WHEN month(published_at) <= 10 THEN 'c' || pkg || '@' || {_TEXT.format("k")} END AS tag FROM released""",
+        WITH {_RELEASED}, t AS (SELECT 'c' || pkg AS bare, '@scope/c' || pkg AS pkg, {_TEXT.format("k")} AS v, month(published_at) AS m FROM released)
+        SELECT pkg, v AS version, CASE WHEN m <= 2 THEN 'v' || v WHEN m <= 4 THEN v WHEN m = 5 THEN pkg || '@' || v WHEN m = 6 THEN bare || '@' || v WHEN m = 7 THEN pkg || '-v' || v WHEN m = 8 THEN bare || '-v' || v WHEN m = 9 THEN 'release-' || v END AS tag,
+               CASE WHEN m <= 2 THEN 0 WHEN m <= 4 THEN 1 WHEN m <= 9 THEN m - 3 END::BIGINT AS scheme FROM t""",
     "notes_coverage": f"""
         WITH {_RELEASED} SELECT pkg, CASE WHEN count_if(NOT deprecated) = count(*) THEN 'complete' WHEN count_if(NOT deprecated) > 0 THEN 'partial' ELSE 'unavailable' END AS coverage
         FROM released GROUP BY pkg""",
@@ -240,4 +266,70 @@ ORACLES: dict[str, str] = {
         WITH {_RULES}, v AS (SELECT c_custkey, CASE WHEN list_contains(codes, 'removed-touched') THEN 2 WHEN len(codes) > 0 THEN 1 ELSE 0 END AS r FROM told)
         SELECT c_nationkey, ['quiet', 'review', 'blocked'][max(r) + 1] AS worst, count_if(r = 0)::BIGINT AS quiet, count_if(r = 1)::BIGINT AS review, count_if(r = 2)::BIGINT AS blocked
         FROM v JOIN customer USING (c_custkey) GROUP BY c_nationkey""",
+    "title_scopes": rf"""
+        WITH {_TITLES}, s AS (
+          SELECT *, regexp_replace(title, '^(?:#\d+\s+)+', '') AS plain, regexp_replace(replace(regexp_replace(title, '^(?:#\d+\s+)+', ''), '`', ''), '^\*\*([^*]+?):?\*\*:?\s*', '\1: ') AS loose FROM bare
+        ), t AS (
+          SELECT *, nullif(concat(regexp_extract(plain, '{(_S := r"^(?:[a-z]+\(([\w$./-]+)\)!?|([\w$]+)):\s")}', 1), regexp_extract(plain, '{_S}', 2)), '') AS scope,
+                 nullif(concat(regexp_extract(loose, '{_S}', 1), regexp_extract(loose, '{_S}', 2)), '') AS own,
+                 regexp_replace(regexp_replace(plain, '^[^:]*:\s', ''), '#\d+', '', 'g') AS rest
+          FROM s
+        ) SELECT o_orderkey, scope,
+                 regexp_matches(rest, '(?i)[\w$]\(\)|\.[a-z]\w*\(') OR coded
+                 OR len(list_filter(regexp_extract_all(rest, '[A-Za-z_$][\w$]*'), lambda w: w <> coalesce(scope, '') AND (regexp_matches(substr(w, 2), '[A-Z_$0-9]') OR length(w) >= 12) AND NOT regexp_matches(w, '^([A-Z]+|[A-Z][a-z]+)$'))) > 0 AS another,
+                 array_to_string(list_sort(list_distinct(list_filter(list_concat(list_concat(
+                   regexp_extract_all(regexp_extract(title, '`([^`]+)`', 1), '[A-Za-z_$][\w$]*'),
+                   list_filter(regexp_extract_all(title, '[A-Za-z_$][\w$]*'), lambda w: regexp_matches(w, '[a-z][A-Z]|[_$]|\d|^[A-Z][a-z]+[A-Z]'))), [own]), lambda w: length(w) >= 3))), ',') AS names
+          FROM t""",
+    "prefix_reach": r"""
+        WITH p AS (SELECT page_id, list_filter(string_split(translate(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', ''), '.#', '--'), '/'), lambda x: x <> '') AS parts FROM pages),
+        s AS (SELECT DISTINCT 'w:' || array_to_string(CASE WHEN len(parts) > 1 THEN parts[1:len(parts) - 1] ELSE parts END, '.') AS subject FROM p),
+        a AS (SELECT page_id, 'w:' || array_to_string(parts[1:k], '.') AS subject FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS k FROM p))
+        SELECT subject, count(DISTINCT page_id) AS n, min(page_id) AS first FROM a JOIN s USING (subject) GROUP BY subject""",
+    "json_strings": "SELECT event_id || '.json' AS path, event_type AS value, 2::BIGINT AS n FROM events UNION ALL SELECT event_id || '.json', 'x', 1 FROM events",
+    "highest_versions": f"""
+        WITH {_RELEASED}, r AS (SELECT DISTINCT pkg, unnest(['^2.0.0', '~3.4', '*', 'first', '<1.0.0']) AS range FROM released),
+        m AS (SELECT r.pkg, r.range, max(k) FILTER (CASE r.range WHEN '^2.0.0' THEN k[1] = 2 WHEN '~3.4' THEN k[1] = 3 AND k[2] = 4 WHEN '*' THEN true WHEN '<1.0.0' THEN k[1] = 0 ELSE false END) AS best, min(k) AS lowest FROM r JOIN released USING (pkg) GROUP BY ALL)
+        SELECT pkg::VARCHAR AS name, range, {_TEXT.format("CASE WHEN range = 'first' THEN lowest ELSE best END")} AS version FROM m""",
+    "name_sets": """
+        WITH g AS (SELECT l_orderkey, list_sort(list_distinct(list((l_partkey % 10)::VARCHAR))) AS s, list_sort(list_distinct(list((l_suppkey % 10)::VARCHAR))) AS w, count(DISTINCT l_returnflag) AS files, count(*) AS refs FROM lineitem GROUP BY l_orderkey)
+        SELECT l_orderkey::VARCHAR AS pkg, array_to_string(s, ',') AS strong, array_to_string(list_filter(w, lambda x: NOT list_contains(s, x)), ',') AS weak, files, refs FROM g""",
+    "sites_by_name": """
+        WITH r AS (SELECT l_orderkey::VARCHAR AS pkg, l_returnflag AS name, l_linestatus AS file, l_suppkey AS line, min((l_quantity < 10)::INT) = 1 AS type_only FROM lineitem GROUP BY ALL),
+        o AS (SELECT DISTINCT l_orderkey::VARCHAR AS pkg, 'R' AS name, 'call' AS file, l_partkey AS line, false AS type_only FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')),
+        b AS (SELECT * FROM r UNION ALL SELECT * FROM o)
+        SELECT *, row_number() OVER (PARTITION BY pkg, name ORDER BY file, line) AS place FROM b""",
+    "brief_groups": f"""
+        WITH {_RULES}, v AS (SELECT lpad(c_custkey::VARCHAR, 9, '0') AS pkg, codes, CASE WHEN list_contains(codes, 'removed-touched') THEN 1 WHEN len(codes) > 0 THEN 2 ELSE 3 END AS rank FROM told),
+        g AS (SELECT pkg, rank, CASE WHEN rank = 3 THEN 'quiet' WHEN rank = 2 AND list_has_all(['opaque-usage', 'not-referenced', 'blind-spots', 'no-evidence', 'flagged-install', 'surface-incomplete'], codes) AND codes <> ['no-evidence'] THEN 'unseen' ELSE 'detailed' END AS shown FROM v)
+        SELECT pkg, shown, row_number() OVER (PARTITION BY shown ORDER BY rank, pkg) AS place, false AS one_net FROM g""",
+    "coverage_labels": f"""
+        WITH {_RELEASED}, g AS (SELECT pkg, count(*) AS total, count_if(NOT deprecated) AS found, list_sort(list_distinct(list(CASE WHEN deprecated THEN NULL WHEN month(published_at) <= 6 THEN 'releases' ELSE 'changelog' END))) AS sources FROM released GROUP BY pkg)
+        SELECT pkg, CASE WHEN found > 0 THEN 'notes for ' || found || '/' || total || ' versions (' || array_to_string(sources, ', ') || ')' ELSE 'notes unavailable (stub-body)' END AS label FROM g""",
+    "typed_usage": """
+        WITH p AS (SELECT 'p' || p_partkey AS pkg, p_size < 25 AS used, p_size::BIGINT AS refs, p_brand, p_type = 'ECONOMY' AS typed FROM part)
+        SELECT pkg, refs, p_brand AS strong, '' AS opaque FROM p WHERE used
+        UNION ALL SELECT '@types/' || pkg, CASE WHEN used THEN refs ELSE 0 END, CASE WHEN used THEN p_brand ELSE '' END, CASE WHEN used THEN '' ELSE 'ambient-types' END FROM p WHERE typed""",
+    "fix_evidence": """
+        WITH e AS (SELECT DISTINCT l_orderkey AS id, l_returnflag AS file, l_linenumber AS line FROM lineitem WHERE l_quantity < 20),
+        f AS (SELECT l_orderkey AS id, l_returnflag AS file, l_linenumber AS line, l_suppkey % 3 AS kind, 'part' || (l_suppkey % 20) AS name FROM lineitem),
+        s AS (SELECT id, list_sort(list_distinct(list(file || ':' || line) FILTER (kind = 0))) AS on_site, list_sort(list_distinct(list(file || ':' || line) FILTER (kind = 1))) AS options FROM e JOIN f USING (id, file, line) WHERE kind < 2 GROUP BY id),
+        t AS (SELECT l_orderkey AS id, 'part' || (l_partkey % 20) AS name FROM lineitem WHERE l_quantity < 20
+              UNION SELECT l_orderkey, 'part' || (l_partkey % 20) FROM lineitem JOIN (SELECT DISTINCT id, file FROM e) x ON l_orderkey = x.id AND l_returnflag = x.file WHERE l_quantity > 45),
+        n AS (SELECT id, list_sort(list_distinct(list(name))) AS names FROM t JOIN (SELECT id, name FROM f WHERE kind = 2) y USING (id, name) GROUP BY id)
+        SELECT id, coalesce(array_to_string(on_site, ','), '') AS on_site, coalesce(array_to_string(options, ','), '') AS options, coalesce(array_to_string(names, ','), '') AS names FROM s FULL JOIN n USING (id)""",
+    "reformatted_lines": """
+        WITH l AS (SELECT l_orderkey AS id, l_linenumber AS line, l_returnflag || floor(l_quantity / 10) AS same, l_linestatus = 'O' AS gone FROM lineitem),
+        p AS (SELECT id, same, count(*) AS pool FROM l WHERE NOT gone GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY id, same ORDER BY line) AS place FROM l WHERE gone)
+        SELECT id, line FROM r JOIN p USING (id, same) WHERE place <= pool""",
+    "registry_choice": """
+        WITH p AS (SELECT p_partkey, lower(replace(p_brand, '#', '')) AS brand FROM part)
+        SELECT CASE WHEN p_partkey % 2 = 0 THEN '@' || brand || '/p' || p_partkey ELSE 'p' || p_partkey END AS pkg, CASE WHEN p_partkey % 2 = 0 THEN 'https://r.io/' || brand ELSE 'https://d.io' END AS registry,
+               CASE WHEN p_partkey % 2 = 1 THEN NULL WHEN starts_with(brand, 'brand1') THEN 'narrow' ELSE 'wide' END AS token FROM p""",
+    "stale_locks": f"""
+        WITH {_RELEASED}, t AS (SELECT pkg, list_sort(list(k))[1] AS old, coalesce(list_sort(list(k))[2], list_sort(list(k))[1]) AS new FROM released GROUP BY pkg)
+        SELECT 'c' || pkg AS dir, {_TEXT.format("CASE WHEN pkg % 2 = 0 OR old = new THEN old ELSE new END")} AS version, CASE WHEN pkg % 2 = 0 OR old = new THEN 'lockfile' ELSE 'manifest-range' END AS version_source, CASE WHEN pkg % 2 = 0 OR old = new THEN 0 ELSE 1 END::BIGINT AS late FROM t""",
+    "removed_names": """
+        SELECT DISTINCT 'lib:v.p' || l_partkey AS path, 'removed' AS bucket FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-05-24'
+        AND l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-05-24' AND l_returnflag = 'N')""",
 }

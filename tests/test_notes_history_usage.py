@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from shiftscope.operators import history, notes, usage
+from shiftscope.operators import history, notes, scoring, usage
 
 
 def frame(spark, schema, *rows):
@@ -23,29 +23,29 @@ def test_waterfall_keeps_every_version(spark):
     assert rows_of(found, "version", "body", "found_in", "reason") == {("1", "one", "releases", None), ("2", "two", "changelog", None), ("3", None, None, "releases: not found; changelog: not found")}
     ranges = frame(spark, "pkg string, version string", ("a", "1"), ("a", "3"), ("b", "9"), ("c", None))
     assert rows_of(notes.coverage(ranges, found), "pkg", "coverage") == {("a", "partial"), ("b", "unavailable"), ("c", "complete")}
+    told = frame(spark, "pkg string, version string, body string, status string", ("b", "9", None, "not-published"), ("a", "3", None, "not-published"), ("a", "1", None, None))
+    assert rows_of(notes.coverage(ranges, told), "pkg", "coverage") == {("a", "unavailable"), ("b", "none-published"), ("c", "complete")}
 
 
 def test_tags(spark):
     versions = frame(spark, "pkg string, version string", ("@s/a", "1.0.0"), ("@s/a", "2.0.0"), ("b", "1.0.0"))
-    tagged = frame(spark, "pkg string, tag string", ("@s/a", "a@1.0.0"), ("@s/a", "v1.0.0"), ("@s/a", "a-2.0.0"))
-    assert rows_of(notes.tags(versions, tagged), "pkg", "version", "tag") == {("@s/a", "1.0.0", "v1.0.0"), ("@s/a", "2.0.0", "a-2.0.0"), ("b", "1.0.0", None)}
+    tagged = frame(spark, "pkg string, tag string", ("@s/a", "a@1.0.0"), ("@s/a", "v1.0.0"), ("@s/a", "@s/a-v2.0.0"), ("@s/a", "a-v2.0.0"), ("b", "b-1.0.0"))
+    found = notes.tags(versions.unionByName(frame(spark, "pkg string, version string", ("@s/a", "3.0.0"))), tagged)
+    assert rows_of(found, "pkg", "version", "tag", "scheme") == {("@s/a", "1.0.0", "v1.0.0", 0), ("@s/a", "2.0.0", "@s/a-v2.0.0", 4), ("@s/a", "3.0.0", None, None), ("b", "1.0.0", None, None)}
+    assert rows_of(notes.lookups(found), "pkg", "version", "tag", "place") == {("@s/a", "3.0.0", "v3.0.0", 1), ("b", "1.0.0", "v1.0.0", 1), ("b", "1.0.0", "1.0.0", 2), ("b", "1.0.0", "b@1.0.0", 3)}
 
 
 def test_headings_and_sections(spark):
     body = "# Changelog\n\n## 2.0.0\ntext\n### Breaking\n- x\n```\n# no heading\n```\n1.5.0\n-----\n- y\n## 1.0.0 - old\nz\n## 2.0.0\nagain"
     bodies = frame(spark, "pkg string, body string", ("p", body))
     assert rows_of(notes.headings(bodies, "pkg", "body"), "pos", "level", "title") == {(0, 1, "Changelog"), (2, 2, "2.0.0"), (4, 3, "Breaking"), (9, 2, "1.5.0"), (12, 2, "1.0.0 - old"), (14, 2, "2.0.0")}
-    assert rows_of(notes.sections(bodies, "pkg", "body"), "version", "first", "last") == {("2.0.0", 2, 8), ("1.5.0", 9, 11), ("1.0.0", 12, 13)}
+    assert rows_of(notes.sections(bodies, "pkg", "body"), "version", "first", "last") == {("2.0.0", 3, 8), ("1.5.0", 11, 11), ("1.0.0", 13, 13)}
 
 
-def test_covered_entries_and_pointers(spark):
-    entries = frame(spark, "version string, entry int, refs array<string>, fuller boolean, title string, text string", ("1", 1, ["5", "6"], True, "Fix", ""), ("1", 2, ["5"], False, "c", ""), ("1", 3, ["5", "7"], False, "d", ""), ("1", 4, [], False, "New Parser", ""), ("1", 5, [], True, "x", "see the 'New parser' section"))
-    assert rows_of(notes.without_covered(entries), "entry") == {(1,), (3,), (4,), (5,)}
-    assert rows_of(notes.pointed(entries), "entry", "section") == {(5, 4)}
-    pre = frame(spark, "pkg string, version string", ("a", "1.0.0-rc.1"), ("a", "1.0.0-canary.1"), ("a", "2.0.0-rc.1"))
-    assert rows_of(notes.prereleases(pre, frame(spark, "pkg string, version string", ("a", "1.0.0"))), "version") == {("1.0.0-rc.1",)}
-    said = frame(spark, "i int, b string", (1, "See the [changelog](https://x.y/z)"), (2, "Fixed the parser"))
-    assert [r[0] for r in said.orderBy("i").select(notes.is_pointer(F.col("b"))).collect()] == [True, False]
+def test_medians_of_any_size(spark):
+    rows = [("a", v) for v in (1.0, 2.0, 2.0, 9.0)] + [("b", 3.0), ("c", None), (None, 4.0), (None, 6.0)] + [("d", float(v)) for v in range(101)]
+    found = scoring.medians(frame(spark, "k string, v double", *rows), "k", "v")
+    assert rows_of(found, "k", "n", "median", "upper_median") == {("a", 4, 2.0, 2.0), ("b", 1, 3.0, 3.0), (None, 2, 5.0, 6.0), ("d", 101, 50.0, 50.0)}
 
 
 def test_diff_lines(spark):

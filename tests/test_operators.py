@@ -63,11 +63,13 @@ def test_specs_and_paths(spark):
 
 def test_text(spark):
     assert column(spark, ["useThing", "email", "x1", "longlonglonglong"], T.is_code_shaped) == [True, False, True, True]
-    kinds = {"chore: x": "housekeeping", "fix typos": "housekeeping", "types: y": "types", "see the migration guide": "reference", "Add thing": "addition", "fix a bug": "change"}
-    assert column(spark, list(kinds), lambda c: T.entry_kind(c, c)) == list(kinds.values())
-    assert column(spark, ["a  <!-- x --> [b](c) ![i](j) https://h.io/o/r/pull/12"], lambda c: T.squeezed(T.cleaned_markdown(c))) == ["a b #12"]
+    assert column(spark, ["a  <!-- x --> [b](c) ![i](j) https://github.com/o/r/pull/12 <p>t</p> https://x.y"], lambda c: T.cleaned(T.prepared(c))) == ["a b #12 t"]
     assert column(spark, ["  const a = 'x' ;", 'const a="x"'], T.layout_free)[0] == column(spark, ['const a="x"'], T.layout_free)[0]
-    assert column(spark, ["2d", "90", "1h", "soon"], numbers.duration_ms) == [172_800_000, 5_400_000, 3_600_000, None]
+    assert column(spark, ["Short. Then a longer sentence ends here. More.", "x" * 300, "[Label](u) says that it works well! yes"], T.first_sentence) == ["Short. Then a longer sentence ends here.", "x" * 160, "Label says that it works well!"]
+    assert column(spark, ["**New** `x` ⚠️ Thing", "A  b"], T.normalized_title) == ["new x thing", "a b"]
+    assert column(spark, ["x_", "  // c", "<!-- x", "});", "$"], T.is_meaningful) == [True, False, False, False, True]
+    assert column(spark, [1_000, 3_600_000, 172_800_000], numbers.age, "long") == ["1m ago", "1h ago", "2d ago"]
+    assert column(spark, ["import x from 'a/b'", "require(\"a\")", "import('ab')"], lambda c: T.imports_package(c, F.lit("a"))) == [True, True, False]
 
 
 def test_mentions_hold_to_patterns(spark):
@@ -89,7 +91,7 @@ def test_demotion(spark):
     regions = spark.createDataFrame([(i, 0, "code-block", "useThing()" if i < 3 else "x") for i in range(12)], "entry int, ord int, kind string, text string")
     names = spark.createDataFrame([("useThing", "strong")], "name string, strength string")
     found = matching.mentions(regions, names)
-    assert [r.name for r in matching.demoted(found, regions).collect()] == ["useThing"]
+    assert [(r.name, r.n, r.total) for r in matching.demoted(found, regions).collect()] == [("useThing", 3, 12)]
     assert matching.demoted(found, regions, part=0.5).count() == 0
 
 
@@ -124,7 +126,9 @@ def test_surfaces(spark):
     assert found == {("p:A", "removed", ()), ("p:f", "changed", ("p/v2:f",)), ("p:g", "widened", ()), ("p:h", "deprecated", ()), ("p:new", "added", ())}
     refs = spark.createDataFrame([("p", "p:A#x", None), ("p", "p:f", None), ("p", "p:z#h", "h")], "pkg string, ref string, weak_name string")
     landed = {(r.path, r.ref, r.strength) for r in surfaces.touched(refs, changes).collect()}
-    assert landed == {("p:A", "p:A#x", "strong"), ("p:f", "p:f", "strong"), ("p:h", "p:z#h", "weak")}
+    assert landed == {("p:A", "p:A#x", "strong"), ("p:f", "p:f", "strong")}  # a function is no member, so its name alone says nothing
+    members = surfaces.diff(symbols(spark, [("p:B#m", "method", ["()"], False, None)]), symbols(spark, []))
+    assert {(r.ref, r.strength) for r in surfaces.touched(spark.createDataFrame([("p", "p:x", "m")], "pkg string, ref string, weak_name string"), members).collect()} == {("p:x", "weak")}
 
 
 def test_aliases(spark):

@@ -35,7 +35,8 @@ def test_inventory(files):
     assert manifests.declared(found, production=True).count() == 3
     locked = manifests.npm_locked(files).select(F.col("importer").alias("dir"), "key", "version")
     assert {(r.dir, r.key, r.version) for r in locked.collect()} == {("", "a", "1.3.0"), ("", "@s/b", "2.0.1"), ("apps/x", "a", "2.9.0"), ("node_modules/a", "e", "5.0.0")}
-    assert {(r.dir, r.key): (r.version, r.version_source) for r in manifests.resolved(rows, locked).collect()} == {("", "a"): ("1.3.0", "lockfile"), ("", "@s/b"): ("2.0.1", "lockfile"), ("", "d"): ("1.0.0", "range-guess"), ("apps/x", "a"): ("2.9.0", "stale")}
+    own = files.filter("path <> 'y/yarn.lock' and path <> 'p/pnpm-lock.yaml'")
+    assert {(r.dir, r.key): (r.version, r.version_source) for r in manifests.inventory(rows, own).collect()} == {("", "a"): ("1.3.0", "lockfile"), ("", "@s/b"): ("2.0.1", "lockfile"), ("", "d"): ("1.0.0", "manifest-range"), ("apps/x", "a"): ("2.9.0", "lockfile")}
 
 
 def test_other_lockfiles(files):
