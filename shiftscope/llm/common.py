@@ -2,45 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Text bytes that a task takes up at once; a single longer document is a block of its own.
-BLOCK_BYTES = 16 << 20
+from ..operators.graphs import dropped, shared_folder, written
 
+__all__ = ["aside", "blocks", "document_key", "dropped", "emit", "encoded", "join_by_share", "shared_folder", "shuffle_partitions", "sizes", "texts", "written"]
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); one of our own only where unset and Spark runs on one machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back, which cuts its lineage."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_to = path
-    return out
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Delete tables made by written(), once all that was read from them is written itself."""
-    for table in tables:
-        spark = table.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(table.written_to)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+#: Text bytes that a task takes up at once; a single longer document is a block of its own.
+BLOCK_BYTES = 16 << 20
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

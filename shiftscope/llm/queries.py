@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import brown, byte_bpe, chat, exact_dedup, language_id, media, packing, simhash, substring_dedup, token_files
 
 
+def _vocabulary(name: str) -> str:
+    """A public tokenizer's file; asked for by the queries that need one."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -27,8 +33,9 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    decoded = byte_bpe.encode(_documents(spark, sf_dir), path, pattern, decoded=True)
+    import public_tokenizers
+
+    decoded = byte_bpe.encode(_documents(spark, sf_dir), _vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, decoded=True)
     return decoded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
@@ -58,7 +65,7 @@ def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = token_files.write_ids(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), 1)
+    folder = token_files.write_ids(_documents(spark, sf_dir), _vocabulary("word_bpe_49k.json"), 1)
     return token_files.read_ids(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
