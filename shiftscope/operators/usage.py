@@ -75,6 +75,56 @@ def attributed(references: DataFrame, imports: DataFrame, origin: DataFrame) ->
     return direct.unionByName(through.join(handed, ["target", "name"]).select("file", "line", "col", "pkg", "imported", F.col("target").alias("via"))).distinct()
 
 
+def forwarded(re_exports: DataFrame, rounds: int = 64) -> tuple[DataFrame, bool]:
+    """file, pkg: packages that a file hands on, itself or through files it hands on; whether `rounds` hops cut it short.
+
+    re_exports: file, target or pkg. Cycles end, as a file is reached once.
+    """
+    edges = re_exports.filter("target is not null").select(F.col("file").alias("src"), F.col("target").alias("dst")).distinct()
+    seen, cut = graphs.closure(edges, re_exports.select(F.col("file").alias("root")).distinct(), rounds)
+    own = re_exports.filter("pkg is not null").select(F.col("file").alias("node"), "pkg").distinct()
+    return seen.join(own, "node").select(F.col("root").alias("file"), "pkg").distinct(), cut
+
+
+def public_reexports(entries: DataFrame, forwards: DataFrame) -> DataFrame:
+    """pkg, file: packages that a public entry file hands on, which others may then use unseen. entries: file, private boolean."""
+    return entries.filter(~F.coalesce("private", F.lit(False))).select("file").distinct().join(forwards, "file").select("pkg", "file").distinct()
+
+
+def passed_options(references: DataFrame, passed: DataFrame) -> DataFrame:
+    """pkg, option, file, line, via: where options are passed: at the call, and where the key is written.
+
+    references: pkg, file, line, col, via; passed: file, line, col (of the call), key, key_line.
+    """
+    met = references.select("pkg", "file", "line", "col", "via").join(passed, ["file", "line", "col"])
+    at = F.array(F.col("line"), F.col("key_line"))
+    return met.select("pkg", F.col("key").alias("option"), "file", F.explode(F.array_distinct(at)).alias("line"), "via").distinct()
+
+
+def used_exports(references: DataFrame, exports: DataFrame) -> DataFrame:
+    """pkg, path, file, line: the exports that references reach, in every spelling that the exports have.
+
+    references: pkg, prefix (the entry), binding (named, default, namespace), names array (of the chain, the import
+    first), called boolean (the import itself is called before the chain), file, line. exports: pkg, path. One that names
+    nothing more precise reaches the module itself.
+    """
+    rows = graphs.written(references.withColumn("row", F.monotonically_increasing_id()), "references")
+    a, b, colon = F.get("names", F.lit(0)), F.get("names", F.lit(1)), F.concat("prefix", F.lit(":"))
+    spelled = F.array(
+        F.when(~F.col("called"), F.concat(colon, a)),
+        F.when(~F.col("called"), F.concat(colon, a, F.lit("#"), b)),
+        F.when(~F.col("called"), F.concat(colon, a, F.lit("."), b)),
+        F.when(F.col("called"), F.concat(colon, F.lit("#"), a)),
+        F.when(F.col("binding") == "default", F.concat(colon, F.lit("default."), a)),
+        F.when(F.col("binding") == "default", F.concat(colon, F.lit("default#"), a)),
+    )
+    own = exports.select("pkg", "path").distinct()
+    hit = rows.select("row", "pkg", "file", "line", F.explode(F.array_compact(spelled)).alias("path")).join(own, ["pkg", "path"])
+    rest = rows.join(hit.select("row").distinct(), "row", "left_anti")
+    whole = rest.select("row", "pkg", "file", "line", F.explode(F.array(colon, F.concat(colon, F.lit("default")))).alias("path")).join(own, ["pkg", "path"])
+    return hit.unionByName(whole).select("pkg", "path", "file", "line").distinct()
+
+
 def tools_used(scripts: DataFrame, binaries: DataFrame) -> DataFrame:
     """pkg, manifest: packages whose commands a script calls. scripts: manifest, script; binaries: pkg, bin."""
     words = scripts.select("manifest", F.explode(F.array_distinct(F.split("script", r"[\s;&|()]+"))).alias("bin")).filter("bin <> ''")
@@ -100,10 +150,15 @@ def changed_exports(before: DataFrame, after: DataFrame) -> DataFrame:
     return differing.join(both, ["pkg", "path"], "left_semi").groupBy("pkg", "path").agg(F.array_sort(F.collect_set("name")).alias("names"))
 
 
-def changed_share(exports: DataFrame, changed: DataFrame) -> DataFrame:
-    """pkg, share: the part of a package's exports that changed inside."""
-    per = exports.select("pkg", "path").distinct().join(changed.select("pkg", "path", F.lit(1).alias("c")).distinct(), ["pkg", "path"], "left").groupBy("pkg").agg(F.count(F.lit(1)).alias("n"), F.count("c").alias("c"))
-    return per.select("pkg", numbers.share(F.col("c"), F.col("n")).alias("share"))
+def changed_share(exports: DataFrame, changed: DataFrame, used: DataFrame | None = None) -> DataFrame:
+    """pkg, share: the part of a package's exports that changed inside, or of those in use (pkg, path) if that is more."""
+
+    def of(some: DataFrame) -> DataFrame:
+        met = some.select("pkg", "path").distinct().join(changed.select("pkg", "path", F.lit(1).alias("c")).distinct(), ["pkg", "path"], "left")
+        return met.groupBy("pkg").agg(F.count(F.lit(1)).alias("n"), F.count("c").alias("c")).select("pkg", numbers.share(F.col("c"), F.col("n")).alias("share"))
+
+    every = of(exports)
+    return every if used is None else every.unionByName(of(used)).groupBy("pkg").agg(F.max("share").alias("share"))
 
 
 def hints(unplaced: DataFrame, changed: DataFrame, share: DataFrame, gate: float = 0.25, most: int = 3) -> DataFrame:

@@ -7,9 +7,11 @@ import tarfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import numbers
+
 #: The record format that is read; others are ignored.
 SCHEMA = 1
 RECORD = "schema int, entry string, version string, kind string, breaking boolean, subjects array<string>, source string, extractor string, names_api string"
@@ -74,3 +76,57 @@ def brief_markdown(packages: DataFrame) -> DataFrame:
     cell = lambda c: F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"\|", r"\\|")
     line = F.concat(F.lit("| "), F.concat_ws(" | ", cell("pkg"), cell("from"), cell("to"), F.col("verdict"), F.concat_ws(", ", "reasons")), F.lit(" |"))
     return head.unionByName(packages.select(order.alias("rank"), "pkg", line.alias("line"))).orderBy("rank", "pkg").select("line")
+
+
+#: Bytes of a source file that is read, and characters of a line that mark what a tool wrote.
+LARGEST, LONG_LINE = 1_500_000, 1000
+
+
+def source_blocks(files: DataFrame) -> DataFrame:
+    """path, skipped, block, kind, line_offset, text: the scripts of source files, those of components by their tags.
+
+    files: path, content. A file that is too large or looks generated is one row with the reason; kind is ts, tsx, js or jsx.
+    """
+    own = files.filter(F.col("path").rlike(r"(?i)\.(?:[cm]?[jt]sx?|vue|svelte|astro)\z"))
+    split = F.split("content", "\n")
+    long = F.exists(split, lambda x: F.length(x) > LONG_LINE) & (F.length("content") >= 5000) & (F.length("content") / F.size(split) > 300)
+    skipped = F.when(F.octet_length("content") > LARGEST, "too-large").when(long, "generated")
+    lower = F.lower("path")
+    component, astro = lower.rlike(r"\.(vue|svelte)\z"), lower.endswith(".astro")
+    tags = F.regexp_extract_all("content", F.lit(r"(?i)<script\b[^>]*>[\s\S]*?</script>"), F.lit(0))
+    lines_in = lambda text: F.size(F.split(text, "\n")) - 1
+
+    def placed(tags: Column) -> Column:
+        """Each tag with the number of lines before its text: what came before it is what is left of the file, tag by tag."""
+        step = lambda acc, tag: F.struct(
+            (acc["at"] + F.instr(F.substr(F.col("content"), acc["at"] + 1), tag) - 1 + F.length(tag)).cast("int").alias("at"),
+            F.array_append(acc["out"], F.struct(tag.alias("tag"), (acc["at"] + F.instr(F.substr(F.col("content"), acc["at"] + 1), tag) - 1).cast("int").alias("start"))).alias("out"),
+        )
+        return F.aggregate(tags, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<tag:string,start:int>>").alias("out")), step)["out"]
+
+    open_tag = lambda tag: F.regexp_extract(tag, r"^(<[^>]*>)", 1)
+    of_tag = lambda x: F.struct(
+        F.when(astro | open_tag(x["tag"]).rlike(r"(?i)\blang\s*=\s*[\"\']?(ts|tsx)"), "ts").otherwise("js").alias("kind"),
+        lines_in(F.concat(F.substr(F.col("content"), F.lit(1), x["start"]), open_tag(x["tag"]))).alias("line_offset"),
+        F.regexp_extract(x["tag"], r"(?i)^<[^>]*>([\s\S]*?)</script>\z", 1).alias("text"),
+    )
+    front = F.regexp_extract("content", r"^---\r?\n([\s\S]*?)\r?\n---", 1)
+    matter = F.when(astro & F.col("content").rlike(r"^---\r?\n[\s\S]*?\r?\n---"), F.array(F.struct(F.lit("ts").alias("kind"), F.lit(1).alias("line_offset"), front.alias("text")))).otherwise(F.array().cast("array<struct<kind:string,line_offset:int,text:string>>"))
+    kind = F.when(lower.rlike(r"\.[cm]?tsx\z"), "tsx").when(lower.rlike(r"\.[cm]?ts\z"), "ts").when(lower.endswith(".jsx"), "jsx").otherwise("js")
+    whole = F.array(F.struct(kind.alias("kind"), F.lit(0).alias("line_offset"), F.col("content").alias("text")))
+    blocks = F.when(component | astro, F.concat(matter, F.transform(placed(tags), of_tag))).otherwise(whole)
+    read = own.withColumn("skipped", skipped)
+    told = read.filter("skipped is null").select("path", F.lit(None).cast("string").alias("skipped"), F.posexplode(blocks).alias("block", "b")).select("path", "skipped", "block", "b.kind", "b.line_offset", "b.text")
+    none = [F.lit(None).cast(k).alias(c) for c, k in (("block", "int"), ("kind", "string"), ("line_offset", "int"), ("text", "string"))]
+    return told.unionByName(read.filter("skipped is not null").select("path", "skipped", *none))
+
+
+def verified(tarballs: DataFrame, integrity: DataFrame) -> DataFrame:
+    """key, content, reason of tarballs (key, content) held against integrity (key, integrity); content that isn't what it should be goes.
+
+    reason: `integrity-mismatch`, or `unchecked` where no hash is known; null for what fits.
+    """
+    fits = numbers.fits_integrity(F.col("content"), F.col("integrity"))
+    met = tarballs.select("key", "content").join(integrity.select("key", "integrity"), "key", "left").withColumn("fits", fits)
+    reason = F.when(F.col("fits").isNull(), "unchecked").when(~F.col("fits"), "integrity-mismatch")
+    return met.select("key", F.when(F.coalesce("fits", F.lit(True)), F.col("content")).alias("content"), reason.alias("reason"))
