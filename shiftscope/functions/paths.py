@@ -94,6 +94,16 @@ def last_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^.#:]+)\z", 1)
 
 
+def unit_name(qualified: Column) -> Column:
+    """What a unit is called, behind its file, class and namespace."""
+    return F.regexp_extract(qualified, r"([^/#.]*)\z", 1)
+
+
+def record_file(pkg: Column, version: Column) -> Column:
+    """The file that holds a version's change records."""
+    return F.concat(F.regexp_replace(pkg, "^([^/]*)/", "$1__"), F.lit("@"), version, F.lit(".json"))
+
+
 def path_rank(path: Column) -> Column:
     """Short entries first: ten for each part of the prefix, one for each name."""
     return F.size(F.split(F.regexp_extract(path, r"^([^:]*)", 1), "/")) * 10 + F.size(segments(path))

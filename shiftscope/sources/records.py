@@ -130,3 +130,37 @@ def verified(tarballs: DataFrame, integrity: DataFrame) -> DataFrame:
     met = tarballs.select("key", "content").join(integrity.select("key", "integrity"), "key", "left").withColumn("fits", fits)
     reason = F.when(F.col("fits").isNull(), "unchecked").when(~F.col("fits"), "integrity-mismatch")
     return met.select("key", F.when(F.coalesce("fits", F.lit(True)), F.col("content")).alias("content"), reason.alias("reason"))
+
+
+#: A mined case, as it is kept: what an upgrade changed, and which lines its fix took out.
+CASE = (
+    "id string, repo string, pr int, base string, split string, packages array<struct<name:string,from:string,to:string>>, "
+    "expected array<struct<file:string,line:int,text:string,imports:array<string>>>, added array<struct<file:string,line:int,text:string>>, "
+    "labels struct<check:string,testsOnly:boolean,expectedReformatShare:double>"
+)
+
+
+def cases(spark: SparkSession, folder: str) -> DataFrame:
+    """Case files of a folder, one object each, by id; files that aren't such objects are left out."""
+    read = spark.read.schema(CASE).option("multiLine", True).option("mode", "DROPMALFORMED").option("pathGlobFilter", "*.json").json(folder)
+    return read.filter("id is not null").orderBy("id")
+
+
+def write_objects(rows: DataFrame, folder: str) -> None:
+    """Rows as JSON lines, one object each, written to a folder as a whole: none of it is there if the job fails."""
+    rows.write.mode("errorifexists").option("ignoreNullFields", "true").json(folder)
+
+
+def upgrade_rows(upgrades: DataFrame) -> DataFrame:
+    """Past upgrades as the rows that are kept of them: what was decided, and what came after.
+
+    upgrades: repo, commit, date, subject, pkg, from, to, bump, verdict, reasons, surface, changes, touched, notes, direct,
+    possibly, adapted, follow_ups; a package without a verdict was not analysed.
+    """
+    state = F.when(F.col("surface") == "computed", F.concat(F.lit("computed "), F.coalesce("changes", F.lit(0)).cast("string"))).otherwise(F.coalesce("surface", F.lit("")))
+    none = F.array().cast("array<string>")
+    return upgrades.select(
+        "repo", F.substring("commit", 1, 8).alias("commit"), F.substring(F.col("date").cast("string"), 1, 10).alias("date"), F.substring("subject", 1, 100).alias("subject"), "pkg", "from", "to", F.coalesce("bump", F.lit("?")).alias("bump"),
+        F.coalesce("verdict", F.lit("not-analysed")).alias("verdict"), F.coalesce("reasons", none).alias("reasons"), state.alias("surface"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("touched", "direct", "possibly")], F.coalesce("notes", F.lit("")).alias("notes"),
+        F.coalesce("adapted", none).alias("adapted"), F.coalesce("follow_ups", none).alias("followUps"), F.when(F.col("verdict").isNull(), "no brief").alias("error"),
+    )

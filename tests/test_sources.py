@@ -93,3 +93,25 @@ def test_stream(spark, tmp_path):
     counted = followups.windowed_counts(stream(), "event_type").writeStream.format("memory").queryName("counted").outputMode("append").option("checkpointLocation", str(tmp_path / "d")).trigger(availableNow=True).start()
     counted.awaitTermination()
     assert spark.table("counted").agg(F.sum("n")).first()[0] > 0.9 * data.count()
+
+
+def test_cases_and_rows(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "b.json").write_text(json.dumps({"id": "b", "pr": 2, "packages": [{"name": "p", "from": "1", "to": "2"}], "labels": {"check": "weak"}}, indent=2))
+    (tmp_path / "in" / "a.json").write_text(json.dumps({"id": "a", "expected": [{"file": "f", "line": 3, "text": "x", "imports": ["p"]}]}))
+    (tmp_path / "in" / "bad.json").write_text("{")
+    found = records.cases(spark, str(tmp_path / "in")).collect()
+    assert [r.id for r in found] == ["a", "b"] and found[0].expected[0].imports == ["p"] and found[1].labels.check == "weak"
+    kind = "repo string, commit string, date string, subject string, pkg string, from string, to string, bump string, verdict string, reasons array<string>, surface string, changes int, touched int, notes string, direct int, possibly int, adapted array<string>, follow_ups array<string>"
+    rows = spark.createDataFrame([("r", "0123456789", "2026-01-02T03:04", "s" * 200, "p", "1", "2", "minor", "quiet", ["x"], "computed", 4, 1, "complete", 2, 0, [], ["f"]), ("r", "01", None, "s", "q", "1", "2", None, None, None, None, None, None, None, None, None, None, None)], kind)
+    records.write_objects(records.upgrade_rows(rows), str(tmp_path / "out"))
+    out = sorted((json.loads(line) for f in (tmp_path / "out").glob("part-*.json") for line in f.read_text().splitlines()), key=lambda r: r["pkg"])
+    assert (out[0]["commit"], out[0]["date"], len(out[0]["subject"]), out[0]["surface"], out[0]["followUps"], "error" in out[0]) == ("01234567", "2026-01-02", 100, "computed 4", ["f"], False)
+    assert (out[1]["verdict"], out[1]["bump"], out[1]["error"], out[1]["touched"]) == ("not-analysed", "?", "no brief", 0)
+
+
+def test_names(spark):
+    df = spark.createDataFrame([("src/a.js#Store.set", "@s/p"), ("plain", "p")], "u string, p string")
+    from shiftscope.functions import paths
+
+    assert [tuple(r) for r in df.select(paths.unit_name(F.col("u")), paths.record_file(F.col("p"), F.lit("1.0.0"))).collect()] == [("set", "@s__p@1.0.0.json"), ("plain", "p@1.0.0.json")]
