@@ -60,10 +60,14 @@ def reformatted(removed: DataFrame, added: DataFrame, least: int = 6) -> DataFra
     return told.filter("again").select(*by, "line").unionByName(inside)
 
 
-def moved(removed: DataFrame, added: DataFrame, by: list[str]) -> DataFrame:
-    """by, same, pairs: lines equal but for their layout on both sides, as a multiset: the smaller count of each."""
-    count = lambda df, name: df.select(*by, T.layout_free(F.col("text")).alias("same")).filter("same <> ''").groupBy(*by, "same").agg(F.count(F.lit(1)).alias(name))
-    return count(removed, "a").join(count(added, "b"), [*by, "same"]).select(*by, "same", F.least("a", "b").alias("pairs"))
+def moved(lines: DataFrame, gone: Column, by: list[str]) -> DataFrame:
+    """by, same, pairs: lines equal but for their layout on both sides, as a multiset: the smaller count of each.
+
+    gone: whether a line is of the old side. Both sides are counted in one pass.
+    """
+    same = lines.select(*by, T.layout_free(F.col("text")).alias("same"), gone.alias("gone")).filter("same <> ''")
+    counts = same.groupBy(*by, "same").agg(F.count_if("gone").alias("a"), F.count_if(~F.col("gone")).alias("b"))
+    return counts.filter("a > 0 and b > 0").select(*by, "same", F.least("a", "b").alias("pairs"))
 
 
 def followups(starts: DataFrame, later: DataFrame, key: str, days: int = 14, most: int = 10) -> DataFrame:

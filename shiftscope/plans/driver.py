@@ -193,7 +193,7 @@ def followup_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def multiset_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("source", "n_chars", F.explode(F.split("text", "\n")).alias("text"))
-    found = lines.moved(docs.filter("n_chars < 1000"), docs.filter("n_chars >= 1000"), ["source"])
+    found = lines.moved(docs.filter("n_chars is not null"), F.col("n_chars") < 1000, ["source"])
     return found.groupBy("source").agg(F.count(F.lit(1)).alias("n_lines"), F.sum("pairs").alias("pairs"))
 
 

@@ -174,7 +174,10 @@ def highest(ranges: DataFrame, releases: DataFrame, tags: DataFrame) -> DataFram
     # a prerelease only satisfies a range that names one of its own version
     core = F.concat_ws(".", *[semver.part("version", k) for k in (1, 2, 3)])
     named = semver.is_stable("version") | F.contains(F.col("range"), F.concat(core, F.lit("-")))
-    fit = own.join(known, "name").filter(F.coalesce(semver.satisfies("version", "range"), F.lit(False)) & named).groupBy("name", "range").agg(F.max_by("version", semver.key("version")).alias("best"))
+    # a range is held against a version once, however many packages have both
+    pairs = graphs.written(own.join(known, "name"), "ranges")
+    fits = pairs.select("range", "version").distinct().filter(F.coalesce(semver.satisfies("version", "range"), F.lit(False)) & named)
+    fit = pairs.join(fits, ["range", "version"]).groupBy("name", "range").agg(F.max_by("version", semver.key("version")).alias("best"))
     return own.join(tagged, ["name", "range"], "left").join(fit, ["name", "range"], "left").select("name", "range", F.coalesce("tagged", "best").alias("version"))
 
 
