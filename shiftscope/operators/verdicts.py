@@ -25,6 +25,7 @@ def package_rules() -> list[tuple[str, Column]]:
     """
     n = lambda c: F.col(c) > 0
     computed, complete = F.col("surface") == "computed", F.col("notes") == "complete"
+    # The codes, in the order in which they are reported.
     clean = computed & complete & ~(n("removed") | n("changed") | n("deprecated") | n("weak") | n("matched") | n("unattributed_breaking") | n("unattributed_change"))
     return [
         ("removed-touched", computed & n("removed")),
@@ -65,7 +66,11 @@ def first_reason(rows: DataFrame, key: str, reason: str, place: str) -> DataFram
 
 
 def examples(rows: DataFrame, kind: str, order: str, what: str, most: int = 3) -> DataFrame:
-    """kind, n, examples: how many there are and the first `most`, merged without holding a group."""
+    """kind, n, examples: how many there are and the first `most`.
+
+    The rank keeps no more than `most` rows a group before the shuffle, as the limit stands on the window (Spark's group
+    limit of windows); what is gathered is those few.
+    """
     ranked = rows.withColumn("__rank", F.row_number().over(Window.partitionBy(kind).orderBy(order)))
     first = ranked.filter(F.col("__rank") <= most).groupBy(kind).agg(F.transform(F.array_sort(F.collect_list(F.struct("__rank", what))), lambda s: s[what]).alias("examples"))
     return rows.groupBy(kind).agg(F.count(F.lit(1)).alias("n")).join(first, kind)
