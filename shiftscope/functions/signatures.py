@@ -176,30 +176,42 @@ def is_widening(before: Column, after: Column) -> Column:
     return (F.size(before) > 0) & (kept | F.forall(before, lambda x: F.exists(after, lambda y: appends_optional(x, y))))
 
 
-def parameters(text: Column) -> Column:
-    """The parameters of a signature's text, split at commas outside brackets and strings; null of what is no call."""
-    # Java's patterns don't nest, so a running depth marks the commas
-    inner = F.regexp_extract(text, r"^(?:<.*?>)?\((.*)\) => ", 1)
-    atoms = F.regexp_extract_all(inner, F.lit(r"""=>|"[^"]*"|'[^']*'|`[^`]*`|[^"'`]"""), F.lit(0))
-    state = F.aggregate(
-        atoms,
-        F.struct(F.lit(0).alias("depth"), F.lit("").alias("text")),
-        lambda acc, x: F.struct(
-            (acc["depth"] + F.when(x.isin("(", "<", "[", "{"), 1).when(x.isin(")", ">", "]", "}"), -1).otherwise(0)).alias("depth"),
-            F.concat(acc["text"], F.when((x == ",") & (acc["depth"] == 0), F.lit("\u0000")).otherwise(x)).alias("text"),
-        ),
-    )
-    parts = F.transform(F.split(state["text"], "\u0000"), lambda p: F.trim(p))
-    return F.when(text.rlike(r"^(<.*>)?\(.*\) => "), F.when(F.trim(inner) == "", F.array().cast("array<string>")).otherwise(parts))
+_ATOM = r"""=>|"[^"]*"|'[^']*'|`[^`]*`|[\s\S]"""
 
 
-def _returns(text: Column) -> Column:
-    """What a signature gives, behind the bracket that closes its parameters."""
-    return F.substr(text, F.length(_type_params(text)) + F.length(F.regexp_extract(text, r"^(?:<.*?>)?(\(.*\)) => ", 1)) + 5)
+def call_parts(text: Column) -> Column:
+    """struct<type_params, params array, returns> of a signature's text, `<$T0>(A, B?) => R`; null of what is no call.
+
+    Java's patterns don't nest, so one fold over brackets, strings and arrows keeps the depth: the parameters end at the bracket that
+    closes the first one outside `<>`, whatever functions or objects stand in them or in the result.
+    """
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("part"), F.lit("").alias("head"), F.lit("").alias("inner"), F.lit("").alias("rest"))
+
+    def step(acc: Column, x: Column) -> Column:
+        opens = (acc["part"] == 0) & (acc["depth"] == 0) & (x == "(")
+        closes = (acc["part"] == 1) & (acc["depth"] == 1) & (x == ")")
+        depth = acc["depth"] + F.when(x.isin("(", "<", "[", "{"), 1).when(x.isin(")", ">", "]", "}"), -1).otherwise(0)
+        comma = (x == ",") & (acc["depth"] == 1)
+        return F.struct(
+            depth.alias("depth"),
+            F.when(opens, 1).when(closes, 2).otherwise(acc["part"]).alias("part"),
+            F.when((acc["part"] == 0) & ~opens, F.concat(acc["head"], x)).otherwise(acc["head"]).alias("head"),
+            F.when((acc["part"] == 1) & ~closes, F.concat(acc["inner"], F.when(comma, F.lit("\u0000")).otherwise(x))).otherwise(acc["inner"]).alias("inner"),
+            F.when(acc["part"] == 2, F.concat(acc["rest"], x)).otherwise(acc["rest"]).alias("rest"),
+        )
+
+    def finish(acc: Column) -> Column:
+        each = F.transform(F.split(acc["inner"], "\u0000"), lambda p: F.trim(p))
+        params = F.when(F.trim(acc["inner"]) == "", F.array().cast("array<string>")).otherwise(each)
+        sound = (acc["part"] == 2) & F.startswith(acc["rest"], F.lit(" => ")) & acc["head"].rlike(r"^(<[\s\S]*>)?\z")
+        return F.when(sound, F.struct(acc["head"].alias("type_params"), params.alias("params"), F.substr(acc["rest"], F.lit(5)).alias("returns")))
+
+    return F.aggregate(F.regexp_extract_all(text, F.lit(_ATOM), F.lit(0)), start, step, finish)
 
 
-def _type_params(text: Column) -> Column:
-    return F.regexp_extract(text, r"^(<.*?>)\(", 1)
+def parameters(text: Column) -> Column:
+    """The parameters of a signature's text, split at commas outside brackets and strings; null of what is no call."""
+    return call_parts(text)["params"]
 
 
 def first_changed_parameter(before: Column, after: Column) -> Column:
@@ -208,14 +220,15 @@ def first_changed_parameter(before: Column, after: Column) -> Column:
     Each overload keeps its type parameters, result and number of parameters, and from the first that differs on all are
     optional on both sides. A call with no more arguments than the place sees what it saw before.
     """
+    parts = lambda x: F.transform(F.coalesce(x, F.array().cast("array<string>")), call_parts)
     places = F.zip_with(
-        F.coalesce(before, F.array().cast("array<string>")),
-        F.coalesce(after, F.array().cast("array<string>")),
+        parts(before),
+        parts(after),
         lambda a, b: F.struct(
-            F.array_position(F.zip_with(parameters(a), parameters(b), lambda p, q: ~p.eqNullSafe(q)), True).alias("at"),
-            ((_type_params(a) == _type_params(b)) & (_returns(a) == _returns(b)) & (F.size(parameters(a)) == F.size(parameters(b)))).alias("same"),
-            parameters(a).alias("a"),
-            parameters(b).alias("b"),
+            F.array_position(F.zip_with(a["params"], b["params"], lambda p, q: ~p.eqNullSafe(q)), True).alias("at"),
+            ((a["type_params"] == b["type_params"]) & (a["returns"] == b["returns"]) & (F.size(a["params"]) == F.size(b["params"]))).alias("same"),
+            a["params"].alias("a"),
+            b["params"].alias("b"),
         ),
     )
     rest = lambda x, c: F.forall(F.filter(x[c], lambda p, i: i >= x["at"] - 1), _optional)

@@ -45,11 +45,6 @@ def classified(bodies: DataFrame, key: str, text: str) -> DataFrame:
     return told.select(key, "row", "pos", "line", what.alias("what"), F.when(what == "heading", level).alias("level"), T.cleaned(said).alias("said")).filter("what <> 'taken'")
 
 
-def headings(bodies: DataFrame, key: str, text: str) -> DataFrame:
-    """key, row, pos, level, title of headings outside fences, of both kinds: # marks, and underlined."""
-    return classified(bodies, key, text).filter("what = 'heading'").select(key, "row", "pos", "level", F.col("said").alias("title"))
-
-
 def _drafts(lines: DataFrame, key: str) -> DataFrame:
     """lines with entry (a running number), kind, title, path of their entry, and part: whether the line is of its content."""
     by = Window.partitionBy("row").orderBy("pos")

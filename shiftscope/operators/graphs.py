@@ -39,6 +39,24 @@ def dropped(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Keys that a join may broadcast, and rows of a key below which it never does.
+HOT_KEYS, HOT_ROWS = 1000, 1000
+
+
+def join_by_share(rows: DataFrame, facts: DataFrame, on: list[str], total: int | None = None) -> DataFrame:
+    """rows joined to facts (one row a key; column n: how many of the `total` rows have it), hot keys apart; n goes.
+
+    Keys of over a thousandth of all rows, so at most HOT_KEYS, are broadcast, and their rows stay where they are; the
+    others' rows meet their facts by a shuffle. Both tables are read twice, so they should be written ones.
+    """
+    total = rows.count() if total is None else total
+    least = max(HOT_ROWS, total // HOT_KEYS)
+    hot = facts.filter(F.col("n") > least).drop("n")
+    met = rows.join(F.broadcast(hot), on)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(facts.filter(F.col("n") <= least).drop("n"), on)
+    return met.unionByName(rest)
+
+
 def closure(edges: DataFrame, roots: DataFrame, rounds: int) -> tuple[DataFrame, bool]:
     """root, node, depth of all nodes reached within `rounds` edges (src, dst), roots among them; whether it was cut.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import semver
 from ..functions import text as T
+from . import graphs
 
 
 # How the name, address or login of a bot looks.
@@ -78,17 +79,31 @@ def expected_lines(changed: DataFrame, imports: DataFrame) -> DataFrame:
     return changed.filter((F.col("side") == "old") & T.is_meaningful(F.col("text"))).join(uses, ["id", "file"]).select("id", "file", "line", "packages")
 
 
+# Why the commits of a pull request don't split into an upgrade and its fix.
+NO_SPLIT = ["no human commit", "first commit is not by a bot", "merge commit before the fix"]
+
+
 def branch(commits: DataFrame) -> DataFrame:
-    """id, upgraded, base_pos, fix_from, fix_to: the first commit by a person on a branch that a bot began, up to the next merge.
+    """id, reason, upgraded, fix_from, fix_to, fixes: how the commits of a pull request split into the upgrade and the fix on top of it.
 
-    commits: id, pos, bot boolean, parents int.
+    commits: id, pos, bot boolean, parents int. The fix begins with the first commit by a person (no bot, no merge) and ends with the
+    last one before the next merge; upgraded is the place of the commit before it, whoever wrote it; fixes counts the
+    commits by persons. Where there is no such split the reason says why and the places are null.
     """
     person = ~F.col("bot") & (F.col("parents") <= 1)
-    first = commits.groupBy("id").agg(F.min(F.when(person, F.col("pos"))).alias("fix_from"), F.min(F.when(F.col("bot"), F.col("pos"))).alias("upgraded"))
-    met = commits.join(first, "id").filter(F.col("pos") >= F.col("fix_from"))
-    stop = met.groupBy("id").agg(F.min(F.when(F.col("parents") > 1, F.col("pos"))).alias("merge"))
-    run = met.join(stop, "id").filter(person & (F.col("merge").isNull() | (F.col("pos") < F.col("merge"))))
-    return run.groupBy("id", "upgraded", "fix_from").agg(F.max("pos").alias("fix_to"))
+    merge = F.col("parents") > 1
+    first = commits.groupBy("id").agg(F.min(F.when(person, F.col("pos"))).alias("fix_from"), F.min_by("bot", "pos").alias("begun_by_bot"))
+    met = commits.join(first, "id")
+    at = met.groupBy("id", "begun_by_bot", "fix_from").agg(
+        F.max(F.when(F.col("pos") < F.col("fix_from"), F.col("pos"))).alias("upgraded"),
+        F.coalesce(F.bool_or(merge & (F.col("pos") < F.col("fix_from"))), F.lit(False)).alias("merged_before"),
+        F.min(F.when(merge & (F.col("pos") > F.col("fix_from")), F.col("pos"))).alias("merge"),
+    )
+    run = met.filter(person).join(at.select("id", "merge"), "id").filter(F.col("merge").isNull() | (F.col("pos") < F.col("merge")))
+    ends = run.groupBy("id").agg(F.max("pos").alias("fix_to"), F.count(F.lit(1)).alias("fixes"))
+    reason = F.when(F.col("fix_from").isNull(), NO_SPLIT[0]).when(F.col("upgraded").isNull() | ~F.col("begun_by_bot"), NO_SPLIT[1]).when(F.col("merged_before"), NO_SPLIT[2])
+    told = at.join(ends, "id", "left").withColumn("reason", reason)
+    return told.select("id", "reason", *[F.when(F.col("reason").isNull(), F.col(c)).alias(c) for c in ("upgraded", "fix_from", "fix_to", "fixes")])
 
 
 def bumps(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -109,11 +124,14 @@ def release_groups(upgrades: DataFrame) -> DataFrame:
 
 
 def labels(expected: DataFrame) -> DataFrame:
-    """id, lines, layout_share, tests_only: shares of lines that only move layout, rounded to two places.
+    """id, lines, layout_share, tests_only, and lines and layout_share of source and of tests apart (null where there are none).
 
-    expected: id, file, line, layout boolean, test boolean.
+    expected: id, file, line, layout boolean. Shares of lines that only move layout are rounded to two places.
     """
-    return expected.groupBy("id").agg(F.count(F.lit(1)).alias("lines"), F.round(F.avg(F.col("layout").cast("double")), 2).alias("layout_share"), F.bool_and("test").alias("tests_only"))
+    layout = F.col("layout").cast("double")
+    told = expected.withColumn("test", is_test_path(F.col("file")))
+    of = lambda name, cond: [F.count_if(cond).alias(f"{name}_lines"), F.round(F.avg(F.when(cond, layout)), 2).alias(f"{name}_layout_share")]
+    return told.groupBy("id").agg(F.count(F.lit(1)).alias("lines"), F.round(F.avg(layout), 2).alias("layout_share"), F.bool_and("test").alias("tests_only"), *of("source", ~F.col("test")), *of("test", F.col("test")))
 
 
 def accepted(mined: DataFrame, ladder: list[tuple[str, Column]]) -> DataFrame:
@@ -128,8 +146,8 @@ def evidence(expected: DataFrame, added: DataFrame, facts: DataFrame) -> DataFra
     """id, package, on_site, options, types, imports (`file:line` of expected lines), names: what ties a fix to a package; only packages with some.
 
     expected: id, file, line, text, packages array; added: id, file, text; facts: id, package, kind (site, option, type,
-    import or name), file, line, name. A name counts where a line of the files that import the package has it as a token,
-    so that names and lines meet by equality.
+    import or name), file, line, name. A name counts where a line of the files that import the package has it, not inside a
+    longer word: names and lines meet by the name's longest token, and a name of several tokens is then looked for in the line.
     """
     own = expected.select("id", "file", "line", "text", F.explode("packages").alias("package"))
     at = facts.filter("kind <> 'name'").select("id", "package", "kind", "file", "line").distinct()
@@ -137,9 +155,17 @@ def evidence(expected: DataFrame, added: DataFrame, facts: DataFrame) -> DataFra
     of = lambda kind: F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("place"))))
     placed = lines_.groupBy("id", "package").agg(of("site").alias("on_site"), of("option").alias("options"), of("type").alias("types"), of("import").alias("imports"))
     files = own.select("id", "package", "file").distinct()
-    texts = own.select("id", "package", "text").unionByName(added.join(files, ["id", "file"]).select("id", "package", "text"))
-    token = texts.select("id", "package", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[\w$]+"), F.lit(0)))).alias("name"))
-    named = token.join(facts.filter("kind = 'name'").select("id", "package", "name").distinct(), ["id", "package", "name"]).groupBy("id", "package").agg(F.array_sort(F.collect_set("name")).alias("names"))
+    texts = own.select("id", "package", "text").unionByName(added.join(files, ["id", "file"]).select("id", "package", "text")).distinct()
+    texts = graphs.written(texts.withColumn("row", F.monotonically_increasing_id()), "fix-lines")
+    tokens = lambda c: F.regexp_extract_all(c, F.lit(r"[\w$]+|[^\w$\s]"), F.lit(0))
+    longest = F.element_at(F.array_sort(tokens(F.col("name")), lambda x, y: F.length(y) - F.length(x)), 1)
+    wanted = facts.filter("kind = 'name'").select("id", "package", "name").distinct().withColumn("token", longest).filter("token is not null")
+    each = texts.select("id", "package", "row", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
+    met = each.join(wanted, ["id", "package", "token"]).withColumn("sure", (F.col("name") == F.col("token")) & F.col("name").rlike(r"[\w$]"))
+    whole = F.concat(F.lit(r"(?<![\w$])"), F.regexp_replace("name", r"([.*+?^${}()|\[\]\\])", r"\\$1"), F.lit(r"(?![\w$])"))
+    doubtful = met.filter("not sure").join(texts.select("row", "text"), "row").filter(F.rlike("text", whole))
+    found = met.filter("sure").select("id", "package", "name").unionByName(doubtful.select("id", "package", "name")).distinct()
+    named = found.groupBy("id", "package").agg(F.array_sort(F.collect_list("name")).alias("names"))
     none = F.array().cast("array<string>")
     both = placed.join(named, ["id", "package"], "full").select("id", "package", *[F.coalesce(c, none).alias(c) for c in ("on_site", "options", "types", "imports", "names")])
     return both.filter(F.size(F.concat("on_site", "options", "types", "imports", "names")) > 0)

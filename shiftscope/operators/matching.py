@@ -103,13 +103,15 @@ def demoted(found: DataFrame, regions: DataFrame, least: int = DEMOTE_LEAST, par
     return met.filter((F.col("n") >= least) & (F.col("n") >= part * F.col("total"))).select(*by, "name", "n", "total")
 
 
-def hits(found: DataFrame, names: DataFrame, entries: DataFrame, boilerplate: DataFrame) -> DataFrame:
+def hits(found: DataFrame, names: DataFrame, entries: DataFrame, boilerplate: DataFrame, by: list[str] | None = None) -> DataFrame:
     """entry, name, strength, region: of each mention the first region that counts.
 
     An example doesn't count for a demoted name, unless the entry is breaking, nor for a weak name that looks like a plain word.
+    by: columns of entries, names and boilerplate, such as a package, within which names count.
     """
-    best = names.groupBy("name").agg(F.min("strength").alias("strength"))  # strong before weak
-    met = found.join(best, "name").join(entries.select("entry", "breaking"), "entry").join(boilerplate.select("name").distinct().withColumn("demoted", F.lit(True)), "name", "left")
+    by = by or []
+    best = names.groupBy(*by, "name").agg(F.min("strength").alias("strength"))  # strong before weak
+    met = found.join(entries.select(*by, "entry", "breaking"), "entry").join(best, [*by, "name"]).join(boilerplate.select(*by, "name").distinct().withColumn("demoted", F.lit(True)), [*by, "name"], "left")
     silent = (F.col("kind") == "code-block") & ((F.coalesce("demoted", F.lit(False)) & ~F.col("breaking")) | ((F.col("strength") == "weak") & ~T.is_code_shaped(F.col("name"))))
     return met.filter(~silent).groupBy("entry", "name", "strength").agg(F.min_by("kind", "first").alias("region"))
 

@@ -69,15 +69,15 @@ def lookups(found: DataFrame, most: int = 12) -> DataFrame:
     return each.withColumn("place", place).filter(F.col("place") <= most).select("pkg", "version", "place", "tag")
 
 
-def headings(bodies: DataFrame, key: str, text: str) -> DataFrame:
-    """key, row (a number of the body), pos, span, level, title of headings outside fences, of both kinds: # marks, and underlined."""
+def headings(bodies: DataFrame, key: str, text: str, dashes: int = 2) -> DataFrame:
+    """key, row (a number of the body), pos, span, level, title of headings outside fences: # marks, and lines over `=` or `dashes` dashes and more."""
     own = graphs.written(bodies.select(key, F.col(text).alias("body")).withColumn("row", F.monotonically_increasing_id()), "bodies")
     each = own.select(key, "row", F.posexplode(F.split("body", "\r?\n")).alias("pos", "line")).repartition("row")
     by = Window.partitionBy("row").orderBy("pos")
     told = lines.fenced(each, "row").withColumn("below", F.lead("line").over(by))
     pattern = r"^(#{1,6})\s+(.+?)\s*#*\s*\z"
     marks = F.regexp_extract("line", pattern, 1)
-    under = F.when(F.col("below").rlike(r"^=+\s*\z"), 1).when(F.col("below").rlike(r"^-{2,}\s*\z"), 2)
+    under = F.when(F.col("below").rlike(r"^=+\s*\z"), 1).when(F.col("below").rlike(rf"^-{{{dashes},}}\s*\z"), 2)
     level = F.when(marks != "", F.length(marks)).when(F.col("line").rlike(T.WORD) & ~F.col("line").rlike(r"^\s*([-*+]|\d+\.)\s|^\s{4}"), under)
     fence = F.col("line").rlike(r"^\s*(```|~~~)")
     found = told.filter(~F.col("in_fence") & ~fence).withColumns({"level": level, "marks": marks}).filter("level is not null")

@@ -155,33 +155,47 @@ def collapsed(changes: DataFrame) -> DataFrame:
     told = own.columns
     param = F.min("from_param") if "from_param" in told else F.lit(None).cast("int")
     alone = F.when(F.col("bucket") == "unproven", F.col("path"))
-    group = own.groupBy("pkg", "bucket", "kind", "name", "before", "after", alone.alias("alone")).agg(F.array_sort(F.collect_set("seen")).alias("seen"), param.alias("from_param"))
+    group = own.groupBy("pkg", "bucket", "kind", "name", "before", "after", alone.alias("alone")).agg(F.array_sort(F.collect_set("seen")).alias("seen"), param.alias("from_param"), *([F.min("cause").alias("cause")] if "cause" in told else []))
     others = F.transform(F.slice("seen", 2, F.greatest(F.size("seen") - 1, F.lit(1))), lambda s: s["path"])
-    return group.select("pkg", F.col("seen")[0]["path"].alias("path"), "kind", "bucket", "before", "after", F.when(F.size("seen") > 1, others).otherwise(F.array().cast("array<string>")).alias("also_at"), "from_param")
+    cause = ["cause"] if "cause" in told else []
+    return group.select("pkg", F.col("seen")[0]["path"].alias("path"), "kind", "bucket", "before", "after", F.when(F.size("seen") > 1, others).otherwise(F.array().cast("array<string>")).alias("also_at"), "from_param", *cause)
 
 
-def touched(refs: DataFrame, changes: DataFrame) -> DataFrame:
-    """pkg, path (of the change), bucket, ref, strength: uses that a change lands on.
-
-    refs: pkg, ref (a symbol path), weak_name (a member's name only, or null) and, where known, args (a call's arguments).
-    Strong: the change is at the path, or at one above it if it was removed; a call that ends before the first changed
-    parameter sees the old signature. Weak: the last names agree, the change is of a member, and nothing strong was found.
-    """
+def _landed(refs: DataFrame, changes: DataFrame, buckets: list[str], others: list[str]) -> DataFrame:
+    """pkg, path, bucket, cause, ref, strength and the refs' others: the uses on which changes of these buckets land."""
     args = F.col("args").cast("int") if "args" in refs.columns else F.lit(None).cast("int")
     param = F.col("from_param") if "from_param" in changes.columns else F.lit(None).cast("int")
-    rows = refs.select("pkg", "ref", "weak_name", args.alias("args"))
+    cause = F.col("cause") if "cause" in changes.columns else F.lit(None).cast("string")
+    rows = refs.select("pkg", "ref", "weak_name", args.alias("args"), *others)
     places = F.array_append(F.col("also_at"), F.col("path")) if "also_at" in changes.columns else F.array("path")
-    lands = changes.filter(F.col("bucket").isin("removed", "unproven", "changed", "deprecated")).select("pkg", "path", "bucket", param.alias("from_param"), F.explode(places).alias("at"))
-    out = ["pkg", "path", "bucket", "ref"]
+    lands = changes.filter(F.col("bucket").isin(buckets)).select("pkg", "path", "bucket", cause.alias("cause"), param.alias("from_param"), F.explode(places).alias("at"))
+    out = ["pkg", "path", "bucket", "cause", "ref", *others]
     exact = rows.join(lands.withColumnRenamed("at", "ref"), ["pkg", "ref"]).filter(F.col("from_param").isNull() | F.col("args").isNull() | (F.col("args") > F.col("from_param"))).select(*out)
-    above = rows.select("pkg", "ref", F.explode(paths.ancestors(F.col("ref"))).alias("at"))
+    above = rows.select("pkg", "ref", *others, F.explode(paths.ancestors(F.col("ref"))).alias("at"))
     gone = above.join(lands.filter(F.col("bucket").isin("removed", "unproven")), ["pkg", "at"]).select(*out)
     strong = exact.unionByName(gone).distinct()
-    named = lands.filter(F.col("at").rlike(r"#[^.#:]+\z")).select("pkg", "path", "bucket", paths.last_name(F.col("path")).alias("weak_name")).distinct()
+    named = lands.filter(F.col("at").rlike(r"#[^.#:]+\z")).select("pkg", "path", "bucket", "cause", paths.last_name(F.col("path")).alias("weak_name")).distinct()
     weak = rows.filter("weak_name is not null").join(named, ["pkg", "weak_name"]).select(*out).distinct().join(strong.select("pkg", "path", "bucket").distinct(), ["pkg", "path", "bucket"], "left_anti")
     return strong.withColumn("strength", F.lit("strong")).unionByName(weak.withColumn("strength", F.lit("weak")))
 
 
+def touched(refs: DataFrame, changes: DataFrame, others: list[str] | None = None) -> DataFrame:
+    """pkg, path (of the change), bucket (removed, changed or deprecated), ref, strength: uses that a change lands on.
+
+    refs: pkg, ref (a symbol path), weak_name (a member's name only, or null) and, where known, args (a call's arguments).
+    Strong: the change is at the path, or at one above it if it was removed; a call that ends before the first changed
+    parameter sees the old signature. Weak: the last names agree, the change is of a member, and nothing strong was found.
+    What is unproven lands nowhere: `in_doubt` counts it. others: columns of refs, such as a site, that come through.
+    """
+    return _landed(refs, changes, ["removed", "changed", "deprecated"], others or []).drop("cause")
+
+
+def in_doubt(refs: DataFrame, changes: DataFrame) -> DataFrame:
+    """pkg, cause, n: paths in use, by name or under them, that the new surface could not have shown: a reason to look, never a removal."""
+    met = _landed(refs, changes, ["unproven"], []).select("pkg", "path", "cause").distinct()
+    return met.groupBy("pkg", "cause").agg(F.count(F.lit(1)).alias("n"))
+
+
 def touched_order() -> list[Column]:
     """Removed, changed, deprecated; the strong before the weak of each; then by path."""
     rank = F.when(F.col("bucket") == "removed", 0).when(F.col("bucket") == "changed", 2).otherwise(4)

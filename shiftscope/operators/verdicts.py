@@ -21,7 +21,8 @@ def package_rules() -> list[tuple[str, Column]]:
     """The rules over one package's counts and states, a column each.
 
     Columns: removed, changed, deprecated, weak, matched, unattributed_breaking, unattributed_change, blind, opaque,
-    refs, flagged, out_of_sync (counts); surface, notes, bump (states).
+    refs, flagged, out_of_sync (counts; removed, changed and deprecated are strong uses); surface, notes, bump (states);
+    incomplete (whether a computed surface may miss something: it stays computed, so what it proves removed blocks).
     """
     n = lambda c: F.col(c) > 0
     computed, complete = F.col("surface") == "computed", F.col("notes") == "complete"
@@ -40,7 +41,7 @@ def package_rules() -> list[tuple[str, Column]]:
         ("not-referenced", ~(n("refs") | n("opaque") | n("blind"))),
         ("flagged-install", n("flagged")),
         ("out-of-sync", n("out_of_sync")),
-        ("surface-incomplete", F.col("surface").isin("failed", "offline-uncached", "types-elsewhere", "incomplete")),
+        ("surface-incomplete", F.col("surface").isin("failed", "offline-uncached", "types-elsewhere") | F.col("incomplete")),
         ("no-evidence", ~complete & ~computed),
         ("major-unproven", (F.col("bump") == "major") & ~clean),
     ]

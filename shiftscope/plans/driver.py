@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers, paths, semver
 from ..functions import text as T
-from ..operators import briefs, entries, graphs, history, lines, matching, notes, scoring, surfaces, usage, verdicts, versions
+from ..operators import assembly, briefs, chains, entries, graphs, history, lines, matching, notes, scoring, surfaces, usage, values, verdicts, versions
 from ..sources import installed, manifests
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -229,8 +229,8 @@ def verdict_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     zero = {c: F.lit(0).cast("long") for c in ("weak", "unattributed_change", "blind", "opaque", "flagged", "out_of_sync")}
     rows = table(spark, sf_dir, "customer").join(per, F.col("c_custkey") == F.col("o_custkey"), "left")
     rows = rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("removed", "changed", "deprecated", "matched", "unattributed_breaking", "refs")} | zero)
-    rows = rows.withColumns({"surface": F.when(F.col("c_acctbal") < 0, "failed").otherwise("computed"), "notes": F.when(F.col("top").isNull(), "unavailable").otherwise("complete"), "bump": F.when(F.col("top") > 420000, "major").otherwise("minor")})
-    return verdicts.decide(rows).select("c_custkey", "verdict", F.concat_ws(",", "reasons").alias("reasons"))
+    rows = rows.withColumns({"failed": F.col("c_acctbal") < 0, "cut": F.col("c_custkey") % 4 == 1, "notes": F.when(F.col("top").isNull(), "unavailable").otherwise("complete"), "bump": F.when(F.col("top") > 420000, "major").otherwise("minor")})
+    return verdicts.decide(briefs.surface_state(rows)).select("c_custkey", "verdict", F.concat_ws(",", "reasons").alias("reasons"))
 
 
 def findings_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -313,10 +313,10 @@ def release_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def notes_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How much of each package's releases has notes; deprecated ones have none."""
+    """How much of each package's releases has notes; deprecated ones have none, as every third package that has been asked says itself."""
     released = _released(spark, sf_dir)
     found = notes.waterfall(released.select("pkg", "version"), [("releases", released.filter("not deprecated").select("pkg", "version", F.lit("text").alias("body"), F.lit(None).cast("string").alias("reason")))])
-    return notes.coverage(released.select("pkg", "version"), found)
+    return notes.coverage(released.select("pkg", "version"), found.withColumn("status", F.when(F.col("body").isNull() & (F.col("pkg") % 3 == 0), "not-published")))
 
 
 def version_bumps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -397,7 +397,7 @@ def coverage_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     released = _released(spark, sf_dir)
     per = released.select("pkg", "version", F.when(~F.col("deprecated"), F.when(F.month("published_at") <= 6, "releases").otherwise("changelog")).alias("source"), F.when(F.col("deprecated"), "stub-body").alias("reason"))
     told = briefs.union_sources(per)
-    state = F.when(F.col("found") == F.col("total"), "complete").when(F.col("found") > 0, "partial").otherwise("unavailable")
+    state = F.when(F.col("found") == F.col("total"), "complete").when(F.col("found") > 0, "partial").otherwise(F.when(F.col("pkg") % 2 == 0, "none-published").otherwise("unavailable"))
     return told.select("pkg", briefs.coverage_label(state, F.col("found"), F.col("total"), F.array_sort("sources"), F.col("reasons")).alias("label"))
 
 
@@ -472,6 +472,121 @@ def removed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("path", "bucket")
 
 
+def _segments(*parts: tuple) -> Column:
+    """A chain of (name, call, construct, args), without the parts whose name is null."""
+    each = [F.when(name.isNotNull(), F.struct(name.alias("name"), call.alias("call"), construct.alias("construct"), args.cast("int").alias("args"))) for name, call, construct, args in parts]
+    return F.array_compact(F.array(*each)).cast(chains.NONE)
+
+
+def type_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as references walked through regions (namespaces, each with an alias), nations (classes, functions, interfaces) and
+    their customers (methods that give a nation): which symbols they reach, and what is left where the type is lost."""
+    nation, customer, region = (table(spark, sf_dir, t) for t in ("nation", "customer", "region"))
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    none = F.lit(None).cast("string")
+    place = nation.select(F.col("n_nationkey").alias("nk"), text("lib:r", F.col("n_regionkey"), ".n", F.col("n_nationkey")).alias("path"), F.col("n_regionkey").alias("rk"))
+    spaces = region.select(F.explode(F.array(F.lit("r"), F.lit("a"))).alias("k"), "r_regionkey").select(text("lib:", F.col("k"), F.col("r_regionkey")).alias("path"), F.lit("namespace").alias("kind"), F.when(F.col("k") == "a", text("lib:r", F.col("r_regionkey"))).alias("alias_of"), none.alias("returns"), none.alias("instance_of"))
+    next_ = place.select(((F.col("nk") + 24) % 25).alias("nk"), F.col("path").alias("next"))
+    kind = F.get(F.array(F.lit("class"), F.lit("function"), F.lit("interface")), (F.col("nk") % 3).cast("int"))
+    types = place.join(next_, "nk", "left").select("path", kind.alias("kind"), none.alias("alias_of"), F.when(F.col("nk") % 3 == 1, F.col("next")).alias("returns"), F.when(F.col("nk") % 3 == 0, F.col("path")).alias("instance_of"))
+    to = place.select(F.col("nk").alias("to_nk"), F.col("path").alias("to"))
+    members = customer.select("c_custkey", F.col("c_nationkey").alias("nk"), (F.col("c_custkey") % 25).alias("to_nk")).join(place, "nk").join(to, "to_nk")
+    members = members.select(text(F.col("path"), "#c", F.col("c_custkey")).alias("path"), F.lit("method").alias("kind"), none.alias("alias_of"), F.col("to").alias("returns"), none.alias("instance_of"))
+    symbols = graphs.written(spaces.unionByName(types).unionByName(members).withColumn("pkg", F.lit("lib")), "symbols")
+    first = customer.groupBy(F.col("c_nationkey").alias("to_nk")).agg(F.min("c_custkey").alias("first"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
+    rows = orders.join(customer.select("c_custkey", F.col("c_nationkey").alias("nk")), "c_custkey").join(place.select("nk", "rk"), "nk").withColumn("to_nk", F.col("c_custkey") % 25).join(first, "to_nk", "left")
+    key = F.col("o_orderkey")
+    yes, no, unknown = F.lit(True), F.lit(False), F.lit(None).cast("int")
+    head = text(F.when(key % 2 == 0, F.lit("a")).otherwise(F.lit("r")), F.col("rk"))
+    by_name = key % 4 < 2
+    chain = _segments(
+        (F.when(~by_name, head), no, no, unknown), (text("n", F.col("nk")), key % 3 > 0, key % 3 == 2, unknown), (text("c", F.col("c_custkey")), key % 5 > 0, no, key % 5),
+        (text("c", F.col("first")), key % 7 == 0, no, unknown), (F.when(key % 7 < 2, F.lit("x")), no, no, unknown),
+    )
+    refs = rows.select("o_orderkey", F.lit("lib").alias("pkg"), F.lit("lib").alias("prefix"), F.when(by_name, "named").otherwise("namespace").alias("binding"), F.when(by_name, head).alias("imported"), no.alias("called"), chain.alias("chain"))
+    found = chains.walk(refs, symbols, spark.range(1).select(F.lit("lib").alias("pkg"), F.lit("lib").alias("prefix")))
+    told = F.transform("paths", lambda p: F.concat_ws("/", p["path"], p["args"].cast("string")))
+    return found.select("o_orderkey", F.array_join(told, " ").alias("paths"), F.array_join("unresolved", " ").alias("unresolved"), "missing_head")
+
+
+def _program(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Customers as files and their orders as lines that assign: of a package, of a value before or behind, of the next customer's file."""
+    key = F.col("o_orderkey")
+    v = lambda k: F.concat(F.lit("v"), k.cast("string"))
+    file = lambda k: F.concat(F.lit("f"), k.cast("string"))
+    of = F.floor(key / 4) % 7
+    local = F.when(of == 5, "lib").when(of == 6, "other").otherwise(v(of))
+    chain = _segments((F.when(key % 3 > 0, F.concat(F.lit("m"), (key % 3).cast("string"))), key % 2 == 0, F.lit(False), F.lit(None)))
+    lines_ = table(spark, sf_dir, "orders").select(file(F.col("o_custkey")).alias("file"), key.alias("pos"), v(key % 5).alias("into"), local.alias("local"), chain.alias("chain"), (key % 4 == 1).alias("called"), (F.col("o_orderpriority") == "5-LOW").alias("handed"))
+    files = table(spark, sf_dir, "orders").select("o_custkey").distinct()
+    pkg = F.concat(F.lit("p"), (F.col("o_custkey") % 3).cast("string"))
+    none = F.lit(None).cast("string")
+    own = file(F.col("o_custkey")).alias("file")
+    imports = files.select(own, F.lit("lib").alias("local"), pkg.alias("pkg"), pkg.alias("prefix"), F.lit("namespace").alias("binding"), none.alias("imported"), none.alias("target"))
+    imports = imports.unionByName(files.select(own, F.lit("other").alias("local"), none.alias("pkg"), none.alias("prefix"), F.lit("named").alias("binding"), F.lit("v1").alias("imported"), file(F.col("o_custkey") + 1).alias("target")))
+    return {
+        "imports": graphs.written(imports, "imports"),
+        "assignments": lines_.filter("not handed").drop("handed"),
+        "callbacks": lines_.filter("handed").select("file", "pos", "into", "local"),
+        "exports": files.filter("o_custkey % 2 = 0").select(own, F.lit("v1").alias("exported"), F.lit("v1").alias("local")),
+        "re_exports": files.filter("o_custkey % 2 = 1").select(own, F.lit("v1").alias("name"), F.lit("v1").alias("imported"), file(F.col("o_custkey") + 1).alias("target")),
+    }
+
+
+def _chain_text(chain: str) -> Column:
+    return F.array_join(F.transform(chain, lambda s: F.concat(s["name"], F.when(s["call"], "()").otherwise(""))), ".")
+
+
+def derived_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which names of customers' files hold a package's value, through how many files, and what made them."""
+    found = values.derived(**_program(spark, sf_dir))
+    return found.select("file", "name", "pkg", F.col("hops").cast("long").alias("hops"), "cut", _chain_text("built").alias("built"), "built_called")
+
+
+def _project(spark: SparkSession, sf_dir: str) -> assembly.Project:
+    """Customers as packages, their orders as releases with surfaces (the parts of their lines) and notes, their first order's lines as references."""
+    name = lambda c: F.concat(F.lit("c"), F.col(c).cast("string"))
+    released = _released(spark, sf_dir).withColumn("custkey", F.col("pkg")).withColumn("pkg", name("pkg"))
+    released = graphs.written(released, "releases")
+    own = released.groupBy("pkg", "custkey").agg(F.min_by("version", semver.key("version")).alias("version"))
+    of = lambda cond, x: F.when(cond, F.array(F.lit(x))).otherwise(F.array().cast("array<string>"))
+    installed_ = own.select("pkg", "version", F.lit("lockfile").alias("version_source"), F.array(F.lit("package.json")).alias("manifests"), of(F.col("custkey") % 11 == 0, "patched").alias("flags"), F.when(F.col("custkey") % 13 == 0, 1).otherwise(0).alias("out_of_sync"))
+    d = F.col("o_orderdate")
+    version = F.concat_ws(".", (F.year(d) - 1995).cast("string"), F.month(d).cast("string"), F.dayofmonth(d).cast("string"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("custkey"), name("o_custkey").alias("pkg"), version.alias("version"))
+    each = table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    each = graphs.written(each.withColumn("part", F.concat(F.lit("part"), (F.col("l_partkey") % 6).cast("string"))).select("custkey", "pkg", "version", "part", "l_orderkey", "l_linenumber", "l_linestatus", "l_returnflag", "l_quantity"), "lines")
+    none = F.lit(None).cast("string")
+    sig = F.array(F.concat(F.lit("() => R"), (F.min(F.col("l_quantity").cast("int")) % 4).cast("string")))
+    symbols = each.groupBy("pkg", "version", F.concat("pkg", F.lit(":"), "part").alias("path")).agg(sig.alias("sig"), F.bool_or(F.col("l_returnflag") == "R").alias("deprecated"))
+    symbols = symbols.select("pkg", "version", "path", F.lit("function").alias("kind"), "sig", "deprecated", none.alias("alias_of"), none.alias("returns"), none.alias("instance_of"))
+    used = each.join(own.select("pkg", F.col("version").alias("first")), "pkg").filter((F.col("version") == F.col("first")) | ((F.col("custkey") % 3 == 0) & (F.col("l_quantity") > 25)))
+    references = used.select(
+        "pkg", F.concat(F.lit("src/f"), F.col("l_linenumber").cast("string"), F.lit(".ts")).alias("file"), F.col("l_orderkey").alias("line"), F.lit(1).alias("col"), (F.col("l_linestatus") == "F").alias("type_only"), F.lit("use").alias("code"), none.alias("via"),
+        F.lit("direct").alias("way"), F.lit(0).alias("hops"), F.col("pkg").alias("prefix"), F.lit("named").alias("binding"), F.col("part").alias("imported"), F.lit(False).alias("called"), F.array().cast(chains.NONE).alias("chain"),
+        F.lit(None).cast(chains.NONE).alias("built"), F.lit(None).cast("boolean").alias("built_called"), F.when(F.col("l_quantity") > 49, "namespace-escape").alias("blind"),
+    )
+    opaque = table(spark, sf_dir, "customer").filter("c_acctbal < -500").select(name("c_custkey").alias("pkg"), F.lit("side-effect-import").alias("kind"))
+    key = F.col("o_orderkey")
+    said = F.get(F.array(F.concat(F.lit("- Fixed a wrong result of `part"), (key % 7).cast("string"), F.lit("`")), F.lit("- Fixed a wrong result somewhere in the code"), F.lit("- BREAKING CHANGE: old runtimes no longer work"), F.lit("- chore: bump tools")), (key % 5).cast("int"))
+    bodies = orders.groupBy("pkg", "version").agg(F.min("o_orderkey").alias("o_orderkey")).select("pkg", "version", said.alias("body"), F.when(said.isNull(), "stub-body").alias("reason"))
+    latest = released.groupBy("pkg").agg(F.max_by("version", "published_at").alias("latest"))
+    return assembly.Project(installed_, released.drop("custkey"), latest, symbols, symbols.select("pkg", "version", F.col("pkg").alias("prefix"), F.array().cast("array<string>").alias("external")).distinct(), graphs.written(references, "references"), opaque, [("releases", bodies)])
+
+
+def upgrade_briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's upgrade from candidate to verdict, read off its document."""
+    found = assembly.documents(assembly.stages(_project(spark, sf_dir), F.lit("2001-09-01").cast("timestamp"), 180))
+    d = F.col("document")
+    reasons = F.array_join(F.transform(d["reasons"], lambda r: r["code"]), ",")
+    n = lambda c: F.size(c).cast("long")
+    return found.select(
+        "pkg", d["from"].alias("from"), d["to"].alias("to"), d["bump"].alias("bump"), d["verdict"].alias("verdict"), reasons.alias("reasons"), d["types"]["changes"].alias("changes"), n(d["types"]["touched"]).alias("touched"),
+        d["notes"]["coverage"].alias("coverage"), d["notes"]["entries"].alias("entries"), n(d["notes"]["matched"]).alias("matched"), n(d["notes"]["changesWithoutApi"]).alias("unplaced"), d["usage"]["sites"].alias("sites"), F.array_join(d["usage"]["names"]["exact"], ",").alias("names"), n(F.map_keys(d["usage"]["sitesByName"])).alias("named_sites"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -480,5 +595,6 @@ QUERIES: dict[str, Query] = {
         closure_reach, waterfall, verdict_reasons, findings_order, split_80_20, score_totals, medians, manifest_rows, counted_examples, uniq_sites, content_ids,
         first_sentences, release_groups, release_tags, notes_coverage, version_bumps, changed_exports, worst_verdicts, title_scopes, prefix_reach, json_strings,
         highest_versions, name_sets, sites_by_name, brief_groups, coverage_labels, typed_usage, fix_evidence, reformatted_lines, registry_choice, stale_locks, removed_names,
+        type_walk, derived_values, upgrade_briefs,
     )
 }

@@ -52,6 +52,18 @@ _RELEASED = """released AS (
 )"""
 _TEXT = "array_to_string({}, '.')"
 
+_PICKED = """base AS (SELECT pkg, min(k) AS i, arg_max(k, published_at) AS tag FROM released GROUP BY pkg),
+        told AS (
+          SELECT pkg, i, tag, k, CASE WHEN NOT k > i THEN 'older' WHEN deprecated THEN 'deprecated' WHEN published_at > TIMESTAMP '2001-09-01' - INTERVAL 180 DAY THEN 'too-new'
+            WHEN (i[1] = k[1] AND (i[1] <> 0 OR i[2] = k[2])) AND (i[1] = tag[1] AND (i[1] <> 0 OR i[2] = tag[2])) AND k > tag THEN 'above-dist-tag' WHEN (i[1] = k[1] AND (i[1] <> 0 OR i[2] = k[2])) THEN 'ok' ELSE 'beyond' END AS why
+          FROM base JOIN released USING (pkg)
+        ), picked AS (
+          SELECT pkg, i, max(k) FILTER (why = 'ok') AS t, max(k) FILTER (why = 'beyond') AS also,
+                 list_reverse_sort(list({'k': k, 'why': why}) FILTER (why IN ('deprecated', 'too-new', 'above-dist-tag'))) AS skipped
+          FROM told GROUP BY pkg, i
+        )
+"""
+
 _CHANGES = """
 member AS (
   SELECT l_shipdate >= TIMESTAMP '1998-05-24' AS late, 'lib:p' || l_partkey AS part, 'lib:p' || l_partkey || '#s' || l_suppkey AS path,
@@ -81,13 +93,13 @@ per AS (
   FROM orders GROUP BY o_custkey
 ), met AS (
   SELECT c_custkey, coalesce(removed, 0) AS removed, coalesce(changed, 0) AS changed, coalesce(deprecated, 0) AS deprecated, coalesce(matched, 0) AS matched, coalesce(ub, 0) AS ub, coalesce(refs, 0) AS refs,
-         c_acctbal >= 0 AS computed, top IS NOT NULL AS complete, coalesce(top > 420000, false) AS major
+         coalesce(refs, 0) > 0 AND c_acctbal >= 0 AS computed, coalesce(refs, 0) > 0 AND c_acctbal < 0 AS failed, c_custkey % 4 = 1 AS cut, top IS NOT NULL AS complete, coalesce(top > 420000, false) AS major
   FROM customer LEFT JOIN per ON c_custkey = o_custkey
 ), told AS (
   SELECT *, list_filter([
     CASE WHEN computed AND removed > 0 THEN 'removed-touched' END, CASE WHEN changed > 0 THEN 'changed-touched' END, CASE WHEN deprecated > 0 THEN 'deprecated-touched' END,
     CASE WHEN matched > 0 THEN 'notes-match' END, CASE WHEN ub > 0 THEN 'unattributed-breaking' END, CASE WHEN refs = 0 THEN 'not-referenced' END,
-    CASE WHEN NOT computed THEN 'surface-incomplete' END, CASE WHEN NOT complete AND NOT computed THEN 'no-evidence' END,
+    CASE WHEN failed OR (computed AND cut) THEN 'surface-incomplete' END, CASE WHEN NOT complete AND NOT computed THEN 'no-evidence' END,
     CASE WHEN major AND NOT (computed AND complete AND removed + changed + deprecated + matched + ub = 0) THEN 'major-unproven' END], lambda x: x IS NOT NULL) AS codes
   FROM met
 )
@@ -142,21 +154,12 @@ ORACLES: dict[str, str] = {
         SELECT o_custkey, ord, title, path, array_to_string(list_concat(CASE WHEN title <> '' THEN ['title'] ELSE [] END, regions), ',') AS regions,
                CASE WHEN coalesce(listed > 0 AND every - listed >= 2 AND ord < listed, false) AND NOT list_contains(regions, 'code-block') THEN 'intro' ELSE 'change' END AS kind FROM l""",
     "candidate_pick": f"""
-        WITH {_RELEASED}, base AS (SELECT pkg, min(k) AS i, arg_max(k, published_at) AS tag FROM released GROUP BY pkg),
-        told AS (
-          SELECT pkg, i, tag, k, CASE WHEN NOT k > i THEN 'older' WHEN deprecated THEN 'deprecated' WHEN published_at > TIMESTAMP '2001-09-01' - INTERVAL 180 DAY THEN 'too-new'
-            WHEN {{line}} AND {{tag_line}} AND k > tag THEN 'above-dist-tag' WHEN {{line}} THEN 'ok' ELSE 'beyond' END AS why
-          FROM base JOIN released USING (pkg)
-        ), picked AS (
-          SELECT pkg, i, max(k) FILTER (why = 'ok') AS t, max(k) FILTER (why = 'beyond') AS also,
-                 list_reverse_sort(list({{{{'k': k, 'why': why}}}}) FILTER (why IN ('deprecated', 'too-new', 'above-dist-tag'))) AS skipped
-          FROM told GROUP BY pkg, i
-        )
+        WITH {_RELEASED}, {_PICKED}
         SELECT pkg, {_TEXT.format("i")} AS version, {_TEXT.format("t")} AS target,
                CASE WHEN t IS NULL THEN NULL WHEN i[1] <> t[1] OR (i[1] = 0 AND i[2] <> t[2]) THEN 'major' WHEN i[2] <> t[2] THEN 'minor' ELSE 'patch' END AS bump,
                coalesce(array_to_string(list_transform(list_slice(list_filter(skipped, lambda s: t IS NULL OR s.k > t), 1, 3), lambda s: array_to_string(s.k, '.') || ':' || s.why), ','), '') AS held_back,
                {_TEXT.format("also")} AS also
-        FROM picked""".replace("{line}", "(i[1] = k[1] AND (i[1] <> 0 OR i[2] = k[2]))").replace("{tag_line}", "(i[1] = tag[1] AND (i[1] <> 0 OR i[2] = tag[2]))").replace("{{", "{").replace("}}", "}"),
+        FROM picked""",
     "semver_sort": f"WITH {_RELEASED} SELECT * FROM (SELECT pkg, {_TEXT.format('k')} AS version, row_number() OVER (PARTITION BY pkg ORDER BY k DESC) AS rank FROM released) WHERE rank <= 5",
     "bump_kinds": f"""
         WITH {_RELEASED}, s AS (SELECT pkg, lag(k) OVER (PARTITION BY pkg ORDER BY k) AS f, k AS t FROM released)
@@ -250,7 +253,7 @@ ORACLES: dict[str, str] = {
         SELECT pkg, v AS version, CASE WHEN m <= 2 THEN 'v' || v WHEN m <= 4 THEN v WHEN m = 5 THEN pkg || '@' || v WHEN m = 6 THEN bare || '@' || v WHEN m = 7 THEN pkg || '-v' || v WHEN m = 8 THEN bare || '-v' || v WHEN m = 9 THEN 'release-' || v END AS tag,
                CASE WHEN m <= 2 THEN 0 WHEN m <= 4 THEN 1 WHEN m <= 9 THEN m - 3 END::BIGINT AS scheme FROM t""",
     "notes_coverage": f"""
-        WITH {_RELEASED} SELECT pkg, CASE WHEN count_if(NOT deprecated) = count(*) THEN 'complete' WHEN count_if(NOT deprecated) > 0 THEN 'partial' ELSE 'unavailable' END AS coverage
+        WITH {_RELEASED} SELECT pkg, CASE WHEN count_if(NOT deprecated) = count(*) THEN 'complete' WHEN count_if(NOT deprecated) > 0 THEN 'partial' WHEN pkg % 3 = 0 THEN 'none-published' ELSE 'unavailable' END AS coverage
         FROM released GROUP BY pkg""",
     "version_bumps": f"""
         WITH {_RELEASED}, b AS (SELECT pkg, max(k) FILTER (published_at < TIMESTAMP '1998-01-01') AS f, max(k) FILTER (published_at >= TIMESTAMP '1998-01-01') AS t FROM released GROUP BY pkg)
@@ -305,7 +308,7 @@ ORACLES: dict[str, str] = {
         SELECT pkg, shown, row_number() OVER (PARTITION BY shown ORDER BY rank, pkg) AS place, false AS one_net FROM g""",
     "coverage_labels": f"""
         WITH {_RELEASED}, g AS (SELECT pkg, count(*) AS total, count_if(NOT deprecated) AS found, list_sort(list_distinct(list(CASE WHEN deprecated THEN NULL WHEN month(published_at) <= 6 THEN 'releases' ELSE 'changelog' END))) AS sources FROM released GROUP BY pkg)
-        SELECT pkg, CASE WHEN found > 0 THEN 'notes for ' || found || '/' || total || ' versions (' || array_to_string(sources, ', ') || ')' ELSE 'notes unavailable (stub-body)' END AS label FROM g""",
+        SELECT pkg, CASE WHEN found > 0 THEN (CASE WHEN found = total THEN 'complete ' ELSE 'partial ' END) || found || ' of ' || total || ': ' || array_to_string(sources, ', ') WHEN pkg % 2 = 0 THEN 'none-published' ELSE 'unavailable: stub-body' END AS label FROM g""",
     "typed_usage": """
         WITH p AS (SELECT 'p' || p_partkey AS pkg, p_size < 25 AS used, p_size::BIGINT AS refs, p_brand, p_type = 'ECONOMY' AS typed FROM part)
         SELECT pkg, refs, p_brand AS strong, '' AS opaque FROM p WHERE used
@@ -332,4 +335,128 @@ ORACLES: dict[str, str] = {
     "removed_names": """
         SELECT DISTINCT 'lib:v.p' || l_partkey AS path, 'removed' AS bucket FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-05-24'
         AND l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-05-24' AND l_returnflag = 'N')""",
+    "type_walk": r"""
+WITH RECURSIVE place AS (
+  SELECT n_nationkey AS nk, n_regionkey AS rk, 'lib:r' || n_regionkey || '.n' || n_nationkey AS path FROM nation
+), symbols AS (
+  SELECT 'lib:' || k || r_regionkey AS path, 'namespace' AS kind, CASE WHEN k = 'a' THEN 'lib:r' || r_regionkey END AS alias_of, NULL AS returns, NULL AS instance_of
+  FROM region, (VALUES ('r'), ('a')) v(k)
+  UNION ALL
+  SELECT p.path, ['class', 'function', 'interface'][p.nk % 3 + 1], NULL, CASE WHEN p.nk % 3 = 1 THEN q.path END, CASE WHEN p.nk % 3 = 0 THEN p.path END
+  FROM place p LEFT JOIN place q ON q.nk = (p.nk + 1) % 25
+  UNION ALL
+  SELECT p.path || '#c' || c_custkey, 'method', NULL, q.path, NULL FROM customer JOIN place p ON p.nk = c_nationkey JOIN place q ON q.nk = c_custkey % 25
+), known AS (
+  SELECT s.path, coalesce(t.path, s.path) AS at_path, coalesce(t.kind, s.kind) AS kind, coalesce(t.returns, s.returns) AS returns, coalesce(t.instance_of, s.instance_of) AS instance_of,
+         t.path IS NOT NULL AS aliased
+  FROM symbols s LEFT JOIN symbols t ON s.alias_of = t.path
+), firsts AS (
+  SELECT c_nationkey AS nk, min(c_custkey) AS first FROM customer GROUP BY 1
+), chains AS (
+  SELECT o_orderkey AS k, list_filter([
+      {'name': (CASE WHEN o_orderkey % 2 = 0 THEN 'a' ELSE 'r' END) || p.rk, 'call': false, 'con': false, 'args': NULL},
+      {'name': 'n' || p.nk, 'call': o_orderkey % 3 > 0, 'con': o_orderkey % 3 = 2, 'args': NULL},
+      {'name': 'c' || c_custkey, 'call': o_orderkey % 5 > 0, 'con': false, 'args': o_orderkey % 5},
+      {'name': 'c' || first, 'call': o_orderkey % 7 = 0, 'con': false, 'args': NULL},
+      {'name': CASE WHEN o_orderkey % 7 < 2 THEN 'x' END, 'call': false, 'con': false, 'args': NULL}], lambda s: s.name IS NOT NULL) AS segs
+  FROM orders JOIN customer ON c_custkey = o_custkey JOIN place p ON p.nk = c_nationkey LEFT JOIN firsts f ON f.nk = c_custkey % 25
+), walk AS (
+  SELECT k, segs, 0 AS i, 'lib:' AS base, 'ns' AS cur, []::VARCHAR[] AS paths, []::VARCHAR[] AS rest, false AS missing, false AS done FROM chains
+  UNION ALL
+  SELECT k, segs, i + 1, base, cur, paths,
+         CASE WHEN done THEN list_transform(segs[CASE WHEN found THEN i + 2 ELSE i + 1 END:], lambda s: s.name) ELSE [] END, NOT found AND i = 0, done OR i + 1 >= len(segs)
+  FROM (
+    SELECT *, NOT found OR (i + 1 < len(segs) AND base IS NULL) AS done FROM (
+      SELECT w.k, segs, i, n.path IS NOT NULL AS found,
+             CASE WHEN n.path IS NULL THEN paths ELSE list_concat(paths, CASE WHEN aliased THEN [n.path || coalesce('/' || args, ''), at_path || coalesce('/' || args, '')] ELSE [n.path || coalesce('/' || args, '')] END) END AS paths,
+             CASE WHEN kind = 'namespace' OR (NOT uses AND kind = 'class') THEN 'ns' ELSE 'type' END AS cur,
+             CASE WHEN kind = 'namespace' THEN at_path WHEN uses THEN CASE WHEN con OR kind = 'class' THEN coalesce(instance_of, returns) ELSE returns END
+                  WHEN kind IN ('class', 'interface') THEN at_path ELSE instance_of END AS base
+      FROM (SELECT *, segs[i + 1].call OR segs[i + 1].con AS uses, segs[i + 1].con AS con, CASE WHEN segs[i + 1].call THEN segs[i + 1].args END AS args,
+                   CASE WHEN cur = 'type' THEN base || '#' WHEN base = 'lib:' THEN base ELSE base || '.' END || segs[i + 1].name AS path
+            FROM walk WHERE NOT done) w LEFT JOIN known n ON n.path = w.path)
+    )
+)
+SELECT k AS o_orderkey, array_to_string(paths, ' ') AS paths, array_to_string(rest, ' ') AS unresolved, missing AS missing_head FROM walk WHERE done""",
+    "derived_values": r"""
+WITH RECURSIVE lines AS (
+  SELECT o_custkey AS f, o_orderkey AS pos, 'v' || o_orderkey % 5 AS name, CASE o_orderkey // 4 % 7 WHEN 5 THEN 'lib' WHEN 6 THEN 'other' ELSE 'v' || o_orderkey // 4 % 7 END AS src,
+         CASE WHEN o_orderpriority = '5-LOW' THEN 1 ELSE 0 END AS phase,
+         CASE WHEN o_orderpriority = '5-LOW' OR o_orderkey % 3 = 0 THEN '' ELSE '.m' || o_orderkey % 3 || CASE WHEN o_orderkey % 2 = 0 THEN '()' ELSE '' END END AS chain,
+         o_orderkey % 4 = 1 AND o_orderpriority <> '5-LOW' AS called
+  FROM orders
+), files AS (
+  SELECT DISTINCT o_custkey AS f FROM orders
+), handed AS (
+  -- what importing v1 of a file gives: its own, or through one file the next one's
+  SELECT f, f AS of FROM files WHERE f % 2 = 0
+  UNION ALL
+  SELECT a.f, b.f FROM files a JOIN files b ON b.f = a.f + 1 WHERE a.f % 2 = 1 AND b.f % 2 = 0
+), made AS (
+  SELECT f, name, 'p' || f % 3 AS pkg, {'hops': 0, 'round': 0, 'phase': phase, 'pos': pos} AS place, [{'hops': 0, 'round': 0, 'phase': phase, 'pos': pos}] AS ways,
+         CASE WHEN phase = 0 THEN chain END AS built, CASE WHEN phase = 0 THEN called END AS self, false AS cut
+  FROM lines WHERE src = 'lib'
+  UNION ALL
+  SELECT f, name, pkg, place, ways, built, self, cut FROM (
+    SELECT *, row_number() OVER (PARTITION BY f, name, pkg, place ORDER BY ways) AS best FROM (
+      SELECT l.f, l.name, m.pkg,
+             {'hops': m.place.hops, 'round': CASE WHEN m.place.round = 0 AND l.phase = 0 THEN 1 WHEN (l.phase, l.pos) > (m.place.phase, m.place.pos) THEN m.place.round ELSE m.place.round + 1 END, 'phase': l.phase, 'pos': l.pos} AS place,
+             list_prepend({'hops': m.place.hops, 'round': CASE WHEN m.place.round = 0 AND l.phase = 0 THEN 1 WHEN (l.phase, l.pos) > (m.place.phase, m.place.pos) THEN m.place.round ELSE m.place.round + 1 END, 'phase': l.phase, 'pos': l.pos}, m.ways) AS ways,
+             CASE WHEN l.phase = 0 THEN CASE WHEN l.called AND m.built <> '' AND NOT ends_with(m.built, '()') THEN m.built || '()' ELSE m.built END || l.chain END AS built,
+             CASE WHEN l.phase = 0 THEN m.self OR (m.built = '' AND l.called) END AS self,
+             CASE WHEN m.place.round = 0 AND l.phase = 0 THEN 1 WHEN (l.phase, l.pos) > (m.place.phase, m.place.pos) THEN m.place.round ELSE m.place.round + 1 END > 3 AS cut
+      FROM made m JOIN lines l ON l.f = m.f AND l.src = m.name WHERE NOT m.cut
+      UNION ALL
+      SELECT l.f, l.name, m.pkg, {'hops': m.place.hops + 1, 'round': 0, 'phase': l.phase, 'pos': l.pos}, list_prepend({'hops': m.place.hops + 1, 'round': 0, 'phase': l.phase, 'pos': l.pos}, m.ways),
+             CASE WHEN l.phase = 0 THEN CASE WHEN l.called AND m.built <> '' AND NOT ends_with(m.built, '()') THEN m.built || '()' ELSE m.built END || l.chain END,
+             CASE WHEN l.phase = 0 THEN m.self OR (m.built = '' AND l.called) END, m.place.hops + 1 > 3
+      FROM made m JOIN handed h ON h.of = m.f AND m.name = 'v1' JOIN lines l ON l.f + 1 = h.f AND l.src = 'other' WHERE NOT m.cut
+    )) WHERE best = 1
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY f, name, pkg ORDER BY cut, ways) AS rank FROM made
+)
+SELECT 'f' || f AS file, name, pkg, place.hops::BIGINT AS hops, cut, CASE WHEN built IS NOT NULL THEN substr(built, 2) END AS built, self AS built_called FROM best WHERE rank = 1""",
+    "upgrade_briefs": f"""
+        WITH {_RELEASED}, {_PICKED}, cand AS (
+          SELECT pkg, i, t, CASE WHEN i[1] <> t[1] OR (i[1] = 0 AND i[2] <> t[2]) THEN 'major' WHEN i[2] <> t[2] THEN 'minor' ELSE 'patch' END AS bump FROM picked WHERE t IS NOT NULL
+        ), lines AS (
+          SELECT o_custkey AS pkg, [year(o_orderdate) - 1995, month(o_orderdate), day(o_orderdate)] AS k, 'part' || l_partkey % 6 AS part, l_quantity, l_returnflag, l_linenumber, l_orderkey, l_linestatus FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+        ), symbols AS (
+          SELECT pkg, k, part, min(l_quantity::INT) % 4 AS sig, bool_or(l_returnflag = 'R') AS old FROM lines GROUP BY ALL
+        ), refs AS (
+          SELECT l.pkg, part, l_quantity > 49 AS blind FROM lines l JOIN cand c ON l.pkg = c.pkg WHERE l.k = c.i OR (l.pkg % 3 = 0 AND l_quantity > 25)
+        ), used AS (
+          SELECT pkg, count_if(NOT blind) AS refs, count_if(blind) AS blind, list_sort(list(DISTINCT part) FILTER (NOT blind)) AS names FROM refs GROUP BY pkg
+        ), changes AS (
+          SELECT a.pkg, a.part, CASE WHEN b.part IS NULL THEN 'removed' WHEN a.sig <> b.sig THEN 'changed' WHEN NOT a.old AND b.old THEN 'deprecated' END AS bucket
+          FROM (SELECT s.*, c.t FROM symbols s JOIN cand c ON s.pkg = c.pkg AND s.k = c.i) a LEFT JOIN symbols b ON a.pkg = b.pkg AND a.t = b.k AND a.part = b.part
+        ), hit AS (
+          SELECT c.pkg, count(bucket)::BIGINT AS changes, count_if(bucket IS NOT NULL AND list_contains(names, part)) AS touched, count_if(bucket = 'removed' AND list_contains(names, part)) AS removed,
+                 count_if(bucket = 'changed' AND list_contains(names, part)) AS changed, count_if(bucket = 'deprecated' AND list_contains(names, part)) AS deprecated
+          FROM changes c LEFT JOIN used USING (pkg) GROUP BY c.pkg
+        ), unread AS (
+          SELECT DISTINCT r.pkg FROM refs r JOIN cand c ON r.pkg = c.pkg LEFT JOIN symbols s ON s.pkg = r.pkg AND s.k = c.i AND s.part = r.part WHERE NOT blind AND s.part IS NULL
+        ), said AS (
+          SELECT o_custkey AS pkg, [year(o_orderdate) - 1995, month(o_orderdate), day(o_orderdate)] AS k, min(o_orderkey) AS key FROM orders GROUP BY ALL
+        ), noted AS (
+          SELECT c.pkg, count(s.k) AS n, count_if(key % 5 < 4) AS found, count_if(key % 5 < 3) AS live, count_if(key % 5 = 0 AND coalesce(list_contains(names, 'part' || key % 7), false)) AS matched, count_if(key % 5 = 1) AS unplaced, count_if(key % 5 = 2) AS breaking
+          FROM cand c LEFT JOIN used USING (pkg) LEFT JOIN said s ON s.pkg = c.pkg AND s.k > c.i AND s.k <= c.t GROUP BY c.pkg
+        ), met AS (
+          SELECT c.pkg, i, t, bump, coalesce(refs, 0) AS refs, coalesce(blind, 0) AS blind, coalesce(names, []) AS names, coalesce(changes, 0) AS changes, coalesce(touched, 0) AS touched, coalesce(removed, 0) AS removed, coalesce(changed, 0) AS changed, coalesce(deprecated, 0) AS deprecated, noted.* EXCLUDE (pkg), u.pkg IS NOT NULL AS unread, c_acctbal < -500 AS opaque,
+                 coalesce(refs, 0) > 0 AND a.pkg IS NOT NULL AND b.pkg IS NOT NULL AS computed, found = n AS complete
+          FROM cand c JOIN customer ON c_custkey = c.pkg LEFT JOIN hit ON hit.pkg = c.pkg LEFT JOIN (SELECT DISTINCT pkg, k FROM symbols) a ON a.pkg = c.pkg AND a.k = c.i LEFT JOIN (SELECT DISTINCT pkg, k FROM symbols) b ON b.pkg = c.pkg AND b.k = c.t JOIN noted ON noted.pkg = c.pkg LEFT JOIN used ON used.pkg = c.pkg LEFT JOIN unread u ON u.pkg = c.pkg
+        ), judged AS (
+          SELECT *, list_filter([
+            CASE WHEN computed AND removed > 0 THEN 'removed-touched' END, CASE WHEN computed AND changed > 0 THEN 'changed-touched' END, CASE WHEN computed AND deprecated > 0 THEN 'deprecated-touched' END,
+            CASE WHEN matched > 0 THEN 'notes-match' END, CASE WHEN breaking > 0 THEN 'unattributed-breaking' END, CASE WHEN unplaced > 0 THEN 'unattributed-change' END, CASE WHEN blind > 0 OR unread THEN 'blind-spots' END,
+            CASE WHEN opaque THEN 'opaque-usage' END, CASE WHEN refs = 0 AND NOT opaque AND blind = 0 AND NOT unread THEN 'not-referenced' END, CASE WHEN pkg % 11 = 0 THEN 'flagged-install' END, CASE WHEN pkg % 13 = 0 THEN 'out-of-sync' END,
+            CASE WHEN NOT complete AND NOT computed THEN 'no-evidence' END,
+            CASE WHEN bump = 'major' AND NOT (computed AND complete AND touched + matched + breaking + unplaced = 0) THEN 'major-unproven' END], lambda x: x IS NOT NULL) AS codes
+          FROM met
+        )
+        SELECT 'c' || pkg AS pkg, {_TEXT.format("i")} AS "from", {_TEXT.format("t")} AS "to", bump, CASE WHEN list_contains(codes, 'removed-touched') THEN 'blocked' WHEN len(codes) > 0 THEN 'review' ELSE 'quiet' END AS verdict,
+               CASE WHEN len(codes) > 0 THEN array_to_string(codes, ',') ELSE array_to_string(list_filter([CASE WHEN complete THEN 'notes-complete-no-match' END, CASE WHEN computed THEN 'surface-clean' ELSE 'caveat-no-types' END, CASE WHEN NOT complete THEN 'caveat-no-notes' END], lambda x: x IS NOT NULL), ',') END AS reasons,
+               CASE WHEN computed THEN changes END AS changes, CASE WHEN computed THEN touched ELSE 0 END AS touched,
+               CASE WHEN complete THEN 'complete' WHEN found > 0 THEN 'partial' ELSE 'unavailable' END AS coverage, live AS entries, matched, unplaced, refs AS sites, array_to_string(names, ',') AS names, len(names) AS named_sites
+        FROM judged""",
 }

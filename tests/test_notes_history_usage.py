@@ -57,8 +57,15 @@ def test_diff_lines(spark):
 
 
 def test_branches_and_groups(spark):
-    commits = frame(spark, "id int, pos int, bot boolean, parents int", (1, 0, True, 1), (1, 1, False, 1), (1, 2, False, 1), (1, 3, False, 2), (1, 4, False, 1), (2, 0, True, 1))
-    assert rows_of(history.branch(commits), "id", "upgraded", "fix_from", "fix_to") == {(1, 0, 1, 2)}
+    bot, person, merge = (True, 1), (False, 1), (False, 2)
+    prs = {1: [bot, person, person, merge, person], 2: [bot], 3: [bot, bot, person], 4: [person, person], 5: [bot, merge, person], 6: [bot, person, bot, person, (True, 2), person], 7: [merge, person], 8: [bot, bot, merge]}
+    commits = frame(spark, "id int, pos int, bot boolean, parents int", *[(i, pos, *c) for i, cs in prs.items() for pos, c in enumerate(cs)])
+    none, by_person, merged = history.NO_SPLIT
+    assert rows_of(history.branch(commits), "id", "reason", "upgraded", "fix_from", "fix_to", "fixes") == {
+        (1, None, 0, 1, 2, 2), (2, none, None, None, None, None), (3, None, 1, 2, 2, 1), (4, by_person, None, None, None, None), (5, merged, None, None, None, None), (6, None, 0, 1, 3, 2), (7, by_person, None, None, None, None), (8, none, None, None, None, None),
+    }
+    cut = history.labels(frame(spark, "id int, file string, line int, layout boolean", (1, "src/a.ts", 1, True), (1, "src/a.ts", 2, False), (1, "tests/b.ts", 1, True), (2, "tests/b.ts", 1, False)))
+    assert rows_of(cut, "id", "lines", "layout_share", "tests_only", "source_lines", "source_layout_share", "test_lines", "test_layout_share") == {(1, 3, 0.67, False, 2, 0.5, 1, 1.0), (2, 1, 0.0, True, 0, None, 1, 0.0)}
     kind = "manifest string, key string, version string"
     found = history.bumps(frame(spark, kind, ("m", "a", "1.9.0"), ("m", "b", "2.0.0")), frame(spark, kind, ("m", "a", "1.10.0"), ("m", "b", "1.0.0"), ("m", "c", "1.0.0")))
     assert rows_of(found, "key", "from", "to", "bump") == {("a", "1.9.0", "1.10.0", "minor")}

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shiftscope.functions import signatures
-from shiftscope.operators import briefs, history, matching, surfaces
+from shiftscope.operators import briefs, history, matching, surfaces, verdicts
 
 
 def frame(spark, schema, *rows):
@@ -23,9 +23,9 @@ def s(path, kind="function", sig=("() => R",), old=False, alias=None, base=False
 
 
 TYPES = {
-    "{ error?: string | undefined | $ErrorMap<X>; abort?: undefined | boolean; }": "{ error?: $ErrorMap<X> | string | undefined; abort?: boolean | undefined }", "Record<string, Array<b | a>>": "Record<string, Array<a | b>>",
-    "F<C | E, D | B>": "F<C | E, B | D>", "(payload: P) => boolean | undefined": "(payload: P) => boolean | undefined", '"b" | "a" | "c"': '"a" | "b" | "c"', 'import("/pkg/index").StringSchema': "StringSchema",
-    "Record<string, core.util.JSON>": "Record<string, JSON>", '"a.b" | 1.5': '"a.b" | 1.5', "a | b & c": "a | b & c", "(": "(", "": "",
+    "{ size?: number | Grid<Q> | undefined; on?: undefined | string; }": "{ size?: Grid<Q> | number | undefined; on?: string | undefined }", "Map<number, Set<q | p>>": "Map<number, Set<p | q>>",
+    "H<Z | Y, X | W>": "H<Y | Z, W | X>", "(event: E) => void | null": "(event: E) => void | null", '"south" | "north" | "west"': '"north" | "south" | "west"', 'import("./types").Panel': "Panel",
+    "Dict<string, lib.inner.Blob>": "Dict<string, Blob>", '"x.y" | 2.5': '"x.y" | 2.5', "m | n & o": "m | n & o", "(": "(", "": "",
 }
 
 
@@ -60,6 +60,13 @@ def test_signature_text(spark):
         (["<T>(a?) => R"], ["<U>(b?) => R"], False, None),
         ([], ["(a) => R"], False, None),
         (["#hash"], ["#other"], False, None),
+        (["(A?) => (C?) => D"], ["(A?) => (E?) => D"], False, None),  # what it gives differs
+        (["(A?) => (C?) => D"], ["(B?) => (C?) => D"], False, 0),
+        (["(A, (x: B?) => C?) => D"], ["(A, (x: E?) => C?) => D"], False, 1),
+        (["(A, { f: (C?) => D }?) => R"], ["(A, { f: (E?) => D }?) => R"], False, 1),
+        (["{ x: (C?) => D }"], ["{ x: (E?) => D }"], False, None),
+        (["() => { x: (C?) => D }"], ["() => { x: (E?) => D }"], False, None),
+        (["<$T0 extends (a) => b>($T0, 'a,)'?) => R"], ["<$T0 extends (a) => b>($T0, 'b,)'?) => R"], False, 1),
     ],
 )
 def test_parameters(spark, before, after, widened, first):
@@ -154,7 +161,7 @@ def test_groups_and_requests(spark):
     wanted = frame(spark, "name string, local boolean", ("alias", False), ("nope", False), ("mine", True))
     kept, missing = briefs.requested(installed, declared, wanted)
     assert [r.pkg for r in kept.collect()] == ["real"]
-    assert {tuple(r) for r in missing.collect()} == {("nope", "not a dependency of this project"), ("mine", "a local workspace package")}
+    assert {tuple(r) for r in missing.collect()} == {("nope", "not-declared"), ("mine", "local")}
 
 
 def test_findings(spark):
@@ -166,25 +173,61 @@ def test_findings(spark):
 
 def test_labels_and_limits(spark):
     hits = frame(spark, "h array<struct<name:string,option:boolean>>", ([("a", None), ("a", False), ("o", True)],), ([("o", True)],))
-    assert [r[0] for r in hits.select(briefs.used_label(F.col("h"))).collect()] == ["you use: a; an option of a call you make: o", "an option of a call you make: o"]
+    assert [r[0] for r in hits.select(briefs.used_label(F.col("h"))).collect()] == ["names: a; options: o", "options: o"]
     per = frame(spark, "pkg string, version string, source string, reason string", ("p", "1.10.0", "releases", None), ("p", "1.9.0", "changelog", None), ("p", "1.11.0", None, "no-repo"))
     r = briefs.union_sources(per).first()
     assert (r.found, r.total, r.sources, r.reasons) == (2, 3, ["changelog", "releases"], ["no-repo"])
     label = frame(spark, "c string, f int, t int, s array<string>, r array<string>", ("partial", 2, 3, ["x"], []), ("unavailable", 0, 1, [], ["offline"]), ("disabled", 0, 0, [], []))
-    assert [x[0] for x in label.select(briefs.coverage_label(F.col("c"), F.col("f"), F.col("t"), F.col("s"), F.col("r"))).collect()] == ["notes for 2/3 versions (x)", "notes unavailable (offline)", "notes disabled"]
+    assert [x[0] for x in label.select(briefs.coverage_label(F.col("c"), F.col("f"), F.col("t"), F.col("s"), F.col("r"))).collect()] == ["partial 2 of 3: x", "unavailable: offline", "disabled"]
     sites = frame(spark, "f string, l int, t boolean, v array<string>", ("a.ts", 3, True, ["x", "y"]), ("a.ts", 3, False, None))
-    assert [x[0] for x in sites.select(briefs.site_label(F.col("f"), F.col("l"), F.col("t"), F.col("v"))).collect()] == ["a.ts:3  type  (via y)", "a.ts:3"]
+    assert [x[0] for x in sites.select(briefs.site_label(F.col("f"), F.col("l"), F.col("t"), F.col("v"))).collect()] == ["a.ts:3 (type) through y", "a.ts:3"]
     packages = frame(spark, "weak_names array<string>, surface string, notes string, opaque array<string>", (["x"], "computed", "complete", []), ([], "no-types", "disabled", []))
     global_ = frame(spark, "kind string, count long", ("require-nonliteral", 2), ("dynamic-import-nonliteral", 1))
-    found = [r.line[:20] for r in briefs.limits(packages, global_).orderBy("place").collect()]
-    assert found == ["Behaviour changes ar", "No type checker runs", "Packages without the", "3 import() or requir", "Local names that sha"]
+    found = [(r.code, r.line[:9]) for r in briefs.limits(packages, global_).orderBy("place").collect()]
+    assert found == [("behaviour", "How code "), ("members-by-name", "Project c"), ("untyped", "Where a p"), ("computed-names", "3 imports"), ("out-of-scope", "Local nam")]
     assert briefs.limits(packages.filter("false"), global_).count() == 0
 
 
+STATES = "i int, enabled boolean, refs int, missing boolean, has_types boolean, types_package boolean, offline boolean, failed boolean, elsewhere boolean, unproven int, cut boolean"
+
+
 def test_states(spark):
-    kind = "i int, enabled boolean, has_types boolean, types_package boolean, offline boolean, failed boolean, elsewhere boolean, unproven int, cut boolean"
-    rows = [(0, False, None, None, None, None, None, None, None), (1, True, False, True, None, None, None, None, None), (2, True, False, False, None, None, None, None, None), (3, True, True, None, True, True, None, None, None), (4, True, True, None, None, True, None, None, None), (5, None, None, None, None, None, True, 3, None), (6, True, True, None, None, None, None, 1, None), (7, True, True, None, None, None, None, 0, False)]
-    assert [r.surface for r in briefs.surface_state(frame(spark, kind, *rows)).orderBy("i").collect()] == ["disabled", "types-from-@types", "no-types", "offline-uncached", "failed", "types-elsewhere", "incomplete", "computed"]
+    some = {"enabled": True, "refs": 1, "has_types": True}
+    cases = [
+        ({"enabled": False}, "disabled", False), (some | {"refs": 0}, "disabled", False), (some | {"missing": True, "offline": True, "has_types": False}, "failed", False), (some | {"has_types": False, "types_package": True}, "types-from-@types", False),
+        (some | {"has_types": False}, "no-types", False), (some | {"offline": True, "failed": True}, "offline-uncached", False), (some | {"failed": True}, "failed", False), (some | {"has_types": None, "elsewhere": True, "unproven": 3}, "types-elsewhere", False),
+        (some | {"unproven": 1}, "computed", True), (some | {"cut": True}, "computed", True), (some | {"unproven": 0, "cut": False}, "computed", False),
+    ]
+    names = [c.split()[0] for c in STATES.split(", ")][1:]
+    rows = frame(spark, STATES, *[(i, *[case.get(c) for c in names]) for i, (case, *_) in enumerate(cases)])
+    assert [(r.surface, r.incomplete) for r in briefs.surface_state(rows).orderBy("i").collect()] == [tuple(want) for _, *want in cases]
+
+
+COUNTS = ["removed", "changed", "deprecated", "weak", "matched", "unattributed_breaking", "unattributed_change", "blind", "opaque", "refs", "flagged", "out_of_sync"]
+
+
+def test_what_is_proven_removed_blocks_beside_what_is_not(spark):
+    """One used removal and a name that can't be proven: blocked, and the doubt is told beside it."""
+    base = {c: 0 for c in COUNTS} | {"refs": 2, "notes": "unavailable", "bump": "major", "enabled": True, "has_types": True, "unproven": 0}
+    cases = [base | {"removed": 1, "unproven": 1}, base | {"unproven": 1}, base | {"removed": 1}, base | {"bump": "minor", "notes": "complete", "unproven": 2}, base | {"bump": "minor", "notes": "complete"}]
+    names = list(base)
+    rows = spark.createDataFrame([(i, *[c[n] for n in names]) for i, c in enumerate(cases)], ["i", *names])
+    found = [(r.verdict, r.reasons) for r in verdicts.decide(briefs.surface_state(rows)).orderBy("i").collect()]
+    assert found == [
+        ("blocked", ["removed-touched", "surface-incomplete", "major-unproven"]), ("review", ["surface-incomplete", "major-unproven"]), ("blocked", ["removed-touched", "major-unproven"]),
+        ("review", ["surface-incomplete"]), ("quiet", ["notes-complete-no-match", "surface-clean"]),
+    ]
+
+
+def test_what_is_unproven_is_counted_apart(spark):
+    refs = frame(spark, "pkg string, ref string, weak_name string", ("p", "p:A#x", None), ("p", "p:B.y", None), ("p", None, "z"), ("p", "p:C", None))
+    kind = "pkg string, path string, bucket string, cause string"
+    changes = frame(spark, kind, ("p", "p:A", "unproven", "symbol-cap"), ("p", "p:B", "unproven", "unresolved-base"), ("p", "p:Q#z", "unproven", "symbol-cap"), ("p", "p:unused", "unproven", "symbol-cap"), ("p", "p:C", "removed", None))
+    assert {(r.path, r.bucket) for r in surfaces.touched(refs, changes).collect()} == {("p:C", "removed")}
+    assert {(r.cause, r.n) for r in surfaces.in_doubt(refs, changes).collect()} == {("symbol-cap", 2), ("unresolved-base", 1)}
+    shown = frame(spark, "pkg string, path string, bucket string, strength string, ord int", ("p", "p:A", "unproven", "strong", 0), ("p", "p:C", "removed", "strong", 1))
+    none = frame(spark, "pkg string, entry string, bucket string, breaking boolean, direct boolean, hinted boolean, ord int")
+    assert [r.id for r in briefs.findings(shown, none).collect()] == ["p:C"]
 
 
 def test_corpus(spark):
@@ -193,6 +236,9 @@ def test_corpus(spark):
     facts = frame(spark, "id int, package string, kind string, file string, line int, name string", (1, "p", "site", "a", 3, None), (1, "p", "name", None, None, "other"), (1, "p", "name", None, None, "nothere"), (1, "q", "import", "b", 1, None), (2, "p", "option", "c", 1, None))
     found = history.evidence(expected, added, facts)
     assert {(r.id, r.package, tuple(r.on_site), tuple(r.imports), tuple(r.names)) for r in found.collect()} == {(1, "p", ("a:3",), (), ("other",))}
+    lines_ = frame(spark, "id int, file string, line int, text string, packages array<string>", (1, "a", 1, "foo-bar(x.y)", ["p"]), (1, "a", 2, "myfoo-bar é", ["p"]))
+    said = frame(spark, "id int, package string, kind string, file string, line int, name string", *[(1, "p", "name", None, None, n) for n in ("foo-bar", "x.y", "foo", "oo-bar", "bar(x", "é", "y", "gone-bar")])
+    assert [r.names for r in history.evidence(lines_, added.filter("false"), said).collect()] == [sorted(["foo-bar", "x.y", "foo", "bar(x", "é", "y"])]
     cases = frame(spark, "id int, layout_share double", (1, 0.2), (2, 0.0), (3, 0.5))
     checked = history.checked(cases, found)
     assert {r.id: r.check for r in checked.collect()} == {1: "supported", 2: "weak", 3: "reformat"}
