@@ -112,7 +112,7 @@ def surface(project: Project, cand: DataFrame, used: DataFrame) -> tuple[DataFra
     has = has.withColumn("types_pkg", paths.types_package(F.col("pkg"))).join(types.withColumn("types_package", F.lit(True)), "types_pkg", "left")
     state = has.join(used.select("pkg", "refs"), "pkg").join(doubt, "pkg", "left").join(counts, "pkg", "left").join(unread, "pkg", "left")
     state = state.withColumns({"missing": F.col("known").isNull(), "has_types": F.coalesce(F.col("a") & F.col("b"), F.lit(False))})
-    whole = briefs.surface_state(state).select("pkg", "surface", "incomplete", F.coalesce("changes", F.lit(0)).alias("changes"), F.coalesce("added", F.lit(0)).alias("added"), F.coalesce("unproven", F.lit(0)).alias("unproven"), "causes", F.coalesce("unread", F.lit(0)).alias("unread"))
+    whole = briefs.surface_state(state).select("pkg", "surface", "incomplete", F.coalesce("changes", F.lit(0)).alias("changes"), F.coalesce("added", F.lit(0)).alias("added"), F.coalesce("unproven", F.lit(0)).alias("unproven"), "causes", F.when(F.col("surface") == "computed", F.coalesce("unread", F.lit(0))).otherwise(0).alias("unread"))
     # nothing is touched in what wasn't compared
     computed = whole.filter("surface = 'computed'").select("pkg")
     return graphs.written(whole, "surface"), touched.join(computed, "pkg", "left_semi")

@@ -442,7 +442,7 @@ SELECT 'f' || f AS file, name, pkg, place.hops::BIGINT AS hops, cut, CASE WHEN b
           SELECT c.pkg, count(s.k) AS n, count_if(key % 5 < 4) AS found, count_if(key % 5 < 3) AS live, count_if(key % 5 = 0 AND coalesce(list_contains(names, 'part' || key % 7), false)) AS matched, count_if(key % 5 = 1) AS unplaced, count_if(key % 5 = 2) AS breaking
           FROM cand c LEFT JOIN used USING (pkg) LEFT JOIN said s ON s.pkg = c.pkg AND s.k > c.i AND s.k <= c.t GROUP BY c.pkg
         ), met AS (
-          SELECT c.pkg, i, t, bump, coalesce(refs, 0) AS refs, coalesce(blind, 0) AS blind, coalesce(names, []) AS names, coalesce(changes, 0) AS changes, coalesce(touched, 0) AS touched, coalesce(removed, 0) AS removed, coalesce(changed, 0) AS changed, coalesce(deprecated, 0) AS deprecated, noted.* EXCLUDE (pkg), u.pkg IS NOT NULL AS unread, c_acctbal < -500 AS opaque,
+          SELECT c.pkg, i, t, bump, coalesce(refs, 0) AS refs, coalesce(blind, 0) AS blind, coalesce(names, []) AS names, coalesce(changes, 0) AS changes, coalesce(touched, 0) AS touched, coalesce(removed, 0) AS removed, coalesce(changed, 0) AS changed, coalesce(deprecated, 0) AS deprecated, noted.* EXCLUDE (pkg), u.pkg IS NOT NULL AND coalesce(refs, 0) > 0 AND a.pkg IS NOT NULL AND b.pkg IS NOT NULL AS unread, c_acctbal < -500 AS opaque,
                  coalesce(refs, 0) > 0 AND a.pkg IS NOT NULL AND b.pkg IS NOT NULL AS computed, found = n AS complete
           FROM cand c JOIN customer ON c_custkey = c.pkg LEFT JOIN hit ON hit.pkg = c.pkg LEFT JOIN (SELECT DISTINCT pkg, k FROM symbols) a ON a.pkg = c.pkg AND a.k = c.i LEFT JOIN (SELECT DISTINCT pkg, k FROM symbols) b ON b.pkg = c.pkg AND b.k = c.t JOIN noted ON noted.pkg = c.pkg LEFT JOIN used ON used.pkg = c.pkg LEFT JOIN unread u ON u.pkg = c.pkg
         ), judged AS (
