@@ -544,6 +544,34 @@ def derived_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("file", "name", "pkg", F.col("hops").cast("long").alias("hops"), "cut", _chain_text("built").alias("built"), "built_called")
 
 
+def touched_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From references to changes: lines of customers' files attributed by all ways, walked through surfaces made of the parts, and what changed there."""
+    program = _program(spark, sf_dir)
+    facts = values.derived(**program)
+    v = F.col("l_partkey") % 8
+    local = F.when(v < 5, F.concat(F.lit("v"), v.cast("string"))).when(v == 5, "lib").when(v == 6, "other").otherwise("none")
+    m = lambda k: F.concat(F.lit("m"), k.cast("string"))
+    no, unknown = F.lit(False), F.lit(None)
+    chain = _segments((m(F.col("l_suppkey") % 3), F.col("l_quantity") < 25, no, unknown), (F.when(F.col("l_suppkey") % 2 == 0, m(F.floor(F.col("l_suppkey") / 3) % 3)), no, no, unknown))
+    file = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.concat(F.lit("f"), F.col("o_custkey").cast("string")).alias("file"))
+    refs = table(spark, sf_dir, "lineitem").join(file, "l_orderkey").select("file", F.col("l_orderkey").alias("line"), F.col("l_linenumber").alias("col"), local.alias("local"), chain.alias("chain"), no.alias("called"))
+    origin = program["re_exports"].select("file", "name", F.lit(None).cast("string").alias("pkg"), "imported").filter("false")
+    ways = values.attributed(refs, program["imports"], origin, values.handed_on(program["exports"], program["re_exports"]), facts)
+    part, key = table(spark, sf_dir, "part"), F.col("p_partkey")
+    owner, pkg = F.floor(key / 3) % 4, F.concat(F.lit("p"), (key % 3).cast("string"))
+    top = F.concat(pkg, F.lit(":"))
+    member = F.when(owner == 3, F.concat(top, m(F.floor(key / 12) % 3))).otherwise(F.concat(top, F.lit("T"), owner.cast("string"), F.lit("#"), m(F.floor(key / 12) % 3)))
+    rows = part.groupBy(pkg.alias("pkg"), member.alias("path"), (owner == 3).alias("top")).agg(F.min("p_size").alias("size"), F.min("p_partkey").alias("first"))
+    none = F.lit(None).cast("string")
+    gives = F.concat("pkg", F.lit(":T"), (F.col("size") % 4).cast("string"))
+    symbols = rows.select("pkg", "path", F.when(F.col("top"), "function").otherwise("method").alias("kind"), none.alias("alias_of"), gives.alias("returns"), none.alias("instance_of"))
+    bucket = F.when(F.col("first") % 5 == 0, "removed").when(F.col("first") % 2 == 0, "changed")
+    changes = rows.select("pkg", "path", bucket.alias("bucket")).filter("bucket is not null")
+    walked = chains.walk(ways.filter("blind is null"), symbols, rows.select("pkg", F.col("pkg").alias("prefix")).distinct())
+    reach = graphs.written(chains.reached(walked.select("pkg", "file", "line", "col", "way", "paths", "unresolved", "missing_head")), "reached")
+    return surfaces.touched(reach, changes, ["file", "line", "col", "way"]).select("file", "line", "col", "pkg", "path", "bucket", "strength", "way").distinct()
+
+
 def _project(spark: SparkSession, sf_dir: str) -> assembly.Project:
     """Customers as packages, their orders as releases with surfaces (the parts of their lines) and notes, their first order's lines as references."""
     name = lambda c: F.concat(F.lit("c"), F.col(c).cast("string"))
@@ -595,6 +623,6 @@ QUERIES: dict[str, Query] = {
         closure_reach, waterfall, verdict_reasons, findings_order, split_80_20, score_totals, medians, manifest_rows, counted_examples, uniq_sites, content_ids,
         first_sentences, release_groups, release_tags, notes_coverage, version_bumps, changed_exports, worst_verdicts, title_scopes, prefix_reach, json_strings,
         highest_versions, name_sets, sites_by_name, brief_groups, coverage_labels, typed_usage, fix_evidence, reformatted_lines, registry_choice, stale_locks, removed_names,
-        type_walk, derived_values, upgrade_briefs,
+        type_walk, derived_values, touched_uses, upgrade_briefs,
     )
 }

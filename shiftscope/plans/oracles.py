@@ -105,6 +105,45 @@ per AS (
 )
 """
 
+_MADE = r"""
+WITH RECURSIVE lines AS (
+  SELECT o_custkey AS f, o_orderkey AS pos, 'v' || o_orderkey % 5 AS name, CASE o_orderkey // 4 % 7 WHEN 5 THEN 'lib' WHEN 6 THEN 'other' ELSE 'v' || o_orderkey // 4 % 7 END AS src,
+         CASE WHEN o_orderpriority = '5-LOW' THEN 1 ELSE 0 END AS phase,
+         CASE WHEN o_orderpriority = '5-LOW' OR o_orderkey % 3 = 0 THEN '' ELSE '.m' || o_orderkey % 3 || CASE WHEN o_orderkey % 2 = 0 THEN '()' ELSE '' END END AS chain,
+         o_orderkey % 4 = 1 AND o_orderpriority <> '5-LOW' AS called
+  FROM orders
+), files AS (
+  SELECT DISTINCT o_custkey AS f FROM orders
+), handed AS (
+  -- what importing v1 of a file gives: its own, or through one file the next one's
+  SELECT f, f AS of FROM files WHERE f % 2 = 0
+  UNION ALL
+  SELECT a.f, b.f FROM files a JOIN files b ON b.f = a.f + 1 WHERE a.f % 2 = 1 AND b.f % 2 = 0
+), made AS (
+  SELECT f, name, 'p' || f % 3 AS pkg, {'hops': 0, 'round': 0, 'phase': phase, 'pos': pos} AS place, [{'hops': 0, 'round': 0, 'phase': phase, 'pos': pos}] AS ways,
+         CASE WHEN phase = 0 THEN chain END AS built, CASE WHEN phase = 0 THEN called END AS self, false AS cut
+  FROM lines WHERE src = 'lib'
+  UNION ALL
+  SELECT f, name, pkg, place, ways, built, self, cut FROM (
+    SELECT *, row_number() OVER (PARTITION BY f, name, pkg, place ORDER BY ways) AS best FROM (
+      SELECT l.f, l.name, m.pkg,
+             {'hops': m.place.hops, 'round': CASE WHEN m.place.round = 0 AND l.phase = 0 THEN 1 WHEN (l.phase, l.pos) > (m.place.phase, m.place.pos) THEN m.place.round ELSE m.place.round + 1 END, 'phase': l.phase, 'pos': l.pos} AS place,
+             list_prepend({'hops': m.place.hops, 'round': CASE WHEN m.place.round = 0 AND l.phase = 0 THEN 1 WHEN (l.phase, l.pos) > (m.place.phase, m.place.pos) THEN m.place.round ELSE m.place.round + 1 END, 'phase': l.phase, 'pos': l.pos}, m.ways) AS ways,
+             CASE WHEN l.phase = 0 THEN CASE WHEN l.called AND m.built <> '' AND NOT ends_with(m.built, '()') THEN m.built || '()' ELSE m.built END || l.chain END AS built,
+             CASE WHEN l.phase = 0 THEN m.self OR (m.built = '' AND l.called) END AS self,
+             CASE WHEN m.place.round = 0 AND l.phase = 0 THEN 1 WHEN (l.phase, l.pos) > (m.place.phase, m.place.pos) THEN m.place.round ELSE m.place.round + 1 END > 3 AS cut
+      FROM made m JOIN lines l ON l.f = m.f AND l.src = m.name WHERE NOT m.cut
+      UNION ALL
+      SELECT l.f, l.name, m.pkg, {'hops': m.place.hops + 1, 'round': 0, 'phase': l.phase, 'pos': l.pos}, list_prepend({'hops': m.place.hops + 1, 'round': 0, 'phase': l.phase, 'pos': l.pos}, m.ways),
+             CASE WHEN l.phase = 0 THEN CASE WHEN l.called AND m.built <> '' AND NOT ends_with(m.built, '()') THEN m.built || '()' ELSE m.built END || l.chain END,
+             CASE WHEN l.phase = 0 THEN m.self OR (m.built = '' AND l.called) END, m.place.hops + 1 > 3
+      FROM made m JOIN handed h ON h.of = m.f AND m.name = 'v1' JOIN lines l ON l.f + 1 = h.f AND l.src = 'other' WHERE NOT m.cut
+    )) WHERE best = 1
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY f, name, pkg ORDER BY cut, ways) AS rank FROM made
+)
+"""
+
 ORACLES: dict[str, str] = {
     "name_text_match": f"WITH {_NAMES} SELECT doc_id, name FROM found",
     "df_demotion": f"""
@@ -378,43 +417,7 @@ WITH RECURSIVE place AS (
     )
 )
 SELECT k AS o_orderkey, array_to_string(paths, ' ') AS paths, array_to_string(rest, ' ') AS unresolved, missing AS missing_head FROM walk WHERE done""",
-    "derived_values": r"""
-WITH RECURSIVE lines AS (
-  SELECT o_custkey AS f, o_orderkey AS pos, 'v' || o_orderkey % 5 AS name, CASE o_orderkey // 4 % 7 WHEN 5 THEN 'lib' WHEN 6 THEN 'other' ELSE 'v' || o_orderkey // 4 % 7 END AS src,
-         CASE WHEN o_orderpriority = '5-LOW' THEN 1 ELSE 0 END AS phase,
-         CASE WHEN o_orderpriority = '5-LOW' OR o_orderkey % 3 = 0 THEN '' ELSE '.m' || o_orderkey % 3 || CASE WHEN o_orderkey % 2 = 0 THEN '()' ELSE '' END END AS chain,
-         o_orderkey % 4 = 1 AND o_orderpriority <> '5-LOW' AS called
-  FROM orders
-), files AS (
-  SELECT DISTINCT o_custkey AS f FROM orders
-), handed AS (
-  -- what importing v1 of a file gives: its own, or through one file the next one's
-  SELECT f, f AS of FROM files WHERE f % 2 = 0
-  UNION ALL
-  SELECT a.f, b.f FROM files a JOIN files b ON b.f = a.f + 1 WHERE a.f % 2 = 1 AND b.f % 2 = 0
-), made AS (
-  SELECT f, name, 'p' || f % 3 AS pkg, {'hops': 0, 'round': 0, 'phase': phase, 'pos': pos} AS place, [{'hops': 0, 'round': 0, 'phase': phase, 'pos': pos}] AS ways,
-         CASE WHEN phase = 0 THEN chain END AS built, CASE WHEN phase = 0 THEN called END AS self, false AS cut
-  FROM lines WHERE src = 'lib'
-  UNION ALL
-  SELECT f, name, pkg, place, ways, built, self, cut FROM (
-    SELECT *, row_number() OVER (PARTITION BY f, name, pkg, place ORDER BY ways) AS best FROM (
-      SELECT l.f, l.name, m.pkg,
-             {'hops': m.place.hops, 'round': CASE WHEN m.place.round = 0 AND l.phase = 0 THEN 1 WHEN (l.phase, l.pos) > (m.place.phase, m.place.pos) THEN m.place.round ELSE m.place.round + 1 END, 'phase': l.phase, 'pos': l.pos} AS place,
-             list_prepend({'hops': m.place.hops, 'round': CASE WHEN m.place.round = 0 AND l.phase = 0 THEN 1 WHEN (l.phase, l.pos) > (m.place.phase, m.place.pos) THEN m.place.round ELSE m.place.round + 1 END, 'phase': l.phase, 'pos': l.pos}, m.ways) AS ways,
-             CASE WHEN l.phase = 0 THEN CASE WHEN l.called AND m.built <> '' AND NOT ends_with(m.built, '()') THEN m.built || '()' ELSE m.built END || l.chain END AS built,
-             CASE WHEN l.phase = 0 THEN m.self OR (m.built = '' AND l.called) END AS self,
-             CASE WHEN m.place.round = 0 AND l.phase = 0 THEN 1 WHEN (l.phase, l.pos) > (m.place.phase, m.place.pos) THEN m.place.round ELSE m.place.round + 1 END > 3 AS cut
-      FROM made m JOIN lines l ON l.f = m.f AND l.src = m.name WHERE NOT m.cut
-      UNION ALL
-      SELECT l.f, l.name, m.pkg, {'hops': m.place.hops + 1, 'round': 0, 'phase': l.phase, 'pos': l.pos}, list_prepend({'hops': m.place.hops + 1, 'round': 0, 'phase': l.phase, 'pos': l.pos}, m.ways),
-             CASE WHEN l.phase = 0 THEN CASE WHEN l.called AND m.built <> '' AND NOT ends_with(m.built, '()') THEN m.built || '()' ELSE m.built END || l.chain END,
-             CASE WHEN l.phase = 0 THEN m.self OR (m.built = '' AND l.called) END, m.place.hops + 1 > 3
-      FROM made m JOIN handed h ON h.of = m.f AND m.name = 'v1' JOIN lines l ON l.f + 1 = h.f AND l.src = 'other' WHERE NOT m.cut
-    )) WHERE best = 1
-), best AS (
-  SELECT *, row_number() OVER (PARTITION BY f, name, pkg ORDER BY cut, ways) AS rank FROM made
-)
+    "derived_values": _MADE + r"""
 SELECT 'f' || f AS file, name, pkg, place.hops::BIGINT AS hops, cut, CASE WHEN built IS NOT NULL THEN substr(built, 2) END AS built, self AS built_called FROM best WHERE rank = 1""",
     "upgrade_briefs": f"""
         WITH {_RELEASED}, {_PICKED}, cand AS (
@@ -459,4 +462,47 @@ SELECT 'f' || f AS file, name, pkg, place.hops::BIGINT AS hops, cut, CASE WHEN b
                CASE WHEN computed THEN changes END AS changes, CASE WHEN computed THEN touched ELSE 0 END AS touched,
                CASE WHEN complete THEN 'complete' WHEN found > 0 THEN 'partial' ELSE 'unavailable' END AS coverage, live AS entries, matched, unplaced, refs AS sites, array_to_string(names, ',') AS names, len(names) AS named_sites
         FROM judged""",
+    "touched_uses": _MADE + r"""
+, refs AS (
+  SELECT o_custkey AS f, l_orderkey AS line, l_linenumber AS col, CASE WHEN l_partkey % 8 < 5 THEN 'v' || l_partkey % 8 WHEN l_partkey % 8 = 5 THEN 'lib' WHEN l_partkey % 8 = 6 THEN 'other' ELSE 'none' END AS local,
+         list_filter(['m' || l_suppkey % 3 || CASE WHEN l_quantity < 25 THEN '()' ELSE '' END, CASE WHEN l_suppkey % 2 = 0 THEN 'm' || l_suppkey // 3 % 3 END], lambda x: x IS NOT NULL) AS chain
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+), kept AS (
+  SELECT f, name, pkg, place.hops AS hops, CASE WHEN built = '' THEN [] WHEN built IS NOT NULL THEN string_split(substr(built, 2), '.') END AS built, self, cut FROM best WHERE rank = 1
+), ways AS (
+  SELECT f, line, col, 'p' || f % 3 AS pkg, 'direct' AS way, chain AS segs, 0 AS own, false AS lost FROM refs WHERE local = 'lib'
+  UNION ALL
+  SELECT r.f, line, col, k.pkg, 'derived', CASE WHEN built IS NULL THEN chain ELSE list_concat(built, chain) END, coalesce(len(built), 0), built IS NULL OR self
+  FROM refs r JOIN kept k ON k.f = r.f AND k.name = r.local WHERE NOT cut
+  UNION ALL
+  SELECT r.f, line, col, k.pkg, 'derived', CASE WHEN built IS NULL THEN chain ELSE list_concat(built, chain) END, coalesce(len(built), 0), built IS NULL OR self
+  FROM refs r JOIN handed h ON h.f = r.f + 1 AND r.local = 'other' JOIN kept k ON k.f = h.of AND k.name = 'v1' WHERE NOT cut AND k.hops + 1 <= 3
+), members AS (
+  SELECT 'p' || p_partkey % 3 AS pkg, 'p' || p_partkey % 3 || ':' || CASE WHEN p_partkey // 3 % 4 = 3 THEN '' ELSE 'T' || p_partkey // 3 % 4 || '#' END || 'm' || p_partkey // 12 % 3 AS path, p_partkey // 3 % 4 = 3 AS top,
+         min(p_size) AS size, min(p_partkey) AS first FROM part GROUP BY ALL
+), changes AS (
+  SELECT pkg, path, CASE WHEN first % 5 = 0 THEN 'removed' ELSE 'changed' END AS bucket FROM members WHERE first % 5 = 0 OR first % 2 = 0
+), shapes AS (
+  SELECT DISTINCT pkg, segs, own, lost FROM ways
+), walk AS (
+  SELECT *, segs AS whole, 0 AS i, pkg || ':' AS base, []::VARCHAR[] AS paths, CASE WHEN lost THEN list_transform(segs, lambda s: replace(s, '()', '')) ELSE [] END AS rest, lost OR len(segs) = 0 AS done FROM shapes
+  UNION ALL
+  SELECT pkg, segs, own, lost, whole, i + 1, base, paths, CASE WHEN NOT found THEN list_transform(segs[i + 1:], lambda s: replace(s, '()', '')) WHEN i + 1 < len(segs) AND (base IS NULL OR i + 1 >= 6) THEN list_transform(segs[i + 2:], lambda s: replace(s, '()', '')) ELSE [] END,
+         NOT found OR i + 1 >= len(segs) OR base IS NULL OR i + 1 >= 6
+  FROM (
+    SELECT w.pkg, segs, own, lost, whole, i, m.path IS NOT NULL AS found, CASE WHEN m.path IS NOT NULL AND i >= own THEN list_append(paths, m.path) ELSE paths END AS paths,
+           CASE WHEN ends_with(segs[i + 1], '()') THEN m.pkg || ':T' || m.size % 4 END AS base
+    FROM walk w LEFT JOIN members m ON m.pkg = w.pkg AND m.path = CASE WHEN ends_with(base, ':') THEN base ELSE base || '#' END || replace(segs[i + 1], '()', '')
+    WHERE NOT done
+  )
+), reached AS (
+  SELECT w.f, w.line, w.col, w.pkg, w.way, s.paths, s.rest FROM ways w JOIN walk s ON s.done AND s.pkg = w.pkg AND s.whole = w.segs AND s.own = w.own AND s.lost = w.lost
+), strong AS (
+  SELECT DISTINCT f, line, col, r.pkg, c.path, bucket, way FROM (SELECT *, unnest(paths) AS ref FROM reached) r JOIN changes c ON c.pkg = r.pkg AND c.path = r.ref
+), weak AS (
+  SELECT DISTINCT f, line, col, r.pkg, c.path, bucket, way FROM (SELECT *, unnest(rest) AS name FROM reached) r JOIN changes c ON c.pkg = r.pkg AND contains(c.path, '#') AND split_part(c.path, '#', 2) = r.name
+  WHERE (c.pkg, c.path) NOT IN (SELECT (pkg, path) FROM strong)
+)
+SELECT 'f' || f AS file, line, col, pkg, path, bucket, 'strong' AS strength, way FROM strong UNION ALL SELECT 'f' || f, line, col, pkg, path, bucket, 'weak', way FROM weak
+""",
 }
