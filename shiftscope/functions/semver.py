@@ -77,12 +77,27 @@ def between(v: Column | str, low: Column | str, high: Column | str) -> Column:
 def satisfies(v: Column | str, declared: Column | str) -> Column:
     """Whether v lies in a declared range: alternatives of ^, ~, comparisons, hyphens, x-ranges; prereleases included.
 
-    Null where the range can't be read, so that callers decide; `*`, `latest` and the empty range allow all.
+    Null where the range can't be read, so that callers decide; `*`, `latest` and the empty range allow all. Where many
+    versions meet many ranges, each is better parsed once, by `bounds` and `key`, and held together by `within`.
     """
-    v, spec = _col(v), F.trim(_col(declared))
-    allowed = F.transform(F.split(spec, r"\s*\|\|\s*"), lambda one: _simple(v, F.trim(one)))
-    some = F.exists(allowed, lambda x: F.coalesce(x, F.lit(False)))
-    return F.when(key(v).isNull() | spec.isNull(), None).when(some, True).when(F.exists(allowed, lambda x: x.isNull()), None).otherwise(False)
+    return within(key(v), bounds(declared))
+
+
+def within(version_key: Column, ranges: Column) -> Column:
+    """satisfies() for a version's key and a range's bounds: keys are compared, no text is read."""
+    low = lambda x: x["low"].isNull() | F.when(x["low_open"], version_key > x["low"]).otherwise(version_key >= x["low"])
+    high = lambda x: x["high"].isNull() | F.when(x["high_open"], version_key < x["high"]).otherwise(version_key <= x["high"])
+    some = F.exists(ranges, lambda one: F.coalesce(F.forall(one, lambda x: low(x) & high(x)), F.lit(False)))
+    return F.when(version_key.isNull() | ranges.isNull(), None).when(some, True).when(F.exists(ranges, lambda one: one.isNull()), None).otherwise(False)
+
+
+def bounds(declared: Column | str) -> Column:
+    """A range parsed: for each alternative the intervals that must all hold, array<struct<low, low_open, high, high_open>>; null
+    for one that can't be read, no interval for one that allows all.
+
+    Each step is an array of its own, so that no pattern is matched twice.
+    """
+    return F.transform(F.split(F.trim(_col(declared)), r"\s*\|\|\s*"), lambda one: _intervals(F.trim(one)))
 
 
 _ONE = r"(?:>=|<=|>|<|=|\^|~)?\s*v?(?:\d+|[xX*])(?:\.(?:\d+|[xX*])){0,2}(?:-[0-9A-Za-z.-]+)?(?:\+[0-9A-Za-z.-]+)?"
@@ -99,39 +114,55 @@ def _bound(text: Column, k: int) -> Column:
     return F.regexp_extract(text, r"^[\^~]?v?(\d+|[xX*])?(?:\.(\d+|[xX*]))?(?:\.(\d+|[xX*]))?", k)
 
 
-def _simple(v: Column, one: Column) -> Column:
-    """One alternative: comparators that must all hold."""
-    hyphen = r"^(\S+)\s+-\s+(\S+)\z"
-    comparators = F.when(one.rlike(hyphen), F.array(F.concat(F.lit(">="), F.regexp_extract(one, hyphen, 1)), F.concat(F.lit("<="), F.regexp_extract(one, hyphen, 2)))).otherwise(
+_HYPHEN = r"^(\S+)\s+-\s+(\S+)\z"
+_OPERATOR = r"^(>=|<=|>|<|=|\^|~)?(.*)\z"
+_PARTIAL = r"^v?\d+(\.(\d+|[xX*]))?(\.(\d+|[xX*]))?(-[0-9A-Za-z.-]+)?(\+[0-9A-Za-z.-]+)?\z"
+_NO_PRE = "array<struct<word:boolean,n:decimal(38,0),text:string>>"
+
+
+def _intervals(one: Column) -> Column:
+    """One alternative: the intervals of its comparators."""
+    comparators = F.when(one.rlike(_HYPHEN), F.array(F.concat(F.lit(">="), F.regexp_extract(one, _HYPHEN, 1)), F.concat(F.lit("<="), F.regexp_extract(one, _HYPHEN, 2)))).otherwise(
         F.split(F.regexp_replace(one, r"([<>=^~])\s+", "$1"), r"\s+")
     )
-    held = F.transform(comparators, lambda c: _comparator(v, c))
-    return F.when(one.rlike(r"^(\*|x|X|latest)?\z"), True).when(F.exists(held, lambda h: h.isNull()), None).otherwise(F.forall(held, lambda h: h))
+    cut = F.transform(comparators, lambda c: F.struct(F.regexp_extract(c, _OPERATOR, 1).alias("op"), F.regexp_extract(c, _OPERATOR, 2).alias("text")))
+    read = F.transform(cut, lambda x: F.struct(x["op"].alias("op"), x["text"].rlike(_PARTIAL).alias("sound"), key(x["text"]).alias("exact"), *[_bound(x["text"], k).alias(c) for k, c in ((1, "a"), (2, "b"), (3, "c"))]))
+    is_open = lambda x: x.rlike(r"^([xX*])?\z")
+    number = lambda x: F.when(is_open(x), F.lit(0)).otherwise(x.cast("decimal(38,0)"))
+    known = F.transform(read, lambda x: F.struct(x["op"].alias("op"), x["sound"].alias("sound"), x["exact"].alias("exact"), *[number(x[c]).alias(c) for c in "abc"], is_open(x["b"]).alias("b_open"), is_open(x["c"]).alias("c_open")))
+    held = F.transform(known, _interval)
+    everything = F.array().cast(held_type())
+    return F.when(one.rlike(r"^(\*|x|X|latest)?\z"), everything).when(F.exists(held, lambda h: h.isNull()), None).otherwise(held)
+
+
+def held_type() -> str:
+    """The type of one alternative's intervals."""
+    of = f"struct<major:decimal(38,0),minor:decimal(38,0),patch:decimal(38,0),release:boolean,pre:{_NO_PRE}>"
+    return f"array<struct<low:{of},low_open:boolean,high:{of},high_open:boolean>>"
 
 
-def _comparator(v: Column, c: Column) -> Column:
-    op = F.regexp_extract(c, r"^(>=|<=|>|<|=|\^|~)?", 1)
-    text = F.regexp_replace(c, r"^(>=|<=|>|<|=|\^|~)", "")
-    open_ = lambda k: _bound(text, k).rlike(r"^([xX*])?\z")
-    number = lambda k: F.when(open_(k), F.lit(0)).otherwise(_bound(text, k).cast("decimal(38,0)"))
-    empty = F.array().cast("array<struct<word:boolean,n:decimal(38,0),text:string>>")
+def _interval(x: Column) -> Column:
+    """What a comparator allows: op with the numbers a, b and c, of which b and c may be open."""
+    empty = F.array().cast(_NO_PRE)
     tri = lambda a, b, c, release=True: F.struct(a.cast("decimal(38,0)").alias("major"), b.cast("decimal(38,0)").alias("minor"), c.cast("decimal(38,0)").alias("patch"), F.lit(release).alias("release"), empty.alias("pre"))
-    low = F.when(key(text).isNotNull(), key(text)).otherwise(tri(number(1), number(2), number(3)))
-    zero = F.lit(0)
+    a, b, c, op, zero = x["a"], x["b"], x["c"], x["op"], F.lit(0)
+    low = F.coalesce(x["exact"], tri(a, b, c))
     # the first version beyond: what a partial version, ~ or ^ covers ends before its lowest prerelease
-    next_of = F.when(open_(2), tri(number(1) + 1, zero, zero, False)).when(open_(3), tri(number(1), number(2) + 1, zero, False))
-    tilde = F.when(open_(2), tri(number(1) + 1, zero, zero, False)).otherwise(tri(number(1), number(2) + 1, zero, False))
-    caret = F.when((number(1) > 0) | open_(2), tri(number(1) + 1, zero, zero, False)).when((number(2) > 0) | open_(3), tri(number(1), number(2) + 1, zero, False)).otherwise(tri(number(1), number(2), number(3) + 1, False))
-    k = key(v)
-    partial = open_(2) | open_(3)
+    major, minor, patch = tri(a + 1, zero, zero, False), tri(a, b + 1, zero, False), tri(a, b, c + 1, False)
+    tilde = F.when(x["b_open"], major).otherwise(minor)
+    caret = F.when((a > 0) | x["b_open"], major).when((b > 0) | x["c_open"], minor).otherwise(patch)
+    partial = x["b_open"] | x["c_open"]
+    item = held_type()[len("array<") : -1]
+    none = F.lit(None)
+    span = lambda lo, lo_open, hi, hi_open: F.struct(lo.alias("low"), F.lit(lo_open).alias("low_open"), hi.alias("high"), F.lit(hi_open).alias("high_open")).cast(item)
     return (
-        F.when(~text.rlike(r"^v?\d+(\.(\d+|[xX*]))?(\.(\d+|[xX*]))?(-[0-9A-Za-z.-]+)?(\+[0-9A-Za-z.-]+)?\z"), None)
-        .when(op == "^", (k >= low) & (k < caret))
-        .when(op == "~", (k >= low) & (k < tilde))
-        .when(op == ">=", k >= low)
-        .when(op == "<", k < low)
-        .when(op == ">", F.when(partial, k >= next_of).otherwise(k > low))
-        .when(op == "<=", F.when(partial, k < next_of).otherwise(k <= low))
-        .when(partial, (k >= low) & (k < next_of))
-        .otherwise(k == low)
+        F.when(~x["sound"], none)
+        .when(op == "^", span(low, False, caret, True))
+        .when(op == "~", span(low, False, tilde, True))
+        .when(op == ">=", span(low, False, none, False))
+        .when(op == "<", span(none, False, low, True))
+        .when(op == ">", F.when(partial, span(tilde, False, none, False)).otherwise(span(low, True, none, False)))
+        .when(op == "<=", F.when(partial, span(none, False, tilde, True)).otherwise(span(none, False, low, False)))
+        .when(partial, span(low, False, tilde, True))
+        .otherwise(span(low, False, low, False))
     )

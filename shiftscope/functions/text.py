@@ -38,9 +38,18 @@ CALL_SHAPED = r"(?i)[\w$]\(\)|\.[a-z]\w*\("
 REGIONS = "array<struct<kind:string,text:string>>"
 
 
+#: White space runs that are no single plain space: all that has to be rewritten.
+_RUNS = f"{SPACE}{{2,}}|[{SPACE[1:-1]}&&[^ ]]"
+
+
 def squeezed(text: Column) -> Column:
     """White space runs as one space, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(text, f"{SPACE}+", " "), r"^ | \z", "")
+    return F.trim(F.regexp_replace(text, _RUNS, " "))
+
+
+def _where(text: Column, mark: str, changed: Column) -> Column:
+    """changed where a text has the mark without which nothing changes: a search for it is cheaper than a pattern over all characters."""
+    return F.when(F.contains(text, F.lit(mark)), changed).otherwise(text)
 
 
 def prepared(markdown: Column) -> Column:
@@ -54,9 +63,9 @@ def prepared(markdown: Column) -> Column:
 
 def cleaned(text: Column) -> Column:
     """A line's words: links as their labels, no addresses, single spaces."""
-    out = F.regexp_replace(text, r"\[([^\]]*)\]\([^)]*\)", "$1")
-    out = F.regexp_replace(out, r"\[([^\]]+)\]\[[^\]]*\]", "$1")
-    return squeezed(F.regexp_replace(out, f"https?://{WORD}+", ""))
+    out = _where(text, "](", F.regexp_replace(text, r"\[([^\]]*)\]\([^)]*\)", "$1"))
+    out = _where(out, "][", F.regexp_replace(out, r"\[([^\]]+)\]\[[^\]]*\]", "$1"))
+    return squeezed(_where(out, "://", F.regexp_replace(out, f"https?://{WORD}+", "")))
 
 
 def first_sentence(text: Column, least: int = 20, most: int = 160) -> Column:

@@ -52,7 +52,7 @@ def reformatted(removed: DataFrame, added: DataFrame, least: int = 6) -> DataFra
     place = F.row_number().over(Window.partitionBy(*by, "same").orderBy("line"))
     told = own.withColumn("place", place).join(pool, [*by, "same"], "left").withColumn("again", F.coalesce(F.col("place") <= F.col("pool"), F.lit(False)))
     rest = told.filter("not again")
-    island = F.col("line") - F.row_number().over(Window.partitionBy(*by).orderBy("line"))
+    island = F.col("line") - F.row_number().over(Window.partitionBy(*by).orderBy("line", "same"))
     pieces = F.transform(F.array_sort(F.collect_list(F.struct("line", "same"))), lambda x: x["same"])
     run = rest.withColumn("island", island).groupBy(*by, "island").agg(F.array_join(pieces, "").alias("joined"), F.collect_list("line").alias("places"))
     gained = new.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "same"))), lambda x: x["same"]), "").alias("gained"))

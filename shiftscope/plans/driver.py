@@ -43,12 +43,17 @@ def df_demotion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def match_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as entries of all kinds, a quarter of them examples, against names in use, strong or weak: what each is tied to."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     toxic = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    told = docs.join(toxic, "doc_id", "left").select(F.col("doc_id").alias("entry"), F.lit("change").alias("kind"), F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("breaking"), F.lit("none").alias("names_api"))
-    names = _names(spark, sf_dir)
-    found = matching.mentions(_regions(spark, sf_dir), names)
-    out = matching.buckets(told, matching.hits(found, names, told, names.select("name").filter("false")))
+    n = F.coalesce("n_chars", F.lit(0))
+    kind = F.when(n % 7 == 0, "housekeeping").when(n % 5 == 0, "addition").otherwise("change")
+    told = docs.join(toxic, "doc_id", "left").select(F.col("doc_id").alias("entry"), kind.alias("kind"), F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("breaking"), F.when(n % 3 == 0, "headline").otherwise("none").alias("names_api"))
+    names = _names(spark, sf_dir).withColumn("strength", F.when(F.length("name") % 2 == 0, "strong").otherwise("weak"))
+    regions = _regions(spark, sf_dir).withColumn("kind", F.when(F.col("entry") % 4 == 0, "code-block").otherwise("prose"))
+    found = graphs.written(matching.mentions(regions, names), "found")
+    often = matching.demoted(found, regions, part=0.02)
+    out = matching.buckets(told, matching.hits(found, names, told, often))
     return out.select(F.col("entry").alias("doc_id"), "breaking", F.col("n_hits").cast("long").alias("n_hits"), "direct", "bucket")
 
 
@@ -89,8 +94,8 @@ def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fence_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter("text is not null")
-    return docs.select("doc_id", lines.fence_counts(F.col("text")).alias("f")).select("doc_id", F.col("f.lines").alias("n_lines"), F.col("f.fenced").alias("n_fenced"))
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", lines.fence_counts(F.coalesce("text", F.lit(""))).alias("f")).select("doc_id", F.col("f.lines").alias("n_lines"), F.col("f.fenced").alias("n_fenced"))
 
 
 def line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,13 +287,12 @@ def uniq_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def content_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter("text is not null")
-    return docs.select("doc_id", numbers.content_id(F.coalesce("source", F.lit("")), F.col("text")).alias("content_id"))
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", numbers.content_id(F.coalesce("source", F.lit("")), F.coalesce("text", F.lit(""))).alias("content_id"))
 
 
 def first_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter("text is not null")
-    return docs.select("doc_id", T.first_sentence(F.col("text")).alias("sentence"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.first_sentence(F.coalesce("text", F.lit(""))).alias("sentence"))
 
 
 def release_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -427,7 +431,7 @@ def fix_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reformatted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lineitems as lines of a diff, those of one status removed and the others written: what only moved."""
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.lit("f").alias("file"), F.col("l_linenumber").alias("line"), F.concat(F.lit("row( '"), F.col("l_returnflag"), F.lit("', "), F.floor(F.col("l_quantity") / 10).cast("string"), F.lit(");")).alias("text"), "l_linestatus")
-    found = lines.reformatted(rows.filter("l_linestatus = 'O'"), rows.filter("l_linestatus <> 'O'"), least=1000)
+    found = lines.reformatted(rows.filter("l_linestatus = 'O'"), rows.filter("l_linestatus <> 'O'"))
     return found.select("id", "line")
 
 
@@ -443,10 +447,10 @@ def registry_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stale_locks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as folders, their releases as declared ranges and locked versions: what each installs, and what is out of step."""
-    released = _released(spark, sf_dir).withColumn("rank", F.row_number().over(Window.partitionBy("pkg").orderBy(semver.key("version")))).filter("rank <= 2")
-    two = released.groupBy("pkg").agg(F.min_by("version", "rank").alias("old"), F.max_by("version", "rank").alias("new"))
-    dir_ = F.concat(F.lit("c"), F.col("pkg").cast("string"))
+    """Each release of a customer as a folder that declares it over a lock of the release before: what it installs, and what is out of step."""
+    by = Window.partitionBy("pkg").orderBy(semver.key("version"))
+    two = _released(spark, sf_dir).select("pkg", F.col("version").alias("new"), F.coalesce(F.lag("version").over(by), F.col("version")).alias("old"), F.row_number().over(by).alias("rank"))
+    dir_ = F.concat(F.lit("c"), F.col("pkg").cast("string"), F.lit("-"), F.col("rank").cast("string"))
     text = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
     own = text('{"dependencies":{"x":"^', F.col("new"), '"}}')
     written_for = F.when(F.col("pkg") % 2 == 0, F.col("new")).otherwise(F.col("old"))

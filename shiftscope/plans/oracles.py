@@ -28,7 +28,7 @@ _KIND = r"""CASE
   ELSE 'change' END"""
 
 _LINES = """lines AS (
-  SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)
+  SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS pos FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
 )"""
 
 _SPACE = r"\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
@@ -151,9 +151,14 @@ ORACLES: dict[str, str] = {
              n AS (SELECT lang, count(DISTINCT doc_id) AS n_docs FROM documents GROUP BY lang)
         SELECT lang, name, df, n_docs FROM df JOIN n USING (lang) WHERE df >= 3 AND df >= 0.25 * n_docs""",
     "match_buckets": f"""
-        WITH {_NAMES}, per AS (SELECT doc_id, count(*) AS n_hits FROM found GROUP BY doc_id), toxic AS (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY doc_id),
-        met AS (SELECT d.doc_id, coalesce(toxic = 1, false) AS breaking, coalesce(n_hits, 0) AS n_hits FROM documents d LEFT JOIN per USING (doc_id) LEFT JOIN toxic USING (doc_id))
-        SELECT doc_id, breaking, n_hits, n_hits > 0 AS direct, CASE WHEN n_hits > 0 THEN 'matched' WHEN breaking THEN 'unattributed-breaking' ELSE 'unattributed-change' END AS bucket FROM met""",
+        WITH {_NAMES}, toxic AS (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+        docs AS (SELECT d.doc_id, coalesce(n_chars, 0) AS n, coalesce(toxic = 1, false) AS breaking, d.doc_id % 4 = 0 AS example FROM documents d LEFT JOIN toxic USING (doc_id)),
+        often AS (SELECT name FROM found WHERE doc_id % 4 = 0 GROUP BY name HAVING count(*) >= 3 AND count(*) >= 0.02 * (SELECT count(*) FROM documents WHERE doc_id % 4 = 0)),
+        hit AS (SELECT doc_id, length(name) % 2 = 0 AS strong, example FROM found JOIN docs USING (doc_id) WHERE NOT (example AND NOT breaking AND name IN (SELECT name FROM often))),
+        per AS (SELECT doc_id, count(*) AS n_hits, bool_or(strong AND NOT example) AS direct FROM hit GROUP BY doc_id)
+        SELECT doc_id, breaking, coalesce(n_hits, 0) AS n_hits, coalesce(direct, false) AS direct,
+               CASE WHEN n % 7 = 0 THEN 'none' WHEN n_hits > 0 THEN 'matched' WHEN breaking AND n % 3 <> 0 THEN 'unattributed-breaking' WHEN n % 5 <> 0 AND n % 3 <> 0 THEN 'unattributed-change' ELSE 'none' END AS bucket
+        FROM docs LEFT JOIN per USING (doc_id)""",
     "entry_kind": rf"""
         WITH {_TITLES} SELECT o_orderkey, {_KIND} AS kind, regexp_matches(title, '(?i)^\s*(\*{{1,2}}|_{{1,2}}|\[|\()?\s*(⚠️|:warning:|breaking|💥|:boom:)|BREAKING CHANGE') AS breaking,
                CASE WHEN coded OR called THEN 'headline' ELSE 'none' END AS names_api FROM bare""",
@@ -278,9 +283,9 @@ ORACLES: dict[str, str] = {
     "uniq_sites": """
         WITH s AS (SELECT conv_id, role, turn // 4 AS line, min({'q': coalesce(ends_with(text, '?'), false)::INT, 't': turn}) AS s FROM conversations GROUP BY ALL)
         SELECT conv_id, role, line, s.q = 1 AS type_only, s.t AS turn, row_number() OVER (PARTITION BY conv_id ORDER BY role, line) AS place FROM s""",
-    "content_ids": "SELECT doc_id, substr(sha1(coalesce(source, '') || chr(0) || text), 1, 12) AS content_id FROM documents WHERE text IS NOT NULL",
+    "content_ids": "SELECT doc_id, substr(sha1(coalesce(source, '') || chr(0) || coalesce(text, '')), 1, 12) AS content_id FROM documents",
     "first_sentences": rf"""
-        WITH f AS (SELECT doc_id, {_cleaned('text')} AS plain FROM documents WHERE text IS NOT NULL), g AS (SELECT *, regexp_extract(plain, '^(.{{20,160}}?[.!?])(?: |$)', 1) AS s FROM f)
+        WITH f AS (SELECT doc_id, {_cleaned("coalesce(text, '')")} AS plain FROM documents), g AS (SELECT *, regexp_extract(plain, '^(.{{20,160}}?[.!?])(?: |$)', 1) AS s FROM f)
         SELECT doc_id, CASE WHEN s <> '' THEN s ELSE substr(plain, 1, 160) END AS sentence FROM g""",
     "release_groups": """
         WITH u AS (SELECT CASE WHEN o_custkey % 3 = 1 THEN '@s' || (o_custkey % 7) || '/c' || o_custkey ELSE 'c' || o_custkey END AS name,
@@ -361,16 +366,20 @@ ORACLES: dict[str, str] = {
         n AS (SELECT id, list_sort(list_distinct(list(name))) AS names FROM t JOIN (SELECT id, name FROM f WHERE kind = 2) y USING (id, name) GROUP BY id)
         SELECT id, coalesce(array_to_string(on_site, ','), '') AS on_site, coalesce(array_to_string(options, ','), '') AS options, coalesce(array_to_string(names, ','), '') AS names FROM s FULL JOIN n USING (id)""",
     "reformatted_lines": """
-        WITH l AS (SELECT l_orderkey AS id, l_linenumber AS line, l_returnflag || floor(l_quantity / 10) AS same, l_linestatus = 'O' AS gone FROM lineitem),
-        p AS (SELECT id, same, count(*) AS pool FROM l WHERE NOT gone GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY id, same ORDER BY line) AS place FROM l WHERE gone)
-        SELECT id, line FROM r JOIN p USING (id, same) WHERE place <= pool""",
+        WITH l AS (SELECT l_orderkey AS id, l_linenumber AS line, 'row("' || l_returnflag || '"' || floor(l_quantity / 10)::BIGINT || ')' AS same, l_linestatus = 'O' AS gone FROM lineitem),
+        p AS (SELECT id, same, count(*) AS pool FROM l WHERE NOT gone GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY id, same ORDER BY line) AS place FROM l WHERE gone),
+        told AS (SELECT r.*, coalesce(place <= pool, false) AS again FROM r LEFT JOIN p USING (id, same)),
+        rest AS (SELECT *, line - row_number() OVER (PARTITION BY id ORDER BY line, same) AS island FROM told WHERE NOT again),
+        runs AS (SELECT id, string_agg(same, '' ORDER BY line, same) AS joined, list(line) AS places FROM rest GROUP BY id, island),
+        gained AS (SELECT id, string_agg(same, '' ORDER BY line, same) AS gained FROM l WHERE NOT gone GROUP BY id)
+        SELECT id, line FROM told WHERE again UNION ALL SELECT id, unnest(places) FROM runs JOIN gained USING (id) WHERE length(joined) >= 6 AND contains(gained, joined)""",
     "registry_choice": """
         WITH p AS (SELECT p_partkey, lower(replace(p_brand, '#', '')) AS brand FROM part)
         SELECT CASE WHEN p_partkey % 2 = 0 THEN '@' || brand || '/p' || p_partkey ELSE 'p' || p_partkey END AS pkg, CASE WHEN p_partkey % 2 = 0 THEN 'https://r.io/' || brand ELSE 'https://d.io' END AS registry,
                CASE WHEN p_partkey % 2 = 1 THEN NULL WHEN starts_with(brand, 'brand1') THEN 'narrow' ELSE 'wide' END AS token FROM p""",
     "stale_locks": f"""
-        WITH {_RELEASED}, t AS (SELECT pkg, list_sort(list(k))[1] AS old, coalesce(list_sort(list(k))[2], list_sort(list(k))[1]) AS new FROM released GROUP BY pkg)
-        SELECT 'c' || pkg AS dir, {_TEXT.format("CASE WHEN pkg % 2 = 0 OR old = new THEN old ELSE new END")} AS version, CASE WHEN pkg % 2 = 0 OR old = new THEN 'lockfile' ELSE 'manifest-range' END AS version_source, CASE WHEN pkg % 2 = 0 OR old = new THEN 0 ELSE 1 END::BIGINT AS late FROM t""",
+        WITH {_RELEASED}, t AS (SELECT pkg, k AS new, coalesce(lag(k) OVER w, k) AS old, row_number() OVER w AS rank FROM released WINDOW w AS (PARTITION BY pkg ORDER BY k))
+        SELECT 'c' || pkg || '-' || rank AS dir, {_TEXT.format("CASE WHEN pkg % 2 = 0 OR old = new THEN old ELSE new END")} AS version, CASE WHEN pkg % 2 = 0 OR old = new THEN 'lockfile' ELSE 'manifest-range' END AS version_source, CASE WHEN pkg % 2 = 0 OR old = new THEN 0 ELSE 1 END::BIGINT AS late FROM t""",
     "removed_names": """
         SELECT DISTINCT 'lib:v.p' || l_partkey AS path, 'removed' AS bucket FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-05-24'
         AND l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-05-24' AND l_returnflag = 'N')""",

@@ -171,13 +171,14 @@ def highest(ranges: DataFrame, releases: DataFrame, tags: DataFrame) -> DataFram
     own = ranges.select("name", "range").distinct()
     known = releases.select("name", "version").distinct()
     tagged = own.join(tags.select("name", F.col("tag").alias("range"), "version"), ["name", "range"]).join(known, ["name", "version"], "left_semi").select("name", "range", F.col("version").alias("tagged"))
-    # a prerelease only satisfies a range that names one of its own version
+    # each range and each version is parsed once; pairs compare keys, and the highest is a partial aggregate
     core = F.concat_ws(".", *[semver.part("version", k) for k in (1, 2, 3)])
-    named = semver.is_stable("version") | F.contains(F.col("range"), F.concat(core, F.lit("-")))
-    # a range is held against a version once, however many packages have both
-    pairs = graphs.written(own.join(known, "name"), "ranges")
-    fits = pairs.select("range", "version").distinct().filter(F.coalesce(semver.satisfies("version", "range"), F.lit(False)) & named)
-    fit = pairs.join(fits, ["range", "version"]).groupBy("name", "range").agg(F.max_by("version", semver.key("version")).alias("best"))
+    parsed = graphs.written(own.select("range").distinct().withColumn("bounds", semver.bounds("range")), "ranges")
+    keyed = known.select("name", "version", semver.key("version").alias("key"), semver.is_stable("version").alias("stable"), F.concat(core, F.lit("-")).alias("core"))
+    pairs = own.join(parsed, "range").join(keyed.filter("key is not null"), "name")
+    # a prerelease only satisfies a range that names one of its own version
+    fits = F.coalesce(semver.within(F.col("key"), F.col("bounds")), F.lit(False)) & (F.col("stable") | F.contains(F.col("range"), F.col("core")))
+    fit = pairs.filter(fits).groupBy("name", "range").agg(F.max_by("version", "key").alias("best"))
     return own.join(tagged, ["name", "range"], "left").join(fit, ["name", "range"], "left").select("name", "range", F.coalesce("tagged", "best").alias("version"))
 
 

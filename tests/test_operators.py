@@ -154,10 +154,10 @@ def test_followups_span_slots(spark):
 
 def test_verdicts(spark):
     counts = ["removed", "changed", "deprecated", "weak", "matched", "unattributed_breaking", "unattributed_change", "blind", "opaque", "refs", "flagged", "out_of_sync"]
-    base = dict.fromkeys(counts, 0) | {"refs": 1, "surface": "computed", "notes": "complete", "bump": "minor"}
-    cases = [base, base | {"removed": 1}, base | {"removed": 1, "surface": "failed"}, base | {"refs": 0}, base | {"notes": "partial"}, base | {"bump": "major", "weak": 1}, base | {"matched": None}]
-    schema = "i int, " + ", ".join(f"{c} int" for c in counts) + ", surface string, notes string, bump string"
-    df = spark.createDataFrame([(i, *[c[k] for k in counts], c["surface"], c["notes"], c["bump"]) for i, c in enumerate(cases)], schema)
+    base = dict.fromkeys(counts, 0) | {"refs": 1, "surface": "computed", "notes": "complete", "bump": "minor", "incomplete": False}
+    cases = [base, base | {"removed": 1}, base | {"removed": 1, "surface": "failed"}, base | {"refs": 0}, base | {"notes": "partial"}, base | {"bump": "major", "weak": 1}, base | {"matched": None}, base | {"incomplete": None}]
+    schema = "i int, " + ", ".join(f"{c} int" for c in counts) + ", surface string, notes string, bump string, incomplete boolean"
+    df = spark.createDataFrame([(i, *[c[k] for k in counts], c["surface"], c["notes"], c["bump"], c["incomplete"]) for i, c in enumerate(cases)], schema)
     found = {r.i: (r.verdict, r.reasons) for r in verdicts.decide(df).collect()}
     assert found[0] == ("quiet", ["notes-complete-no-match", "surface-clean"])
     assert found[1] == ("blocked", ["removed-touched"])
@@ -165,4 +165,5 @@ def test_verdicts(spark):
     assert found[3] == ("review", ["not-referenced"])
     assert found[4] == ("quiet", ["surface-clean", "caveat-no-notes"])
     assert found[5][1] == ["possibly-touched", "major-unproven"]
+    assert found[7] == ("review", ["surface-incomplete"])
     assert found[6][0] == "review"  # what can't be judged is never quiet
