@@ -71,7 +71,7 @@ def moved(lines: DataFrame, gone: Column, by: list[str]) -> DataFrame:
 
 
 def followups(starts: DataFrame, later: DataFrame, key: str, days: int = 14, most: int = 10) -> DataFrame:
-    """key, id, at, next_id, next_at, rank: the first `most` later events of a key within `days` of each start.
+    """key, id, at, next_id, next_at, rank: the first `most` later events of a key within `days` of each start, itself not among them.
 
     The interval is cut into slots of its own length; an event lies in its slot or the one before, so the join is by
     equality on (key, slot) and a key's history never meets itself whole.
@@ -80,6 +80,23 @@ def followups(starts: DataFrame, later: DataFrame, key: str, days: int = 14, mos
     slot = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / length)
     a = starts.select(key, "id", "at", F.explode(F.array(slot("at"), slot("at") + 1)).alias("slot"))
     b = later.select(key, F.col("id").alias("next_id"), F.col("at").alias("next_at"), slot("at").alias("slot"))
-    met = a.join(b, [key, "slot"]).filter((F.col("next_at") >= F.col("at")) & (F.col("next_at") < F.col("at") + F.expr(f"interval {days} days")))
+    met = a.join(b, [key, "slot"]).filter((F.col("next_id") != F.col("id")) & (F.col("next_at") >= F.col("at")) & (F.col("next_at") < F.col("at") + F.expr(f"interval {days} days")))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("next_at", "next_id"))
     return met.select(key, "id", "at", "next_id", "next_at", rank.alias("rank")).filter(F.col("rank") <= most)
+
+
+def adapting_followups(upgrades: DataFrame, commits: DataFrame, touched: DataFrame, days: int = 14, most: int = 10) -> DataFrame:
+    """id, pkg, next_id, rank: later commits within `days` of an upgrade, the first `most` of its repository, that adapt code to it.
+
+    upgrades: repo, id, at, pkg; commits: repo, id, at, subject; touched: id, pkg (packages that a commit's changed source files
+    import). One adapts code if it names the package, without its scope, as a word, or says that it reverts, and has such files. Slots
+    of time bring an upgrade and its commits together; words and files then meet by equality.
+    """
+    starts = upgrades.select("repo", "id", "at").distinct()
+    near = followups(starts, commits, "repo", days, most).select("repo", "id", "next_id", "rank")
+    met = near.join(upgrades.select("repo", "id", "pkg").distinct(), ["repo", "id"])
+    changed = met.join(touched.select(F.col("id").alias("next_id"), "pkg").distinct(), ["next_id", "pkg"], "left_semi")
+    said = changed.join(commits.select("repo", F.col("id").alias("next_id"), "subject"), ["repo", "next_id"])
+    short = F.regexp_replace(F.regexp_extract("pkg", r"([^/]+)\z", 1), r"([.*+?^${}()|\[\]\\])", r"\\$1")
+    names = F.rlike("subject", F.concat(F.lit(r"(?i)\b"), short, F.lit(r"\b|revert")))
+    return said.filter(names).select("id", "pkg", "next_id", "rank")

@@ -189,15 +189,48 @@ def subject_hits(records: DataFrame, reached: DataFrame) -> DataFrame:
     return each.join(above.distinct(), "path").select("entry", "name", "subject", "site")
 
 
-def removals_tied(breaking: DataFrame, removed: DataFrame) -> DataFrame:
+def removals_tied(breaking: DataFrame, removed: DataFrame, by: list[str] | None = None) -> DataFrame:
     """entry, name, subject: breaking notes that name no API tied to the used removals that they describe.
 
     breaking: entry, regions; removed: path, namespace boolean (went with a namespace), was_deprecated boolean, one row for
-    each used removal. A note that says "namespace" is about those alone, one that says "deprecated" about the deprecated.
+    each used removal (`removal_facts`). by: columns of both, such as a package. A note that says "namespace" is about those alone, one that says "deprecated" about the deprecated.
     """
     words = F.array_join(F.transform(F.filter("regions", lambda r: r["kind"] != "code-block"), lambda r: r["text"]), "\n")
     about = F.when(words.rlike(r"(?i)(?<![\w$])namespaces?(?![\w$])"), "namespace").when(words.rlike(r"(?i)(?<![\w$])deprecated(?![\w$])"), "deprecated")
-    said = breaking.select("entry", about.alias("about")).filter("about is not null")
-    kinds = removed.select("path", F.explode(F.array(F.when(F.col("namespace"), F.lit("namespace")), F.when(F.col("was_deprecated"), F.lit("deprecated")))).alias("about")).filter("about is not null")
-    met = said.join(kinds, "about").withColumn("name", paths.last_name(F.col("path")))
+    by = by or []
+    said = breaking.select(*by, "entry", about.alias("about")).filter("about is not null")
+    kinds = removed.select(*by, "path", F.explode(F.array(F.when(F.col("namespace"), F.lit("namespace")), F.when(F.col("was_deprecated"), F.lit("deprecated")))).alias("about")).filter("about is not null")
+    met = said.join(kinds, [*by, "about"]).withColumn("name", paths.last_name(F.col("path")))
     return met.groupBy("entry", "name").agg(F.min("path").alias("subject"))
+
+
+def removal_facts(removed: DataFrame, before: DataFrame, entries_before: DataFrame, entries_after: DataFrame) -> DataFrame:
+    """pkg, path, namespace, was_deprecated: what both surfaces say of used removals (pkg, path, also_at).
+
+    namespace: one of its paths was a namespace, or its entry handed on a namespace whole (export_equals, without a symbol of its own) and no longer
+    does. was_deprecated: one of its paths, or a path above one, was marked, itself or through at most five aliases.
+    before: pkg, path, kind, deprecated, alias_of; entries: pkg, prefix, export_equals.
+    """
+    each = removed.select("pkg", "path", F.explode(F.array_append("also_at", F.col("path"))).alias("at")).distinct()
+    was = before.filter("kind = 'namespace'").select("pkg", F.col("path").alias("at")).distinct().withColumn("space", F.lit(True))
+    roots = before.select("pkg", F.regexp_extract("path", r"^([^:]*):\z", 1).alias("prefix")).filter("prefix <> ''").distinct().withColumn("rooted", F.lit(True))
+    whole = entries_before.filter("export_equals").select("pkg", "prefix").distinct()
+    gone = whole.join(entries_after.filter("export_equals").select("pkg", "prefix"), ["pkg", "prefix"], "left_anti").join(roots, ["pkg", "prefix"], "left_anti").withColumn("left", F.lit(True))
+    marked = before.select("pkg", F.col("path").alias("up"), F.coalesce("deprecated", F.lit(False)).alias("old"), F.col("alias_of").alias("to"))
+    for _ in range(5):
+        known = before.select("pkg", F.col("path").alias("to"), F.coalesce("deprecated", F.lit(False)).alias("to_old"), F.col("alias_of").alias("beyond"))
+        met = marked.join(known, ["pkg", "to"], "left")
+        marked = met.select("pkg", "up", (F.col("old") | F.coalesce("to_old", F.lit(False))).alias("old"), F.when(~F.col("old"), F.col("beyond")).alias("to"))
+    above = each.select("pkg", "path", F.explode(F.array_append(paths.ancestors(F.col("at")), F.col("at"))).alias("up")).distinct()
+    old = above.join(marked.filter("old").select("pkg", "up"), ["pkg", "up"], "left_semi").select("pkg", "path").distinct().withColumn("was_deprecated", F.lit(True))
+    spaces = each.withColumn("prefix", F.regexp_extract("at", r"^([^:]*):", 1)).join(was, ["pkg", "at"], "left").join(gone, ["pkg", "prefix"], "left")
+    told = spaces.groupBy("pkg", "path").agg(F.bool_or(F.coalesce("space", F.lit(False)) | F.coalesce("left", F.lit(False))).alias("namespace"))
+    return told.join(old, ["pkg", "path"], "left").withColumn("was_deprecated", F.coalesce("was_deprecated", F.lit(False)))
+
+
+def with_tied(bucketed: DataFrame, ties: DataFrame) -> DataFrame:
+    """bucketed (entry, bucket, direct, ...) with the breaking notes that ties (entry, name, subject) explain moved to matched, never direct, and the tied names."""
+    names = ties.groupBy("entry").agg(F.array_sort(F.collect_set("name")).alias("tied"))
+    moved = F.col("tied").isNotNull() & (F.col("bucket") == "unattributed-breaking")
+    met = bucketed.join(names, "entry", "left")
+    return met.withColumns({"bucket": F.when(moved, "matched").otherwise(F.col("bucket")), "direct": F.when(moved, False).otherwise(F.col("direct")), "tied": F.when(moved, F.col("tied")).otherwise(F.array().cast("array<string>"))})

@@ -54,19 +54,28 @@ def tags(versions: DataFrame, tagged: DataFrame) -> DataFrame:
     return versions.select("pkg", "version").join(best, ["pkg", "version"], "left").select("pkg", "version", "best.tag", "best.scheme")
 
 
-def lookups(found: DataFrame, most: int = 12) -> DataFrame:
-    """pkg, version, place, tag: the tags to ask for, one by one, of versions without one in `found` (pkg, version, tag, scheme).
+def lookups(versions: DataFrame, tagged: DataFrame, answers: DataFrame, most: int = 12) -> DataFrame:
+    """pkg, version, asked array<string>, tag, failure, skipped: versions that a repository's first page of tags hasn't, asked for one tag after the other.
 
-    The scheme is that of the lowest version that has a tag; before one is known the first three spellings are
-    tried. At most `most` are asked a package, counted over its versions in order: a limit of the feature, told by the rows.
+    tagged: pkg, tag of the page; answers: pkg, tag, outcome (found, or an error; tags without an answer aren't there). The first version that the page has teaches the
+    package's scheme, which is all that is asked for then; before one is known the first three spellings are tried. A tag
+    that is found, or an error, ends a version; once `most` tags have been asked the versions that follow are skipped.
+    What was asked is summed over the versions in order, so the limit falls between versions.
     """
+    found = tags(versions, tagged)
     learned = found.filter("tag is not null").groupBy("pkg").agg(F.min_by("scheme", semver.version_order("version")).alias("learned"))
     open_ = found.filter("tag is null").select("pkg", "version").join(learned, "pkg", "left")
     spelled = spellings(F.col("pkg"), F.col("version"))
     tries = F.when(F.col("learned").isNotNull(), F.array(F.get(spelled, F.col("learned")))).otherwise(F.slice(spelled, 1, 3))
-    each = open_.select("pkg", "version", F.posexplode(tries).alias("at", "tag"))
-    place = F.row_number().over(Window.partitionBy("pkg").orderBy(semver.version_order("version"), "at"))
-    return each.withColumn("place", place).filter(F.col("place") <= most).select("pkg", "version", "place", "tag")
+    each = open_.select("pkg", "version", F.posexplode(tries).alias("at", "tag")).join(answers.groupBy("pkg", "tag").agg(F.min("outcome").alias("outcome")), ["pkg", "tag"], "left")
+    told = each.groupBy("pkg", "version").agg(F.array_sort(F.collect_list(F.struct("at", "tag", "outcome"))).alias("tries"))  # three at most
+    end = F.array_position(F.transform("tries", lambda t: t["outcome"].isNotNull()), True).cast("int")
+    told = told.withColumn("asked", F.when(end > 0, F.slice("tries", F.lit(1), end)).otherwise(F.col("tries")))
+    before = Window.partitionBy("pkg").orderBy(semver.version_order("version")).rowsBetween(Window.unboundedPreceding, -1)
+    told = told.withColumns({"skipped": F.coalesce(F.sum(F.size("asked")).over(before), F.lit(0)) >= most, "last": F.try_element_at("asked", F.lit(-1))})
+    live, ok = ~F.col("skipped"), F.col("last.outcome") == "found"
+    asked = F.when(live, F.transform("asked", lambda t: t["tag"])).otherwise(F.array().cast("array<string>"))
+    return told.select("pkg", "version", asked.alias("asked"), F.when(live & ok, F.col("last.tag")).alias("tag"), F.when(live & ~ok, F.col("last.outcome")).alias("failure"), "skipped")
 
 
 def headings(bodies: DataFrame, key: str, text: str, dashes: int = 2) -> DataFrame:

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import numbers, paths
 from . import graphs
 
-#: Ways in which a specifier may be spelled on disk, in the order in which they are tried.
-ENDINGS = ["", ".ts", ".tsx", ".d.ts", ".js", ".jsx", ".mjs", ".cjs", "/index.ts", "/index.tsx", "/index.js"]
+# Endings of source files, in the order in which they are tried.
+SOURCES = [".ts", ".tsx", ".mts", ".cts", ".d.ts", ".js", ".jsx", ".mjs", ".cjs", ".vue", ".svelte", ".astro"]
 HOPS = 12
 
 
@@ -27,14 +27,28 @@ def normalized(path: Column) -> Column:
     return F.when(~F.array_contains(held, "\u0000"), F.array_join(held, "/"))
 
 
-def resolved(imports: DataFrame, files: DataFrame, installed: DataFrame) -> DataFrame:
-    """imports with target (a file) or pkg, and unresolved: the first spelling on disk, else the package if installed."""
+def spelled(path: Column) -> Column:
+    """Ways in which a path may be spelled on disk, in the order in which they are tried: itself, with an ending, an emitted name as its source, a folder's index."""
+    emitted = r"\.(m|c)?jsx?\z"
+    stem, kind = F.regexp_replace(path, emitted, ""), F.regexp_extract(path, emitted, 1)
+    source = F.array(F.concat(stem, F.lit("."), kind, F.lit("ts")), F.concat(stem, F.lit("."), kind, F.lit("tsx")), F.concat(stem, F.lit(".ts")), F.concat(stem, F.lit(".tsx")))
+    none = F.array().cast("array<string>")
+    return F.concat(F.array(path, *[F.concat(path, F.lit(e)) for e in SOURCES]), F.when(path.rlike(emitted), source).otherwise(none), F.array(*[F.concat(path, F.lit(f"/index{e}")) for e in SOURCES]))
+
+
+def resolved(imports: DataFrame, files: DataFrame, installed: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """imports with target (a file) or pkg, and unresolved: the first spelling on disk, else what an alias leads to, else the package if installed.
+
+    aliases: file, specifier, target (settings.aliased).
+    """
     rows = imports.withColumn("row", F.monotonically_increasing_id())
     rows = graphs.written(rows, "imports")
     folder = F.regexp_replace("file", r"/?[^/]+\z", "")
-    local = rows.filter(F.col("specifier").rlike(r"^\.")).select("row", F.posexplode(F.array(*[F.concat(normalized(F.concat_ws("/", folder, "specifier")), F.lit(e)) for e in ENDINGS])).alias("pos", "path"))
+    local = rows.filter(F.col("specifier").rlike(r"^\.{1,2}(/|\z)")).select("row", F.posexplode(spelled(normalized(F.concat_ws("/", folder, "specifier")))).alias("pos", "path"))
     found = local.join(files.select("path"), "path").groupBy("row").agg(F.min_by("path", "pos").alias("target"))
-    met = rows.join(found, "row", "left").withColumn("named", paths.package_of(F.col("specifier")))
+    if aliases is not None:
+        found = found.unionByName(rows.join(aliases.select("file", "specifier", "target"), ["file", "specifier"]).select("row", "target"))
+    met = rows.join(found, "row", "left").withColumn("named", F.when(F.col("target").isNull(), paths.package_of(F.col("specifier"))))
     own = installed.select(F.col("pkg").alias("named"), F.col("pkg")).distinct()
     return met.join(own, "named", "left").withColumn("unresolved", F.col("target").isNull() & F.col("pkg").isNull()).drop("row", "named")
 

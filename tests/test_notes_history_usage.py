@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from shiftscope.operators import history, notes, scoring, usage
+from shiftscope.operators import lines, matching, history, notes, scoring, usage
 
 
 def frame(spark, schema, *rows):
@@ -32,7 +32,6 @@ def test_tags(spark):
     tagged = frame(spark, "pkg string, tag string", ("@s/a", "a@1.0.0"), ("@s/a", "v1.0.0"), ("@s/a", "@s/a-v2.0.0"), ("@s/a", "a-v2.0.0"), ("b", "b-1.0.0"))
     found = notes.tags(versions.unionByName(frame(spark, "pkg string, version string", ("@s/a", "3.0.0"))), tagged)
     assert rows_of(found, "pkg", "version", "tag", "scheme") == {("@s/a", "1.0.0", "v1.0.0", 0), ("@s/a", "2.0.0", "@s/a-v2.0.0", 4), ("@s/a", "3.0.0", None, None), ("b", "1.0.0", None, None)}
-    assert rows_of(notes.lookups(found), "pkg", "version", "tag", "place") == {("@s/a", "3.0.0", "v3.0.0", 1), ("b", "1.0.0", "v1.0.0", 1), ("b", "1.0.0", "1.0.0", 2), ("b", "1.0.0", "b@1.0.0", 3)}
 
 
 def test_headings_and_sections(spark):
@@ -111,3 +110,69 @@ def test_tools_and_facts(spark):
     edges = frame(spark, "pkg string, version string, src int, dst int", ("p", "1", 1, 2), ("p", "1", 2, 1), ("q", "1", 1, 3))
     seen, cut = usage.reach(frame(spark, "pkg string, version string, path string, unit int", ("p", "1", "f", 1)), edges)
     assert seen.count() == 2 and not cut
+
+
+def test_tags_asked_one_by_one(spark):
+    """Against a loop over the versions of each package, with random pages and answers."""
+    import random
+
+    rnd = random.Random(8)
+    spell = lambda v: [f"v{v}", v, f"q@{v}", f"q@{v}", f"q-v{v}", f"q-v{v}", f"release-{v}"]
+    versions, page, answers, want = [], [], [], set()
+    for k in range(25):
+        pkg = "q" if k == 0 else f"q{k}"
+        spell = lambda v, p=pkg: [f"v{v}", v, f"{p}@{v}", f"{p}@{v}", f"{p}-v{v}", f"{p}-v{v}", f"release-{v}"]
+        own = [f"1.{n}.0" for n in range(rnd.randint(1, 9))]
+        tags_ = {rnd.choice(spell(v)) for v in own if rnd.random() < 0.25}
+        said = {t: rnd.choice(["found", "rate-limited"]) for v in own for t in spell(v) if rnd.random() < 0.2}
+        versions += [(pkg, v) for v in own]
+        page += [(pkg, t) for t in tags_]
+        answers += [(pkg, t, o) for t, o in said.items()]
+        scheme = next((next(i for i, t in enumerate(spell(v)) if t in tags_) for v in own if tags_ & set(spell(v))), None)
+        count = 0
+        for v in own:
+            if tags_ & set(spell(v)):
+                continue
+            if count >= 12:
+                want.add((pkg, v, (), None, None, True))
+                continue
+            asked, tag, failure = [], None, None
+            for t in spell(v)[:3] if scheme is None else [spell(v)[scheme]]:
+                asked.append(t)
+                if t in said:
+                    tag, failure = (t, None) if said[t] == "found" else (None, said[t])
+                    break
+            count += len(asked)
+            want.add((pkg, v, tuple(asked), tag, failure, False))
+    found = notes.lookups(frame(spark, "pkg string, version string", *versions), frame(spark, "pkg string, tag string", *page), frame(spark, "pkg string, tag string, outcome string", *answers))
+    assert rows_of(found, "pkg", "version", "asked", "tag", "failure", "skipped") == want
+    assert any(r[5] for r in want) and any(r[3] for r in want) and any(r[4] for r in want)
+
+
+def test_spellings_on_disk(spark):
+    found = frame(spark, "p string", ("a/b.mjs",)).select(usage.spelled(F.col("p"))).first()[0]
+    assert found[:3] == ["a/b.mjs", "a/b.mjs.ts", "a/b.mjs.tsx"] and found.index("a/b.mts") < found.index("a/b.ts") < found.index("a/b.mjs/index.ts")
+
+
+def test_removals_described(spark):
+    kind = "pkg string, path string, kind string, deprecated boolean, alias_of string"
+    before = frame(spark, kind, ("p", "p:ns", "namespace", False, None), ("p", "p:ns.a", "function", False, None), ("p", "p:Old", "class", True, None), ("p", "p:Old#x", "method", False, None), ("p", "p:Mine", "class", False, "p:Mid"), ("p", "p:Mid", "class", False, "p:Old"), ("p", "p:Mine#y", "method", False, None), ("p", "p:plain", "function", False, None), ("p", "p/eq:z", "function", False, None), ("p", "p/fn:", "function", False, None), ("p", "p/fn:w", "function", False, None))
+    gone = frame(spark, "pkg string, path string, also_at array<string>", *[("p", x, []) for x in ("p:ns", "p:ns.a", "p:Old#x", "p:Mine#y", "p/eq:z", "p/fn:w")], ("p", "p:plain", ["p:Old.plain"]))
+    entries = lambda *rows: frame(spark, "pkg string, prefix string, export_equals boolean", *rows)
+    found = matching.removal_facts(gone, before, entries(("p", "p", False), ("p", "p/eq", True), ("p", "p/fn", True)), entries(("p", "p", False), ("p", "p/eq", False)))
+    assert rows_of(found, "path", "namespace", "was_deprecated") == {("p:ns", True, False), ("p:ns.a", False, False), ("p:Old#x", False, True), ("p:Mine#y", False, True), ("p/eq:z", True, False), ("p/fn:w", False, False), ("p:plain", False, True)}
+    told = frame(spark, "pkg string, entry string, bucket string, direct boolean, regions array<struct<kind:string,text:string>>", ("p", "n", "unattributed-breaking", False, [("title", "The old namespace is gone")]), ("p", "o", "unattributed-breaking", False, [("title", "Engines")]), ("q", "d", "unattributed-breaking", False, [("title", "Deprecated things left")]))
+    ties = matching.removals_tied(told, found, by=["pkg"])
+    assert rows_of(matching.with_tied(told, ties), "entry", "bucket", "tied") == {("n", "matched", ("ns", "z")), ("o", "unattributed-breaking", ()), ("d", "unattributed-breaking", ())}
+
+
+def test_commits_that_adapt(spark):
+    import datetime
+
+    at = lambda day: datetime.datetime(2025, 1, 1) + datetime.timedelta(days=day)
+    commits = [("r", f"c{d:02}", at(d), s) for d, s in [(0, "bump ring"), (1, "Adapt to RING 2"), (2, "Revert everything"), (3, "ringing"), (4, "use ring more"), (14, "ring much later"), *[(5, f"other {k}") for k in range(0)]]]
+    commits += [("r", f"d{k}", at(4.5), "noise") for k in range(7)] + [("s", "e", at(1), "ring in another repository"), ("r", "z", at(6), "ring beyond ten")]
+    upgrades = frame(spark, "repo string, id string, at timestamp, pkg string", ("r", "c00", at(0), "@scope/ring"), ("r", "c00", at(0), "pool"))
+    touched = frame(spark, "id string, pkg string", *[(c[1], "@scope/ring") for c in commits if c[1] != "c04"], ("c02", "pool"))
+    found = lines.adapting_followups(upgrades, frame(spark, "repo string, id string, at timestamp, subject string", *commits), touched)
+    assert rows_of(found, "id", "pkg", "next_id", "rank") == {("c00", "@scope/ring", "c01", 1), ("c00", "@scope/ring", "c02", 2), ("c00", "pool", "c02", 2)}
