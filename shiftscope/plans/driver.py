@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers, paths, semver
 from ..functions import text as T
 from ..operators import assembly, briefs, chains, entries, graphs, history, lines, matching, notes, scoring, surfaces, usage, values, verdicts, versions
-from ..sources import installed, manifests
+from ..sources import installed, manifests, settings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -619,6 +619,74 @@ def upgrade_briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def branch_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as pull requests: users' turns as a bot's commits, texts of a length as merges; where the fix on top begins and ends."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), F.col("turn").alias("pos"), (F.col("role") == "user").alias("bot"), F.when(F.length("text") % 7 == 0, 2).otherwise(1).alias("parents"))
+    return history.branch(turns).select("id", "reason", "upgraded", "fix_from", "fix_to", "fixes")
+
+
+def tag_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Releases that a first page of tags (those of two months) hasn't, asked for one by one, until five tags of a package have been."""
+    released = _released(spark, sf_dir).withColumn("pkg", F.concat(F.lit("c"), F.col("pkg").cast("string")))
+    month, by_v = F.month("published_at"), F.concat(F.lit("v"), F.col("version"))
+    page = released.filter(month <= 2).select("pkg", by_v.alias("tag"))
+    tag = F.when((month % 3 == 0) | (month == 10), by_v).when(month == 5, F.concat_ws("@", "pkg", "version"))
+    answers = released.select("pkg", tag.alias("tag"), F.when(month == 10, "rate-limited").otherwise("found").alias("outcome")).filter("tag is not null")
+    found = notes.lookups(released.select("pkg", "version"), page, answers, 5)
+    return found.select("pkg", "version", F.array_join("asked", ",").alias("asked"), "tag", "failure", "skipped")
+
+
+def path_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as folders whose settings inherit a region's or have their own; what each customer's import of itself leads to."""
+    nation = table(spark, sf_dir, "nation")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    inherits = text('{"extends": "../r', F.col("n_regionkey"), '/tsconfig"} // inherited')
+    own = nation.select(text("n", F.col("n_nationkey"), "/tsconfig.json").alias("path"), F.when(F.col("n_nationkey") % 2 == 0, inherits).otherwise(F.lit('{"compilerOptions": {"paths": {"@/*": ["own/*"],},},}')).alias("content"))
+    shared = table(spark, sf_dir, "region").select(text("r", F.col("r_regionkey"), "/tsconfig.json").alias("path"), F.lit('{"compilerOptions": {"baseUrl": ".", "paths": {"@/*": ["lib/*", "gen/*"]}}}').alias("content"))
+    documents = graphs.written(own.unionByName(shared), "documents")
+    rows = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_nationkey", "n_regionkey")
+    k = F.col("c_custkey")
+    folder = text("n", F.col("n_nationkey"), "/")
+    places = F.array(text(folder, "c", k, ".ts"), F.when(k % 3 == 0, text("r", F.col("n_regionkey"), "/lib/c", k, ".js")), F.when(k % 3 <= 1, text("r", F.col("n_regionkey"), "/gen/c", k, "/index.ts")), F.when(k % 5 == 0, text(folder, "own/c", k, ".tsx")))
+    files = graphs.written(rows.select(F.explode(F.array_compact(places)).alias("path")), "files")
+    nearest = settings.nearest_settings(files, documents, settings.path_settings(documents))
+    return settings.aliased(rows.select(text(folder, "c", k, ".ts").alias("file"), text("@/c", k).alias("specifier")), nearest, files, table(spark, sf_dir, "part").select(F.col("p_name").alias("pkg")).filter("false"))
+
+
+def settings_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as style sheets and customers as settings files: which parts' packages they name, and where."""
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    names = table(spark, sf_dir, "part").select(text("p", F.col("p_partkey")).alias("name"), text("p", F.col("p_partkey")).alias("pkg"))
+    s, c = F.col("s_suppkey"), F.col("c_custkey")
+    sheets = table(spark, sf_dir, "supplier").select(text("s", s, ".css").alias("path"), text('@import "p', s % 97, '/a.css";\n\n@use\n "~p', s % 89, '"; @import "./b.css";\n@config "q";').alias("content"))
+    rcs = table(spark, sf_dir, "customer").select(text("c", c, "/.toolrc").alias("path"), text('{"x": 1,\n "plugins": ["p', c % 83, '/plugin", {"deep":\n "p', c % 79, '"}]}').alias("content"))
+    documents = graphs.written(sheets.unionByName(rcs), "documents")
+    found = settings.style_imports(documents, names).unionByName(settings.config_references(installed.all_strings(documents.filter("path like '%rc'")), documents, names))
+    return found.select("pkg", "kind", "path", "line")
+
+
+def tied_removals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as members of nations, which are namespaces or deprecated classes, some under another name: what is said of those that went."""
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    n, none = F.col("n_nationkey"), F.lit(None).cast("string")
+    nations = table(spark, sf_dir, "nation").select(text("lib:n", n).alias("path"), F.when(n % 2 == 0, "namespace").otherwise("class").alias("kind"), (n % 3 == 0).alias("deprecated"), F.when(n % 5 == 1, text("lib:n", (n + 2) % 25)).alias("alias_of"))
+    members = table(spark, sf_dir, "customer").select(text("lib:n", F.col("c_nationkey"), ".c", F.col("c_custkey")).alias("path"), F.lit("function").alias("kind"), F.lit(False).alias("deprecated"), none.alias("alias_of"))
+    before = graphs.written(nations.unionByName(members).withColumn("pkg", F.lit("lib")), "symbols")
+    entry = spark.range(1).select(F.lit("lib").alias("pkg"), F.lit("lib").alias("prefix"), F.lit(False).alias("export_equals"))
+    found = matching.removal_facts(before.select("pkg", "path", F.array().cast("array<string>").alias("also_at")), before, entry, entry)
+    return found.select("path", "namespace", "was_deprecated")
+
+
+def adapting_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as repositories and events as commits: those that follow a sign-up within a fortnight, name what it upgraded and touch it."""
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("repo"), F.col("event_id").alias("id"), F.col("ts").alias("at"), "event_type")
+    upgrades = events.filter("event_type = 'signup'").select("repo", "id", "at", F.lit("@shop/purchase").alias("pkg"))
+    subject = F.when(F.col("id") % 5 == 0, "Revert it").otherwise(F.concat_ws(" ", F.lit("on"), "event_type"))
+    touched = events.filter("id % 3 > 0").select("id", F.lit("@shop/purchase").alias("pkg"))
+    found = lines.adapting_followups(upgrades, events.select("repo", "id", "at", subject.alias("subject")), touched)
+    return found.select("id", "next_id", F.col("rank").cast("long").alias("rank"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -627,6 +695,6 @@ QUERIES: dict[str, Query] = {
         closure_reach, waterfall, verdict_reasons, findings_order, split_80_20, score_totals, medians, manifest_rows, counted_examples, uniq_sites, content_ids,
         first_sentences, release_groups, release_tags, notes_coverage, version_bumps, changed_exports, worst_verdicts, title_scopes, prefix_reach, json_strings,
         highest_versions, name_sets, sites_by_name, brief_groups, coverage_labels, typed_usage, fix_evidence, reformatted_lines, registry_choice, stale_locks, removed_names,
-        type_walk, derived_values, touched_uses, upgrade_briefs,
+        type_walk, derived_values, touched_uses, upgrade_briefs, branch_split, tag_lookups, path_aliases, settings_uses, tied_removals, adapting_commits,
     )
 }

@@ -514,4 +514,38 @@ SELECT 'f' || f AS file, name, pkg, place.hops::BIGINT AS hops, cut, CASE WHEN b
 )
 SELECT 'f' || f AS file, line, col, pkg, path, bucket, 'strong' AS strength, way FROM strong UNION ALL SELECT 'f' || f, line, col, pkg, path, bucket, 'weak', way FROM weak
 """,
+    "branch_split": """
+        WITH c AS (SELECT conv_id AS id, turn AS pos, role = 'user' AS bot, coalesce(length(text) % 7 = 0, false) AS merge FROM conversations),
+        f AS (SELECT id, min(pos) FILTER (NOT bot AND NOT merge) AS first, arg_min(bot, pos) AS begun FROM c GROUP BY id),
+        t AS (SELECT id, begun, first, max(pos) FILTER (pos < first) AS upgraded, coalesce(bool_or(merge AND pos < first), false) AS merged, min(pos) FILTER (merge AND pos > first) AS stop FROM c JOIN f USING (id) GROUP BY ALL),
+        e AS (SELECT id, max(pos) AS fix_to, count(*) AS fixes FROM c JOIN t USING (id) WHERE NOT bot AND NOT merge AND (stop IS NULL OR pos < stop) GROUP BY id),
+        r AS (SELECT *, CASE WHEN first IS NULL THEN 'no human commit' WHEN upgraded IS NULL OR NOT begun THEN 'first commit is not by a bot' WHEN merged THEN 'merge commit before the fix' END AS reason FROM t LEFT JOIN e USING (id))
+        SELECT id, reason, CASE WHEN reason IS NULL THEN upgraded END AS upgraded, CASE WHEN reason IS NULL THEN first END AS fix_from, CASE WHEN reason IS NULL THEN fix_to END AS fix_to, CASE WHEN reason IS NULL THEN fixes END AS fixes FROM r""",
+    "tag_lookups": f"""
+        WITH {_RELEASED}, r AS (SELECT 'c' || pkg AS pkg, k, array_to_string(k, '.') AS version, k[2] AS m FROM released),
+        o AS (SELECT *, pkg IN (SELECT pkg FROM r WHERE m <= 2) AS learned FROM r WHERE m > 2),
+        a AS (SELECT *, CASE WHEN learned OR m % 3 = 0 OR m = 10 THEN ['v' || version] ELSE ['v' || version, version, pkg || '@' || version] END AS asked FROM o),
+        b AS (SELECT *, coalesce(sum(len(asked)) OVER (PARTITION BY pkg ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= 5 AS skipped FROM a)
+        SELECT pkg, version, CASE WHEN skipped THEN '' ELSE array_to_string(asked, ',') END AS asked, CASE WHEN skipped OR m = 10 THEN NULL WHEN m % 3 = 0 THEN 'v' || version WHEN m = 5 AND NOT learned THEN pkg || '@' || version END AS tag,
+               CASE WHEN m = 10 AND NOT skipped THEN 'rate-limited' END AS failure, skipped FROM b""",
+    "path_aliases": """
+        SELECT 'n' || n_nationkey || '/c' || c_custkey || '.ts' AS file, '@/c' || c_custkey AS specifier,
+               CASE WHEN n_nationkey % 2 = 1 THEN 'n' || n_nationkey || '/own/c' || c_custkey || '.tsx' WHEN c_custkey % 3 = 0 THEN 'r' || n_regionkey || '/lib/c' || c_custkey || '.js' ELSE 'r' || n_regionkey || '/gen/c' || c_custkey || '/index.ts' END AS target
+        FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE CASE WHEN n_nationkey % 2 = 1 THEN c_custkey % 5 = 0 ELSE c_custkey % 3 <= 1 END""",
+    "settings_uses": """
+        WITH used AS (
+          SELECT 'p' || s_suppkey % 97 AS pkg, 'css-import' AS kind, 's' || s_suppkey || '.css' AS path, 1 AS line FROM supplier UNION SELECT 'p' || s_suppkey % 89, 'css-import', 's' || s_suppkey || '.css', 3 FROM supplier
+          UNION ALL SELECT pkg, kind, path, min(line) FROM (SELECT 'p' || c_custkey % 83 AS pkg, 'config-reference' AS kind, 'c' || c_custkey || '/.toolrc' AS path, 2 AS line FROM customer UNION ALL SELECT 'p' || c_custkey % 79, 'config-reference', 'c' || c_custkey || '/.toolrc', 3 FROM customer) GROUP BY ALL
+        ) SELECT pkg, kind, path, line::INT AS line FROM used WHERE pkg IN (SELECT 'p' || p_partkey FROM part)""",
+    "tied_removals": """
+        WITH RECURSIVE marked AS (
+          SELECT n_nationkey AS n, n_nationkey AS at_n, 0 AS hop FROM nation UNION ALL SELECT n, (at_n + 2) % 25, hop + 1 FROM marked WHERE at_n % 5 = 1 AND at_n % 3 <> 0 AND hop < 5
+        ), old AS (SELECT DISTINCT n FROM marked WHERE at_n % 3 = 0)
+        SELECT 'lib:n' || n_nationkey AS path, n_nationkey % 2 = 0 AS namespace, n_nationkey IN (SELECT n FROM old) AS was_deprecated FROM nation
+        UNION ALL SELECT 'lib:n' || c_nationkey || '.c' || c_custkey, false, c_nationkey IN (SELECT n FROM old) FROM customer""",
+    "adapting_commits": """
+        WITH near AS (
+          SELECT a.event_id AS id, b.event_id AS next_id, b.event_type, row_number() OVER (PARTITION BY a.event_id ORDER BY b.ts, b.event_id) AS rank
+          FROM events a JOIN events b ON a.user_id = b.user_id AND b.event_id <> a.event_id AND b.ts >= a.ts AND b.ts < a.ts + INTERVAL 14 DAY WHERE a.event_type = 'signup'
+        ) SELECT id, next_id, rank FROM near WHERE rank <= 10 AND next_id % 3 > 0 AND (next_id % 5 = 0 OR event_type = 'purchase')""",
 }
