@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-CLASSES, CONTEXTS, ROUNDS = 64, 255, 3
+CLASSES, CONTEXTS, ROUNDS = 64, 4095, 3
 #: Text bytes whose words share a dictionary, whose contexts are counted together, and of the pieces that move.
 BLOCK, COUNTED, PIECE = 24 << 20, 10 << 20, 2 << 20
 #: Weight of the classes' own shares in a transition.
