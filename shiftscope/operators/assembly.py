@@ -113,9 +113,11 @@ def surface(project: Project, cand: DataFrame, used: DataFrame) -> tuple[DataFra
     state = has.join(used.select("pkg", "refs"), "pkg").join(doubt, "pkg", "left").join(counts, "pkg", "left").join(unread, "pkg", "left")
     state = state.withColumns({"missing": F.col("known").isNull(), "has_types": F.coalesce(F.col("a") & F.col("b"), F.lit(False))})
     whole = briefs.surface_state(state).select("pkg", "surface", "incomplete", F.coalesce("changes", F.lit(0)).alias("changes"), F.coalesce("added", F.lit(0)).alias("added"), F.coalesce("unproven", F.lit(0)).alias("unproven"), "causes", F.when(F.col("surface") == "computed", F.coalesce("unread", F.lit(0))).otherwise(0).alias("unread"))
+    whole = graphs.written(whole, "surface")
+    graphs.dropped(told, walked, reach)
     # nothing is touched in what wasn't compared
     computed = whole.filter("surface = 'computed'").select("pkg")
-    return graphs.written(whole, "surface"), touched.join(computed, "pkg", "left_semi")
+    return whole, touched.join(computed, "pkg", "left_semi")
 
 
 def read_notes(project: Project, cand: DataFrame, used: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -141,7 +143,9 @@ def read_notes(project: Project, cand: DataFrame, used: DataFrame) -> tuple[Data
     shown = hit.groupBy("entry").agg(F.array_sort(F.collect_list(F.struct("name", "strength", "region"))).alias("names"))
     none = F.array().cast("array<struct<name:string,strength:string,region:string>>")
     whole = bucketed.join(shown, "entry", "left").withColumn("names", F.coalesce("names", none))
-    return graphs.written(covered, "coverage"), read, graphs.written(whole.select("pkg", "version", "ord", "title", "refs", "breaking", "direct", "bucket", "names"), "bucketed-notes")
+    out = graphs.written(covered, "coverage"), read, graphs.written(whole.select("pkg", "version", "ord", "title", "refs", "breaking", "direct", "bucket", "names"), "bucketed-notes")
+    graphs.dropped(wanted, split, names, ruled, regions, found)
+    return out
 
 
 def stages(project: Project, now: Column, least_age_days: int) -> Stages:

@@ -79,6 +79,9 @@ def expected_lines(changed: DataFrame, imports: DataFrame) -> DataFrame:
     return changed.filter((F.col("side") == "old") & T.is_meaningful(F.col("text"))).join(uses, ["id", "file"]).select("id", "file", "line", "packages")
 
 
+#: Share of expected lines that only moved layout from which a fix is a formatter's.
+REFORMAT_SHARE = 0.5
+
 # Why the commits of a pull request don't split into an upgrade and its fix.
 NO_SPLIT = ["no human commit", "first commit is not by a bot", "merge commit before the fix"]
 
@@ -142,6 +145,24 @@ def accepted(mined: DataFrame, ladder: list[tuple[str, Column]]) -> DataFrame:
     return mined.withColumn("reason", out)
 
 
+# Why a pull request of a bot makes no case, behind those of NO_SPLIT, in the order in which they are asked.
+NO_CASE = ["git fetch failed", "could not read the lockfiles", "no dependency upgraded", "several releases upgraded", "fix changes no source file", "fix only adds lines", "no changed file imports an upgraded package", "fix too large", "fix is mostly a reformat"]
+
+
+def mined(candidates: DataFrame, most_groups: int, most_lines: int) -> DataFrame:
+    """candidates with reason: null for a case, else the first of the twelve that holds.
+
+    Columns: split (a reason of `branch`, or null), fetched and locks_read (null: no), packages and groups (how many were upgraded, of how
+    many releases: `release_groups`), source_files (that the fix changes), removed (lines that it takes out), expected (those of files
+    that import an upgraded package: `expected_lines`), layout_share (of the expected ones, `labels`). A count that isn't known is none.
+    """
+    n = lambda c: F.coalesce(c, F.lit(0))
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    rungs = [no("fetched"), no("locks_read"), n("packages") == 0, (n("packages") > 1) & (n("groups") > most_groups), n("source_files") == 0, n("removed") == 0, n("expected") == 0, n("expected") > most_lines, F.coalesce("layout_share", F.lit(0.0)) >= REFORMAT_SHARE]
+    told = accepted(candidates, list(zip(NO_CASE, rungs, strict=True)))
+    return told.withColumn("reason", F.coalesce("split", "reason"))
+
+
 def evidence(expected: DataFrame, added: DataFrame, facts: DataFrame) -> DataFrame:
     """id, package, on_site, options, types, imports (`file:line` of expected lines), names: what ties a fix to a package; only packages with some.
 
@@ -171,9 +192,6 @@ def evidence(expected: DataFrame, added: DataFrame, facts: DataFrame) -> DataFra
     return both.filter(F.size(F.concat("on_site", "options", "types", "imports", "names")) > 0)
 
 
-#: Share of expected lines that only moved layout from which a fix is a formatter's.
-REFORMAT_SHARE = 0.5
-
 
 def checked(cases: DataFrame, found: DataFrame) -> DataFrame:
     """id, check: reformat, weak or supported. cases: id, layout_share; found: rows of evidence()."""

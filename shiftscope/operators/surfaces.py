@@ -116,29 +116,40 @@ def diff(before: DataFrame, after: DataFrame, entries: DataFrame | None = None,
     unproven. lenient: signatures alike but for `any` are the same. from_param: the first parameter in which a changed
     one differs, where nothing before it does.
     """
-    before, after = graphs.written(before, "symbols"), graphs.written(after, "symbols")
-    latest = dereferenced(after)
-    a = dereferenced(before).select("pkg", "path", F.col("kind").alias("a_kind"), F.col("sig").alias("before"), F.coalesce("deprecated", F.lit(False)).alias("a_old"), F.col("alias_of").isNotNull().alias("aliased"))
-    b = latest.select("pkg", F.col("path").alias("found"), F.col("kind").alias("b_kind"), F.col("sig").alias("after"), F.coalesce("deprecated", F.lit(False)).alias("b_old"))
-    place = moved(before, after)
-    met = a.join(place, ["pkg", "path"], "left").join(b, ["pkg", "found"], "left")
+    named = before.filter("alias_of is not null").isEmpty() and after.filter("alias_of is not null").isEmpty()
+    doubts = entries is not None or flags is not None or "unresolved_base" in after.columns
+    own = lambda df: df.select("pkg", "path", F.col("kind").alias("a_kind"), F.col("sig").alias("before"), F.coalesce("deprecated", F.lit(False)).alias("a_old"), F.col("alias_of").isNotNull().alias("aliased"))
+    new = lambda df, path: df.select("pkg", F.col("path").alias(path), F.col("kind").alias("b_kind"), F.col("sig").alias("after"), F.coalesce("deprecated", F.lit(False)).alias("b_old"))
+    if named:
+        # no name stands for another: both sides meet once
+        met = own(before).join(new(after, "path"), ["pkg", "path"], "full")
+    else:
+        before, after = graphs.written(before, "symbols"), graphs.written(after, "symbols")
+        latest = dereferenced(after)
+        place = moved(before, after)
+        gained = new(latest, "path").join(before.select("pkg", "path"), ["pkg", "path"], "left_anti")
+        met = own(dereferenced(before)).join(place, ["pkg", "path"], "left").join(new(latest, "found"), ["pkg", "found"], "left").drop("found")
+        met = met.unionByName(gained, allowMissingColumns=True)
     gains = (F.size("before") == 0) & F.col("a_kind").isin("namespace", "interface")
     same = same_multiset(F.col("before"), F.col("after"))
     if lenient:
         same = same | signatures.same_modulo_any(F.col("before"), F.col("after"))
     bucket = (
-        F.when(F.col("b_kind").isNull(), "removed")
+        F.when(F.col("a_kind").isNull(), "added")
+        .when(F.col("b_kind").isNull(), "removed")
         .when((F.col("a_kind") == "namespace") & (F.col("b_kind") == "namespace"), None)
         .when(~same, F.when(gains | signatures.is_widening(F.col("before"), F.col("after")), "widened").otherwise("changed"))
         .when(~F.col("a_old") & F.col("b_old") & ~F.col("aliased"), "deprecated")
     )
     told = met.select("pkg", "path", F.coalesce("b_kind", "a_kind").alias("kind"), bucket.alias("bucket"), "before", "after").filter("bucket is not null")
-    told = graphs.written(told, "changes")
-    causes = unproven_cause(told.filter("bucket = 'removed'"), after, entries, flags)
-    told = told.join(causes, ["pkg", "path"], "left").withColumn("bucket", F.when((F.col("bucket") == "removed") & F.col("cause").isNotNull(), "unproven").otherwise(F.col("bucket")))
-    added = latest.join(before.select("pkg", "path"), ["pkg", "path"], "left_anti").select("pkg", "path", "kind", F.lit("added").alias("bucket"), F.lit(None).cast("array<string>").alias("before"), F.col("sig").alias("after"), F.lit(None).cast("string").alias("cause"))
-    both = told.select(added.columns).unionByName(added)
-    return both.withColumn("from_param", F.when(F.col("bucket") == "changed", signatures.first_changed_parameter(F.col("before"), F.col("after"))))
+    cause = F.lit(None).cast("string").alias("cause")
+    if doubts:
+        told = graphs.written(told, "changes")
+        causes = unproven_cause(told.filter("bucket = 'removed'"), after, entries, flags)
+        told = told.join(causes, ["pkg", "path"], "left").withColumn("bucket", F.when((F.col("bucket") == "removed") & F.col("cause").isNotNull(), "unproven").otherwise(F.col("bucket")))
+        cause = F.col("cause")
+    param = F.when(F.col("bucket") == "changed", signatures.first_changed_parameter(F.col("before"), F.col("after")))
+    return told.select("pkg", "path", "kind", "bucket", "before", "after", cause, param.alias("from_param"))
 
 
 def without_children(changes: DataFrame) -> DataFrame:

@@ -186,3 +186,27 @@ def hints(unplaced: DataFrame, changed: DataFrame, share: DataFrame, gate: float
     met = a.join(b, ["pkg", "name"]).select("pkg", "entry", "path").distinct()
     few = met.groupBy("pkg", "entry").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= most)
     return met.join(few, ["pkg", "entry"], "left_semi")
+
+
+#: Share of changed exports beyond which a hint says nothing.
+HINT_SHARE = 0.25
+
+
+def hint_state(packages: DataFrame, gate: float = HINT_SHARE) -> DataFrame:
+    """packages with hint_state (computed, skipped, failed or too-many-changed) and hint_reason: whether unplaced notes are held against changed code, and why not.
+
+    Columns: refs, bump, code_names (how many code names the unplaced notes have), failed (the code of a version could not be
+    read), capped (it was cut), usable (exports that the project could use), share (`changed_share`, null if unknown). The first
+    gate that closes is the reason; a package's code isn't asked for before those that cost nothing are open.
+    """
+    reason = (
+        F.when(F.coalesce("refs", F.lit(0)) == 0, "no-usage")
+        .when(F.col("bump") == "major", "major")
+        .when(F.coalesce("code_names", F.lit(0)) == 0, "no-code-names")
+        .when(F.coalesce("failed", F.lit(False)), "unread")
+        .when(F.coalesce("capped", F.lit(False)), "capped")
+        .when(F.coalesce("usable", F.lit(0)) == 0, "no-usable-export")
+        .when(F.coalesce("share", F.lit(1.0)) > gate, "too-many-changed")
+    )
+    state = F.when(F.col("hint_reason").isNull(), "computed").when(F.col("hint_reason") == "unread", "failed").when(F.col("hint_reason") == "too-many-changed", "too-many-changed").otherwise("skipped")
+    return packages.withColumn("hint_reason", reason).withColumn("hint_state", state)

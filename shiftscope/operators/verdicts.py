@@ -62,6 +62,17 @@ def worst(verdict_column: str) -> Column:
     return F.max_by(F.col(verdict_column), rank[F.col(verdict_column)])
 
 
+#: Verdicts from which a check fails, by its level.
+FAILING = {"never": [], "blocked": ["blocked"], "review": ["review", "blocked"]}
+
+
+def fails(verdict_column: Column, level: str = "blocked") -> Column:
+    """Whether a check at a level fails on a verdict, of a package or the worst of many; no verdict, as where nothing has an update, never fails."""
+    if level not in FAILING:
+        raise ValueError(f"a level is one of {', '.join(FAILING)}, not {level!r}")
+    return F.coalesce(verdict_column.isin(FAILING[level]), F.lit(False)) if FAILING[level] else F.lit(False)
+
+
 def first_reason(rows: DataFrame, key: str, reason: str, place: str) -> DataFrame:
     return rows.groupBy(key).agg(F.min_by(reason, place).alias(reason))
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numbers
+from ..operators import briefs
 
 #: The record format that is read; others are ignored.
 SCHEMA = 1
@@ -78,6 +79,38 @@ def brief_markdown(packages: DataFrame) -> DataFrame:
     return head.unionByName(packages.select(order.alias("rank"), "pkg", line.alias("line"))).orderBy("rank", "pkg").select("line")
 
 
+def brief_sections(documents: DataFrame) -> DataFrame:
+    """pkg, place, line: a section a package, as Markdown: its head, what is touched, notes by name, notes without one, and its reasons.
+
+    documents: pkg, document (assembly.documents). Sites of a change, and unplaced notes, are shown up to briefs.SHOWN; a line counts the rest.
+    """
+    most, d = briefs.SHOWN, F.col("document")
+    none = F.array().cast("array<string>")
+    code = lambda x: F.concat(F.lit("`"), x, F.lit("`"))
+    sites = lambda xs, n: F.transform(F.slice(F.coalesce(xs, F.array().cast(SITES)), F.lit(1), n), lambda s: F.concat(F.lit("  - "), code(F.concat(s["file"], F.lit(":"), s["line"].cast("string")))))
+    head = F.array(F.concat(F.lit("#### "), code(d["name"]), F.lit(" "), d["from"], F.lit(" to "), d["to"]), F.lit(""), F.concat(d["verdict"], F.lit(", notes "), d["notes"]["coverage"], F.lit(", used in "), d["usage"]["files"].cast("string"), F.lit(" files")), F.lit(""))
+    touched = F.flatten(F.transform(d["types"]["touched"], lambda t: F.concat(F.array(F.concat(F.lit("- **"), t["change"], F.lit("** "), code(t["path"]), F.when(t["certainty"] == "by-name", " (by name)").otherwise(""))), sites(t["sites"], F.lit(most["sites"])))))
+    named = F.flatten(
+        F.transform(
+            d["notes"]["matched"],
+            lambda m: F.concat(
+                F.array(F.concat(F.lit("- "), m["version"], F.lit(": "), m["title"], F.when(m["direct"], "").otherwise(" (perhaps)"), F.lit("; names "), F.array_join(F.transform(m["names"], lambda n: code(n["name"])), ", "))),
+                sites(F.try_element_at(d["usage"]["sitesByName"], F.get(m["names"], F.lit(0))["name"]), F.when(m["direct"], most["examples"]).otherwise(1)),
+            ),
+        )
+    )
+    loose = lambda xs, said: F.transform(xs, lambda e: F.concat(F.lit("- "), e["version"], F.lit(": "), e["title"], F.lit(f" ({said})")))
+    changes = d["notes"]["changesWithoutApi"]
+    over = F.size(changes) - most["unplaced"]
+    rest = F.when(over > 0, F.array(F.concat(F.lit("- and "), over.cast("string"), F.lit(" more that no name ties to the code")))).otherwise(none)
+    why = F.array(F.lit(""), F.concat(F.lit("<sub>"), F.array_join(F.transform(d["reasons"], lambda r: F.concat_ws(": ", r["code"], F.nullif(r["detail"], F.lit("")))), ", "), F.lit("</sub>")), F.lit(""))
+    lines_ = F.concat(head, touched, named, loose(d["notes"]["breakingWithoutApi"], "breaking, names no API"), loose(F.slice(changes, 1, most["unplaced"]), "no name ties it to the code"), rest, why)
+    return documents.select("pkg", F.posexplode(lines_).alias("place", "line"))
+
+
+SITES = "array<struct<file:string,line:bigint,column:bigint,typeOnly:boolean,code:string,via:array<string>>>"
+
+
 #: Bytes of a source file that is read, and characters of a line that mark what a tool wrote.
 LARGEST, LONG_LINE = 1_500_000, 1000
 

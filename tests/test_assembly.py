@@ -6,7 +6,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from shiftscope.operators import assembly, chains
+from shiftscope.operators import assembly, chains, usage, verdicts
+from shiftscope.sources import records
 
 SYMBOLS = "pkg string, version string, path string, kind string, sig array<string>, deprecated boolean, alias_of string, returns string, instance_of string"
 REFS = f"pkg string, file string, line int, col int, type_only boolean, code string, via string, way string, hops int, prefix string, binding string, imported string, called boolean, chain array<{chains.SEGMENT}>, built array<{chains.SEGMENT}>, built_called boolean, blind string"
@@ -127,5 +128,35 @@ def test_read_back_as_written(found):
     assert again.filter(~F.to_json("document").eqNullSafe(F.to_json("again"))).count() == 0 and again.filter("again.name is null").count() == 0
 
 
+def test_sections(found):
+    told = {}
+    for r in records.brief_sections(found).orderBy("pkg", "place").collect():
+        told.setdefault(r.pkg, []).append(r.line)
+    assert told["ring"] == [
+        "#### `ring` 1.0.0 to 1.2.0", "", "blocked, notes complete, used in 2 files", "",
+        "- **removed** `ring:Ring#tail`", "  - `a.ts:3`", "- **changed** `ring:make`", "  - `a.ts:3`", "  - `b.ts:9`", "- **deprecated** `ring:Ring#size`", "  - `b.ts:9`",
+        "- 1.1.0: Rings keep tail() alive (#4) (perhaps); names `tail`", "  - `a.ts:3`", "- 1.2.0: BREAKING CHANGE: old engines are out (breaking, names no API)", "- 1.2.0: Something else moved (no name ties it to the code)",
+        "", "<sub>removed-touched: 1, changed-touched: 1, deprecated-touched: 1, notes-match: 1, unattributed-breaking: 1, unattributed-change: 1, blind-spots: 1</sub>", "",
+    ]
+
+
+def test_fail_gate(spark):
+    rows = spark.createDataFrame([("blocked",), ("review",), ("quiet",), (None,)], "v string")
+    at = lambda level: [r[0] for r in rows.select(verdicts.fails(F.col("v"), level)).collect()]
+    assert at("blocked") == [True, False, False, False] and at("review") == [True, True, False, False] and not any(at("never"))
+    with pytest.raises(ValueError):
+        verdicts.fails(F.lit("quiet"), "sometimes")
+
+
+def test_gates_of_hints(spark):
+    good = {"refs": 1, "bump": "minor", "code_names": 2, "failed": False, "capped": False, "usable": 3, "share": 0.2}
+    cases = [
+        (good, None, "computed"), (good | {"refs": 0, "bump": "major"}, "no-usage", "skipped"), (good | {"bump": "major"}, "major", "skipped"), (good | {"code_names": 0, "failed": True}, "no-code-names", "skipped"), (good | {"failed": True}, "unread", "failed"),
+        (good | {"capped": True}, "capped", "skipped"), (good | {"usable": 0}, "no-usable-export", "skipped"), (good | {"share": 0.26}, "too-many-changed", "too-many-changed"), (good | {"share": 0.25}, None, "computed"), (good | {"share": None}, "too-many-changed", "too-many-changed"),
+    ]
+    rows = spark.createDataFrame([(i, *c.values()) for i, (c, *_) in enumerate(cases)], "i int, refs int, bump string, code_names int, failed boolean, capped boolean, usable int, share double")
+    assert [(r.hint_reason, r.hint_state) for r in usage.hint_state(rows).orderBy("i").collect()] == [tuple(w) for _, *w in cases]
+
+
 def test_no_package(spark, project):
     assert assembly.brief(project._replace(installed=project.installed.filter("false")), now()).count() == 0

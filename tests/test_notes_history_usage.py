@@ -176,3 +176,14 @@ def test_commits_that_adapt(spark):
     touched = frame(spark, "id string, pkg string", *[(c[1], "@scope/ring") for c in commits if c[1] != "c04"], ("c02", "pool"))
     found = lines.adapting_followups(upgrades, frame(spark, "repo string, id string, at timestamp, subject string", *commits), touched)
     assert rows_of(found, "id", "pkg", "next_id", "rank") == {("c00", "@scope/ring", "c01", 1), ("c00", "@scope/ring", "c02", 2), ("c00", "pool", "c02", 2)}
+
+
+def test_why_a_pull_request_makes_no_case(spark):
+    names = ["split", "fetched", "locks_read", "packages", "groups", "source_files", "removed", "expected", "layout_share"]
+    good = dict(zip(names, [None, True, True, 2, 1, 3, 5, 4, 0.2], strict=True))
+    changes = [{}, {"split": "merge commit before the fix", "fetched": False}, {"fetched": None, "packages": 0}, {"locks_read": False}, {"packages": 0}, {"groups": 3}, {"packages": 1, "groups": 9}, {"source_files": 0, "removed": 0}, {"removed": 0}, {"expected": None}, {"expected": 11, "layout_share": 1.0}, {"layout_share": 0.5}]
+    rows = [(i, *(good | c).values()) for i, c in enumerate(changes)]
+    found = history.mined(spark.createDataFrame(rows, "i int, split string, fetched boolean, locks_read boolean, packages int, groups int, source_files int, removed int, expected int, layout_share double"), 2, 10)
+    c = history.NO_CASE
+    assert [r.reason for r in found.orderBy("i").collect()] == [None, "merge commit before the fix", c[0], c[1], c[2], c[3], None, c[4], c[5], c[6], c[7], c[8]]
+    assert len(history.NO_SPLIT + history.NO_CASE) == 12

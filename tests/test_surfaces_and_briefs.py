@@ -111,6 +111,22 @@ def test_lenient_and_parameters(spark):
     assert {r.ref for r in surfaces.touched(one, surfaces.collapsed(surfaces.diff(before, after))).collect()} == {"p:f"}
 
 
+def test_surfaces_with_and_without_aliases_elsewhere(spark):
+    """What nothing is aliased in is compared in one join, and comes out as beside a package with aliases."""
+    import random
+
+    rnd = random.Random(12)
+    kinds, sigs = ["function", "namespace", "interface", "class"], [[], ["() => A"], ["(x) => A"], ["(x, y?) => A"], ["(x?) => A", "() => A"]]
+    side = lambda: {f"p:n{k}": s(f"p:n{k}", rnd.choice(kinds), rnd.choice(sigs), rnd.random() < 0.3) for k in rnd.sample(range(60), 45)}
+    before, after = side(), side()
+    a, b = symbols(spark, *before.values()).drop("unresolved_base"), symbols(spark, *after.values()).drop("unresolved_base")
+    other = symbols(spark, s("z:x"), s("z:y", alias="z:x")).drop("unresolved_base").withColumn("pkg", F.lit("z"))
+    rows = lambda df: sorted(map(str, df.filter("pkg = 'p'").collect()))
+    plain = surfaces.diff(a, b)
+    assert rows(plain) == rows(surfaces.diff(a.unionByName(other), b.unionByName(other)).select(plain.columns))
+    assert {r.bucket for r in plain.collect()} == {"removed", "added", "changed", "widened", "deprecated"}
+
+
 def test_subjects(spark):
     records = frame(spark, "entry string, version string, subjects array<string>", ("e", "1", ["p:A{strict}", "p:A", "p:none", "p:A{no}", "p:B{strict}"]), ("x", "1", ["p:A"]))
     entries = frame(spark, "id string, version string", ("e", "1"), ("x", "2"))
