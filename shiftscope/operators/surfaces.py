@@ -154,6 +154,7 @@ def diff(before: DataFrame, after: DataFrame, entries: DataFrame | None = None,
 
 def without_children(changes: DataFrame) -> DataFrame:
     """Removed, unproven and added symbols whose ancestor went or came too are left out: the ancestor tells it."""
+    changes = graphs.written(changes, "changes")  # read three times
     whole = changes.filter(F.col("bucket").isin("removed", "unproven", "added"))
     roots = whole.select("pkg", "bucket", F.col("path").alias("above")).distinct()
     under = whole.select("pkg", "bucket", "path", F.explode(paths.ancestors(F.col("path"))).alias("above")).join(roots, ["pkg", "bucket", "above"], "left_semi")
