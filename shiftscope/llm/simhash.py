@@ -24,16 +24,19 @@ carries them as they are, whatever their names. Bytes that aren't UTF-8 are hash
 Joins of all rows by fingerprint or by component have their hot keys broadcast (common.join_by_share); the joins of the
 rounds are of different fingerprints that have a neighbour, and leave hot labels to Spark's splitting of skewed joins.
 
-`similar_documents` and `one_of_each` link by similarity instead: at 0.8 of five-word shingles two texts' fingerprints
-differ in a dozen bits, beyond what shards of fields can find, and SimHashes of words miss texts with a passage added,
-cut or replaced. So candidates are texts that share a band of min-wise shingles, which bounds the chance of a miss for
-every pair alike. Every pair of candidates is tested on the shingles, and only pairs that pass unite.
+`similar_documents` and `one_of_each` link by similarity: at 0.8 of five-word shingles two whole texts' fingerprints
+differ in a dozen bits, beyond what shards of fields can find. So a text has, beside the SimHash of all its shingles,
+SimHashes of bounded samples, each of five min-wise shingles; texts whose samples agree have equal ones, which bounds the
+chance of a miss for every pair alike. Fingerprints of a kind (all, or which sample) are linked in BK-trees within the
+radius; a shard for each field and its value loses no link, as of radius + 1 fields one agrees, and the rare shard of
+over `TREE` goes the way above. Texts of linked fingerprints are candidates. Every pair of candidates is tested on the
+shingles, and only pairs that pass unite.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -276,23 +279,109 @@ def shingles(data: bytes, words: int) -> np.ndarray:
     return np.unique(np.fromiter((digest(b" ".join(parts[i : i + words]), SEED) for i in range(max(1, len(parts) - words + 1))), np.uint64))
 
 
-#: Bands of a document's min-wise shingles, and the minima in each. Two texts share each minimum with their Jaccard
-#: similarity as the chance, so at 0.8 a pair is missed with a chance of (1 - 0.8 ** 5) ** 32, 3 in a million.
-BANDS, ROWS = 32, 5
-_SALTS = _mixed(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64), 3)
+#: Samples of a document's shingles, and the min-wise shingles in each. Two texts share each minimum with their Jaccard
+#: similarity as the chance, and have one SimHash where they share a sample's all, so at 0.8 a pair is missed with a
+#: chance of (1 - 0.8 ** 5) ** 32 at most, 3 in a million.
+SAMPLES, ROWS = 32, 5
+_SALTS = _mixed(np.arange(1, SAMPLES * ROWS + 1, dtype=np.uint64), 3)
+_FACTORS = _mixed(np.arange(SAMPLES * ROWS + 1, 2 * SAMPLES * ROWS + 1, dtype=np.uint64), 3) | np.uint64(1)
 
 
-def band_keys(own: np.ndarray) -> np.ndarray:
-    """A key for each band of the shingles' minima under BANDS * ROWS hash functions: texts that share one are candidates."""
-    n = BANDS * ROWS
-    low = np.full(n, 2**64 - 1, np.uint64)
+def _inverse(odd: np.ndarray) -> np.ndarray:
+    """Modulo 2^64; each step doubles the bits that are right, three at first."""
+    x = odd
+    for _ in range(5):
+        x = x * (np.uint64(2) - odd * x)
+    return x
+
+
+_BACK = _inverse(_FACTORS)
+
+
+def sampled(own: np.ndarray) -> np.ndarray:
+    """(SAMPLES, ROWS) of the shingles' hashes: for each of as many hash functions the one that it puts lowest."""
+    low = np.full(SAMPLES * ROWS, 2**64 - 1, np.uint64)
     for i in range(0, len(own), 512):
-        low = np.minimum(low, ((own[i : i + 512] ^ _SALTS[:n, None]) * (_SALTS[n:, None] | np.uint64(1))).min(axis=1))
-    low = low.reshape(BANDS, ROWS)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for r in range(ROWS):
-        key = _mixed(key ^ low[:, r], r + 1)
-    return key
+        low = np.minimum(low, ((own[i : i + 512] ^ _SALTS[:, None]) * _FACTORS[:, None]).min(axis=1))
+    return (low * _BACK ^ _SALTS).reshape(SAMPLES, ROWS)
+
+
+def simhashes(own: np.ndarray) -> np.ndarray:
+    """The SimHash of all of a text's shingles, then those of its samples; own: at least one shingle's hash."""
+    bits = lambda h: np.unpackbits(h.view(np.uint8).reshape(*h.shape, 8), axis=-1, bitorder="little")
+    votes = np.zeros((1 + SAMPLES, 64), np.int64)
+    for i in range(0, len(own), 1 << 15):
+        votes[0] += bits(own[i : i + (1 << 15)]).sum(axis=0, dtype=np.int64)
+    votes[1:] = bits(sampled(own)).sum(axis=1)
+    over = np.array([len(own)] + [ROWS] * SAMPLES)
+    return np.packbits(2 * votes > over[:, None], axis=-1, bitorder="little").view(np.uint64).ravel()
+
+
+def links_of_kinds(distinct: DataFrame, radius: int = RADIUS, most: int = TREE) -> DataFrame:
+    """a, b: links that join all fingerprints of one kind that differ in at most `radius` bits, a not b. distinct: kind, fp."""
+    cuts = [round(i * 64 / (radius + 1)) for i in range(radius + 2)]
+    width = max(hi - lo for lo, hi in zip(cuts[:-1], cuts[1:], strict=True))
+    fields = [
+        F.shiftleft((F.col("kind") * (radius + 1) + k).cast("long"), width).bitwiseOR(F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << hi - lo) - 1)))
+        for k, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))
+    ]
+    placed = distinct.select("fp", F.explode(F.array(*fields)).alias("shard"))
+    n = max(common.shuffle_partitions(distinct.sparkSession), 1)
+    ordered = placed.repartition(n, "shard").sortWithinPartitions("shard")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64)
+        at, fp, crowded = none, none, None  # of the last shard, which may go on
+
+        def crowd(of: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(of), pa.nulls(len(of), pa.int64())], schema=schema)
+
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                more_at, more_fp = batch.column("shard").to_numpy(), batch.column("fp").to_numpy()
+                over = more_at == crowded if crowded is not None else np.zeros(len(more_at), bool)
+                if over.any():
+                    yield crowd(more_fp[over])
+                    more_at, more_fp = more_at[~over], more_fp[~over]
+                at, fp = np.concatenate((at, more_at)), np.concatenate((fp, more_fp))
+            if not len(at):
+                continue
+            heads = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+            ends = np.append(heads[1:], len(at))
+            done = len(heads) if batch is None else len(heads) - 1
+            several = np.flatnonzero(ends[:done] - heads[:done] > 1)
+            out: list[tuple[int, int]] = []
+            for i, j in zip(heads[several].tolist(), ends[several].tolist(), strict=True):
+                if j - i > most:
+                    yield crowd(fp[i:j])
+                    continue
+                members = fp[i:j].view(np.uint64).tolist()
+                out += spanning(members, members, radius)
+            if out:
+                yield _link_batch(out, schema)
+            left = len(at) if batch is None else heads[-1]
+            at, fp = at[left:], fp[left:]
+            if len(at) > most:
+                yield crowd(fp)
+                at, fp, crowded = none, none, at[0]
+
+    found = common.written(ordered.mapInArrow(run, "a long, b long").distinct(), "kind-links")
+    crowds = found.filter("b is null").select(F.col("a").alias("fp")).distinct()
+    joined = found.filter("b is not null")
+    return joined if crowds.isEmpty() else joined.unionByName(links(crowds, radius, most)).distinct()
+
+
+def candidates(marked: DataFrame, radius: int = RADIUS, most: int = TREE) -> DataFrame:
+    """key, n_shingles, sig: groups of documents with linked fingerprints of a kind. marked: node, n_shingles, fps (one of each kind)."""
+    each = marked.select(F.col("node").alias("key"), "n_shingles", F.posexplode("fps").alias("kind", "fp"))
+    distinct = common.written(each.groupBy("kind", "fp").agg(F.count(F.lit(1)).alias("n")), "kinds", compression="zstd")
+    labels = components(links_of_kinds(distinct.select("kind", "fp"), radius, most))
+    shared = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").filter("n > 1 or label is not null")
+    shared = shared.select("kind", "fp", F.xxhash64("kind", F.coalesce("label", "fp")).alias("sig"))
+    groups = common.written(each.join(shared, ["kind", "fp"]).select("key", "n_shingles", "sig"), "groups", compression="zstd")
+    common.dropped(distinct)
+    return groups
 
 
 #: Documents of a group that meet pair by pair in the JVM at most; and documents and shingles of a block of a larger one.
@@ -394,25 +483,23 @@ def verified_links(groups: DataFrame, sets: DataFrame, similarity: float, few: i
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, key, alt and component_id of every document linked to another: share `similarity` of both's shingles at least.
 
-    Candidates are documents that share a band of min-wise shingles; each pair of them is held to the exact share of shingles (Jaccard), and only pairs that pass unite. component_id is the
-    smallest doc_id of a component, null if all are. Documents without words are not linked. Rows equal in doc_id and text are one document.
+    Candidates are documents with SimHashes (of all their shingles, or of a sample) that BK-trees link; each pair of them is held to the exact share of shingles (Jaccard), and only pairs that
+    pass unite. component_id is the smallest doc_id of a component, null if all are. Documents without words are not linked. Rows equal in doc_id and text are one document.
     """
     named_by = ["key", "alt"]  # 128 bits, and doc_id beside them: no two documents are taken for one
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("alt", pa.int64()), ("n_shingles", pa.int64()), ("sigs", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("alt", pa.int64()), ("n_shingles", pa.int64()), ("fps", pa.list_(pa.int64()))])
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in common.blocks(batches, most=4 << 20):
             sets = [shingles(x, words) for x in common.encoded(block.column("text"))]
-            sigs = [band_keys(x).view(np.int64) for x in sets]
-            yield from common.emit({c: block.column(c) for c in ("doc_id", "key", "alt")} | {"n_shingles": [len(x) for x in sets], "sigs": sigs}, schema)
+            fps = [simhashes(x).view(np.int64) for x in sets]
+            yield from common.emit({c: block.column(c) for c in ("doc_id", "key", "alt")} | {"n_shingles": [len(x) for x in sets], "fps": fps}, schema)
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_identity(), "text")
-    marked = keyed.filter(F.col("text").rlike("[^\\x20\\x09-\\x0D]")).mapInArrow(mark, "doc_id long, key long, alt long, n_shingles long, sigs array<long>")
+    marked = keyed.filter(F.col("text").rlike("[^\\x20\\x09-\\x0D]")).mapInArrow(mark, "doc_id long, key long, alt long, n_shingles long, fps array<long>")
     # a number a document, kept by being written; all that follows knows documents by it
     marked = common.written(marked.dropDuplicates(["doc_id", *named_by]).withColumn("node", F.monotonically_increasing_id()), "signatures", compression="zstd")
-    each = marked.select(F.col("node").alias("key"), "n_shingles", F.explode("sigs").alias("sig"))
-    often = each.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("sig")
-    groups = common.written(each.join(often, "sig"), "groups", compression="zstd")
+    groups = candidates(marked)
     own = pa.schema([("key", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -421,7 +508,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
             yield from common.emit({"key": block.column("node"), "shingles": sets}, own, 500)
 
     involved = marked.select("node", F.col("doc_id").alias("of"), *named_by).join(groups.select(F.col("key").alias("node")).distinct(), "node", "left_semi")
-    sets = keyed.join(involved, named_by).filter(F.col("doc_id").eqNullSafe(F.col("of"))).dropDuplicates(["node"]).select("node", "text").mapInArrow(shingled, "key long, shingles array<long>")
+    sets = keyed.join(involved, named_by).filter(F.col("doc_id").eqNullSafe(F.col("of"))).dropDuplicates([*named_by, "node"]).select("node", "text").mapInArrow(shingled, "key long, shingles array<long>")
     sets = common.written(sets, "shingles")
     verified = common.written(verified_links(groups, sets, similarity), "verified")
     common.dropped(groups, sets)

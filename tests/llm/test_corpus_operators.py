@@ -289,6 +289,37 @@ class TestSimilarDocuments:
         assert sum(map(len, found.values())) >= 0.95 * sum(map(len, whole))
         assert all(min(i for i in g if i is not None) == c for c, g in found.items())
 
+    def test_simhashes_of_all_shingles_and_of_samples(self):
+        own = simhash.shingles(" ".join(f"w{i % 700}" for i in range(900)).encode(), 5)
+        samples = simhash.sampled(own)
+        assert samples.shape == (32, 5) and set(samples.ravel().tolist()) <= set(own.tolist())
+        assert all((simhash._FACTORS * simhash._BACK) == 1)
+        for i, picked in enumerate(samples.ravel()):
+            mapped = (own ^ simhash._SALTS[i]) * simhash._FACTORS[i]
+            assert own[mapped.argmin()] == picked
+        majority = lambda h: sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+        assert simhash.simhashes(own).tolist() == [majority(own.tolist()), *(majority(x) for x in samples.tolist())]
+
+    @pytest.mark.parametrize("most", [4096, 20])
+    def test_trees_link_the_fingerprints_of_each_kind(self, spark, most):
+        rnd, rows = random.Random(9), set()
+        for kind in (0, 1, 32):
+            for _ in range(60):
+                base = rnd.getrandbits(64) if rnd.random() < 0.7 else 0
+                rows |= {(kind, base ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, 3)))) for _ in range(4)}
+        signed = lambda x: x - (x >> 63 << 64)
+        rows = sorted(rows)
+        near = [(x, y) for x in rows for y in rows if x < y and x[0] == y[0] and (x[1] ^ y[1]).bit_count() <= 2]
+        # its own kind's apart, a document's fingerprints are like no other's
+        fps = [[signed(fp if k == kind else rnd.getrandbits(64)) for k in range(33)] for kind, fp in rows]
+        marked = spark.createDataFrame([(i, 9, x) for i, x in enumerate(fps)], "node long, n_shingles int, fps array<long>")
+        groups = defaultdict(set)
+        for r in simhash.candidates(marked, most=most).collect():
+            groups[r.sig].add(rows[r.key])
+        met = {frozenset((x, y)) for g in groups.values() for x in g for y in g if x != y}
+        assert len(near) > 100 and {frozenset(p) for p in near} <= met
+        assert all(x[0] == y[0] for x, y in map(tuple, met))
+
     def test_one_of_each(self, spark):
         rows = self.rows()
         kept = simhash.one_of_each(table(spark, rows)).collect()
