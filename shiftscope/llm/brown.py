@@ -47,6 +47,8 @@ BLOCK, COUNTED, PIECE = 24 << 20, 10 << 20, 2 << 20
 MIXED = 8.0
 #: Rows into which a context symbol's counts are spread before they meet.
 SALTS = 16
+#: Counts up to which what a word's entry adds is looked up.
+FEW = 32
 #: More than a block has different words.
 _PLACES = 1 << 27
 #: Flag of a word seen once, and the class of one never seen; classes are below ONCE.
@@ -259,21 +261,29 @@ class Round:
     def __init__(self, of_symbol: np.ndarray, matrix: np.ndarray, sizes: np.ndarray):
         self.of_symbol, self.matrix, self.sizes = of_symbol, matrix.astype(np.float64), sizes.astype(np.float64)
         self.base = _xlogx(self.matrix)
-        self.tables: dict[int, np.ndarray] = {}
-
-    def gain(self, column: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """(entries, classes): what adding x to a column of each class's row changes."""
-        out = np.empty((len(x), len(self.sizes)), np.float32)
-        small = x <= 16
-        for n in np.unique(x[small]).tolist():
-            if n not in self.tables:
-                self.tables[n] = (_xlogx(self.matrix + n) - self.base).T.astype(np.float32)
-            at = x == n
-            out[at] = self.tables[n][column[at]]
-        big = np.flatnonzero(~small)
+        self.table: np.ndarray | None = None  # made where it is asked for, once a process and broadcast
+
+    def gain(self, column: np.ndarray, x: np.ndarray, heads: np.ndarray) -> np.ndarray:
+        """(words, classes): what adding x to the columns of each class's row changes, over a word's entries; they begin at heads."""
+        columns = self.matrix.shape[1]
+        if self.table is None:
+            added = np.arange(FEW + 1)[:, None, None]
+            self.table = (_xlogx(self.matrix.T + added) - self.base.T).astype(np.float32).reshape(-1, len(self.sizes))
+        at = np.where(x <= FEW, x, 0) * columns + column  # to add nothing changes nothing
+        n = np.diff(heads, append=len(x))
+        order = np.argsort(-n, kind="stable")  # the j-th entries of all words that have so many, at once
+        first, left = heads[order], np.cumsum(np.bincount(n)[::-1])[::-1]
+        out = np.zeros((len(heads), len(self.sizes)), np.float32)
+        for j in range(len(left) - 1):
+            m = left[j + 1]
+            out[:m] += self.table.take(at[first[:m] + j], axis=0)
+        out[order] = out.copy()
+        big = np.flatnonzero(x > FEW)
         for i in range(0, len(big), 20_000):
-            at = big[i : i + 20_000]
-            out[at] = (_xlogx(self.matrix[:, column[at]] + x[at]) - self.base[:, column[at]]).T
+            e = big[i : i + 20_000]
+            more = (_xlogx(self.matrix[:, column[e]] + x[e]) - self.base[:, column[e]]).T.astype(np.float32)
+            word, start = np.unique(np.searchsorted(heads, e, side="right") - 1, return_index=True)
+            out[word] += np.add.reduceat(more, start, axis=0)
         return out
 
 
@@ -307,8 +317,9 @@ class Exchange:
         heads = np.flatnonzero(np.diff(word, prepend=-1))
         n = np.add.reduceat(np.where(column <= self.classes, x, 0), heads).astype(np.float64)
         size = known.sizes
-        score = np.add.reduceat(known.gain(column, x), heads, axis=0).astype(np.float64)
-        score -= 2 * (_xlogx(size[None, :] + n[:, None]) - _xlogx(size)[None, :])
+        score = known.gain(column, x, heads).astype(np.float64)
+        counts, which = np.unique(n, return_inverse=True)  # few against words
+        score -= (2 * (_xlogx(size[None, :] + counts[:, None]) - _xlogx(size)[None, :]))[which]
         mine = known.matrix[own[word], column]
         out = np.add.reduceat(_xlogx(np.maximum(mine - x, 0)) - _xlogx(mine), heads)
         out -= 2 * (_xlogx(np.maximum(size[own] - n, 0)) - _xlogx(size[own]))

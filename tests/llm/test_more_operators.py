@@ -193,6 +193,19 @@ class TestBrown:
         none, some = per(0), per(3)
         assert some.own > none.own > some.base
 
+    def test_gain_of_each_word_by_sums_over_its_entries(self):
+        rnd = np.random.default_rng(4)
+        matrix = rnd.integers(0, 500, (8, 18))
+        known = brown.Round(np.zeros(12, np.int64), matrix, matrix[:, :9].sum(axis=1))
+        sizes = rnd.integers(1, 19, 300)
+        column = np.concatenate([np.sort(rnd.permutation(18)[:n]) for n in sizes])
+        x = np.where(rnd.random(len(column)) < 0.8, rnd.integers(1, 6, len(column)), rnd.integers(1, 3000, len(column)))
+        heads = sizes.cumsum() - sizes
+        xlogx = lambda v: v * np.log(np.maximum(v, 1))
+        want = [sum(xlogx(matrix[:, column[e]] + x[e]) - xlogx(matrix[:, column[e]]) for e in range(a, a + n)) for a, n in zip(heads, sizes)]
+        assert {1, brown.FEW, brown.FEW + 1} <= set(range(1, x.max() + 1)) and (x > brown.FEW).any()
+        assert np.allclose(known.gain(column, x, heads), np.array(want), rtol=1e-4, atol=1e-2)
+
     def test_nothing_to_learn(self, spark):
         assert brown.score(table(spark, []), F.lit(False)).count() == 0
         found = brown.score(table(spark, [(1, "a b"), (2, None)]), F.lit(True)).collect()
