@@ -399,6 +399,31 @@ def _covered(words: int, first: np.ndarray, n: np.ndarray, window: int) -> np.nd
     return np.cumsum(edge)[:words] > 0
 
 
+def _cut(block: pa.Table, window: int) -> Iterator[tuple[int, list[bytes]]]:
+    """How many words each text has, and those that no stretch covers."""
+    row, first, n = _stretch_arrays(block.column("stretches"))
+    bounds = np.searchsorted(row, np.arange(block.num_rows + 1)).tolist()
+    for i, content in enumerate(common.encoded(block.column("text"))):
+        words = content.split()
+        a, b = bounds[i : i + 2]
+        kept = words
+        if b > a:
+            covered = _covered(len(words), first[a:b], n[a:b], window)
+            kept = [w for w, gone in zip(words, covered.tolist(), strict=True) if not gone]
+        yield len(words), kept
+
+
+def _joined(words: list[bytes]) -> str:
+    return b" ".join(words).decode("utf-8", "replace")
+
+
+def _written_repeats(docs: DataFrame, window: int) -> DataFrame:
+    met, found = repeats(docs, window)
+    found = common.written(found, "repeats")
+    common.dropped(met)
+    return found
+
+
 def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, doc, kept (the kept words, joined by one space), n_words, n_removed of every row."""
     schema = pa.schema([("doc_id", pa.int64()), ("doc", pa.int64()), ("kept", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64())])
@@ -406,34 +431,35 @@ def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in common.blocks(batches, most=4 << 20):
             out: dict[str, list] = {"kept": [], "n_words": [], "n_removed": []}
-            row, first, n = _stretch_arrays(block.column("stretches"))
-            bounds = np.searchsorted(row, np.arange(block.num_rows + 1)).tolist()
-            for i, content in enumerate(common.encoded(block.column("text"))):
-                words = content.split()
-                a, b = bounds[i : i + 2]
-                kept = words
-                if b > a:
-                    covered = _covered(len(words), first[a:b], n[a:b], window)
-                    kept = [w for w, gone in zip(words, covered.tolist(), strict=True) if not gone]
-                out["kept"].append(b" ".join(kept).decode("utf-8", "replace"))
-                out["n_words"].append(len(words))
-                out["n_removed"].append(len(words) - len(kept))
+            for words, kept in _cut(block, window):
+                out["kept"].append(_joined(kept))
+                out["n_words"].append(words)
+                out["n_removed"].append(words - len(kept))
             yield from common.emit({"doc_id": block.column("doc_id"), "doc": block.column("doc"), **out}, schema, 2000)
 
-    met, found = repeats(docs, window)
-    found = common.written(found, "repeats")
-    common.dropped(met)
-    joined = _with_stretches(docs, found, "left").drop("id")
+    joined = _with_stretches(docs, _written_repeats(docs, window), "left").drop("id")
     return joined.mapInArrow(run, "doc_id long, doc long, kept string, n_words long, n_removed long")
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """All rows and columns of docs; texts that lose words keep the others joined by one space, n_chars follows."""
-    cleaned = remove(docs, window).filter("n_removed > 0").select("doc", F.col("doc_id").alias("id"), "kept").dropDuplicates(["doc", "id"])
-    held, back = common.aside(docs, docs.columns, common.document_key().alias("key"), F.col("doc_id").cast("long").alias("own"))
-    joined = held.join(cleaned, (F.col("key") == F.col("doc")) & F.col("own").eqNullSafe(F.col("id")), "left")
+    """All rows and columns of docs; texts that lose words keep the others joined by one space, n_chars follows.
+
+    Rows meet their stretches once, whole, and are cut where they meet: what is kept meets no row again.
+    """
+
+    @F.arrow_udf("string")
+    def cut(text: pa.Array, stretches: pa.Array) -> pa.Array:
+        rows = pa.RecordBatch.from_arrays([text, stretches], ["text", "stretches"])
+        return pa.array((_joined(kept) for block in common.blocks([rows], most=4 << 20) for _, kept in _cut(block, window)), pa.string())
+
+    found = _written_repeats(docs, window)
+    held, back = common.aside(docs, docs.columns, common.document_key().alias("doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"))
+    joined = held.join(_by_document(found), ["doc", "id"], "left")
+    loses = F.col("stretches").isNotNull()
+    # texts that stay as they are aren't sent to be cut
+    joined = joined.withColumn("kept", cut(F.when(loses, F.col(f"c{docs.columns.index('text')}")), "stretches"))
     for i, c in enumerate(docs.columns):
         new = {"text": F.col("kept"), "n_chars": F.length("kept")}.get(c)
         if new is not None:
-            back[i] = F.when(F.col("doc").isNotNull(), new.cast(docs.schema[c].dataType)).otherwise(F.col(f"c{i}")).alias(c)
+            back[i] = F.when(loses, new.cast(docs.schema[c].dataType)).otherwise(F.col(f"c{i}")).alias(c)
     return joined.select(*back)

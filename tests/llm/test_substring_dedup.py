@@ -75,3 +75,44 @@ def test_equal_windows_have_equal_owners():
 def test_empty_table(spark):
     assert sd.remove(table(spark, [])).count() == 0
     assert sd.without_repeats(table(spark, [])).count() == 0
+
+
+def shuffled_bytes(spark, job):
+    """Bytes that the stages of job() write to shuffles."""
+
+    def by_stage():
+        sc = spark.sparkContext
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(spark._jvm.double, 0), None)
+        return {s.stageId(): s.shuffleWriteBytes() for s in map(stages.apply, range(stages.size()))}
+
+    before = by_stage()
+    job()
+    return sum(n for stage, n in by_stage().items() if stage not in before)
+
+
+def test_whole_texts_are_moved_to_be_compared_and_to_be_cut_and_no_more(spark, tmp_path):
+    rnd = random.Random(8)
+    fresh = lambda n: ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=80)) for _ in range(n)]
+    passage = fresh(40)
+    rows = [(i, " ".join([*fresh(300), *passage, *fresh(60)])) for i in range(60)]
+    table(spark, rows).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    once = shuffled_bytes(spark, lambda: docs.repartition(4, "doc_id").write.parquet(str(tmp_path / "once")))
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        moved = shuffled_bytes(spark, lambda: sd.without_repeats(docs).write.parquet(str(tmp_path / "out")))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    assert {len(r.text.split()) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {360}
+    assert 1 < moved / once < 2.5
+
+
+def test_columns_that_arrow_cannot_hold_are_carried(spark):
+    rows = random_rows(11, 50)
+    docs = table(spark, rows).selectExpr("make_ym_interval(1, int(doc_id)) own", "text", "doc_id", "make_interval(0, 0, 0, 1) span", "n_chars", "cast(doc_id as int) doc", "'x' stretches")
+    found = sd.without_repeats(docs)
+    assert found.schema == docs.schema
+    got = sorted(((r.doc_id, len((r.text or "").split()), r.doc, r.stretches, r.days) for r in found.selectExpr("*", "cast(span as string) days").drop("span", "own").collect()), key=repr)
+    assert got == sorted(((i, n - gone, i, "x", "1 days") for i, n, gone, _ in expected(rows, 35)), key=repr)
